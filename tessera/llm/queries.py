@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bytebpe, hashtree, topk
+from tessera.llm import bytebpe, hashtree, labelled, quality, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -22,6 +22,20 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(docs, *_vocabulary())
 
 
+def _with_fold(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _with_fold(toxicity.score(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _with_fold(quality.score(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -50,7 +64,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op7_hash_tree, op8_exact_topk)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,6 +23,8 @@ _BYTE_VALUE[ord("A") : ord("Z") + 1] = _BYTE_VALUE[ord("a") : ord("z") + 1]
 _BYTE_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space, control characters and ASCII punctuation: what is left are terms.
+TERM_BREAKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _ROTATE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
@@ -76,9 +78,10 @@ def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and each row's first word (rows + 1)."""
-    inside = ~_IS_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and each row's first word (rows + 1). ``breaks``
+    tells for each byte value whether it parts words."""
+    inside = ~breaks[data]
     opens = np.empty(len(data) + 1, dtype=bool)
     opens[0] = opens[-1] = True
     np.logical_not(inside[:-1], out=opens[1:-1]) if len(data) else None
@@ -111,6 +114,50 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(data, start, end), first
 
 
+def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits, and each row's first one (rows + 1)."""
+    start, end, first = word_bounds(data, offsets, TERM_BREAKS)
+    return span_hashes(data, start, end), first
+
+
+def stem_hashes(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``term_hashes``, and for each term its first ``sizes`` bytes where it is longer."""
+    start, end, first = word_bounds(data, offsets, TERM_BREAKS)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hashes, rows = [span_hashes(data, start, end)], [row]
+    for n in sizes:
+        longer = end - start > n
+        hashes.append(span_hashes(data, start[longer], start[longer] + n) + U64(n))
+        rows.append(row[longer])
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    counts = np.bincount(rows, minlength=len(first) - 1)
+    return np.concatenate(hashes)[order], np.concatenate([[0], np.cumsum(counts)])
+
+
+def byte_grams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (``bits`` bits) of all runs of ``sizes`` bytes within a row, and each row's
+    first one (rows + 1)."""
+    counts = np.diff(offsets)
+    made = [np.maximum(counts - n + 1, 0) for n in sizes]
+    first = np.concatenate([[0], np.cumsum(sum(made))])
+    out = np.empty(first[-1], dtype=np.uint32)
+    done = np.zeros(len(counts), dtype=np.int64)
+    for n, own in zip(sizes, made, strict=True):
+        if len(data) < n:
+            continue
+        gram = np.full(len(data) - n + 1, n, dtype=np.uint32)
+        for i in range(n):
+            gram = gram * np.uint32(257) + data[i : len(data) - n + 1 + i]
+        gram = (gram * np.uint32(0x9E3779B1)) ^ (gram >> np.uint32(15))
+        gram = (gram * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+        total = int(own.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(own) - own, own)
+        out[np.repeat(first[:-1] + done, own) + within] = gram[np.repeat(offsets[:-1], own) + within]
+        done += own
+    return out, first
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``k`` words and each row's first window (rows + 1).
 
@@ -136,6 +183,15 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, out_first
 
 
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each row's values; 0 for a row without any."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some], axis=0)
+    return out
+
+
 def distinct_by_row(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values, ascending, and each row's first one (rows + 1)."""
     parts, sizes = [], np.zeros(len(first), dtype=np.int64)
@@ -149,4 +205,4 @@ def distinct_by_row(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
             own = own[keep]
             parts.append(own)
             sizes[r + 1] = len(own)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(sizes)
+    return (np.concatenate(parts) if parts else values[:0]), np.cumsum(sizes)
