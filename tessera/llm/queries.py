@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bytebpe, hashtree, labelled, quality, topk, toxicity
+from tessera.llm import bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -17,11 +17,19 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.cluster(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bytebpe.round_trip(docs, *_vocabulary())
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def _with_fold(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
@@ -64,7 +72,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
