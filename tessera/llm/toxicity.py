@@ -30,7 +30,7 @@ MIN_TEXTS = 5
 MIN_BEARING = 15.0
 #: Beginnings of a term, in bytes, that are terms too: inflected words share them.
 STEMS = (4, 5, 6)
-SAMPLE = 20_000
+SAMPLE = 12_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
