@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, topk, toxicity
+from tessera.llm import bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, shards, tiling, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -53,6 +53,15 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = shards.in_training_order(table(spark, sf_dir, "documents"), *_vocabulary())
+    return ordered.select("doc_id", "part", "n_tokens", "slot", "shard", "offset", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -72,7 +81,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
