@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, shards, tiling, topk, toxicity
+from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, shards, tiling, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -44,6 +44,12 @@ def op5_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(quality.score(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = labelled.remainder(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return brown.score(docs, ~F.col("held_out"))
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -81,7 +87,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op6_brown_lm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
