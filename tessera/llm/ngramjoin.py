@@ -395,7 +395,11 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     rows = scratch.save(describe(docs.select(key, text), n, text), "rows")
     scratch.drop_all_but("labels", "rows")
     found = labels.select(F.col("node").alias("set_id"), "label")
-    with_label = rows.where("set_id IS NOT NULL").join(found, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = with_label.groupBy("label").agg(F.min(key).alias("component_id"))
-    linked = with_label.join(least, "label").select(key, "n_shingles", "component_id")
+    # A set's copies add up to one row before rows of a component meet.
+    sets = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(key).alias("_least"))
+    sets = scratch.save(sets.join(found, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "set-labels")
+    least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
+    of_set = scratch.save(sets.join(least, "label").select("set_id", "component_id"), "set-components")
+    scratch.drop("labels", "set-labels")
+    linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id")
     return linked.unionByName(rows.where("set_id IS NULL").select(key, "n_shingles", F.col(key).alias("component_id")))

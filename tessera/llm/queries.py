@@ -11,7 +11,7 @@ from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, ngramjoin,
 from tessera.plans.runtime import table
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -23,7 +23,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bytebpe.round_trip(docs, *_vocabulary())
+    return bytebpe.round_trip(docs, *vocabulary())
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = shards.in_training_order(table(spark, sf_dir, "documents"), *_vocabulary())
+    ordered = shards.in_training_order(table(spark, sf_dir, "documents"), *vocabulary())
     return ordered.select("doc_id", "part", "n_tokens", "slot", "shard", "offset", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 
