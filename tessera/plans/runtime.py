@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import tempfile
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parent.parent
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+ARROW_ROWS = 1000
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -52,6 +54,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While a plan runs, hand Python at most ``ARROW_ROWS`` rows at a time: a batch of
+    texts is held several times over outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``keep`` what a result still reads."""
 
@@ -63,7 +79,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(path)
         self._open.add(name)
         del df
         self.free_shuffles()
