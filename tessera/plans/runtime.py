@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import os
 import tempfile
@@ -36,7 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once a context, unless their path has it already."""
+    """Let executors import this package, once a context, unless their path has it already.
+
+    Where the session left Spark's number of rows for an Arrow batch as it is, it becomes
+    ``ARROW_ROWS``: a batch of texts is held several times over outside the heap.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if os.path.realpath(PACKAGE.parent) in paths or getattr(spark.sparkContext, "_tessera_shipped", False):
         return
@@ -54,20 +60,6 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """While a plan runs, hand Python at most ``ARROW_ROWS`` rows at a time: a batch of
-    texts is held several times over outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``keep`` what a result still reads."""
 
@@ -79,8 +71,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         schema = df.schema
-        with small_batches(self.spark):
-            df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         self._open.add(name)
         del df
         self.free_shuffles()
