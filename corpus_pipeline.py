@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
     out = ids.where("least < doc_id OR rows > 1").select("doc_id")
     repeated = ids.where("least >= doc_id AND rows > 1").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # Ids of a corpus outgrow a broadcast, so texts are shuffled to them at every size.
+    return docs.join(out.hint("merge"), "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
