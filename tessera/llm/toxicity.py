@@ -30,7 +30,7 @@ MIN_TEXTS = 5
 MIN_BEARING = 15.0
 #: Beginnings of a term, in bytes, that are terms too: inflected words share them.
 STEMS = (4, 5, 6)
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 10, batch: int
     parts = [terms(d, o) for d, o in pieces(texts)]
     buckets = np.concatenate([b for b, _ in parts])
     sizes = np.concatenate([np.diff(f) for _, f in parts])
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     held = np.bincount(buckets, minlength=1 << BITS).astype(np.float64)
     held_toxic = np.bincount(buckets, labels[row], minlength=1 << BITS)
     tells = np.flatnonzero((held >= MIN_TEXTS) & (bearing(held, held_toxic, labels.sum(), float(len(labels))) >= MIN_BEARING))
