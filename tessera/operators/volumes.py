@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.numeric import array_sum, not_nan
+from tessera.functions.numeric import array_sum, clamp, not_nan
 
 
 def to_cells(tiles: DataFrame, dim: Sequence[int], keys: Sequence[str], data: str = "data", value: str = "v") -> DataFrame:
@@ -79,7 +79,12 @@ def quantise(data: Column, kind: str) -> tuple[Column, Column]:
     else:
         raise ValueError(f"no such type: {kind}")
     slope = F.greatest(slope, F.lit(0.0))
-    whole = lambda x: F.coalesce(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.round(F.try_divide(F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x), slope)))), F.lit(0.0)).cast("int")
+
+    def whole(x: Column) -> Column:
+        finite_x = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+        q = F.round(F.try_divide(finite_x, slope))
+        return F.when(q.isNotNull(), clamp(q, float(low), float(high))).otherwise(0.0).cast("int")
+
     return F.transform(data, whole), slope
 
 

@@ -70,7 +70,8 @@ def agreement(volumetrics: DataFrame, silver: str, value: str) -> DataFrame:
     """Each method's volumes against the silver standard's."""
     x = volumetrics.where(F.col("method") == silver).select("subject", F.col(value).alias("x"))
     pairs = volumetrics.where(F.col("method") != silver).select("subject", "method", F.col(value).alias("y")).join(x, "subject")
-    return statistics.icc_interval(pairs, ("method",), "x", "y").join(statistics.bland_altman(pairs, ("method",), "x", "y").drop("n"), "method").join(statistics.correlation(pairs, ("method",), "x", "y").drop("n"), "method")
+    limits = statistics.bland_altman(pairs, ("method",), "x", "y").select("method", "bias", F.col("lower").alias("limit_low"), F.col("upper").alias("limit_high"))
+    return statistics.icc_interval(pairs, ("method",), "x", "y").join(limits, "method").join(statistics.correlation(pairs, ("method",), "x", "y").drop("n"), "method")
 
 
 STEPS = ("subjects", "overlap", "volumes", "comparison", "agreement")

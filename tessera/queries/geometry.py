@@ -1 +1,209 @@
-QUERIES = {}
+"""Grids, resampling, warps, stencils and distances on the 4 x 4 x 4 volumes."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.operators import geometry as geo
+from tessera.queries.common import DIM, VOX, cells, q6, r6
+
+#: A shear with a shift and a smaller step, and a grid of 1.5 x 1 x 2 mm voxels.
+M1 = np.array([[0.8, 0.1, 0.0, 0.35], [0.0, 0.9, 0.05, 0.2], [0.05, 0.0, 0.85, 0.3], [0, 0, 0, 1]])
+MM = np.diag([1.5, 1.0, 2.0, 1.0])
+SIZE = (1.5, 1.0, 2.0)
+
+
+def _row(m, n):
+    a, b, c, t = (repr(float(x)) for x in m[n])
+    return f"(CAST({t} AS DOUBLE) + CAST({a} AS DOUBLE) * i + CAST({b} AS DOUBLE) * j + CAST({c} AS DOUBLE) * k)"
+
+
+POINTS = f"pts AS (SELECT vec_id, i, j, k, {_row(M1, 0)} AS x, {_row(M1, 1)} AS y, {_row(M1, 2)} AS z FROM vox)"
+CORNERS = """corners AS (
+  SELECT vec_id, i, j, k, CAST(floor(x) AS INTEGER) + a AS ci, CAST(floor(y) AS INTEGER) + b AS cj, CAST(floor(z) AS INTEGER) + c AS ck,
+         CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END * CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE WHEN c = 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END AS w
+  FROM pts, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b), (VALUES (0), (1)) r(c)
+)"""
+
+
+def _points(spark, d, m=M1):
+    x, y, z = geo.affine_columns(m)
+    return cells(spark, d).select("vec_id", "i", "j", "k", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def affine_grid(spark, d):
+    return _points(spark, d).select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in "xyz"))
+
+
+def identity_grid(spark, d):
+    return geo.grid(spark, (7, 5, 3))
+
+
+def fov_mask(spark, d):
+    return geo.mask_outside_view(cells(spark, d), np.eye(4), (3, 3, 3), M1, -1.0).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def _deformation(spark, d):
+    """Millimetres from the grid's own plus a shift that the next volume's voxels give."""
+    c = cells(spark, d)
+    near = c.select((F.col("vec_id") - 1).alias("vec_id"), "i", "j", "k", F.col("v").alias("s"))
+    shift = F.col("s")
+    return c.join(near, ["vec_id", "i", "j", "k"]).select("vec_id", "i", "j", "k", (1.5 * (F.col("i") + shift)).alias("wx"), (F.col("j") - shift).alias("wy"), (2.0 * (F.col("k") + shift / 2)).alias("wz"))
+
+
+DEFORMATION = """def AS (
+  SELECT a.vec_id, a.i, a.j, a.k, 1.5 * (a.i + b.v) AS wx, a.j - b.v AS wy, 2.0 * (a.k + b.v / 2) AS wz
+  FROM vox a JOIN vox b ON b.vec_id = a.vec_id + 1 AND a.i = b.i AND a.j = b.j AND a.k = b.k
+)"""
+
+
+def fov_mask_deformed(spark, d):
+    out = geo.mask_outside_view_through(cells(spark, d), _deformation(spark, d), ["vec_id"], MM, DIM)
+    return out.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def resample_nearest(spark, d):
+    return geo.pull(_points(spark, d), cells(spark, d), ["vec_id"], 0).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def resample_trilinear(spark, d):
+    out = geo.pull(_points(spark, d), cells(spark, d), ["vec_id"], 1, clamp_to_image=True)
+    return out.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def pull_warp(spark, d):
+    inv = np.linalg.inv(MM)
+    x, y, z = geo.affine_columns(inv, ("wx", "wy", "wz"))
+    points = _deformation(spark, d).select("vec_id", "i", "j", "k", x.alias("x"), y.alias("y"), z.alias("z"))
+    return geo.pull(points, cells(spark, d), ["vec_id"], 1).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def push_scatter(spark, d):
+    c = cells(spark, d)
+    values = _points(spark, d).join(c, ["vec_id", "i", "j", "k"]).select("vec_id", "x", "y", "z", "v")
+    mean = geo.push(values, ["vec_id"], dim=DIM)
+    return mean.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def push_preserving(spark, d):
+    c = cells(spark, d)
+    values = _points(spark, d).join(c, ["vec_id", "i", "j", "k"]).select("vec_id", "x", "y", "z", "v")
+    return geo.push(values, ["vec_id"], preserve=True).groupBy("vec_id").agg(r6(F.sum("v"), "total"))
+
+
+def compose_deformations(spark, d):
+    f = _deformation(spark, d)
+    return geo.compose(f, f, ["vec_id"], MM).select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in ("wx", "wy", "wz")))
+
+
+def inverse_deformation(spark, d):
+    out = geo.approximate_inverse(_deformation(spark, d), ["vec_id"], MM, MM, DIM)
+    return out.select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in ("wx", "wy", "wz")))
+
+
+def smooth3(spark, d):
+    return geo.convolve(cells(spark, d), ["vec_id"], geo.SMOOTHING).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+TAPS = geo.gaussian_taps(2.0, 1.0)
+
+
+def gaussian_smooth(spark, d):
+    return geo.convolve(cells(spark, d), ["vec_id"], TAPS).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def _convolve_sql(taps):
+    reach, at, out = len(taps) // 2, "vox", []
+    for n, axis in enumerate("ijk"):
+        other = ", ".join(a for a in "ijk" if a != axis)
+        terms = " + ".join(f"CAST({t!r} AS DOUBLE) * coalesce({'v' if s == reach else f'lag(v, {reach - s}) OVER w' if s < reach else f'lead(v, {s - reach}) OVER w'}, 0)" for s, t in enumerate(taps))
+        out.append(f"c{n} AS (SELECT vec_id, i, j, k, {terms} AS v FROM {at} WINDOW w AS (PARTITION BY vec_id, {other} ORDER BY {axis}))")
+        at = f"c{n}"
+    return f"WITH {VOX}, {', '.join(out)} SELECT vec_id, i, j, k, {q6('v', 'v')} FROM c2"
+
+
+def _mask(spark, d):
+    return cells(spark, d).where("v > 0").select("vec_id", "i", "j", "k")
+
+
+def perimeter6(spark, d):
+    return geo.perimeter(_mask(spark, d), ["vec_id"])
+
+
+NEAR6 = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c)"
+MASKS = f"{VOX}, mask AS (SELECT vec_id, i, j, k FROM vox WHERE v > 0)"
+SURFACE = f"surface AS (SELECT m.vec_id, m.i, m.j, m.k FROM mask m, {NEAR6} LEFT JOIN mask n ON n.vec_id = m.vec_id AND n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c GROUP BY ALL HAVING count(n.vec_id) < 6)"
+
+
+def hd95_assd(spark, d):
+    m = _mask(spark, d).withColumn("subject", F.expr("vec_id div 2"))
+    a, b = (m.where(F.col("vec_id") % 2 == n).select("subject", "i", "j", "k") for n in (0, 1))
+    return geo.surface_distances(a, b, ["subject"], SIZE).select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
+
+
+HD95 = f"""WITH {MASKS}, {SURFACE}, dist AS (
+  SELECT s.vec_id // 2 AS subject, s.vec_id, s.i, s.j, s.k, sqrt(min(1.5 * (s.i - m.i) * 1.5 * (s.i - m.i) + (s.j - m.j) * (s.j - m.j) + 2.0 * (s.k - m.k) * 2.0 * (s.k - m.k))) AS v
+  FROM surface s JOIN mask m ON m.vec_id // 2 = s.vec_id // 2 AND m.vec_id <> s.vec_id GROUP BY ALL
+), ranked AS (SELECT subject, v, row_number() OVER w AS r, count(*) OVER (PARTITION BY subject) AS n FROM dist WINDOW w AS (PARTITION BY subject ORDER BY v)),
+h AS (SELECT subject, sum(CASE WHEN r = floor(least(greatest(0.95 * n + 0.5, 1), n)) THEN v * (1 - (least(greatest(0.95 * n + 0.5, 1), n) - floor(least(greatest(0.95 * n + 0.5, 1), n)))) WHEN r = floor(least(greatest(0.95 * n + 0.5, 1), n)) + 1 THEN v * (least(greatest(0.95 * n + 0.5, 1), n) - floor(least(greatest(0.95 * n + 0.5, 1), n))) ELSE 0 END) AS hd95 FROM ranked GROUP BY subject),
+a AS (SELECT subject, sum(m) / 2 AS assd FROM (SELECT subject, vec_id, avg(v) AS m FROM dist GROUP BY ALL) GROUP BY subject)
+SELECT subject, {q6("hd95", "hd95")}, {q6("assd", "assd")} FROM h JOIN a USING (subject)"""
+
+
+def corners_box(spark, d):
+    lo, hi = geo.corners_box(M1 @ np.diag([10.0, -7.0, 3.0, 1.0]), (181, 217, 60))
+    return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip("xyz", lo, hi, strict=True)], "axis string, low double, high double")
+
+
+_B = M1 @ np.diag([10.0, -7.0, 3.0, 1.0])
+BOX = "WITH e AS (SELECT i, j, k FROM (VALUES (1), (181)) a(i), (VALUES (1), (217)) b(j), (VALUES (1), (60)) c(k)) " + " UNION ALL ".join(
+    f"SELECT '{axis}' AS axis, CAST(floor(min({_row(_B, n)}) + 0.5) AS DOUBLE) AS low, CAST(floor(max({_row(_B, n)}) + 0.5) AS DOUBLE) AS high FROM e" for n, axis in enumerate("xyz")
+)
+
+
+def iso_resample(spark, d):
+    return geo.to_isotropic(cells(spark, d), ["vec_id"], DIM, SIZE).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def _iso_sql():
+    lists = [f"({near})" for near in geo.iso_grid(DIM, SIZE)]
+    n = [len(x) for x in geo.iso_grid(DIM, SIZE)]
+    return f"""WITH {VOX}, g AS (SELECT CAST(a AS INTEGER) AS gi, CAST(b AS INTEGER) AS gj, CAST(c AS INTEGER) AS gk FROM range(1, {n[0] + 1}) x(a), range(1, {n[1] + 1}) y(b), range(1, {n[2] + 1}) z(c))
+SELECT vec_id, gi AS i, gj AS j, gk AS k, {q6("v", "v")} FROM g JOIN vox ON i = {lists[0]}[gi] AND j = {lists[1]}[gj] AND k = {lists[2]}[gk]"""
+
+
+IN_VIEW = "{x} >= 1 AND {x} < {n[0]} AND {y} >= 1 AND {y} < {n[1]} AND {z} >= 1 AND {z} < {n[2]}"
+DEF_POINTS = "pts AS (SELECT vec_id, i, j, k, wx / 1.5 AS x, wy AS y, wz / 2.0 AS z FROM def)"
+
+QUERIES = {
+    "affine_grid": (affine_grid, f"WITH {VOX}, {POINTS} SELECT vec_id, i, j, k, {q6('x', 'x')}, {q6('y', 'y')}, {q6('z', 'z')} FROM pts"),
+    "identity_grid": (identity_grid, "SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(c AS INTEGER) AS k FROM range(1, 8) x(a), range(1, 6) y(b), range(1, 4) z(c)"),
+    "fov_mask": (fov_mask, f"WITH {VOX}, {POINTS} SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='x', y='y', z='z', n=(3, 3, 3)) + ' THEN v ELSE -1 END', 'v')} FROM vox JOIN pts USING (vec_id, i, j, k)"),
+    "fov_mask_deformed": (fov_mask_deformed, f"WITH {VOX}, {DEFORMATION} SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='wx / 1.5', y='wy', z='wz / 2.0', n=DIM) + ' THEN v ELSE 0 END', 'v')} FROM vox LEFT JOIN def USING (vec_id, i, j, k)"),
+    "resample_nearest": (resample_nearest, f"WITH {VOX}, {POINTS} SELECT p.vec_id, p.i, p.j, p.k, {q6('coalesce(q.v, 0)', 'v')} FROM pts p LEFT JOIN vox q ON q.vec_id = p.vec_id AND q.i = floor(x + 0.5) AND q.j = floor(y + 0.5) AND q.k = floor(z + 0.5)"),
+    "resample_trilinear": (
+        resample_trilinear,
+        f"WITH {VOX}, {POINTS}, {CORNERS}, e AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY 1), s AS (SELECT c.vec_id, c.i, c.j, c.k, coalesce(sum(w * q.v), 0) AS v FROM corners c LEFT JOIN vox q ON q.vec_id = c.vec_id AND q.i = ci AND q.j = cj AND q.k = ck GROUP BY ALL) SELECT vec_id, i, j, k, {q6('least(hi, greatest(lo, v))', 'v')} FROM s JOIN e USING (vec_id)",
+    ),
+    "pull_warp": (pull_warp, f"WITH {VOX}, {DEFORMATION}, {DEF_POINTS}, {CORNERS} SELECT c.vec_id, c.i, c.j, c.k, {q6('coalesce(sum(w * q.v), 0)', 'v')} FROM corners c LEFT JOIN vox q ON q.vec_id = c.vec_id AND q.i = ci AND q.j = cj AND q.k = ck GROUP BY c.vec_id, c.i, c.j, c.k"),
+    "push_scatter": (
+        push_scatter,
+        f"WITH {VOX}, {POINTS}, {CORNERS} SELECT c.vec_id, ci AS i, cj AS j, ck AS k, {q6('sum(w * v) / sum(w)', 'v')} FROM corners c JOIN vox USING (vec_id, i, j, k) WHERE w > 0 AND ci BETWEEN 1 AND 4 AND cj BETWEEN 1 AND 4 AND ck BETWEEN 1 AND 4 GROUP BY c.vec_id, ci, cj, ck",
+    ),
+    "push_preserving": (push_preserving, f"WITH {VOX} SELECT vec_id, {q6('sum(v)', 'total')} FROM vox GROUP BY vec_id"),
+    "compose_deformations": (
+        compose_deformations,
+        f"WITH {VOX}, {DEFORMATION}, {DEF_POINTS}, {CORNERS} SELECT c.vec_id, c.i, c.j, c.k, {q6('sum(w * wx) / sum(w)', 'wx')}, {q6('sum(w * wy) / sum(w)', 'wy')}, {q6('sum(w * wz) / sum(w)', 'wz')} FROM corners c JOIN def q ON q.vec_id = c.vec_id AND q.i = ci AND q.j = cj AND q.k = ck WHERE w > 0 GROUP BY c.vec_id, c.i, c.j, c.k",
+    ),
+    "inverse_deformation": (
+        inverse_deformation,
+        f"WITH {VOX}, {DEFORMATION}, {DEF_POINTS}, {CORNERS} SELECT vec_id, ci AS i, cj AS j, ck AS k, {q6('sum(w * 1.5 * i) / sum(w)', 'wx')}, {q6('sum(w * j) / sum(w)', 'wy')}, {q6('sum(w * 2 * k) / sum(w)', 'wz')} FROM corners WHERE w > 0 AND ci BETWEEN 1 AND 4 AND cj BETWEEN 1 AND 4 AND ck BETWEEN 1 AND 4 GROUP BY vec_id, ci, cj, ck",
+    ),
+    "smooth3": (smooth3, _convolve_sql(geo.SMOOTHING)),
+    "gaussian_smooth": (gaussian_smooth, _convolve_sql(TAPS)),
+    "perimeter6": (perimeter6, f"WITH {MASKS}, {SURFACE} SELECT * FROM surface"),
+    "hd95_assd": (hd95_assd, HD95),
+    "corners_box": (corners_box, BOX),
+    "iso_resample": (iso_resample, _iso_sql()),
+}

@@ -1 +1,75 @@
-QUERIES = {}
+"""Operators that need iteration or numerical libraries; SQL where there is an equivalent."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import numeric as num
+from tessera.operators import cleanup, models
+from tessera.plans.runtime import table
+from tessera.queries.common import DIM, cells, r6, tiles
+
+
+def clean_gwc(spark, d):
+    """Four volumes after another as four classes of one stack."""
+    t = tiles(spark, d).select(F.expr("vec_id div 4").alias("stack"), (F.col("vec_id") % 4).alias("c"), F.transform("data", lambda x: F.abs(x) * 3).alias("data"))
+    whole = t.groupBy("stack").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "data"))), lambda s: s["data"])).alias("p"), F.count("*").alias("n")).where("n = 4")
+    out = cleanup.clean(whole.select("stack", "p"), DIM, 4)
+    return out.select("stack", F.posexplode("p").alias("at", "p")).select("stack", "at", r6(F.col("p"), "p"))
+
+
+def failing_hook(spark, d):
+    """A hook that fails on some volumes: their errors are rows, the rest goes on."""
+
+    def hook(p):
+        if p[0, 0, 0, 0] < 0:
+            raise ValueError("negative corner")
+        return p * 2
+
+    t = tiles(spark, d).select("vec_id", F.col("data").alias("p"))
+    return cleanup.map_volumes(t, hook, DIM, 1).select("vec_id", F.col("p").isNotNull().alias("done"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def gmm_em(spark, d):
+    start = [(0.5, -0.1, 0.02), (0.5, 0.1, 0.02)]
+    model, fit = models.fit_mixture(cells(spark, d).select("v"), start, rounds=5, tolerance=0.0)
+    return spark.createDataFrame([(n + 1, *m) for n, m in enumerate(model)], "g int, weight double, mean double, variance double").select("g", *(r6(F.col(c), c) for c in ("weight", "mean", "variance")))
+
+
+def gmm_responsibilities(spark, d):
+    p = models.responsibilities(F.col("v"), [(0.4, -0.1, 0.02), (0.6, 0.1, 0.01)])
+    return cells(spark, d).where("j = 1 AND k = 1").select("vec_id", "i", r6(p[0], "p1"), r6(p[1], "p2"))
+
+
+def folds(spark, d):
+    return models.with_folds(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 10, ["label"]).select("vec_id", "label", "fold")
+
+
+def _prediction(machine):
+    def run(spark, d):
+        e = table(spark, d, "embeddings").where("label < 3 AND embedding IS NOT NULL")
+        y = F.col("embedding")[0].cast("double") + F.col("label") if machine != "gpc" else (F.col("embedding")[0] > 0).cast("double")
+        rows = models.with_folds(e.select("vec_id", "label", num.channels(F.col("embedding"), range(1, 33)).alias("x"), y.alias("y")), "vec_id", 5, ["label"])
+        return models.cross_validated(rows, ["label"], "vec_id", "x", "y", 5, machine).select("label", "vec_id", "fold", r6(F.col("y_true"), "y_true"), F.col("y_pred").isNotNull().alias("predicted"), r6(F.col("y_pred"), "y_pred"))
+
+    run.__name__ = f"{machine}_cv"
+    return run
+
+
+PDF = "{w} * exp(-((v - ({m})) / sqrt({s})) * ((v - ({m})) / sqrt({s})) / 2) / (sqrt({s}) * sqrt(2 * pi()))"
+_A, _B = PDF.format(w="0.4", m="-0.1", s="CAST(0.02 AS DOUBLE)"), PDF.format(w="0.6", m="0.1", s="CAST(0.01 AS DOUBLE)")
+
+QUERIES = {
+    "clean_gwc": (clean_gwc, None),
+    "failing_hook": (failing_hook, "SELECT vec_id, embedding[1] >= 0 AS done, CASE WHEN embedding[1] < 0 THEN 'ValueError: negative corner' ELSE '' END AS error FROM embeddings WHERE embedding IS NOT NULL"),
+    "gmm_em": (gmm_em, None),
+    "gmm_responsibilities": (
+        gmm_responsibilities,
+        f"WITH v AS (SELECT vec_id, CAST(n AS INTEGER) AS i, CAST(embedding[n] AS DOUBLE) AS v FROM embeddings, range(1, 5) AS t(n) WHERE embedding IS NOT NULL), p AS (SELECT vec_id, i, {_A} AS a, {_B} AS b FROM v) SELECT vec_id, i, (round(a / (a + b), 6) + 0.0) AS p1, (round(b / (a + b), 6) + 0.0) AS p2 FROM p",
+    ),
+    "folds": (folds, "SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1) % 10 + 1 AS INTEGER) AS fold FROM embeddings"),
+    "krr_cv": (_prediction("krr"), None),
+    "gp_cv": (_prediction("gp"), None),
+    "gpc_cv": (_prediction("gpc"), None),
+    "rvr_cv": (_prediction("rvr"), None),
+}

@@ -167,7 +167,7 @@ def quantise(kind):
 def quantise_sql(slope, low, high):
     return f"""WITH {VOX}, s AS (SELECT vec_id, max(v) AS hi, min(v) AS lo FROM vox GROUP BY vec_id), m AS (SELECT vec_id, greatest({slope}, 0) AS slope FROM s)
 SELECT vec_id, {q6("slope * 1e6", "slope_e6")}, i, j, k,
-       CAST(coalesce(least(greatest(round(v / nullif(slope, 0)), {low}), {high}), 0) AS INTEGER) AS q
+       CAST(CASE WHEN v IS NULL OR slope = 0 THEN 0 ELSE least(greatest(round(v / slope), {low}), {high}) END AS INTEGER) AS q
 FROM vox JOIN m USING (vec_id)"""
 
 
