@@ -82,6 +82,13 @@ def channels(p: Column, order: Sequence[int]) -> Column:
     return F.array(*(F.element_at(p, i) for i in order))
 
 
+def eight_classes(classes: int) -> int:
+    """Classes after grey and white matter are split by side; only six can be."""
+    if classes != 6:
+        raise ValueError(f"hemispheres need an atlas of 6 classes, not {classes}")
+    return classes + 2
+
+
 def hemisphere_split(p: Column, i: Column, nx: Column, lowest: Column) -> Column:
     """The first two channels twice, once for each side; a side's channel has the lowest
     value on the other side. With an even ``nx`` the plane nx / 2 is blank on both sides,
@@ -106,3 +113,16 @@ def format_interval(mid: Column, low: Column, high: Column, digits: int = 3) ->
 
 def format_p(p: Column) -> Column:
     return F.when(p < 0.001, F.lit("<0.001")).otherwise(F.format_string("%.3f", p))
+
+
+HU_OFFSET = 1024.0
+
+
+def prior_mean_hu(m: Column) -> Column:
+    """A prior's mean on the scanner's scale."""
+    return m - HU_OFFSET
+
+
+def prior_sd(n: Column, w: Column) -> Column:
+    """Standard deviation that degrees of freedom and a scale imply; NULL where they are 0."""
+    return F.sqrt(F.abs(F.try_divide(F.lit(1.0), n * w)))

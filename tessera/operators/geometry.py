@@ -9,10 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.plans.runtime import ship
+
 AXES = ("i", "j", "k")
 
 
@@ -51,10 +55,55 @@ def translated(m, shift: Sequence[float]) -> np.ndarray:
 
 
 def corners_box(m, dim: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rounded smallest and largest coordinates of the eight corners."""
+    """Smallest and largest coordinates of the eight corners, halves rounded away from 0."""
     ends = np.array([[x, y, z, 1] for x in (1, dim[0]) for y in (1, dim[1]) for z in (1, dim[2])], float)
     at = (matrix(m) @ ends.T)[:3]
-    return np.floor(at.min(axis=1) + 0.5), np.floor(at.max(axis=1) + 0.5)
+    away = lambda v: np.sign(v) * np.floor(np.abs(v) + 0.5)
+    return away(at.min(axis=1)), away(at.max(axis=1))
+
+
+def upright(m, dim: Sequence[int], size: Sequence[float] | None = None) -> tuple[np.ndarray, list[int]]:
+    """Affine and dimensions of the axis-aligned grid that covers a volume's corners."""
+    low, high = corners_box(m, dim)
+    new = np.diag([*(voxel_size(m) if size is None else size), 1.0])
+    new[:3, 3] = low - np.diag(new)[:3]  # voxel (1, 1, 1) lies at the lowest corner
+    return new, [int(np.ceil(x)) for x in np.linalg.solve(new, [*high, 1.0])[:3]]
+
+
+def reorient(image: DataFrame, keys: Sequence[str], m, dim: Sequence[int], order: int = 0, v: str = "v") -> DataFrame:
+    """A volume on its upright grid; voxels beyond the old grid are missing, not 0."""
+    new, shape = upright(m, dim)
+    back = np.linalg.solve(matrix(m), new)
+    x, y, z = affine_columns(back)
+    near = [F.floor(c + 0.5) for c in (x, y, z)]
+    inside = [(c >= 1) & (c <= n) for c, n in zip(near, dim, strict=True)]
+    points = grid(image.sparkSession, shape).where(inside[0] & inside[1] & inside[2]).select(*AXES, x.alias("x"), y.alias("y"), z.alias("z"))
+    # each volume takes the grid's points: the grid, of fixed size, is dealt to all of them
+    return pull(image.select(*keys).distinct().crossJoin(points), image, keys, order, v=v)
+
+
+def crop(cells: DataFrame, m, box) -> DataFrame:
+    """Voxels whose millimetres lie in a box (two rows of x, y, z, ends included); ``None``
+    or missing bounds don't limit. With a literal affine the test is a filter at the scan."""
+    if box is None:
+        return cells
+    for c, low, high in zip(affine_columns(m), *np.asarray(box, float), strict=True):
+        if np.isfinite(low):
+            cells = cells.where(c >= float(low))
+        if np.isfinite(high):
+            cells = cells.where(c <= float(high))
+    return cells
+
+
+def relative_slice(n: int, share: float) -> int:
+    """The slice at a share of n, halves rounded up, within 1 .. n."""
+    return min(max(int(np.floor(share * n + 0.5)), 1), n)
+
+
+def slice_at(m, point: Sequence[float], dim: Sequence[int]) -> list[int]:
+    """The voxel nearest to a point in millimetres, cut to the grid."""
+    at = np.linalg.solve(matrix(m), [*point, 1.0])[:3]
+    return [min(max(int(np.floor(x + 0.5)), 1), n) for x, n in zip(at, dim, strict=True)]
 
 
 def grid(spark: SparkSession, dim: Sequence[int]) -> DataFrame:
@@ -125,6 +174,49 @@ def pull(points: DataFrame, image: DataFrame, keys: Sequence[str], order: int =
     return out
 
 
+def _spline_taps(degree: int, at: np.ndarray) -> np.ndarray:
+    """The centred cardinal B-spline at each distance, as a sum of truncated powers."""
+    from math import comb, factorial
+
+    x = np.abs(at)
+    return sum((-1) ** k * comb(degree + 1, k) * np.maximum((degree + 1) / 2 - k - x, 0) ** degree for k in range(degree + 2)) / factorial(degree)
+
+
+def spline_values(image: np.ndarray, points: np.ndarray, degree: int) -> np.ndarray:
+    """B-spline interpolation of an array at 1-based points (n x 3); mirrored at the edges,
+    0 beyond the grid. Coefficients come from a banded system an axis."""
+    coefficients, reach = np.asarray(image, float), degree // 2
+    fold = lambda i, n: np.where((r := np.mod(i, 2 * n - 2)) < n, r, 2 * n - 2 - r) if n > 1 else np.zeros_like(i)
+    for axis, n in enumerate(image.shape):
+        system = np.zeros((n, n))
+        for shift in range(-reach, reach + 1):
+            np.add.at(system, (np.arange(n), fold(np.arange(n) + shift, n)), _spline_taps(degree, np.array([float(shift)]))[0])
+        moved = np.moveaxis(coefficients, axis, 0)
+        coefficients = np.moveaxis(np.linalg.solve(system, moved.reshape(n, -1)).reshape(moved.shape), 0, axis)
+    zero_based = points - 1.0
+    first = np.floor(zero_based - (degree - 1) / 2).astype(int)
+    out = np.zeros(len(points))
+    for n in np.ndindex(*(degree + 1,) * 3):
+        at = first + np.array(n)
+        w = np.prod(_spline_taps(degree, zero_based - at), axis=1)
+        out += w * coefficients[tuple(fold(at[:, a], image.shape[a]) for a in range(3))]
+    outside = ((zero_based < 0) | (zero_based > np.array(image.shape) - 1)).any(axis=1)
+    return np.where(outside, 0.0, out)
+
+
+def pull_spline(points: DataFrame, images: DataFrame, keys: Sequence[str], dim: Sequence[int], degree: int = 4, data: str = "data", out: str = "v") -> DataFrame:
+    """As ``pull``, by B-splines of degree 2 to 5. ``images`` has a volume's array a row;
+    a volume's points, as arrays ``x, y, z`` in one row, are read off in one pass of numpy."""
+    ship(points.sparkSession)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def values(d: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([spline_values(np.asarray(a, float).reshape(dim, order="F"), np.stack([b, c, e], axis=1).astype(float), degree).tolist() for a, b, c, e in zip(d, x, y, z, strict=True)])
+
+    met = points.join(images.select(*keys, data), list(keys))
+    return met.withColumn(out, values(data, "x", "y", "z")).drop(data)
+
+
 def push(values: DataFrame, keys: Sequence[str], at: Sequence[str] = ("x", "y", "z"), v: str = "v", preserve: bool = False, dim: Sequence[int] | None = None) -> DataFrame:
     """Values scattered to the eight voxels around their points: weighted mean, or the sum
     if amounts are to be preserved. Voxels that nothing reaches are absent."""

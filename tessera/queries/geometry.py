@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry as geo
-from tessera.queries.common import DIM, VOX, cells, q6, r6
+from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
 
 #: A shear with a shift and a smaller step, and a grid of 1.5 x 1 x 2 mm voxels.
 M1 = np.array([[0.8, 0.1, 0.0, 0.35], [0.0, 0.9, 0.05, 0.2], [0.05, 0.0, 0.85, 0.3], [0, 0, 0, 1]])
@@ -158,10 +158,37 @@ def corners_box(spark, d):
 
 _B = M1 @ np.diag([10.0, -7.0, 3.0, 1.0])
 BOX = "WITH e AS (SELECT i, j, k FROM (VALUES (1), (181)) a(i), (VALUES (1), (217)) b(j), (VALUES (1), (60)) c(k)) " + " UNION ALL ".join(
-    f"SELECT '{axis}' AS axis, CAST(floor(min({_row(_B, n)}) + 0.5) AS DOUBLE) AS low, CAST(floor(max({_row(_B, n)}) + 0.5) AS DOUBLE) AS high FROM e" for n, axis in enumerate("xyz")
+    f"SELECT '{axis}' AS axis, round(min({_row(_B, n)})) AS low, round(max({_row(_B, n)})) AS high FROM e" for n, axis in enumerate("xyz")
 )
 
 
+def bounding_box_crop(spark, d):
+    return geo.crop(cells(spark, d), MM, [[2.0, float("nan"), 3.0], [5.0, 3.5, float("inf")]]).groupBy("vec_id").agg(F.count("*").alias("n"), r6(F.sum("v"), "total"))
+
+
+TURNED = np.array([[0.0, 1.0, 0.0, 2.0], [1.0, 0.0, 0.0, -1.0], [0.0, 0.0, 2.0, 0.5], [0, 0, 0, 1]])
+
+
+def reorient_nearest(spark, d):
+    """A volume whose first two axes are swapped, put upright."""
+    return geo.reorient(cells(spark, d), ["vec_id"], TURNED, DIM).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def _reorient_sql():
+    new, dim = geo.upright(TURNED, DIM)
+    x, y, z = (_row(np.linalg.solve(TURNED, new), n) for n in range(3))
+    return f"""WITH {VOX}, g AS (SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(c AS INTEGER) AS k FROM range(1, {dim[0] + 1}) p(a), range(1, {dim[1] + 1}) q(b), range(1, {dim[2] + 1}) r(c)),
+n AS (SELECT i, j, k, floor({x} + 0.5) AS x, floor({y} + 0.5) AS y, floor({z} + 0.5) AS z FROM g)
+SELECT vec_id, n.i, n.j, n.k, {q6("v", "v")} FROM n JOIN vox ON vox.i = x AND vox.j = y AND vox.k = z"""
+
+
+def spline_resample(spark, d):
+    """Degree 4 at a third of a voxel between neighbours."""
+    points = tiles(spark, d).select("vec_id", *(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n, s=s: F.lit(1.0) + n * s).alias(c) for c, s in (("x", 1 / 3), ("y", 0.25), ("z", 0.4))))
+    out = geo.pull_spline(points, tiles(spark, d).select("vec_id", "data"), ["vec_id"], DIM)
+    return out.select("vec_id", F.posexplode("v").alias("at", "v")).select("vec_id", "at", r6(F.col("v"), "v"))
+
+
 def iso_resample(spark, d):
     return geo.to_isotropic(cells(spark, d), ["vec_id"], DIM, SIZE).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
@@ -205,5 +232,8 @@ QUERIES = {
     "perimeter6": (perimeter6, f"WITH {MASKS}, {SURFACE} SELECT * FROM surface"),
     "hd95_assd": (hd95_assd, HD95),
     "corners_box": (corners_box, BOX),
+    "bounding_box_crop": (bounding_box_crop, f"WITH {VOX} SELECT vec_id, count(*) AS n, {q6('sum(v)', 'total')} FROM vox WHERE 1.5 * i >= 2 AND 1.5 * i <= 5 AND j <= 3.5 AND 2.0 * k >= 3 GROUP BY vec_id"),
+    "reorient_nearest": (reorient_nearest, _reorient_sql()),
+    "spline_resample": (spline_resample, None),
     "iso_resample": (iso_resample, _iso_sql()),
 }

@@ -61,6 +61,21 @@ def save_results(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (out.partitionBy(*by).option("partitionOverwriteMode", "dynamic") if by else out).parquet(path)
 
 
+def remove_outputs(spark: SparkSession, files: DataFrame, patterns: Sequence[str], dry_run: bool = True) -> DataFrame:
+    """Outputs by file-name pattern (regular expressions), for each subject; deleted where
+    they are unless it is a dry run. Deleting is done through Spark's file system, so in
+    any store it knows."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    chosen = files.where(name.rlike("|".join(f"(?:{p})" for p in patterns)))
+    if not dry_run:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # paths of a study's outputs, before they are gone
+        for row in chosen.toLocalIterator():
+            path = jvm.org.apache.hadoop.fs.Path(row["path"])
+            path.getFileSystem(conf).delete(path, False)
+    return chosen
+
+
 def log_failures(failures: DataFrame, path: str, step: str) -> None:
     """Append (subject, step, error) of rows whose error is not missing."""
     failures.where(F.col("error").isNotNull()).select("subject", F.lit(step).alias("step"), "error").write.mode("append").parquet(path)

@@ -53,6 +53,8 @@ def test_listing_demographics_atlas_and_failures(spark, tmp_path):
     pick = {r.folder.rsplit("/", 1)[1]: r.path.rsplit("/", 1)[1] for r in files.plain_or_compressed(found, "pp_ct").collect()}
     assert pick["s1"] == "pp_ct.nii" and pick["s2"] == "pp_ct.nii.gz"
     assert files.first_by_pattern(found, "^pp_").count() == 3
+    gone = files.remove_outputs(spark, found, [r"^pp_.*\.nii$"], dry_run=False)
+    assert gone.count() == 1 and not (tmp_path / "data/s1/pp_ct.nii").exists() and (tmp_path / "data/s1/pp_ct.nii.gz").exists()
     (tmp_path / "d.csv").write_text("ID,PatientAge,PatientSex\na,073Y,M\na,050Y,F\nb,7 months,F\nc,xxY,O\n")
     got = {r.subject_id: (r.age, r.sex) for r in files.read_demographics(spark, str(tmp_path / "d.csv")).collect()}
     assert got == {"a": (73.0, 1), "b": (None, 0), "c": (None, None)}

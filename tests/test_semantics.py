@@ -227,3 +227,25 @@ def test_mixture_and_ridge(spark):
         assert np.corrcoef(got[~train], y[~train])[0, 1] > 0.98, name
     label = (y > 3).astype(float)
     assert ((models.gaussian_process_classifier(k, label, train) > 0.5) == label)[~train].mean() > 0.8
+
+
+@pytest.mark.parametrize("degree", [2, 3, 4, 5])
+def test_spline_passes_through_the_voxels_and_keeps_lines(degree):
+    r = np.random.default_rng(degree)
+    image = r.normal(size=(6, 5, 4))
+    at = np.array([[i + 1, j + 1, k + 1] for i, j, k in np.ndindex(image.shape)], float)
+    assert geometry.spline_values(image, at, degree) == pytest.approx(image.ravel())
+    flat = np.full((6, 5, 4), 2.5)
+    some = np.array([[1.3, 2.7, 3.1], [5.5, 4.2, 1.9], [0.5, 1, 1], [6.1, 1, 1]])
+    assert geometry.spline_values(flat, some, degree) == pytest.approx([2.5, 2.5, 0, 0])
+
+
+def test_upright_grid_crop_and_slices(spark):
+    new, dim = geometry.upright(np.array([[0, 2.0, 0, 0], [1.0, 0, 0, 0], [0, 0, 3.0, 0], [0, 0, 0, 1]]), (4, 5, 6))
+    assert np.allclose(new @ [1, 1, 1, 1], [2, 1, 3, 1]) and np.allclose(np.diag(new)[:3], (1, 2, 3))
+    assert geometry.relative_slice(60, 0.45) == 27 and geometry.relative_slice(3, 0.01) == 1
+    assert geometry.slice_at(np.diag([2.0, 2.0, 2.0, 1.0]), (5.0, -3.0, 99.0), (10, 10, 10)) == [3, 1, 10]
+    cells = spark.createDataFrame([(i, 1, 1, 1.0) for i in range(1, 5)], "i int, j int, k int, v double")
+    assert geometry.crop(cells, np.eye(4), None).count() == 4
+    with pytest.raises(ValueError):
+        num.eight_classes(5)
