@@ -371,13 +371,18 @@ def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
     if not many.isEmpty():
         hot = components(many.select(F.col("least").alias("a"), F.col("set_id").alias("b")), scratch, "hot")
         members = many.select("set_id", "label").distinct().join(hot.select(F.col("node").alias("set_id"), F.col("label").alias("hot")), "set_id")
-        # Sets of the largest component of a hot group need no tile among themselves.
+        # Sets of the largest component of a hot group need no tile among themselves. How
+        # many blocks a group takes comes from counts, so no task sees a group's sets.
         sizes = members.groupBy("hot", "label").agg(F.count("*").alias("size"))
-        whole = sizes.groupBy("hot").agg(F.max(F.struct("size", "label")).alias("top")).select("hot", F.col("top.label").alias("main"))
-        side = members.join(whole, "hot").withColumn("outer", (F.col("label") != F.col("main")).cast("int"))
-        blocks = side.groupBy("hot", "outer").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
-        wide = blocks.groupBy("hot").pivot("outer", [0, 1]).agg(F.first("blocks")).na.fill(0).select("hot", F.col("0").alias("b0"), F.col("1").alias("b1"))
-        dealt = side.join(wide, "hot").withColumn("block", F.when(F.col("outer") == 1, F.col("b0") + F.pmod(F.xxhash64("set_id"), F.col("b1"))).otherwise(F.pmod(F.xxhash64("set_id"), F.greatest("b0", F.lit(1)))).cast("int"))
+        plan = sizes.groupBy("hot").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("total")).select(
+            "hot",
+            F.col("top.label").alias("main"),
+            F.ceil(F.col("top.size") / TILE_BLOCK).cast("int").alias("b0"),
+            F.greatest(F.ceil((F.col("total") - F.col("top.size")) / TILE_BLOCK), F.lit(1)).cast("int").alias("b1"),
+        )
+        side = members.join(scratch.save(plan, "plan"), "hot").withColumn("outer", (F.col("label") != F.col("main")).cast("int"))
+        h = F.xxhash64("set_id")
+        dealt = side.withColumn("block", F.when(F.col("outer") == 1, F.col("b0") + F.pmod(h, F.col("b1"))).otherwise(F.pmod(h, F.col("b0"))).cast("int"))
         last = F.col("b0") + F.col("b1") - 1
         against = F.when(F.col("outer") == 1, F.sequence(F.lit(0), last)).otherwise(F.sequence(F.col("b0"), last))
         tiled = dealt.withColumn("other", F.explode(against)).select("hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "label")
