@@ -53,11 +53,15 @@ ENDS_PARAGRAPH = BLOCK - {"html", "body", "td", "th", "tr", "caption", "tbody",
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|side-?bar\w*|foot(?:er|ers|nav)?|masthead|"
     r"site-?header|page-?header|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w+|signup|sign-up|login|search\w*|"
-    r"comments?|commentlist|replies|reply|disqus|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar|widgets?|"
+    r"warning|disclaimer|legal|copyright|comments?|comment-?list|commentlist|responses?|replies|reply|disqus|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|pagination|pager|toolbar|widgets?|"
     r"tags?|tag-?list|skip-?link|toc|complementary|navigation|contentinfo|form|dialog)(?:$|[\s_-])",
     re.I,
 )
+#: These name furniture only outside an article, which may have a header of its own.
+OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|logo|brand|bottom|languages?|account|cart)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|post-?(?:content|body)|entry-?content|story|main|main-?content)(?:$|[\s_-])", re.I)
+#: A class that begins so tells of something elsewhere on the page (has-sidebar, no-ads).
+ABOUT = ("has-", "with-", "without-", "no-", "is-", "js-", "show-", "hide-")
 SPACE = re.compile(r"\s+")
 
 
@@ -85,8 +89,9 @@ class Line:
 class Lines(HTMLParser):
     """A page as lines, in page order."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.root = Element("#page", None, False, False)
         self.open, self.links = [self.root], 0
         self.lines: list[Line] = []
@@ -128,10 +133,12 @@ class Lines(HTMLParser):
             self._end_open(*ENDS[tag])
         up = self.open[-1]
         a = {k: v or "" for k, v in attrs}
-        names = f"{a.get('class', '')} {a.get('id', '')}"
+        names = " ".join(x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not x.lower().startswith(ABOUT))
         prose = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody" or bool(ARTICLE.search(names))
         furniture = tag in FURNITURE or tag == "header" and not _inside(up, ("article", "main")) or "hidden" in a or a.get("aria-hidden") == "true"
         named = tag not in ("html", "body", "article", "main") and not (prose and tag != "div") and bool(NAMES.search(names) or NAMES.search(a.get("role", "")))
+        named |= tag not in ("html", "body") and bool(OUTER_NAMES.search(names)) and not _inside_prose(up)
+        named &= self.by_name
         hidden = up.hidden or tag in HIDDEN
         e = Element(tag, up, up.excluded or hidden or furniture or named, hidden, prose, up.depth + 1)
         self.open.append(e)
@@ -171,6 +178,14 @@ def _inside(e: Element | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
+def _inside_prose(e: Element | None) -> bool:
+    while e is not None:
+        if e.prose:
+            return True
+        e = e.parent
+    return False
+
+
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing; the kernel is cut at the array's ends and renormalised."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -228,12 +243,15 @@ def main_text(html: str | None) -> str:
     """The page's article, blocks parted by an empty line."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
-    texts = [line.text() for line in lines]
-    article = _article(lines, texts, regions(lines, texts))
-    if article is None:
+    for by_name in (True, False):  # names that would leave nothing are not believed
+        parser = Lines(by_name)
+        parser.feed(html)
+        lines = parser.finish()
+        texts = [line.text() for line in lines]
+        article = _article(lines, texts, regions(lines, texts))
+        if article is not None:
+            break
+    else:
         return ""
     kept = []
     for line, t in zip(lines, texts, strict=True):

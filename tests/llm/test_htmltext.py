@@ -47,6 +47,24 @@ def test_article_without_furniture():
     assert htmltext.main_text(PAGE).split("\n\n") == ["Heading", one, "A & B <c> é—d next line", "one", "two", "Short.", one]
 
 
+def test_page_of_divs_without_marked_article():
+    page = f"""<body><div class="header"><div class="logo">Site</div><p>{LONG}</p></div><div class="menu"><a href=1>A</a> <a href=2>B</a></div>
+    <table><tr><td class="left sidebar"><p>{LONG}</p></td><td><h1>Title</h1><div class="header">Lead</div><p>{LONG}</p><p>Short.</p><p>{LONG}{LONG}</p></td></tr></table>
+    <ol class="commentlist"><li><p>{LONG}</p></ol><div class="notice">{LONG}</div><div id="footer"><p>{LONG}</p></div></body>"""
+    one = LONG.strip()
+    assert htmltext.main_text(page).split("\n\n") == ["Title", one, "Short.", f"{one} {one}"]
+
+
+def test_names_that_tell_of_other_elements_or_leave_nothing():
+    assert htmltext.main_text(f"<div class='page has-sidebar no-ads'><p>{LONG}</p></div>") == LONG.strip()
+    assert htmltext.main_text(f"<div id='login-page' class='search'><p>{LONG}</p><nav>x</nav></div>") == LONG.strip()
+
+
+def test_headers_inside_an_article_stay():
+    page = f"<header><h1>Site</h1></header><main><div class='header'><h1>Title</h1></div><p>{LONG}</p><div class='post-comments'><p>{LONG}</p></div></main>"
+    assert htmltext.main_text(page).split("\n\n") == ["Title", LONG.strip()]
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("   \n ", ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<script>x()</script>", ""), ("<div><div><div>x", "x"), ("</p></div>x<b>y</b>", "xy"), ("<!-- c --><article>a <i>b</i>\n c</article>", "a b c")])
 def test_small_pages(page, want):
     assert htmltext.main_text(page) == want
