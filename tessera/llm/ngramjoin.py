@@ -42,9 +42,9 @@ from tessera.llm.textkernel import distinct_by_row, mix, shingles, word_hashes
 from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 
 #: Shingles packed together before they are dealt to buckets; sets in a packet at most.
-PACKET, PACKET_SETS = 1_500_000, 60_000
+PACKET, PACKET_SETS = 1_000_000, 60_000
 #: Text bytes whose shingles share a bucket, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Counts above which shingles are indexed in pairs and in triples.
 FREQUENT, VERY_FREQUENT = 16, 256
 #: Signatures with more sets than this are resolved in tiles of at most two blocks.
