@@ -77,9 +77,8 @@ def reorient(image: DataFrame, keys: Sequence[str], m, dim: Sequence[int], order
     x, y, z = affine_columns(back)
     near = [F.floor(c + 0.5) for c in (x, y, z)]
     inside = [(c >= 1) & (c <= n) for c, n in zip(near, dim, strict=True)]
-    points = grid(image.sparkSession, shape).where(inside[0] & inside[1] & inside[2]).select(*AXES, x.alias("x"), y.alias("y"), z.alias("z"))
-    # each volume takes the grid's points: the grid, of fixed size, is dealt to all of them
-    return pull(image.select(*keys).distinct().crossJoin(points), image, keys, order, v=v)
+    points = grid_of_each(image.select(*keys).distinct(), shape).where(inside[0] & inside[1] & inside[2])
+    return pull(points.select(*keys, *AXES, x.alias("x"), y.alias("y"), z.alias("z")), image, keys, order, v=v)
 
 
 def crop(cells: DataFrame, m, box) -> DataFrame:
@@ -113,6 +112,13 @@ def grid(spark: SparkSession, dim: Sequence[int]) -> DataFrame:
     return spark.range(nx * ny * nz).select((p % nx + 1).cast("int").alias("i"), (F.floor(p / nx) % ny + 1).cast("int").alias("j"), (F.floor(p / (nx * ny)) + 1).cast("int").alias("k"))
 
 
+def grid_of_each(rows: DataFrame, dim: Sequence[int]) -> DataFrame:
+    """All voxels of a grid for each row, made where the row is."""
+    for axis, n in reversed(list(zip(AXES, dim, strict=True))):
+        rows = rows.withColumn(axis, F.explode(F.sequence(F.lit(1), F.lit(int(n)))))
+    return rows
+
+
 def affine_columns(m, at: Sequence[Column | str] = AXES) -> list[Column]:
     """Where the affine takes three coordinates."""
     x = [F.col(c) if isinstance(c, str) else c for c in at]
