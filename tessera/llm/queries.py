@@ -68,6 +68,26 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("doc_id", "part", "n_tokens", "slot", "shard", "offset", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM w
+), u AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON a = s.doc_id GROUP BY s.doc_id, len(s)
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -91,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op8_exact_topk": OP8_SQL}

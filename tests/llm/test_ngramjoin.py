@@ -81,3 +81,13 @@ def test_one_long_text(spark):
     long = " ".join(f"w{r.randint(0, 9999)}" for _ in range(400_000))
     df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short text of a few words")], "doc_id long, text string")
     assert {k: v[1] for k, v in result(df, 5, 80).items()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_query_equals_sql(spark, sf_dir):
+    import duckdb
+
+    from tessera.llm.queries import OP1_SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert {tuple(r) for r in op1_ngram_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()} == set(con.execute(OP1_SQL).fetchall())
