@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.plans.runtime import ship
+from tessera.plans.runtime import Scratch, ship
 
 AXES = ("i", "j", "k")
 
@@ -305,11 +305,13 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
         return F.floor(F.col(c) / cell)
 
     scale = [float(s) for s in size]
+    scratch = Scratch(points.sparkSession, "nearest")
+    targets = scratch.save(targets.select(*keys, *AXES), "targets")
     have = targets.select(*keys, *(place(a).alias(f"b{a}") for a in AXES), *(F.col(a).alias(f"t{a}") for a in AXES))
     ends = targets.groupBy(*keys).agg(*(f(place(a)).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))
     points = points.select(*keys, *AXES).distinct().join(ends, list(keys), "left")
     far = F.greatest(*(F.greatest(F.abs(place(a) - F.col(f"lo{a}")), F.abs(place(a) - F.col(f"hi{a}"))) for a in AXES))
-    open_points = points.withColumn("_far", far).withColumn("_best", F.lit(None).cast("double"))
+    open_points = scratch.save(points.select(*keys, *AXES, far.alias("_far"), F.lit(None).cast("double").alias("_best")), "points")
     limit = open_points.agg(F.max("_far")).first()[0]
     done = open_points.where("_far IS NULL").select(*keys, *AXES, F.lit(None).cast("double").alias("distance"))
     open_points = open_points.where("_far IS NOT NULL").select(*keys, *AXES, "_far", "_best")
@@ -325,6 +327,7 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
         squared = sum(((F.col(a) - F.col(f"t{a}")) * s * (F.col(a) - F.col(f"t{a}")) * s for a, s in zip(AXES, scale, strict=True)), F.lit(0.0))
         found = asked.join(have, [*keys, *(f"b{a}" for a in AXES)]).groupBy(*keys, *AXES).agg(F.sqrt(F.min(squared)).alias("_new"))
         open_points = open_points.join(found, [*keys, *AXES], "left").withColumn("_best", F.least("_best", "_new")).drop("_new")
+        open_points = scratch.save(open_points, f"round-{upper}")  # read twice below
         reach = (upper - 1) * cell * min(scale)  # every target within this has been seen
         finished = (F.col("_best") <= reach) | (F.col("_far") < upper)
         done = done.unionByName(open_points.where(finished).select(*keys, *AXES, F.col("_best").alias("distance")))
@@ -347,7 +350,7 @@ def surface_distances(a: DataFrame, b: DataFrame, keys: Sequence[str], size: Seq
     for own, other, name in ((a, b, "ab"), (b, a, "ba")):
         target = perimeter(other, keys) if surface_to_surface else other
         sides.append(nearest_distance(perimeter(own, keys), target, keys, size).where("distance IS NOT NULL").withColumn("_side", F.lit(name)))
-    both = sides[0].unionByName(sides[1])
+    both = Scratch(a.sparkSession, "surfaces").save(sides[0].unionByName(sides[1]), "distances")
     means = both.groupBy(*keys, "_side").agg(F.avg("distance").alias("_m")).groupBy(*keys).agg((F.sum("_m") / 2).alias("assd"))
     return hazen(both, keys, "distance", (0.95,), ("hd95",)).join(means, list(keys))
 

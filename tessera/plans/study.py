@@ -26,6 +26,8 @@ class Study:
     threshold: float = 0.5
     alpha: float = 0.05
     voxel_mm3: float = 1.0
+    dim: tuple[int, int, int] | None = None  # of the native volumes; without it no distances
+    size: tuple[float, float, float] = (1.0, 1.0, 1.0)
     only: tuple[str, ...] = field(default=())
     first: int | None = None
 
@@ -42,12 +44,17 @@ def subjects(volume: DataFrame, exclusion: DataFrame, study: Study) -> DataFrame
 
 
 def overlap(volume: DataFrame, chosen: DataFrame, study: Study) -> DataFrame:
-    """Dice of each method against the silver standard, by subject and tissue."""
+    """Dice and distances of each method against the silver standard, by subject and tissue."""
     native = volume.where(F.col("space") == "native").join(chosen, "subject", "left_semi")
     silver = native.where(F.col("method") == study.silver).select("subject", "tissue", F.col("data").alias("_silver"))
     others = native.where(F.col("method") != study.silver)
-    found = metrics.dice_tiles(others.join(silver, ["subject", "tissue"]), ("subject", "tissue", "method"), "data", "_silver", study.threshold)
-    return found.select("subject", "tissue", "method", F.lit("dice").alias("metric"), F.col("dice").alias("value"))
+    met, keys = others.join(silver, ["subject", "tissue"]), ("subject", "tissue", "method")
+    long = lambda df, name: df.select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value"))
+    found = long(metrics.dice_tiles(met, keys, "data", "_silver", study.threshold), "dice")
+    if study.dim is not None:
+        apart = metrics.distances_tiles(met, keys, "data", "_silver", study.dim, study.size, study.threshold)
+        found = found.unionByName(long(apart, "hd95")).unionByName(long(apart, "assd"))
+    return found
 
 
 def volumes(volume: DataFrame, chosen: DataFrame, study: Study) -> DataFrame:

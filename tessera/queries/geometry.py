@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry as geo
+from tessera.operators import metrics
 from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
 
 #: A shear with a shift and a smaller step, and a grid of 1.5 x 1 x 2 mm voxels.
@@ -142,6 +143,13 @@ def hd95_assd(spark, d):
     return geo.surface_distances(a, b, ["subject"], SIZE).select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
 
 
+def hd95_assd_tiles(spark, d):
+    t = tiles(spark, d).withColumn("subject", F.expr("vec_id div 2"))
+    a, b = (t.where(F.col("vec_id") % 2 == n).select("subject", F.col("data").alias(x)) for n, x in enumerate("ab"))
+    out = metrics.distances_tiles(a.join(b, "subject"), ["subject"], "a", "b", DIM, SIZE, 0.0)
+    return out.where("hd95 IS NOT NULL").select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
+
+
 HD95 = f"""WITH {MASKS}, {SURFACE}, dist AS (
   SELECT s.vec_id // 2 AS subject, s.vec_id, s.i, s.j, s.k, sqrt(min(1.5 * (s.i - m.i) * 1.5 * (s.i - m.i) + (s.j - m.j) * (s.j - m.j) + 2.0 * (s.k - m.k) * 2.0 * (s.k - m.k))) AS v
   FROM surface s JOIN mask m ON m.vec_id // 2 = s.vec_id // 2 AND m.vec_id <> s.vec_id GROUP BY ALL
@@ -231,6 +239,7 @@ QUERIES = {
     "gaussian_smooth": (gaussian_smooth, _convolve_sql(TAPS)),
     "perimeter6": (perimeter6, f"WITH {MASKS}, {SURFACE} SELECT * FROM surface"),
     "hd95_assd": (hd95_assd, HD95),
+    "hd95_assd_tiles": (hd95_assd_tiles, HD95),
     "corners_box": (corners_box, BOX),
     "bounding_box_crop": (bounding_box_crop, f"WITH {VOX} SELECT vec_id, count(*) AS n, {q6('sum(v)', 'total')} FROM vox WHERE 1.5 * i >= 2 AND 1.5 * i <= 5 AND j <= 3.5 AND 2.0 * k >= 3 GROUP BY vec_id"),
     "reorient_nearest": (reorient_nearest, _reorient_sql()),

@@ -107,8 +107,8 @@ def test_study_end_to_end(spark, tmp_path):
                         rows.append((f"s{s}", m, t, space, np.clip(base + r.normal(0, noise + 1e-9, 64), 0, 1).tolist()))
     spark.createDataFrame(rows, "subject string, method string, tissue string, space string, data array<double>").write.parquet(str(tmp_path / "t/volume"))
     spark.createDataFrame([("s0",)], "subject string").write.parquet(str(tmp_path / "t/exclusion"))
-    study.run(spark, str(tmp_path / "t"), str(tmp_path / "o"), study.Study())
+    study.run(spark, str(tmp_path / "t"), str(tmp_path / "o"), study.Study(dim=(4, 4, 4)))
     read = lambda n: spark.read.parquet(str(tmp_path / "o" / n))
     assert {x.subject for x in read("subjects").collect()} == {f"s{n}" for n in range(1, 7)}
-    assert all(x.y50 > x.x50 for x in read("comparison").collect()) and read("overlap").count() == 6 * 3 * 2
+    assert all(x.y50 > x.x50 for x in read("comparison").where("metric = 'dice'").collect()) and read("overlap").count() == 6 * 3 * 2 * 3
     assert {x.method for x in read("agreement").collect()} == {"ct_spm", "ct_ctseg"}

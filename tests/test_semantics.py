@@ -48,6 +48,9 @@ def test_distances_equal_brute_force(spark):
     hd = both[lo - 1] + (h - lo) * (both[min(lo, len(both) - 1)] - both[lo - 1])
     row = geometry.surface_distances(mask(spark, a), mask(spark, b), ["s"], size).first()
     assert row.hd95 == pytest.approx(hd) and row.assd == pytest.approx((np.mean(ab) + np.mean(ba)) / 2)
+    dense = [np.array([[[(i, j, k) in m for k in range(1, 10)] for j in range(1, 10)] for i in range(1, 10)]) for m in (a, b)]
+    assert metrics.distances_of(*dense, size) == pytest.approx((row.hd95, row.assd))
+    assert metrics.distances_of(dense[0], dense[0] & False, size) is None
 
 
 def test_inner_mask_has_distance_zero_to_the_filled_outer(spark):
