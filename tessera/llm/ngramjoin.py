@@ -290,24 +290,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(_similar("n_a", "n_b", F.size(F.array_intersect("ids_a", "ids_b")).cast("long"), percent)).select("a", "b")
 
 
+def _overlaps(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets of a tile and shared shingles of each two of them."""
+    ns, ids = t["n"].to_numpy(), t["ids"].combine_chunks()
+    first, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    _, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(ns)), np.diff(first))
+    shared = np.zeros((len(ns), len(ns)), np.float32)
+    for c in range(0, int(column.max(initial=-1)) + 1, 4096):
+        here = (column >= c) & (column < c + 4096)
+        x = np.zeros((len(ns), 4096), np.float32)
+        x[row[here], column[here] - c] = 1
+        shared += x @ x.T
+    return ns, shared.astype(np.int64)
+
+
 def _tile(percent: int):
     """In a tile: pairs of different components that link, thinned to a forest."""
 
     def run(t: pa.Table) -> pa.Table:
-        sids, labels, ns = (t[c].to_numpy() for c in ("set_id", "label", "n"))
-        ids = t["ids"].combine_chunks()
-        first = np.asarray(ids.offsets)
-        flat = np.asarray(ids.values)
-        _, column = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(sids)), np.diff(first))
-        shared = np.zeros((len(sids), len(sids)), np.float32)
-        for c in range(0, int(column.max(initial=-1)) + 1, 4096):
-            here = (column >= c) & (column < c + 4096)
-            x = np.zeros((len(sids), 4096), np.float32)
-            x[row[here], column[here] - c] = 1
-            shared += x @ x.T
-        union = ns[:, None] + ns[None, :] - shared
-        links = (100 * shared.astype(np.int64) >= percent * union.astype(np.int64)) & (labels[:, None] < labels[None, :])
+        sids, labels = t["set_id"].to_numpy(), t["label"].to_numpy()
+        ns, shared = _overlaps(t)
+        links = (100 * shared >= percent * (ns[:, None] + ns[None, :] - shared)) & (labels[:, None] < labels[None, :])
         root = {x: x for x in labels.tolist()}
 
         def find(x):
@@ -327,14 +331,28 @@ def _tile(percent: int):
     return run
 
 
+def _degrees(percent: int):
+    """In a tile: how many sets each set links with. A tile of two blocks leaves out what
+    the blocks' own tiles count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sids, block = t["set_id"].to_numpy(), t["block"].to_numpy()
+        ns, shared = _overlaps(t)
+        links = 100 * shared >= percent * (ns[:, None] + ns[None, :] - shared)
+        links &= (block[:, None] != block[None, :]) if t["i"][0].as_py() != t["j"][0].as_py() else ~np.eye(len(ns), dtype=bool)
+        return pa.table({"set_id": sids, "n_links": links.sum(axis=1)})
+
+    return run
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     found = labels.select(F.col("node").alias("set_id"), F.col("label").alias("_label"))
     return rows.join(found, "set_id", "left").withColumn("label", F.coalesce("_label", "set_id")).drop("_label")
 
 
-def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Verified links ``a``, ``b`` between set ids: enough of them to connect all sets that
-    links connect."""
+def _index(docs: DataFrame, scratch: Scratch, n: int, percent: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets that may have links, their signatures that others have too, and the pairs of
+    each signature's smallest set and its others."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(text).alias("text"))
@@ -352,6 +370,13 @@ def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
     shared_by = signed.groupBy("sign").agg(F.count("*").alias("held"), F.min("set_id").alias("least")).where("held > 1")
     signed = scratch.save(signed.join(shared_by, "sign"), "signed")
     stars = scratch.save(signed.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
+    return sets, signed, stars
+
+
+def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """Verified links ``a``, ``b`` between set ids: enough of them to connect all sets that
+    links connect."""
+    sets, signed, stars = _index(docs, scratch, n, percent, text)
     links = scratch.save(_verified(stars, sets, percent), "links-1")
     labels = components(links, scratch, "first")
 
@@ -393,6 +418,26 @@ def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
     return links
 
 
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each document's id and ``n_links``: how many different sets link with its own.
+
+    All pairs of sets that signatures connect are held against each other, in tiles of at
+    most two blocks, and counted there; pairs are not written out. The work grows with the
+    square of the largest group of connected signatures, which ``cluster`` avoids.
+    """
+    scratch = Scratch(docs.sparkSession, "links")
+    sets, _, stars = _index(docs, scratch, n, percent, text)
+    groups_of = components(stars, scratch, "groups")
+    members = groups_of.select(F.col("node").alias("set_id"), F.col("label").alias("hot"))
+    blocks = members.groupBy("hot").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "hot").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id")
+    spread = tiled.join(sets.select("set_id", "n", "ids"), "set_id")
+    counts = spread.groupBy("hot", "i", "j").applyInArrow(_degrees(percent), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    rows = describe(docs.select(key, text), n, text)
+    return rows.join(scratch.save(counts, "counts"), "set_id", "left").select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's id, ``n_shingles``, and ``component_id``: the smallest id that links reach."""
     scratch = Scratch(docs.sparkSession, "ngrams")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import components_by_brute_force
+from brute import components_by_brute_force, shingle_set
 
 from tessera.llm import ngramjoin
 from tessera.llm.queries import op1_ngram_join
@@ -47,6 +47,17 @@ def test_families_with_every_index_class_and_tiles(spark, monkeypatch, n, percen
     assert result(df, n, percent) == components_by_brute_force(docs, n, percent)
 
 
+def test_link_counts_of_families(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "TILE_BLOCK", 8)
+    docs = families(7, 4, 30, 120, 10)
+    docs += [(1000 + i, t) for i, t in docs[:20]] + [(5000, None)]
+    sets = {i: shingle_set(t, 4) for i, t in docs}
+    different = set(sets.values())
+    want = {i: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in different if o) if s else 0 for i, s in sets.items()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_links for r in ngramjoin.link_counts(df, 4, 85).collect()} == want and max(want.values()) > 5
+
+
 def test_signatures_of_similar_sets_meet():
     """Any two sets at the threshold share a signature, whatever their shingles' counts."""
     r = np.random.default_rng(9)
