@@ -366,9 +366,11 @@ def _index(docs: DataFrame, scratch: Scratch, n: int, percent: int, text: str) -
     sets = scratch.save(raw.join(once, ["set_id", "packet"]).drop("packet"), "sets")
     scratch.drop("raw")
 
+    # What is joined to rows of a hot key is written first: Spark can then split that key.
     signed = sets.select("set_id", "n", F.explode("signs").alias("sign"))
-    shared_by = signed.groupBy("sign").agg(F.count("*").alias("held"), F.min("set_id").alias("least")).where("held > 1")
+    shared_by = scratch.save(signed.groupBy("sign").agg(F.count("*").alias("held"), F.min("set_id").alias("least")).where("held > 1"), "shared")
     signed = scratch.save(signed.join(shared_by, "sign"), "signed")
+    scratch.drop("shared")
     stars = scratch.save(signed.where("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b")).distinct(), "stars")
     return sets, signed, stars
 
@@ -382,7 +384,7 @@ def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
 
     open_signs = scratch.save(_labelled(signed, labels), "labelled")
     mixed = open_signs.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sign")
-    rest = scratch.save(open_signs.join(mixed, "sign"), "mixed")
+    rest = scratch.save(open_signs.join(scratch.save(mixed, "open"), "sign"), "mixed")
     scratch.drop("signed", "labelled")
 
     few = rest.where(F.col("held") <= SMALL)
@@ -448,8 +450,8 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     # A set's copies add up to one row before rows of a component meet.
     sets = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(key).alias("_least"))
     sets = scratch.save(sets.join(found, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "set-labels")
-    least = sets.groupBy("label").agg(F.min("_least").alias("component_id"))
+    least = scratch.save(sets.groupBy("label").agg(F.min("_least").alias("component_id")), "least")
     of_set = scratch.save(sets.join(least, "label").select("set_id", "component_id"), "set-components")
-    scratch.drop("labels", "set-labels")
+    scratch.drop("labels", "set-labels", "least")
     linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id")
     return linked.unionByName(rows.where("set_id IS NULL").select(key, "n_shingles", F.col(key).alias("component_id")))
