@@ -35,7 +35,7 @@ def families(seed, families, members, words, edits):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("n,percent,seed", [(4, 85, 1), (5, 80, 2), (3, 60, 3), (2, 90, 4)])
+@pytest.mark.parametrize("n,percent,seed", [(5, 80, 2), (3, 60, 3)])
 def test_families_with_every_index_class_and_tiles(spark, monkeypatch, n, percent, seed):
     """Small bounds make frequent shingles, hot signatures and tiles of these texts."""
     monkeypatch.setattr(ngramjoin, "FREQUENT", 2)
