@@ -20,8 +20,8 @@ from tessera.operators import cohort, metrics, statistics
 class Study:
     """Settings of a study."""
 
-    methods: tuple[str, ...] = ("mr_spm", "ct_spm", "ct_ctseg")
-    silver: str = "mr_spm"
+    methods: tuple[str, ...] = ("mr", "ct_plain", "ct_new")
+    silver: str = "mr"
     tissues: tuple[str, ...] = ("GM", "WM", "CSF")
     threshold: float = 0.5
     alpha: float = 0.05

@@ -101,9 +101,9 @@ def test_study_end_to_end(spark, tmp_path):
     for s in range(8):
         for t in ("GM", "WM", "CSF"):
             base = r.random(64)
-            for m, noise in (("mr_spm", 0), ("ct_spm", 0.4), ("ct_ctseg", 0.1)):
+            for m, noise in (("mr", 0), ("ct_plain", 0.4), ("ct_new", 0.1)):
                 for space in ("native", "modulated"):
-                    if s != 7 or m != "ct_spm":
+                    if s != 7 or m != "ct_plain":
                         rows.append((f"s{s}", m, t, space, np.clip(base + r.normal(0, noise + 1e-9, 64), 0, 1).tolist()))
     spark.createDataFrame(rows, "subject string, method string, tissue string, space string, data array<double>").write.parquet(str(tmp_path / "t/volume"))
     spark.createDataFrame([("s0",)], "subject string").write.parquet(str(tmp_path / "t/exclusion"))
@@ -111,4 +111,4 @@ def test_study_end_to_end(spark, tmp_path):
     read = lambda n: spark.read.parquet(str(tmp_path / "o" / n))
     assert {x.subject for x in read("subjects").collect()} == {f"s{n}" for n in range(1, 7)}
     assert all(x.y50 > x.x50 for x in read("comparison").where("metric = 'dice'").collect()) and read("overlap").count() == 6 * 3 * 2 * 3
-    assert {x.method for x in read("agreement").collect()} == {"ct_spm", "ct_ctseg"}
+    assert {x.method for x in read("agreement").collect()} == {"ct_plain", "ct_new"}
