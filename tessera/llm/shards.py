@@ -7,6 +7,9 @@ of sequences decide. Range partitions of slots are the shards: a sequence of any
 stands in shard ``slot // rows`` at byte ``slot % rows * stride``, so a reader can start
 at any slot and go on from there without an index.
 
+``materialise`` writes all shards a few at a time, each wave with a shuffle of its own that
+is freed before the next, and returns a row a sequence that tells of what stands in the file.
+
 Cases: a null or empty text makes no sequence; the last sequence of a text is filled with
 the padding id; rows that repeat make sequences of their own; without sequences there are
 no shards; other columns, whatever their names, are left alone.
@@ -14,6 +17,7 @@ no shards; other columns, whatever their names, are left alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import posixpath
 import uuid
@@ -34,6 +38,8 @@ LENGTH = 512
 SHARD_ROWS = 8192
 #: Ids that texts' tokens don't use.
 PADDING = 65_535
+#: Runs of shards that are shuffled and written one after another.
+WAVES = 6
 _SLICE = 64
 
 
@@ -116,7 +122,8 @@ def assign_slots(sequences: DataFrame, seed: int, shard_rows: int, length: int)
 
         return pd.Series(slots(start + row.to_numpy(dtype=np.int64), n, seed))
 
-    placed = sequences.withColumn("slot", slot("task", "row")).drop("task", "row")
+    # Called so, filters on the slot don't compute it once more.
+    placed = sequences.withColumn("slot", slot.asNondeterministic()("task", "row")).drop("task", "row")
     stride = 2 * length
     place: dict[str, Column] = {"shard": F.floor(F.col("slot") / shard_rows).cast("int"), "offset": F.col("slot") % shard_rows * stride}
     return placed.withColumns(place), n
@@ -130,6 +137,85 @@ def in_training_order(docs: DataFrame, path: str, pattern: str, seed: int = 20_2
     return placed.repartitionByRange(max(1, math.ceil(n / shard_rows)), "slot").sortWithinPartitions("slot")
 
 
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def _written(ordered: DataFrame, folder: str, length: int) -> DataFrame:
+    """Write the shards of partitions that hold whole shards in order, under another name
+    until whole, and read each back: its rows, with the digests of the bytes that stand in
+    the file, the file and its size."""
+    stride = 2 * length
+    names = [c for c in ordered.columns if c != "tokens"]
+    schema = ordered.select(*names).schema.add("tokens_sha256", "binary").add("shard_file", "string").add("shard_bytes", "long")
+
+    def read_back(store, base, own, number, rows):
+        name = posixpath.join(base, f"shard-{number:08d}.bin")
+        store.move(own, name)
+        with store.open_input_file(name) as f:
+            raw = f.read()
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        if len(raw) != stride * len(rows):
+            raise ValueError(f"{name} has {len(raw)} bytes for {len(rows)} sequences")
+        digests = [hashlib.sha256(raw[at : at + stride]).digest() for at in rows["offset"].to_pylist()]
+        file = posixpath.join(folder, posixpath.basename(name))
+        full = rows.append_column("tokens_sha256", pa.array(digests, pa.binary())).append_column("shard_file", pa.array([file] * len(rows), pa.string())).append_column("shard_bytes", pa.array([len(raw)] * len(rows), pa.int64()))
+        return full.to_batches()
+
+    def run(batches):
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        number, f, own, rows, done = None, None, "", [], 0
+        for batch in batches:
+            shard, tokens = batch.column("shard").to_numpy(), batch.column("tokens")
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if shard[a] != number:
+                    if f is not None:
+                        f.close()
+                        yield from read_back(store, base, own, number, rows)
+                    number, own, rows, done = int(shard[a]), posixpath.join(base, f".{uuid.uuid4().hex}"), [], 0
+                    f = store.open_output_stream(own)
+                some = batch.slice(a, z - a)
+                if some.column("offset").to_pylist() != list(range(done, done + stride * (z - a), stride)):
+                    raise ValueError(f"shard {number} has gaps or is out of order")
+                f.write(b"".join(x.as_py() for x in tokens.slice(a, z - a)))
+                done += stride * (z - a)
+                rows.append(some.select(names))
+        if f is not None:
+            f.close()
+            yield from read_back(store, base, own, number, rows)
+
+    return ordered.select(*names, "tokens").mapInArrow(run, schema)
+
+
+def materialise(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: str = "doc_id") -> DataFrame:
+    """Write all shards to the shared folder; each sequence's key, ``part``, ``n_tokens``,
+    ``slot``, ``shard`` and ``offset``, ``tokens_sha256`` of its bytes as read back from the
+    file, ``shard_file`` and ``shard_bytes``.
+
+    A partition is the range of slots of one shard, so a shard is written where it lands.
+    """
+    scratch = Scratch(docs.sparkSession, "order")
+    sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences", "zstd")
+    placed, n = assign_slots(sequences, seed, shard_rows, length)
+    count = -(-n // shard_rows)
+    wave = max(1, -(-count // WAVES))
+    found = []
+    for lo in range(0, max(1, count), wave):
+        own = placed.where((F.col("shard") >= lo) & (F.col("shard") < lo + wave))
+        ordered = own.repartitionById(max(1, min(wave, count - lo)), F.col("shard") - lo).sortWithinPartitions("slot")
+        found.append(scratch.save(_written(ordered, f"{scratch.base}/shards", length), f"rows-{lo}"))
+        del own, ordered
+    scratch.drop("sequences")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("tokens_sha256", F.lower(F.hex("tokens_sha256")))
+
+
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write ``shard-<number>.bin`` to a folder that all executors reach (a path or a URI).
 

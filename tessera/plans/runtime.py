@@ -68,10 +68,10 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         self._open: set[str] = set()
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.base}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         self._open.add(name)
         del df
         self.free_shuffles()

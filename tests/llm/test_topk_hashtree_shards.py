@@ -127,6 +127,32 @@ def test_training_order_query_nulls_and_empty(spark, sf_dir):
     assert shards.in_training_order(odd.limit(0), path, P.PATTERN).collect() == []
 
 
+def test_training_order_query_writes_every_shard(spark, sf_dir, monkeypatch):
+    import hashlib
+    import os
+    from urllib.parse import urlparse
+
+    monkeypatch.setattr(shards, "WAVES", 3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = P.path("byte_bpe_50k.tiktoken")
+    plain = {r.slot: r for r in shards.in_training_order(docs, path, P.PATTERN).collect()}
+    for rows, shard_rows in ((op10_training_order(spark, sf_dir).collect(), shards.SHARD_ROWS), (shards.materialise(docs, path, P.PATTERN, shard_rows=20).collect(), 20)):
+        assert sorted(r.slot for r in rows) == sorted(plain)
+        files = {r.shard: urlparse(r.shard_file).path for r in rows}
+        assert len(files) == -(-len(rows) // shard_rows)
+        raw = {s: open(f, "rb").read() for s, f in files.items()}
+        assert sum(map(len, raw.values())) == len(rows) * 1024
+        for r in rows:
+            own = raw[r.shard][r.offset : r.offset + 1024]
+            assert own == plain[r.slot].tokens and r.tokens_sha256 == hashlib.sha256(own).hexdigest()
+            assert r.shard_bytes == len(raw[r.shard]) and (r.doc_id, r.part, r.n_tokens) == (plain[r.slot].doc_id, plain[r.slot].part, plain[r.slot].n_tokens)
+        folder = os.path.dirname(files[0])
+        assert sorted(os.listdir(folder)) == sorted(map(os.path.basename, files.values()))
+        assert [s for s, _ in shards.read_from(folder, 3, shards.LENGTH, shard_rows)] == list(range(3, len(rows)))
+    odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert shards.materialise(odd, path, P.PATTERN).collect() == []
+
+
 def test_components(spark):
     r = np.random.default_rng(8)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
