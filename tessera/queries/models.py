@@ -47,7 +47,7 @@ def folds(spark, d):
 
 def _prediction(machine):
     def run(spark, d):
-        e = table(spark, d, "embeddings").where("label < 3 AND embedding IS NOT NULL")
+        e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
         y = F.col("embedding")[0].cast("double") + F.col("label") if machine != "gpc" else (F.col("embedding")[0] > 0).cast("double")
         rows = models.with_folds(e.select("vec_id", "label", num.channels(F.col("embedding"), range(1, 33)).alias("x"), y.alias("y")), "vec_id", 5, ["label"])
         return models.cross_validated(rows, ["label"], "vec_id", "x", "y", 5, machine).select("label", "vec_id", "fold", r6(F.col("y_true"), "y_true"), F.col("y_pred").isNotNull().alias("predicted"), r6(F.col("y_pred"), "y_pred"))

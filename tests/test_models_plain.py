@@ -61,6 +61,12 @@ def test_cross_validation(spark, sf_dir, embeddings, machine):
                 assert got[label, ids[n]][0] == f and got[label, ids[n]][1] == pytest.approx(want[n], abs=2e-3)
 
 
+@pytest.mark.parametrize("machine", ["krr", "gp", "gpc", "rvr"])
+def test_cross_validation_covers_every_group(spark, sf_dir, embeddings, machine):
+    got = [(r.label, r.vec_id) for r in q.QUERIES[f"{machine}_cv"][0](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((k, v) for v, (k, _) in embeddings.items()) and max(got)[0] > 2
+
+
 def test_signed_rank_p(spark, sf_dir):
     rows = pairs(spark, sf_dir).collect()
     for r in qs.wilcoxon_p(spark, sf_dir).collect():
