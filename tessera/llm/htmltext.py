@@ -6,9 +6,10 @@ that holds it. Lines inside elements that never hold article text (scripts, styl
 navigation, headers and footers of the page, asides, forms, and elements whose class, id or
 role names a menu, advert, notice, comment section and the like) count as lines without
 text. The text-to-tag ratios, smoothed by a Gaussian, are split into two clusters at the
-threshold between them; the runs of lines above it are the content regions. The element
-that holds most of their text is the article, and all its lines that are not excluded
-are the main text, so short paragraphs and headings inside the article stay.
+threshold between them; the runs of lines above it are the content regions. All of them are
+main text, and so are all other lines that are not excluded in the elements around them:
+the marked articles where these hold at least half of the regions' text, or else the
+innermost container of all regions. So short paragraphs and headings stay.
 
 Cases: a null or empty page has an empty text; unclosed and stray tags are taken as
 browsers do for paragraphs, list items and table cells; a page without any block is one
@@ -19,6 +20,7 @@ repeated results; other columns pass through, new ones replace those of their na
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -62,6 +64,8 @@ OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|logo|brand|bottom|lang
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|post-?(?:content|body)|entry-?content|story|main|main-?content)(?:$|[\s_-])", re.I)
 #: A class that begins so tells of something elsewhere on the page (has-sidebar, no-ads).
 ABOUT = ("has-", "with-", "without-", "no-", "is-", "js-", "show-", "hide-")
+#: What can stand around a whole article; a cell only around blocks of its own.
+CONTAINERS = frozenset("#page html body main article section div center td th".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -215,28 +219,41 @@ def regions(lines: list[Line], texts: list[str]) -> np.ndarray:
         return np.zeros(len(lines), dtype=bool)
     ratios = smooth(np.log1p(own))
     t = threshold(ratios)
-    return ((ratios > t) | (ratios.max() - ratios.min() < 1e-9)) & (own > 0)
+    # A long line between tags alone is smoothed down, and is content all the same.
+    return ((ratios > t) | (np.log1p(own) > t) | (ratios.max() - ratios.min() < 1e-9)) & (own > 0)
 
 
-def _article(lines: list[Line], texts: list[str], content: np.ndarray) -> Element | None:
-    """The element that holds the content: the innermost one with nearly all its text,
-    preferring one that is marked as article among those with at least half."""
+def _up(e: Element | None) -> Iterator[Element]:
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def _articles(lines: list[Line], texts: list[str], content: np.ndarray) -> list[Element]:
+    """The elements around the content regions: of marked ones, the outermost (or articles
+    in it that have all its regions), where they hold at least half of the regions' text; or
+    else the innermost container of all regions."""
     weight: dict[int, float] = {}
     seen: dict[int, Element] = {}
-    for line, t, c in zip(lines, texts, content, strict=True):
-        e = line.holder if c else None
-        while e is not None:
+    held = [(line.holder, len(t)) for line, t, c in zip(lines, texts, content, strict=True) if c]
+    for holder, n in held:
+        for e in _up(holder):
             seen[id(e)] = e
-            weight[id(e)] = weight.get(id(e), 0.0) + len(t)
-            e = e.parent
+            weight[id(e)] = weight.get(id(e), 0.0) + n
     if not seen:
-        return None
-    total = max(weight.values())
-    marked = [e for k, e in seen.items() if e.prose and weight[k] >= 0.5 * total]
-    if marked:
-        tags = [e for e in marked if e.tag == "article"] or marked
-        return min(tags, key=lambda e: e.depth)
-    return max((e for k, e in seen.items() if weight[k] >= 0.9 * total and e.tag not in ("p", "li", "b", "i", "span")), key=lambda e: e.depth, default=None)
+        return []
+    outer = [e for e in seen.values() if e.prose and not any(x.prose for x in _up(e.parent))]
+    if sum(weight[id(e)] for e in outer) >= 0.5 * sum(n for _, n in held):
+        found = []
+        for m in outer:
+            own = [e for e in seen.values() if e.tag == "article" and any(x is m for x in _up(e)) and not any(x.tag == "article" for x in _up(e.parent))]
+            found += own if sum(weight[id(e)] for e in own) == weight[id(m)] else [m]
+        return found
+    total, holders = sum(n for _, n in held), {id(holder) for holder, _ in held}
+    around = max((e for k, e in seen.items() if weight[k] == total), key=lambda e: e.depth)
+    while around.tag not in CONTAINERS or around.tag in ("td", "th") and id(around) in holders:
+        around = around.parent
+    return [around]
 
 
 def main_text(html: str | None) -> str:
@@ -248,19 +265,16 @@ def main_text(html: str | None) -> str:
         parser.feed(html)
         lines = parser.finish()
         texts = [line.text() for line in lines]
-        article = _article(lines, texts, regions(lines, texts))
-        if article is not None:
+        content = regions(lines, texts)
+        articles = {id(e) for e in _articles(lines, texts, content)}
+        if articles:
             break
     else:
         return ""
     kept = []
-    for line, t in zip(lines, texts, strict=True):
-        if t and not line.holder.excluded:
-            e = line.holder
-            while e is not None and e is not article:
-                e = e.parent
-            if e is article:
-                kept.append(t)
+    for line, t, c in zip(lines, texts, content, strict=True):
+        if t and not line.holder.excluded and (c or any(id(e) in articles for e in _up(line.holder))):
+            kept.append(t)
     return "\n\n".join(kept)
 
 

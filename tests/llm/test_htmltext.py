@@ -65,6 +65,28 @@ def test_headers_inside_an_article_stay():
     assert htmltext.main_text(page).split("\n\n") == ["Title", LONG.strip()]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<div id=content><div>{0}</div><div>{1}</div></div>", 2),
+        ("<div id=content><div><p>{0}<p>{0}<p>{0}<p>{0}<p>{0}<p>{0}<p>{0}<p>{0}<p>{0}<p>{0}</div><div><p>{1}</div></div>", 11),
+        ("<main><article><p>{0}<p>{0}</article><section><p>{1}</section></main>", 3),
+        ("<body><article><p>{0}<p>{0}</article><article><p>{1}</article></body>", 3),
+        ("<body><article><p>{0}<p>{0}</article><div><p>{1}</div></body>", 3),
+    ],
+)
+def test_every_content_region_stays(page, want):
+    one, other = LONG * 3, LONG.replace("sentence", "other") * 3
+    got = htmltext.main_text(page.format(one, other)).split("\n\n")
+    assert got[-1] == other.strip() and len(got) == want
+
+
+@pytest.mark.parametrize("body", ["<pre>{0}</pre>", "<table><tr><td>{0}</table>", "<ul><li>{0}</ul>", "<blockquote>{0}</blockquote>"])
+def test_one_long_block_does_not_hide_the_rest(body):
+    page = "<nav><a href=1>Home</a></nav><div><h1>Title</h1>" + body.format(LONG * 20) + "<p>Short.</p></div>"
+    assert htmltext.main_text(page).split("\n\n") == ["Title", (LONG * 20).strip(), "Short."]
+
+
 @pytest.mark.parametrize("page,want", [(None, ""), ("", ""), ("   \n ", ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<script>x()</script>", ""), ("<div><div><div>x", "x"), ("</p></div>x<b>y</b>", "xy"), ("<!-- c --><article>a <i>b</i>\n c</article>", "a b c")])
 def test_small_pages(page, want):
     assert htmltext.main_text(page) == want
