@@ -375,10 +375,10 @@ def _index(docs: DataFrame, scratch: Scratch, n: int, percent: int, text: str) -
     return sets, signed, stars
 
 
-def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80, text: str = "text", index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Verified links ``a``, ``b`` between set ids: enough of them to connect all sets that
     links connect."""
-    sets, signed, stars = _index(docs, scratch, n, percent, text)
+    sets, signed, stars = index or _index(docs, scratch, n, percent, text)
     links = scratch.save(_verified(stars, sets, percent), "links-1")
     labels = components(links, scratch, "first")
 
@@ -429,6 +429,12 @@ def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     """
     scratch = Scratch(docs.sparkSession, "links")
     sets, _, stars = _index(docs, scratch, n, percent, text)
+    rows = describe(docs.select(key, text), n, text)
+    return rows.join(_set_links(sets, stars, scratch, percent), "set_id", "left").select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _set_links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """How many sets each indexed set links with."""
     groups_of = components(stars, scratch, "groups")
     members = groups_of.select(F.col("node").alias("set_id"), F.col("label").alias("hot"))
     blocks = members.groupBy("hot").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
@@ -436,22 +442,28 @@ def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id")
     spread = tiled.join(sets.select("set_id", "n", "ids"), "set_id")
     counts = spread.groupBy("hot", "i", "j").applyInArrow(_degrees(percent), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    rows = describe(docs.select(key, text), n, text)
-    return rows.join(scratch.save(counts, "counts"), "set_id", "left").select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return scratch.save(counts, "counts")
 
 
-def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's id, ``n_shingles``, and ``component_id``: the smallest id that links reach."""
+def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", all_links: bool = False) -> DataFrame:
+    """Each document's id, ``n_shingles``, and ``component_id``: the smallest id that links
+    reach; with ``all_links`` also ``n_links``, as ``link_counts`` has it, by the same index."""
     scratch = Scratch(docs.sparkSession, "ngrams")
-    labels = scratch.save(components(link_sets(docs, scratch, n, percent, text), scratch, "all"), "labels")
+    index = _index(docs, scratch, n, percent, text)
+    labels = scratch.save(components(link_sets(docs, scratch, n, percent, text, index), scratch, "all"), "labels")
+    counts = _set_links(index[0], index[2], scratch, percent) if all_links else None
     rows = scratch.save(describe(docs.select(key, text), n, text), "rows")
-    scratch.drop_all_but("labels", "rows")
+    scratch.drop_all_but("labels", "rows", "counts")
     found = labels.select(F.col("node").alias("set_id"), "label")
     # A set's copies add up to one row before rows of a component meet.
     sets = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(key).alias("_least"))
     sets = scratch.save(sets.join(found, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "set-labels")
     least = scratch.save(sets.groupBy("label").agg(F.min("_least").alias("component_id")), "least")
-    of_set = scratch.save(sets.join(least, "label").select("set_id", "component_id"), "set-components")
-    scratch.drop("labels", "set-labels", "least")
-    linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id")
-    return linked.unionByName(rows.where("set_id IS NULL").select(key, "n_shingles", F.col(key).alias("component_id")))
+    of_set, links = sets.join(least, "label").select("set_id", "component_id"), []
+    if counts is not None:
+        of_set, links = of_set.join(counts, "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), ["n_links"]
+    of_set = scratch.save(of_set, "set-components")
+    scratch.drop("labels", "set-labels", "least", *(["counts"] if links else []))
+    linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id", *links)
+    alone = rows.where("set_id IS NULL").select(key, "n_shingles", F.col(key).alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in links))
+    return linked.unionByName(alone)

@@ -58,6 +58,21 @@ def test_link_counts_of_families(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in ngramjoin.link_counts(df, 4, 85).collect()} == want and max(want.values()) > 5
 
 
+def test_links_query_equals_brute_force(spark, sf_dir, tmp_path):
+    from tessera.llm.queries import queries
+
+    docs = [tuple(r)[:2] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:300]
+    docs += [(100_000 + i, t) for i, t in families(8, 2, 40, 120, 10)] + [(200_000, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: shingle_set(t, 4) for i, t in docs}
+    different = set(sets.values()) - {frozenset()}
+    plain = components_by_brute_force(docs, 4, 85)
+    want = {i: (*plain[i], sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in different)) for i, s in sets.items()}
+    got = queries()["op1_ngram_links"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want and len(got) == len(docs)
+    assert max(w[2] for w in want.values()) > 10
+
+
 def test_signatures_of_similar_sets_meet():
     """Any two sets at the threshold share a signature, whatever their shingles' counts."""
     r = np.random.default_rng(9)
