@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as num
 from tessera.operators import cleanup, models
 from tessera.plans.runtime import table
-from tessera.queries.common import DIM, cells, r6, tiles
+from tessera.queries.common import DIM, VOX, cells, r6, tiles
 
 
 def clean_gwc(spark, d):
@@ -41,6 +41,11 @@ def gmm_responsibilities(spark, d):
     return cells(spark, d).where("j = 1 AND k = 1").select("vec_id", "i", r6(p[0], "p1"), r6(p[1], "p2"))
 
 
+def gmm_responsibilities_voxels(spark, d):
+    p = models.responsibilities(F.col("v"), [(0.4, -0.1, 0.02), (0.6, 0.1, 0.01)])
+    return cells(spark, d).select("vec_id", "i", "j", "k", r6(p[0], "p1"), r6(p[1], "p2"))
+
+
 def folds(spark, d):
     return models.with_folds(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 10, ["label"]).select("vec_id", "label", "fold")
 
@@ -67,6 +72,10 @@ QUERIES = {
         gmm_responsibilities,
         f"WITH v AS (SELECT vec_id, CAST(n AS INTEGER) AS i, CAST(embedding[n] AS DOUBLE) AS v FROM embeddings, range(1, 5) AS t(n) WHERE embedding IS NOT NULL), p AS (SELECT vec_id, i, {_A} AS a, {_B} AS b FROM v) SELECT vec_id, i, (round(a / (a + b), 6) + 0.0) AS p1, (round(b / (a + b), 6) + 0.0) AS p2 FROM p",
     ),
+    "gmm_responsibilities_voxels": (
+        gmm_responsibilities_voxels,
+        f"WITH {VOX}, p AS (SELECT vec_id, i, j, k, {_A} AS a, {_B} AS b FROM vox) SELECT vec_id, i, j, k, (round(a / (a + b), 6) + 0.0) AS p1, (round(b / (a + b), 6) + 0.0) AS p2 FROM p",
+    ),
     "folds": (folds, "SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1) % 10 + 1 AS INTEGER) AS fold FROM embeddings"),
     "krr_cv": (_prediction("krr"), None),
     "gp_cv": (_prediction("gp"), None),

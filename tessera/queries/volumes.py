@@ -221,6 +221,10 @@ def normal_pdf(spark, d):
     return cells(spark, d).where("j = 1 AND k = 1").select("vec_id", "i", r6(num.normal_pdf(F.col("v"), 0.05, 0.2), "density"))
 
 
+def normal_pdf_voxels(spark, d):
+    return cells(spark, d).select("vec_id", "i", "j", "k", r6(num.normal_pdf(F.col("v"), 0.05, 0.2), "density"))
+
+
 def prior_table(spark, d):
     """Means and deviations of intensity priors held in slots 1 to 3."""
     m, n, w = (F.element_at("data", c) for c in (1, 2, 3))
@@ -292,6 +296,7 @@ SELECT vec_id, i, j, {q6("CASE WHEN i > 2 THEN 0.6 * r1 ELSE r1 END", "red")}, {
     ),
     "value_range": (value_range, f"WITH {VOX} SELECT vec_id, {q6('min(v)', 'v_min')}, {q6('max(v)', 'v_max')} FROM vox GROUP BY vec_id"),
     "normal_pdf": (normal_pdf, f"WITH {VOX} SELECT vec_id, i, {q6('exp(-((v - 0.05) / CAST(0.2 AS DOUBLE)) * ((v - 0.05) / CAST(0.2 AS DOUBLE)) / 2) / (0.2 * sqrt(2 * pi()))', 'density')} FROM vox WHERE j = 1 AND k = 1"),
+    "normal_pdf_voxels": (normal_pdf_voxels, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('exp(-((v - 0.05) / CAST(0.2 AS DOUBLE)) * ((v - 0.05) / CAST(0.2 AS DOUBLE)) / 2) / (0.2 * sqrt(2 * pi()))', 'density')} FROM vox"),
     "prior_table": (prior_table, f"SELECT vec_id, {q6('CAST(embedding[1] AS DOUBLE) * 2000 + 1024 - 1024', 'mean_hu')}, {q6('sqrt(abs(1 / ((abs(CAST(embedding[2] AS DOUBLE)) + 1) * (abs(CAST(embedding[3] AS DOUBLE)) + 0.01))))', 'sd_hu')} FROM embeddings WHERE embedding IS NOT NULL"),
     "voxel_size_det": (voxel_size_det, f"SELECT vec_id, {q6(f'CASE WHEN {DET} < 0 THEN -{NORM[0]} ELSE {NORM[0]} END', 'vx')}, {q6(NORM[1], 'vy')}, {q6(NORM[2], 'vz')}, {q6(DET, 'det')} FROM embeddings WHERE embedding IS NOT NULL"),
 }
