@@ -4,8 +4,10 @@ A document is the set of its distinct word n-grams; two link when the Jaccard si
 of their sets reaches a percentage. Equal sets are one set from the start. Then:
 
 1. *Counting.* Shingle ids go to buckets of the id range, packed as arrays; a bucket finds
-   the ids that more than one packet holds and returns only those, with their counts.
-   A set with too few of them can have no link and is gone.
+   the ids that more than one set holds and returns only those, with their counts. An id
+   that several sets of a packet hold is one entry there, so a shingle that all documents
+   share is a few entries a packet. A set with too few shared ids can have no link and is
+   gone, and so is from the start one so small that a shingle more or less is too many.
 2. *Prefixes.* A set's shingles are ordered by count, rare ones first. Rare shingles are
    indexed alone, frequent ones in pairs and very frequent ones in triples, within groups
    that a hash gives. A prefix is extended until a similar set must share one of these
@@ -19,15 +21,19 @@ of their sets reaches a percentage. Equal sets are one set from the start. Then:
    over groups of connected signatures. Every pair that shares a signature is thus either
    verified exactly or already connected, so the components are exact.
 
-Shingle ids are 48-bit hashes of whole n-grams, set ids 64-bit hashes of whole sets.
+Shingle ids are 48-bit hashes of whole n-grams, set ids 64-bit hashes of whole sets. Sets
+that are compared have at least percent / (100 - percent) shingles, most of which must be
+equal, so that equal hashes of different n-grams make no link.
 
 Cases: without words (or text) a document has size 0, no links and is its own component;
 with fewer than n words its whole sequence is its one shingle; repeated rows and equal
-texts are one component; a null id groups like any other; an empty table gives no rows.
+texts are one component; a null id groups like any other; a text of any length is one set
+of all its n-grams; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +44,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.labelled import pieces
+from tessera.llm.packing import bucket_runs, packing
 from tessera.llm.textkernel import distinct_by_row, mix, shingles, word_hashes
 from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 
@@ -45,6 +52,8 @@ from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 PACKET, PACKET_SETS = 1_000_000, 60_000
 #: Text bytes whose shingles share a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: Sets of a packet from which on their common shingle is one entry for its bucket.
+FOLD = 4
 #: Counts above which shingles are indexed in pairs and in triples.
 FREQUENT, VERY_FREQUENT = 16, 256
 #: Signatures with more sets than this are resolved in tiles of at most two blocks.
@@ -78,22 +87,33 @@ def describe(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _pack(found: np.ndarray, sets: np.ndarray, buckets: int, packet: int):
+def _pack(found: np.ndarray, sets: np.ndarray, buckets: int):
     """A packet's shingles by bucket: sorted 48-bit ids as counts of their high 16 bits and
-    their low 32 bits, with the position of each one's set in the packet."""
+    their low 32 bits, with the position of each one's set in the packet. An id that ``FOLD``
+    sets of the packet hold goes once, with their number; where it stands stays with the
+    packet (the second result: ids, numbers, positions)."""
     order = np.argsort(found, kind="stable")
-    ids, sets = found[order] >> ID_SHIFT, sets[order].astype(np.uint16)
-    edges = (np.arange(buckets + 1, dtype=object) * (1 << 48) // buckets).tolist()
-    cuts = np.searchsorted(ids, np.array(edges[:-1], dtype=np.uint64)).tolist() + [len(ids)]
-    for b in range(buckets):
-        own = ids[cuts[b] : cuts[b + 1]]
-        if len(own):
-            high = (own >> LOW).astype(np.int64)
-            counts = np.bincount(high - (edges[b] >> 32)).astype(np.uint32)
-            yield b, packet, counts.tobytes(), own.astype(np.uint32).tobytes(), sets[cuts[b] : cuts[b + 1]].tobytes()
+    ids, sets = found[order] >> ID_SHIFT, sets[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+    counts = np.diff(np.append(start, len(ids)))
+    often = counts >= FOLD
+    cold = np.repeat(~often, counts)
+    folded = (ids[start[often]], counts[often].astype(np.uint32), sets[~cold])
+    ids, sets = ids[cold], sets[cold]
+    rows = {b: [None, None, None, folded[0][a:z].tobytes() + folded[1][a:z].tobytes()] for b, a, z in bucket_runs(folded[0] << ID_SHIFT, buckets)}
+    for b, a, z in bucket_runs(ids << ID_SHIFT, buckets):
+        own = ids[a:z]
+        highs = np.bincount((own >> LOW).astype(np.int64) - _least_high(b, buckets)).astype(np.uint32)
+        rows.setdefault(b, [None, None, None, b""])[:3] = highs.tobytes(), own.astype(np.uint32).tobytes(), sets[a:z].tobytes()
+    return rows, folded
 
 
-_PACKED = "bucket int, packet long, highs binary, lows binary, at binary"
+def _least_high(bucket: int, buckets: int) -> int:
+    """The smallest high 16 bits of a bucket's ids."""
+    return (bucket << 32) // buckets >> 16
+
+
+_PACKED = "bucket long, packet long, highs binary, lows binary, at binary, folded binary"
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -101,8 +121,15 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _forward(text: str, n: int, buckets: int):
-    names, types = ["bucket", "packet", "highs", "lows", "at"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def smallest_linked(percent: int) -> float:
+    """The smallest size of a set that can link with a different one: one shingle more or
+    less must leave the similarity."""
+    return -(-percent // (100 - percent)) if percent < 100 else np.inf
+
+
+def _forward(text: str, n: int, percent: int, packet: int, buckets: int, positions: np.dtype):
+    names, types = ["bucket", "packet", "highs", "lows", "at", "folded"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    most_sets, least = PACKET_SETS * max(1, packet // PACKET), smallest_linked(percent)
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -111,7 +138,7 @@ def _forward(text: str, n: int, buckets: int):
 
         def flush():
             nonlocal held, count, sets, k
-            packet = (part << 24) | k
+            number = (part << 24) | k
             ids = np.concatenate([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
             _, keep = np.unique(ids, return_index=True)  # equal sets of the packet are one
@@ -120,19 +147,19 @@ def _forward(text: str, n: int, buckets: int):
             row = np.repeat(at, sizes)
             found = np.concatenate([h[2] for h in held])
             kept = np.sort(keep)
-            rows = [(packet % buckets, packet, None, ids[kept].tobytes(), sizes[kept].astype(np.uint32).tobytes())]
-            rows += _pack(found[row >= 0], row[row >= 0], buckets, packet)
+            packed, folded = _pack(found[row >= 0], row[row >= 0].astype(positions), buckets)
+            meta = (number % buckets, number, None, ids[kept].tobytes(), sizes[kept].astype(np.uint32).tobytes(), pickle.dumps(folded))
             held, count, sets, k = [], 0, 0, k + 1
-            return _table(rows, names, types)
+            return _table([meta, *((b, number, *x) for b, x in packed.items())], names, types)
 
         for batch in batches:
-            for ids, sizes, found, _ in sets_of(batch.column(text), n):
+            for ids, sizes, found, first in sets_of(batch.column(text), n):
                 for a in range(0, len(ids), PACKET_SETS // 4):
-                    z, cut = min(a + PACKET_SETS // 4, len(ids)), np.concatenate([[0], np.cumsum(sizes)])
-                    some = sizes[a:z] > 0
-                    held.append((ids[a:z][some], sizes[a:z][some], found[cut[a] : cut[z]]))
-                    count, sets = count + int(cut[z] - cut[a]), sets + int(some.sum())
-                    if count >= PACKET or sets >= PACKET_SETS // 2:
+                    z = min(a + PACKET_SETS // 4, len(ids))
+                    some = sizes[a:z] >= least
+                    held.append((ids[a:z][some], sizes[a:z][some], found[first[a] : first[z]][np.repeat(some, sizes[a:z])]))
+                    count, sets = count + len(held[-1][2]), sets + int(some.sum())
+                    if count >= packet or sets >= most_sets // 2:
                         yield flush()
         if sets:
             yield flush()
@@ -140,42 +167,45 @@ def _forward(text: str, n: int, buckets: int):
     return run
 
 
-def _tally(buckets: int):
-    """In a bucket: the shingles that several packets' sets hold, back to their packets."""
-    names = ["packet", "ids", "at", "counts"]
+_REPLY = "packet long, ids binary, at binary, counts binary, folded binary"
+
+
+def _tally(buckets: int, positions: np.dtype):
+    """In a bucket: the shingles that several sets hold, back to their packets."""
 
     def run(key, t):
-        base = int(key[0].as_py()) * (1 << 48) // buckets >> 32
-        rows, ids, packets, ats = [], [], [], []
-        for packet, highs, lows, at in zip(*(t[c].to_pylist() for c in ("packet", "highs", "lows", "at")), strict=True):
-            if highs is None:
-                rows.append((packet, lows, at, None))
+        base = _least_high(int(key[0].as_py()), buckets)
+        rows, ids, weights, packets, ats = [], [], [], [], []
+        for packet, highs, lows, at, folded in zip(*(t[c].to_pylist() for c in ("packet", "highs", "lows", "at", "folded")), strict=True):
+            if highs is None and lows is not None:
+                rows.append((packet, lows, at, None, folded))
                 continue
-            counts = np.frombuffer(highs, np.uint32)
-            high = np.repeat((np.arange(len(counts)) + base).astype(np.uint64), counts)
-            ids.append((high << LOW) | np.frombuffer(lows, np.uint32))
             packets.append(packet)
-            ats.append(np.frombuffer(at, np.uint16))
+            counts = np.frombuffer(highs or b"", np.uint32)
+            high = np.repeat((np.arange(len(counts)) + base).astype(np.uint64), counts)
+            cold = (high << LOW) | np.frombuffer(lows or b"", np.uint32)
+            k = len(folded) // 12
+            ids.append(np.concatenate([cold, np.frombuffer(folded, np.uint64, k)]))
+            weights.append(np.concatenate([np.ones(len(cold), np.uint32), np.frombuffer(folded, np.uint32, k, 8 * k)]))
+            ats.append(np.concatenate([np.frombuffer(at or b"", positions), np.zeros(k, positions)]))
         if ids:
-            sizes = [len(x) for x in ids]
-            of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-            ids, ats = np.concatenate(ids), np.concatenate(ats)
+            of = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+            ids, weights, ats = np.concatenate(ids), np.concatenate(weights), np.concatenate(ats)
             order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            new = np.concatenate([[True], ids[1:] != ids[:-1]])
-            starts = np.flatnonzero(new)
-            counts = np.diff(np.append(starts, len(ids)))
-            each = np.repeat(counts, counts)
+            ids, weights = ids[order], weights[order]
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            each = np.repeat(np.add.reduceat(weights, starts, dtype=np.int64), np.diff(np.append(starts, len(ids))))
             shared = each > 1
-            ids, of, ats, each = ids[shared], of[order][shared], ats[order][shared], np.minimum(each[shared], 65_535).astype(np.uint16)
+            ids, folds, of, ats, each = ids[shared], weights[shared] > 1, of[order][shared], ats[order][shared], np.minimum(each[shared], 65_535).astype(np.uint16)
             order = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[order], np.arange(len(packets) + 1))
             for i, packet in enumerate(packets):
                 own = order[cuts[i] : cuts[i + 1]]
                 if len(own):
+                    once, own = own[folds[own]], own[~folds[own]]
                     x = ids[own]
-                    rows.append((packet, x.astype(np.uint32).tobytes() + (x >> LOW).astype(np.uint16).tobytes(), ats[own].tobytes(), each[own].tobytes()))
-        return pa.Table.from_batches([_table(rows, names, [pa.int64(), pa.binary(), pa.binary(), pa.binary()])])
+                    rows.append((packet, x.astype(np.uint32).tobytes() + (x >> LOW).astype(np.uint16).tobytes(), ats[own].tobytes(), each[own].tobytes(), ids[once].tobytes() + each[once].tobytes()))
+        return pa.Table.from_batches([_table(rows, ["packet", "ids", "at", "counts", "folded"], [pa.int64(), *[pa.binary()] * 4])])
 
     return run
 
@@ -235,19 +265,26 @@ def signatures(ids: np.ndarray, counts: np.ndarray, n: int, percent: int) -> np.
     return np.unique(np.concatenate(out))
 
 
-def _assemble(percent: int):
+def _assemble(percent: int, positions: np.dtype):
     """In a packet: its sets that may have links, with shared shingles and signatures."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, ats, counts, meta = [], [], [], None
-        for x, at, c in zip(*(t[c].to_pylist() for c in ("ids", "at", "counts")), strict=True):
+        ids, ats, counts, meta, often = [], [], [], None, []
+        for x, at, c, folded in zip(*(t[c].to_pylist() for c in ("ids", "at", "counts", "folded")), strict=True):
             if c is None:
-                meta = (np.frombuffer(x, np.uint64), np.frombuffer(at, np.uint32).astype(np.int64))
+                meta = (np.frombuffer(x, np.uint64), np.frombuffer(at, np.uint32).astype(np.int64), *pickle.loads(folded))
                 continue
-            k = len(at) // 2
-            ids.append((np.frombuffer(x[4 * k :], np.uint16).astype(np.uint64) << LOW) | np.frombuffer(x[: 4 * k], np.uint32))
-            ats.append(np.frombuffer(at, np.uint16))
+            k = len(c) // 2
+            ids.append((np.frombuffer(x, np.uint16, k, 4 * k).astype(np.uint64) << LOW) | np.frombuffer(x, np.uint32, k))
+            ats.append(np.frombuffer(at, positions))
             counts.append(np.frombuffer(c, np.uint16))
+            k = len(folded) // 10
+            often.append((np.frombuffer(folded, np.uint64, k), np.frombuffer(folded, np.uint16, k, 8 * k)))
+        if often and len(meta[2]):  # every folded shingle is shared, so all of them came back
+            shingle, count = (np.concatenate([x[i] for x in often]) for i in (0, 1))
+            ids.append(np.repeat(meta[2], meta[3]))
+            counts.append(np.repeat(count[np.argsort(shingle)], meta[3]))
+            ats.append(meta[4])
         out = []
         if ids:
             ids, ats, counts = map(np.concatenate, (ids, ats, counts))
@@ -357,10 +394,11 @@ def _index(docs: DataFrame, scratch: Scratch, n: int, percent: int, text: str) -
     ship(spark)
     texts = docs.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
-    packed = texts.mapInArrow(_forward("text", n, buckets), _PACKED)
-    shared = packed.groupBy("bucket").applyInArrow(_tally(buckets), "packet long, ids binary, at binary, counts binary")
-    raw = shared.groupBy("packet").applyInArrow(_assemble(percent), "packet long, set_id long, n long, ids array<long>, signs array<long>")
+    packet, buckets = packing(size, PACKET, BUCKET_BYTES, shuffle_partitions(spark))
+    positions = np.dtype(np.uint16 if packet < 2 * PACKET else np.uint32)
+    packed = texts.mapInArrow(_forward("text", n, percent, packet, buckets, positions), _PACKED)
+    shared = packed.groupBy("bucket").applyInArrow(_tally(buckets, positions), _REPLY)
+    raw = shared.groupBy("packet").applyInArrow(_assemble(percent, positions), "packet long, set_id long, n long, ids array<long>, signs array<long>")
     raw = scratch.save(raw, "raw")
     once = raw.groupBy("set_id").agg(F.min("packet").alias("packet"))  # a set may come in several packets
     sets = scratch.save(raw.join(once, ["set_id", "packet"]).drop("packet"), "sets")

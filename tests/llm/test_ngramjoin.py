@@ -47,6 +47,30 @@ def test_families_with_every_index_class_and_tiles(spark, monkeypatch, n, percen
     assert result(df, n, percent) == components_by_brute_force(docs, n, percent)
 
 
+@pytest.mark.parametrize("packet", [2000, 9000])
+def test_shingles_that_all_texts_share_and_packets_of_any_size(spark, monkeypatch, packet):
+    """Boilerplate in every text, over many small packets; large packets have wide positions."""
+    monkeypatch.setattr(ngramjoin, "PACKET", 2000)
+    monkeypatch.setattr(ngramjoin, "packing", lambda size, own, bucket, least: (packet, 7))
+    docs = [(i, "all texts begin with these same eight words " + t) for i, t in families(5, 30, 6, 60, 5)] + [(9000 + i, "all texts begin with these same eight words") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert result(df, 4, 85) == components_by_brute_force(docs, 4, 85)
+
+
+def test_a_hot_shingle_is_one_entry_of_a_packet():
+    shingles, sets = np.full(5000, 7 << 40, np.uint64), np.arange(5000, dtype=np.uint16)
+    own = np.arange(1, 5001, dtype=np.uint64) << np.uint64(50)
+    rows, folded = ngramjoin._pack(np.concatenate([shingles, own]), np.concatenate([sets, sets]), 9)
+    assert sum(len(x[3]) for x in rows.values()) == 12 and sum(len(x[2] or b"") for x in rows.values()) == 2 * 5000
+    assert folded[0].tolist() == [7 << 24] and folded[1].tolist() == [5000] and sorted(folded[2].tolist()) == list(range(5000))
+
+
+@pytest.mark.parametrize("percent,least", [(85, 6), (80, 4), (50, 1), (100, np.inf)])
+def test_smaller_sets_have_no_links(percent, least):
+    assert ngramjoin.smallest_linked(percent) == least
+    assert all((100 * n >= percent * (n + 1)) == (n >= least) for n in range(1, 50))
+
+
 def test_link_counts_of_families(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "TILE_BLOCK", 8)
     docs = families(7, 4, 30, 120, 10)
