@@ -22,14 +22,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.textkernel import spans
 from tessera.plans.runtime import ship
 
-#: Texts handed to the tokenizer at once, in bytes, to bound a worker's memory.
-SLICE_BYTES = 1 << 20
+#: Texts handed to the tokenizer at once, in bytes: what they become stays in the cache.
+SLICE_BYTES = 1 << 16
 
 
 @lru_cache(1)
@@ -147,15 +149,9 @@ def _shared(df: DataFrame, path: str, pattern: str):
     return get
 
 
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    first, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
-            yield first, i
-            first, held = i, 0
-        held += int(n)
-    if first < len(sizes):
-        yield first, len(sizes)
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of at most SLICE_BYTES; a longer text stands alone."""
+    yield from spans(np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))]), SLICE_BYTES)
 
 
 def _over_batches(df: DataFrame, fields: list[T.StructField], work, dropped: set[str]) -> DataFrame:
@@ -184,7 +180,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_offs
     def work(batch: pa.RecordBatch, kept: list[str]):
         codec = shared()
         column = batch.column(text).fill_null("")
-        for a, z in _slices(np.array([len(x) for x in column.to_pylist()])):
+        for a, z in _slices(column):
             texts = column.slice(a, z - a).to_pylist()
             ids = codec.encode(texts)
             new = {"ids": pa.array(ids, pa.list_(pa.int32()))}
@@ -229,7 +225,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
         codec = shared()
         column = batch.column(text).fill_null("")
         n, of_ids, of_bytes = [], [], []
-        for a, z in _slices(np.array([len(x) for x in column.to_pylist()])):
+        for a, z in _slices(column):
             for ids in codec.encode(column.slice(a, z - a).to_pylist()):
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
