@@ -7,12 +7,14 @@ of sequences decide. Range partitions of slots are the shards: a sequence of any
 stands in shard ``slot // rows`` at byte ``slot % rows * stride``, so a reader can start
 at any slot and go on from there without an index.
 
-``materialise`` writes all shards a few at a time, each wave with a shuffle of its own that
-is freed before the next, and returns a row a sequence that tells of what stands in the file.
+``materialise`` writes all shards, a partition a run of whole shards, and returns a row a
+sequence that tells of what stands in the file. Sequences travel without their padding,
+which is added where they are written.
 
 Cases: a null or empty text makes no sequence; the last sequence of a text is filled with
-the padding id; rows that repeat make sequences of their own; without sequences there are
-no shards; other columns, whatever their names, are left alone.
+the padding id; a text of any length is cut into as many sequences as it takes; rows that
+repeat make sequences of their own; without sequences there are no shards; other columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytebpe import load_ranks
-from tessera.plans.runtime import Scratch, ship
+from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 
 ROUNDS = 4
 #: Sequence length in ids; ids are little-endian unsigned 16-bit integers.
@@ -38,8 +40,8 @@ LENGTH = 512
 SHARD_ROWS = 8192
 #: Ids that texts' tokens don't use.
 PADDING = 65_535
-#: Runs of shards that are shuffled and written one after another.
-WAVES = 6
+#: Shards that one task writes, at most.
+TASK_SHARDS = 32
 _SLICE = 64
 
 
@@ -70,7 +72,7 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def token_sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's sequences: the key, ``part`` (from 0), ``n_tokens`` without padding,
-    ``tokens`` (fixed-length binary), and ``task`` and ``row``, which number them all."""
+    ``tokens`` (binary), and ``task`` and ``row``, which number them all."""
     ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # a vocabulary's fixed size
     schema = docs.select(key).schema.add("part", "integer").add("n_tokens", "integer").add("tokens", "binary").add("task", "integer").add("row", "long")
@@ -91,7 +93,7 @@ def token_sequences(docs: DataFrame, path: str, pattern: str, length: int = LENG
                         at.append(i)
                         parts.append(k // length)
                         sizes.append(len(own))
-                        tokens.append(own.tobytes() + b"\xff\xff" * (length - len(own)))
+                        tokens.append(own.tobytes())
                 rows = np.arange(done, done + len(at))
                 done += len(at)
                 yield pa.RecordBatch.from_arrays(
@@ -129,12 +131,19 @@ def assign_slots(sequences: DataFrame, seed: int, shard_rows: int, length: int)
     return placed.withColumns(place), n
 
 
+def _in_ranges(placed: DataFrame, n: int, shard_rows: int) -> DataFrame:
+    """Partitions that are ranges of slots, each of whole shards, in order."""
+    count = max(1, -(-n // shard_rows))
+    run = min(TASK_SHARDS, max(1, count // (4 * shuffle_partitions(placed.sparkSession))))
+    return placed.repartitionById(-(-count // run), F.floor(F.col("shard") / run).cast("int")).sortWithinPartitions("slot")
+
+
 def in_training_order(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: str = "doc_id") -> DataFrame:
-    """All sequences in range partitions of slots, each shard's rows together and ordered."""
+    """All sequences, ``tokens`` with their padding, in range partitions of slots."""
     scratch = Scratch(docs.sparkSession, "order")
     sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences")
     placed, n = assign_slots(sequences, seed, shard_rows, length)
-    return placed.repartitionByRange(max(1, math.ceil(n / shard_rows)), "slot").sortWithinPartitions("slot")
+    return _in_ranges(placed, n, shard_rows).withColumn("tokens", F.rpad("tokens", 2 * length, F.lit(b"\xff")))
 
 
 def _store(folder: str):
@@ -181,7 +190,7 @@ def _written(ordered: DataFrame, folder: str, length: int) -> DataFrame:
                 some = batch.slice(a, z - a)
                 if some.column("offset").to_pylist() != list(range(done, done + stride * (z - a), stride)):
                     raise ValueError(f"shard {number} has gaps or is out of order")
-                f.write(b"".join(x.as_py() for x in tokens.slice(a, z - a)))
+                f.write(b"".join(x.as_py().ljust(stride, b"\xff") for x in tokens.slice(a, z - a)))
                 done += stride * (z - a)
                 rows.append(some.select(names))
         if f is not None:
@@ -196,24 +205,14 @@ def materialise(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131
     ``slot``, ``shard`` and ``offset``, ``tokens_sha256`` of its bytes as read back from the
     file, ``shard_file`` and ``shard_bytes``.
 
-    A partition is the range of slots of one shard, so a shard is written where it lands.
+    A partition is a range of slots of whole shards, so a shard is written where it lands.
     """
     scratch = Scratch(docs.sparkSession, "order")
     sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences", "zstd")
     placed, n = assign_slots(sequences, seed, shard_rows, length)
-    count = -(-n // shard_rows)
-    wave = max(1, -(-count // WAVES))
-    found = []
-    for lo in range(0, max(1, count), wave):
-        own = placed.where((F.col("shard") >= lo) & (F.col("shard") < lo + wave))
-        ordered = own.repartitionById(max(1, min(wave, count - lo)), F.col("shard") - lo).sortWithinPartitions("slot")
-        found.append(scratch.save(_written(ordered, f"{scratch.base}/shards", length), f"rows-{lo}"))
-        del own, ordered
+    found = scratch.save(_written(_in_ranges(placed, n, shard_rows), f"{scratch.base}/shards", length), "rows")
     scratch.drop("sequences")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("tokens_sha256", F.lower(F.hex("tokens_sha256")))
+    return found.withColumn("tokens_sha256", F.lower(F.hex("tokens_sha256")))
 
 
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
