@@ -4,10 +4,13 @@ A tree has regions, racks and shards. A row descends it level by level: each chi
 ``ln(u) / weight`` with ``u`` a hash of the row's key and the child's name, and the highest
 draw wins. A child's share is its weight's share. A weight that changes moves rows only
 into or out of the subtrees whose weights change: the other children's draws stay as they
-were. A shard that is added as a new region therefore takes rows only into itself.
+were. Shards beyond those that a store was built with are regions of their own, so each of
+them takes rows only into itself, and how many shards there are decides alone where a key
+is, whether a store was made with them or grew to them.
 
-Cases: a null or empty text has size 8 and checksum 0; a null key is a key of its own;
-rows that repeat go to one shard, in slots next to each other; an empty table stays empty.
+Cases: a null or empty text has size 8 and checksum 0, a long one counts with all its bytes;
+a null key is a key of its own; rows that repeat go to one shard, in slots next to each
+other; an empty table stays empty; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -41,14 +44,22 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own_weight
 
 
-def tree(shards: int, shards_a_rack: int = 4, racks_a_region: int = 2, weights: dict[int, float] | None = None) -> Node:
-    """Shards dealt to racks and racks to regions in order of their numbers; the last rack
-    and region may be part full. Names don't depend on how many shards there are."""
+#: Shards that a store is built with: those after them are regions of their own.
+BUILT = 24
+
+
+def tree(shards: int, shards_a_rack: int = 4, racks_a_region: int = 2, weights: dict[int, float] | None = None, built: int = BUILT) -> Node:
+    """The first ``built`` shards dealt to racks and racks to regions in order of their
+    numbers, where the last rack and region may be part full; then one region a shard.
+    Names don't depend on how many shards there are."""
     weights = weights or {}
-    leaves = [Node(f"shard{i}", weights.get(i, 1.0), i) for i in range(shards)]
-    racks = [Node(f"rack{i // shards_a_rack}", children=tuple(leaves[i : i + shards_a_rack])) for i in range(0, shards, shards_a_rack)]
+    leaves = [Node(f"shard{i}", weights.get(i, 1.0), i) for i in range(min(shards, built))]
+    racks = [Node(f"rack{i // shards_a_rack}", children=tuple(leaves[i : i + shards_a_rack])) for i in range(0, len(leaves), shards_a_rack)]
     regions = [Node(f"region{i // racks_a_region}", children=tuple(racks[i : i + racks_a_region])) for i in range(0, len(racks), racks_a_region)]
-    return Node("root", children=tuple(regions))
+    root = Node("root", children=tuple(regions))
+    for i in range(built, shards):
+        root = grown(root, i, weights.get(i, 1.0))
+    return root
 
 
 def grown(root: Node, shard: int, weight: float = 1.0) -> Node:

@@ -72,6 +72,69 @@ def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
     assert {r.b for r in grown.where("a <> b").collect()} == {24}
 
 
+def test_trees_of_more_shards_are_grown_ones_and_only_the_new_shard_gains(spark):
+    df = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    for n in range(24, 27):
+        df = hashtree.place(df, hashtree.tree(n), "doc_id", f"s{n}")
+    df = hashtree.place(hashtree.place(df, hashtree.grown(hashtree.tree(24), 24), "doc_id", "g25"), hashtree.grown(hashtree.tree(25), 25), "doc_id", "g26")
+    rows = df.collect()
+    assert all(r.g25 == r.s25 and r.g26 == r.s26 for r in rows)
+    for a, b in ((24, 25), (25, 26)):
+        moved = [r[f"s{b}"] for r in rows if r[f"s{a}"] != r[f"s{b}"]]
+        assert set(moved) == {a} and len(moved) / len(rows) == pytest.approx(1 / b, rel=0.15)
+
+
+def test_query_equals_a_plain_descent(spark, sf_dir):
+    """The tree as nested lists, descended key by key with Spark's hash in plain code."""
+
+    def rotate(x, n):
+        return (x << n | x >> 64 - n) & M
+
+    M, P1, P2, P3, P4, P5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+    def xxh64(data, seed):
+        at, n = 0, len(data)
+        if n >= 32:
+            v = [(seed + P1 + P2) & M, (seed + P2) & M, seed, (seed - P1) & M]
+            while at + 32 <= n:
+                for k in range(4):
+                    v[k] = rotate((v[k] + int.from_bytes(data[at + 8 * k : at + 8 * k + 8], "little") * P2) & M, 31) * P1 & M
+                at += 32
+            h = (rotate(v[0], 1) + rotate(v[1], 7) + rotate(v[2], 12) + rotate(v[3], 18)) & M
+            for x in v:
+                h = ((h ^ rotate(x * P2 & M, 31) * P1 & M) * P1 + P4) & M
+        else:
+            h = (seed + P5) & M
+        h = (h + n) & M
+        while at + 8 <= n:
+            h = (rotate(h ^ rotate(int.from_bytes(data[at : at + 8], "little") * P2 & M, 31) * P1 & M, 27) * P1 + P4) & M
+            at += 8
+        if at + 4 <= n:
+            h = (rotate(h ^ int.from_bytes(data[at : at + 4], "little") * P1 & M, 23) * P2 + P3) & M
+            at += 4
+        for b in data[at:]:
+            h = rotate(h ^ b * P5 & M, 11) * P1 & M
+        h = (h ^ h >> 33) * P2 & M
+        h = (h ^ h >> 29) * P3 & M
+        return h ^ h >> 32
+
+    def draw(key, name, weight):
+        h = xxh64(name.encode(), xxh64(key.encode(), 42))
+        return math.log(((h >> 12) + 0.5) / 2**52) / weight
+
+    def descend(key, node):
+        name, children = node
+        if isinstance(children, int):
+            return children
+        weigh = lambda n: 1.0 if isinstance(n[1], int) else sum(map(weigh, n[1]))
+        return descend(key, max(children, key=lambda c: draw(key, c[0], weigh(c))))
+
+    regions = [(f"region{g}", [(f"rack{2 * g + k}", [(f"shard{8 * g + 4 * k + i}", 8 * g + 4 * k + i) for i in range(4)]) for k in range(2)]) for g in range(3)]
+    more = [*regions, ("region-of-shard24", [("rack-of-shard24", [("shard24", 24)])])]
+    for r in op7_hash_tree(spark, sf_dir).collect():
+        assert (r.shard, r.grown_shard) == (descend(str(r.doc_id), ("root", regions)), descend(str(r.doc_id), ("root", more)))
+
+
 def test_sharding_nulls_repeats_and_many_parts(spark, monkeypatch):
     monkeypatch.setattr(hashtree, "ROWS_A_PART", 7)
     rows = [(n % 90, "t" * (n % 5) if n % 7 else None, "x") for n in range(200)] + [(None, "a", "y")]
@@ -132,7 +195,7 @@ def test_training_order_query_writes_every_shard(spark, sf_dir, monkeypatch):
     import os
     from urllib.parse import urlparse
 
-    monkeypatch.setattr(shards, "WAVES", 3)
+    monkeypatch.setattr(shards, "TASK_SHARDS", 3)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = P.path("byte_bpe_50k.tiktoken")
     plain = {r.slot: r for r in shards.in_training_order(docs, path, P.PATTERN).collect()}
