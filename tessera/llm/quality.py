@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.labelled import add_scores, pieces, sigmoid, training_sample
+from tessera.llm.labelled import add_scores, features_of, sigmoid, training_features
 from tessera.llm.textkernel import byte_grams, distinct_by_row, row_sums, word_hashes
 
 BITS = 18
@@ -111,14 +111,16 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: pa.ChunkedArray, labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 1) -> Model:
-    """A model for labels 0 and 1; every fifth row only calibrates."""
+    """A model of texts with labels 0 and 1."""
+    return fit_rows(*(features_of(texts, grams) if len(labels) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))), labels, cost, epochs, seed)
+
+
+def fit_rows(buckets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 1) -> Model:
+    """A model of rows given by their buckets; every fifth row only calibrates."""
     size = FEATURES
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1.0) / (len(labels) + 2.0)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, float(np.log(share / (1 - share))))
-    parts = [grams(d, o) for d, o in pieces(texts)]
-    buckets = np.concatenate([b for b, _ in parts])
-    sizes = np.concatenate([np.diff(f) for _, f in parts])
     first = np.concatenate([[0], np.cumsum(sizes)])
     left_out = np.random.default_rng(seed).permutation(len(labels)) % 5 == 0
     if len(labels) < 50 or len(set(labels[left_out])) < 2 or len(set(labels[~left_out])) < 2:
@@ -141,6 +143,6 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, cost: float = 1.0, epochs: i
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
     """Add ``score`` and ``predicted`` to all documents."""
-    model = fit(*training_sample(docs, labels, "quality", sample))
+    model = fit_rows(*training_features(docs, labels, "quality", sample, grams))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     return add_scores(docs, lambda: shared.value.scores, threshold, keep_text=keep_text)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.labelled import add_scores, pieces, sigmoid, training_sample
+from tessera.llm.labelled import add_scores, features_of, sigmoid, training_features
 from tessera.llm.textkernel import distinct_by_row, row_sums, stem_hashes
 
 BITS = 18
@@ -75,13 +75,15 @@ def bearing(held: np.ndarray, held_toxic: np.ndarray, toxic: float, texts: float
     return 2 * (part(held_toxic, held * share) + part(clean, held * (1 - share)) + part(without_toxic, without * share) + part(without - without_toxic, without * (1 - share)))
 
 
-def fit(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.3, decay: float = 1e-4, seed: int = 1) -> Machine:
-    """A machine for labels 0 and 1."""
+def fit(texts: pa.ChunkedArray, labels: np.ndarray, **settings) -> Machine:
+    """A machine for texts with labels 0 and 1."""
+    return fit_rows(*(features_of(texts, terms) if len(labels) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))), labels, **settings)
+
+
+def fit_rows(buckets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.3, decay: float = 1e-4, seed: int = 1) -> Machine:
+    """A machine for rows given by their buckets."""
     if not len(labels) or labels.min() == labels.max():
         return constant(labels)
-    parts = [terms(d, o) for d, o in pieces(texts)]
-    buckets = np.concatenate([b for b, _ in parts])
-    sizes = np.concatenate([np.diff(f) for _, f in parts])
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     held = np.bincount(buckets, minlength=1 << BITS).astype(np.float64)
     held_toxic = np.bincount(buckets, labels[row], minlength=1 << BITS)
@@ -124,6 +126,6 @@ def fit(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 10, batch: int
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5, keep_text: bool = False) -> DataFrame:
     """Add ``score`` and ``predicted`` to all documents."""
-    machine = fit(*training_sample(docs, labels, "toxic", sample))
+    machine = fit_rows(*training_features(docs, labels, "toxic", sample, terms))
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
     return add_scores(docs, lambda: shared.value.scores, threshold, keep_text=keep_text)
