@@ -5,8 +5,13 @@ written as characters by the usual reversible table (printable Latin-1 bytes sta
 themselves, the rest for code points from 256 on), so that a string library can merge
 bytes; decoding reverses the table.
 
+A pattern parts a text into pieces that are merged each by itself. Pieces of ``SPLIT``, the
+usual pattern, are found for a whole batch at once from the characters' classes, which the
+library's own expressions tell; the library then encodes each different piece, and a worker
+remembers the pieces it met. Other patterns are left to the library.
+
 Cases: a null or empty text has no ids and decodes to no bytes; special-token strings in a
-text are ordinary text; texts are never cut; repeated rows give repeated results; other
+text are ordinary text; texts of any length are never cut; repeated rows give repeated results; other
 columns pass through, and where one has the name of a new column the new one replaces it.
 """
 
@@ -22,16 +27,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.textkernel import spans
+from tessera.llm.labelled import pieces
+from tessera.llm.textkernel import span_hashes
 from tessera.plans.runtime import ship
 
-#: Texts handed to the tokenizer at once, in bytes: what they become stays in the cache.
-SLICE_BYTES = 1 << 16
+#: Fixed value: the pattern of the published vocabularies of this kind.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Classes of characters; all others are 0.
+LETTER, NUMBER, SPACE = 1, 2, 3
+#: Pieces, and bytes of pieces, that a worker remembers before it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 16 << 20
+#: Rows whose ids are one Arrow batch.
+SLICE = 256
 
 
 @lru_cache(1)
@@ -87,24 +98,143 @@ def tokenizer_json(path: str, pattern: str) -> str:
     return made.to_str()
 
 
+@lru_cache(1)
+def character_classes() -> np.ndarray:
+    """The class of each code point, as the library's expressions have it."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out, block = np.zeros(0x110000, np.uint8), 2048
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        rest = pre_tokenizers.Split(Regex(pattern), "removed")
+        for a in range(0, len(out), block):
+            if not 0xD800 <= a < 0xE000:  # surrogates are no characters
+                hit = np.ones(block, bool)
+                for _, (x, y) in rest.pre_tokenize_str("".join(map(chr, range(a, a + block)))):
+                    hit[x:y] = False
+                out[a : a + block][hit] = kind
+    return out
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of characters whose UTF-8 begins at ``at``."""
+    wide = np.concatenate([data, np.zeros(3, np.uint8)])
+    b0, b1, b2, b3 = (wide[at + n].astype(np.int32) for n in range(4))
+    low = lambda b: b & 0x3F
+    long = np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | low(b1) << 6 | low(b2), (b0 & 0x07) << 18 | low(b1) << 12 | low(b2) << 6 | low(b3))
+    return np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | low(b1), long))
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where in the rows' UTF-8 bytes the pieces of ``SPLIT`` begin.
+
+    A piece is a run of characters of one class, with the blank before it if there is one.
+    Of a run of white space the last character is a piece of its own or that blank, unless
+    the text ends there. An apostrophe by itself takes the ending after it.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # characters
+    if not len(at):
+        return at
+    lead = data[at]
+    kind = classes[:256][lead]
+    high = np.flatnonzero(lead >= 0x80)
+    kind[high] = classes[_code_points(data, at[high])]
+    row = np.zeros(len(at) + 1, bool)  # where a row begins, or the bytes end
+    row[np.searchsorted(at, offsets)] = True
+    change = row.copy()
+    change[1:-1] |= kind[1:] != kind[:-1]
+    blank_before = np.zeros(len(at), bool)
+    blank_before[1:] = lead[:-1] == 0x20
+    blank_before &= ~row[:-1]
+    space = kind == SPACE
+    start = change[:-1] & (space | ~blank_before)
+    start |= space & change[1:] & ~row[1:]
+    mark = np.flatnonzero(change[:-1] & ~blank_before & (lead == 0x27) & change[1:] & ~row[1:])
+    if len(mark):
+        ends = np.append(lead, np.uint8(0))
+        one, two = ends[mark + 1], np.where(row[np.minimum(mark + 2, len(at))], 0, ends[np.minimum(mark + 2, len(at))])
+        pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, np.where(pair, 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        after = mark + 1 + size
+        start[after[~change[after]]] = True  # the rest of the letters
+    return at[start]
+
+
 class Codec:
-    """Encodes and decodes in one process, from a tokenizer's serialised form."""
+    """Encodes and decodes in one process, from a tokenizer's serialised form, and with
+    characters' classes if its pattern is ``SPLIT``."""
 
-    def __init__(self, serialised: str):
+    def __init__(self, serialised: str, classes: np.ndarray | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(serialised)
+        self.tokenizer, self.classes = Tokenizer.from_str(serialised), classes
+        if classes is not None:  # what it gets are pieces
+            self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocab = json.loads(serialised)["model"]["vocab"]
         back = character_bytes()
         self.token_bytes: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(back[c] for c in token)
         self.token_lengths = np.array([len(t) for t in self.token_bytes], dtype=np.int64)
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.known_bytes, self.ids, self.first = 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _merged(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged_pieces(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has: their bytes end where it ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([[x.decode() for x in found]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        past = np.searchsorted(np.cumsum(self.token_lengths[ids]), np.cumsum([len(x) for x in found])) + 1
+        return ids, np.diff(past, prepend=0)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.classes is None:
+            return self._merged(texts)
+        return [x.tolist() for data, offsets in pieces(pa.array(texts, pa.string())) for x in self.rows(data, offsets)]
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each row of UTF-8 bytes."""
+        raw = data.tobytes()
+        if self.classes is None:
+            return [np.array(x, np.int32) for x in self._merged([raw[a:z].decode() for a, z in zip(offsets, offsets[1:], strict=False)])]
+        start = pieces_of(data, offsets, self.classes)
+        if not len(start):
+            return [np.zeros(0, np.int32)] * (len(offsets) - 1)
+        end = np.append(start[1:], len(data))
+        _, some, each = np.unique(span_hashes(data, start, end, lower=False), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED or self.known_bytes > REMEMBERED_BYTES:
+            self._forget()
+        own = [raw[a:z] for a, z in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+        if new := [x for x in own if x not in self.known]:
+            ids, counts = self._merged_pieces(new)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.known_bytes += sum(map(len, new))
+            self.ids = np.concatenate([self.ids, ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))[each]
+        counts = self.first[place + 1] - self.first[place]
+        done = np.concatenate([[0], np.cumsum(counts)])
+        flat = self.ids[np.repeat(self.first[place] - done[:-1], counts) + np.arange(done[-1])]
+        cuts = done[np.searchsorted(start, offsets)]
+        found = [flat[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+        return found
+
+    def exact(self, ids: np.ndarray, text: bytes) -> tuple[np.ndarray, bytes]:
+        """The ids and their bytes; if these are not the text's, as two pieces of a batch had
+        one hash, ids from its pieces one by one."""
+        decoded = self.decode(ids.tolist())
+        if decoded != text and self.classes is not None:
+            at = pieces_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), self.classes).tolist()
+            ids, _ = self._merged_pieces([text[a:z] for a, z in zip(at, [*at[1:], len(text)], strict=True)])
+            decoded = self.decode(ids.tolist())
+        return ids, decoded
+
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-end character of each token; a token that has part of a
         character's bytes covers that character."""
@@ -133,25 +263,29 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _shared(df: DataFrame, path: str, pattern: str):
+def shared_codec(df: DataFrame, path: str, pattern: str):
     """What gives a process its codec; the serialised tokenizer travels as a broadcast of
-    the vocabulary's fixed size."""
+    the vocabulary's fixed size, and the classes as one of the code points' number."""
     spark = df.sparkSession
     ship(spark)
     serialised = tokenizer_json(path, pattern)
-    key, sent = hashlib.sha256(serialised.encode()).hexdigest(), spark.sparkContext.broadcast(serialised)
+    key = hashlib.sha256(serialised.encode()).hexdigest()
+    sent = spark.sparkContext.broadcast((serialised, character_classes() if pattern == SPLIT else None))
 
     def get() -> Codec:
         if key not in _codecs:
-            _codecs[key] = Codec(sent.value)
+            _codecs[key] = Codec(*sent.value)
         return _codecs[key]
 
     return get
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of whole texts of at most SLICE_BYTES; a longer text stands alone."""
-    yield from spans(np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))]), SLICE_BYTES)
+def encoded_rows(codec: Codec, column: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Each text's ids, and the bytes that they decode to."""
+    for data, offsets in pieces(column):
+        raw, found = data.tobytes(), codec.rows(data, offsets)
+        for a, z, ids in zip(offsets.tolist(), offsets[1:].tolist(), found, strict=False):
+            yield codec.exact(ids, raw[a:z])
 
 
 def _over_batches(df: DataFrame, fields: list[T.StructField], work, dropped: set[str]) -> DataFrame:
@@ -171,24 +305,22 @@ def _over_batches(df: DataFrame, fields: list[T.StructField], work, dropped: set
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
     """Add ``ids`` (array of int) and, if asked for, ``token_start`` and ``token_end`` in
     characters."""
-    shared = _shared(df, path, pattern)
+    shared = shared_codec(df, path, pattern)
     ints = T.ArrayType(T.IntegerType())
     fields = [T.StructField("ids", ints)]
     if with_offsets:
         fields += [T.StructField("token_start", ints), T.StructField("token_end", ints)]
+    lists = lambda found: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
 
     def work(batch: pa.RecordBatch, kept: list[str]):
         codec = shared()
-        column = batch.column(text).fill_null("")
-        for a, z in _slices(column):
-            texts = column.slice(a, z - a).to_pylist()
-            ids = codec.encode(texts)
-            new = {"ids": pa.array(ids, pa.list_(pa.int32()))}
+        for a in range(0, len(batch), SLICE):
+            part = batch.slice(a, SLICE)
+            ids = [x for x, _ in encoded_rows(codec, part.column(text))]
+            new = {"ids": lists(ids)}
             if with_offsets:
-                found = [codec.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
-                new["token_start"] = pa.array([f[0] for f in found], pa.list_(pa.int32()))
-                new["token_end"] = pa.array([f[1] for f in found], pa.list_(pa.int32()))
-            part = batch.slice(a, z - a)
+                found = [codec.offsets(t or "", x) for t, x in zip(part.column(text).to_pylist(), ids, strict=True)]
+                new["token_start"], new["token_end"] = (lists([f[n] for f in found]) for n in (0, 1))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *new.values()], [*kept, *new])
 
     return _over_batches(df, fields, work, set())
@@ -196,7 +328,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_offs
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (the bytes) and ``decoded_text`` (bytes that are no UTF-8 replaced)."""
-    shared = _shared(df, path, pattern)
+    shared = shared_codec(df, path, pattern)
     fields = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
 
     def work(batch: pa.RecordBatch, kept: list[str]):
@@ -214,7 +346,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     Both directions in one pass, so that ids need not travel between processes.
     """
-    shared = _shared(df, path, pattern)
+    shared = shared_codec(df, path, pattern)
     fields = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
@@ -223,13 +355,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def work(batch: pa.RecordBatch, kept: list[str]):
         codec = shared()
-        column = batch.column(text).fill_null("")
         n, of_ids, of_bytes = [], [], []
-        for a, z in _slices(column):
-            for ids in codec.encode(column.slice(a, z - a).to_pylist()):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        for ids, decoded in encoded_rows(codec, batch.column(text)):
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            of_bytes.append(hashlib.sha256(decoded).hexdigest())
         new = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *new], [*kept, *(f.name for f in fields)])
 

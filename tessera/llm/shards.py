@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytebpe import load_ranks
-from tessera.plans.runtime import Scratch, ship, shuffle_partitions
+from tessera.llm.bytebpe import encoded_rows, shared_codec
+from tessera.plans.runtime import Scratch, shuffle_partitions
 
 ROUNDS = 4
 #: Sequence length in ids; ids are little-endian unsigned 16-bit integers.
@@ -42,7 +42,7 @@ SHARD_ROWS = 8192
 PADDING = 65_535
 #: Shards that one task writes, at most.
 TASK_SHARDS = 32
-_SLICE = 64
+_SLICE = 256
 
 
 def feistel(x: np.ndarray, key: int, bits: int) -> np.ndarray:
@@ -73,21 +73,17 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def token_sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's sequences: the key, ``part`` (from 0), ``n_tokens`` without padding,
     ``tokens`` (binary), and ``task`` and ``row``, which number them all."""
-    ship(docs.sparkSession)
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # a vocabulary's fixed size
+    shared = shared_codec(docs, path, pattern)
     schema = docs.select(key).schema.add("part", "integer").add("n_tokens", "integer").add("tokens", "binary").add("task", "integer").add("row", "long")
 
     def run(batches):
-        import tiktoken
-
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        task, done = TaskContext.get().partitionId(), 0
+        codec, task, done = shared(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, len(batch), _SLICE):
                 some = batch.slice(a, _SLICE)
                 at, parts, sizes, tokens = [], [], [], []
-                for i, t in enumerate(some.column(text).to_pylist()):
-                    ids = np.array(encoding.encode_ordinary(t), dtype="<u2") if t else np.zeros(0, "<u2")
+                for i, (ids, _) in enumerate(encoded_rows(codec, some.column(text))):
+                    ids = ids.astype("<u2")
                     for k in range(0, len(ids), length):
                         own = ids[k : k + length]
                         at.append(i)

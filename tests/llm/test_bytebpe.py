@@ -43,6 +43,50 @@ def test_same_ids_as_tiktoken_and_exact_round_trip(codec, reference):
         assert "".join(codec.decode_stream(ids)) == text
 
 
+@pytest.fixture(scope="module")
+def fast():
+    assert P.PATTERN == bytebpe.SPLIT
+    return bytebpe.Codec(bytebpe.tokenizer_json(PATH, P.PATTERN), bytebpe.character_classes())
+
+
+def test_pieces_equal_the_patterns(fast):
+    """Many short texts at once, so that rows' ends and the pieces' rules meet in all ways."""
+    import regex
+
+    r, parts = random.Random(11), [*PIECES, "s", "t", "re", "ve", "l", "ll", "d", "m", "'", "''", "1", "12", ".", "\u3000", " \n", "L"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(20_000)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    start = bytebpe.pieces_of(data, offsets, fast.classes).tolist()
+    got = [data[a:z].tobytes().decode() for a, z in zip(start, [*start[1:], len(data)], strict=True)]
+    assert got == [x for t in texts for x in regex.findall(P.PATTERN, t)]
+
+
+def test_remembered_pieces_give_tiktokens_ids(fast, reference, monkeypatch):
+    monkeypatch.setattr(bytebpe, "REMEMBERED", 50)
+    r = random.Random(12)
+    for _ in range(20):
+        texts = ["".join(r.choice([*PIECES, "word", " the", "ing"]) for _ in range(r.randint(0, 30))) for _ in range(100)]
+        assert fast.encode(texts) == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_pieces_of_one_hash_are_told_apart(fast, reference, monkeypatch):
+    monkeypatch.setattr(bytebpe, "span_hashes", lambda data, a, z, lower: np.zeros(len(a), np.uint64))
+    fast._forget()
+    texts = ["the cat", "the the", "a b c"]
+    column = __import__("pyarrow").array(texts)
+    for t, (ids, decoded) in zip(texts, bytebpe.encoded_rows(fast, column), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(t) and decoded == t.encode()
+    fast._forget()
+
+
+def test_another_pattern_is_the_librarys(spark):
+    df = spark.createDataFrame([(1, "a bc 12"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in bytebpe.encode(df, PATH, r"\S+|\s+", with_offsets=True).collect()}
+    assert rows[2].ids == [] and rows[1].token_end[-1] == 7
+
+
 def test_offsets_cover_split_characters(codec):
     text = "né 🙂x"
     ids = codec.encode([text])[0]
