@@ -8,8 +8,10 @@ stands in shard ``slot // rows`` at byte ``slot % rows * stride``, so a reader c
 at any slot and go on from there without an index.
 
 ``materialise`` writes all shards, a partition a run of whole shards, and returns a row a
-sequence that tells of what stands in the file. Sequences travel without their padding,
-which is added where they are written.
+sequence that tells of what stands in the file. It does so in a few waves, each with a
+shuffle of its own that is freed before the next, so that no time sees all sequences twice
+on disk beside the shards. Sequences travel without their padding, which is added where
+they are written.
 
 Cases: a null or empty text makes no sequence; the last sequence of a text is filled with
 the padding id; a text of any length is cut into as many sequences as it takes; rows that
@@ -30,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytebpe import encoded_rows, shared_codec
-from tessera.plans.runtime import Scratch, shuffle_partitions
+from tessera.llm.bytebpe import load_ranks
+from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 
 ROUNDS = 4
 #: Sequence length in ids; ids are little-endian unsigned 16-bit integers.
@@ -40,9 +42,9 @@ LENGTH = 512
 SHARD_ROWS = 8192
 #: Ids that texts' tokens don't use.
 PADDING = 65_535
-#: Shards that one task writes, at most.
-TASK_SHARDS = 32
-_SLICE = 256
+#: Shards that one task writes, at most; runs of shards that are shuffled one after another.
+TASK_SHARDS, WAVES = 32, 4
+_SLICE = 64
 
 
 def feistel(x: np.ndarray, key: int, bits: int) -> np.ndarray:
@@ -73,17 +75,21 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def token_sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's sequences: the key, ``part`` (from 0), ``n_tokens`` without padding,
     ``tokens`` (binary), and ``task`` and ``row``, which number them all."""
-    shared = shared_codec(docs, path, pattern)
+    ship(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # a vocabulary's fixed size
     schema = docs.select(key).schema.add("part", "integer").add("n_tokens", "integer").add("tokens", "binary").add("task", "integer").add("row", "long")
 
     def run(batches):
-        codec, task, done = shared(), TaskContext.get().partitionId(), 0
+        import tiktoken
+
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a in range(0, len(batch), _SLICE):
                 some = batch.slice(a, _SLICE)
                 at, parts, sizes, tokens = [], [], [], []
-                for i, (ids, _) in enumerate(encoded_rows(codec, some.column(text))):
-                    ids = ids.astype("<u2")
+                for i, t in enumerate(some.column(text).to_pylist()):
+                    ids = np.array(encoding.encode_ordinary(t), dtype="<u2") if t else np.zeros(0, "<u2")
                     for k in range(0, len(ids), length):
                         own = ids[k : k + length]
                         at.append(i)
@@ -127,11 +133,10 @@ def assign_slots(sequences: DataFrame, seed: int, shard_rows: int, length: int)
     return placed.withColumns(place), n
 
 
-def _in_ranges(placed: DataFrame, n: int, shard_rows: int) -> DataFrame:
-    """Partitions that are ranges of slots, each of whole shards, in order."""
-    count = max(1, -(-n // shard_rows))
+def _in_ranges(placed: DataFrame, first: int, count: int) -> DataFrame:
+    """Partitions that are ranges of slots, each of whole shards of ``count``, in order."""
     run = min(TASK_SHARDS, max(1, count // (4 * shuffle_partitions(placed.sparkSession))))
-    return placed.repartitionById(-(-count // run), F.floor(F.col("shard") / run).cast("int")).sortWithinPartitions("slot")
+    return placed.repartitionById(max(1, -(-count // run)), F.floor((F.col("shard") - first) / run).cast("int")).sortWithinPartitions("slot")
 
 
 def in_training_order(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: str = "doc_id") -> DataFrame:
@@ -139,7 +144,7 @@ def in_training_order(docs: DataFrame, path: str, pattern: str, seed: int = 20_2
     scratch = Scratch(docs.sparkSession, "order")
     sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences")
     placed, n = assign_slots(sequences, seed, shard_rows, length)
-    return _in_ranges(placed, n, shard_rows).withColumn("tokens", F.rpad("tokens", 2 * length, F.lit(b"\xff")))
+    return _in_ranges(placed, 0, -(-n // shard_rows)).withColumn("tokens", F.rpad("tokens", 2 * length, F.lit(b"\xff")))
 
 
 def _store(folder: str):
@@ -206,9 +211,17 @@ def materialise(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131
     scratch = Scratch(docs.sparkSession, "order")
     sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences", "zstd")
     placed, n = assign_slots(sequences, seed, shard_rows, length)
-    found = scratch.save(_written(_in_ranges(placed, n, shard_rows), f"{scratch.base}/shards", length), "rows")
+    count, found = -(-n // shard_rows), []
+    wave = max(1, -(-count // WAVES))
+    for first in range(0, max(1, count), wave):
+        own = placed.where((F.col("shard") >= first) & (F.col("shard") < first + wave))
+        found.append(scratch.save(_written(_in_ranges(own, first, min(wave, count - first)), f"{scratch.base}/shards", length), f"rows-{first}"))
+        del own
     scratch.drop("sequences")
-    return found.withColumn("tokens_sha256", F.lower(F.hex("tokens_sha256")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("tokens_sha256", F.lower(F.hex("tokens_sha256")))
 
 
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
