@@ -13,14 +13,15 @@ innermost container of all regions. So short paragraphs and headings stay.
 
 Cases: a null or empty page has an empty text; unclosed and stray tags are taken as
 browsers do for paragraphs, list items and table cells; a page without any block is one
-line; whole pages are read, whatever their length, and nothing is cut; repeated rows give
+line; whole pages are read, whatever their length and however deep their elements, in time
+that grows with the length, and nothing is cut; an empty table gives no rows; repeated rows give
 repeated results; other columns pass through, new ones replace those of their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -71,12 +72,18 @@ SPACE = re.compile(r"\s+")
 
 @dataclass
 class Element:
+    """``prose_root`` is the outermost element marked as an article that it is in or is,
+    ``article`` the outermost <article>, ``in_main`` tells of an <article> or <main>."""
+
     tag: str
     parent: Element | None
     excluded: bool
     hidden: bool
     prose: bool = False
     depth: int = 0
+    prose_root: Element | None = None
+    article: Element | None = None
+    in_main: bool = False
 
 
 @dataclass
@@ -98,6 +105,8 @@ class Lines(HTMLParser):
         self.by_name = by_name
         self.root = Element("#page", None, False, False)
         self.open, self.links = [self.root], 0
+        self.elements = [self.root]  # parents before children
+        self.places: dict[str, list[int]] = {}  # of a tag, its open elements' places
         self.lines: list[Line] = []
         self.line = Line(self.root)
 
@@ -109,19 +118,18 @@ class Lines(HTMLParser):
     def _close_to(self, at: int) -> None:
         blocky = any(e.tag in BLOCK or e.hidden for e in self.open[at:])
         self.links -= sum(e.tag == "a" for e in self.open[at:])
+        for e in self.open[at:]:
+            self.places[e.tag].pop()
         del self.open[at:]
         if blocky:
             self._break()
 
     def _end_open(self, tags: set[str], stop: set[str]) -> None:
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                break
-            if self.open[i].tag in tags:
-                found = i
-        if found is not None:
-            self._close_to(found)
+        """Close the open elements of these tags that stand above the last of those."""
+        last = max((p[-1] for t in stop if (p := self.places.get(t))), default=0)
+        found = [p[n] for t in tags if (p := self.places.get(t)) and (n := bisect_right(p, last)) < len(p)]
+        if found:
+            self._close_to(min(found))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.line.tags += 1
@@ -139,13 +147,18 @@ class Lines(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         names = " ".join(x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not x.lower().startswith(ABOUT))
         prose = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody" or bool(ARTICLE.search(names))
-        furniture = tag in FURNITURE or tag == "header" and not _inside(up, ("article", "main")) or "hidden" in a or a.get("aria-hidden") == "true"
+        furniture = tag in FURNITURE or tag == "header" and not up.in_main or "hidden" in a or a.get("aria-hidden") == "true"
         named = tag not in ("html", "body", "article", "main") and not (prose and tag != "div") and bool(NAMES.search(names) or NAMES.search(a.get("role", "")))
-        named |= tag not in ("html", "body") and bool(OUTER_NAMES.search(names)) and not _inside_prose(up)
+        named |= tag not in ("html", "body") and bool(OUTER_NAMES.search(names)) and up.prose_root is None
         named &= self.by_name
         hidden = up.hidden or tag in HIDDEN
         e = Element(tag, up, up.excluded or hidden or furniture or named, hidden, prose, up.depth + 1)
+        e.prose_root = up.prose_root or (e if prose else None)
+        e.article = up.article or (e if tag == "article" else None)
+        e.in_main = up.in_main or tag in ("article", "main")
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(e)
+        self.elements.append(e)
         if tag in BLOCK or hidden:
             self._break()
             self.line.tags += 1
@@ -158,9 +171,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                return self._close_to(i)
+        if p := self.places.get(tag):
+            self._close_to(p[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.open[-1].hidden:
@@ -174,22 +186,6 @@ class Lines(HTMLParser):
         return self.lines
 
 
-def _inside(e: Element | None, tags: tuple[str, ...]) -> bool:
-    while e is not None:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
-
-
-def _inside_prose(e: Element | None) -> bool:
-    while e is not None:
-        if e.prose:
-            return True
-        e = e.parent
-    return False
-
-
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing; the kernel is cut at the array's ends and renormalised."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -223,34 +219,35 @@ def regions(lines: list[Line], texts: list[str]) -> np.ndarray:
     return ((ratios > t) | (np.log1p(own) > t) | (ratios.max() - ratios.min() < 1e-9)) & (own > 0)
 
 
-def _up(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def _articles(lines: list[Line], texts: list[str], content: np.ndarray) -> list[Element]:
+def _articles(elements: list[Element], lines: list[Line], texts: list[str], content: np.ndarray) -> list[Element]:
     """The elements around the content regions: of marked ones, the outermost (or articles
     in it that have all its regions), where they hold at least half of the regions' text; or
     else the innermost container of all regions."""
     weight: dict[int, float] = {}
-    seen: dict[int, Element] = {}
-    held = [(line.holder, len(t)) for line, t, c in zip(lines, texts, content, strict=True) if c]
-    for holder, n in held:
-        for e in _up(holder):
-            seen[id(e)] = e
-            weight[id(e)] = weight.get(id(e), 0.0) + n
-    if not seen:
+    holders: set[int] = set()
+    for line, t, c in zip(lines, texts, content, strict=True):
+        if c:
+            weight[id(line.holder)] = weight.get(id(line.holder), 0.0) + len(t)
+            holders.add(id(line.holder))
+    if not weight:
         return []
-    outer = [e for e in seen.values() if e.prose and not any(x.prose for x in _up(e.parent))]
-    if sum(weight[id(e)] for e in outer) >= 0.5 * sum(n for _, n in held):
+    total = sum(weight.values())
+    for e in reversed(elements):  # children before parents
+        if id(e) in weight and e.parent is not None:
+            weight[id(e.parent)] = weight.get(id(e.parent), 0.0) + weight[id(e)]
+    seen = [e for e in elements if id(e) in weight]
+    outer = [e for e in seen if e.prose_root is e]
+    if sum(weight[id(e)] for e in outer) >= 0.5 * total:
+        own: dict[int, list[Element]] = {}
+        for e in seen:
+            if e.article is e and e.prose_root is not None:
+                own.setdefault(id(e.prose_root), []).append(e)
         found = []
         for m in outer:
-            own = [e for e in seen.values() if e.tag == "article" and any(x is m for x in _up(e)) and not any(x.tag == "article" for x in _up(e.parent))]
-            found += own if sum(weight[id(e)] for e in own) == weight[id(m)] else [m]
+            parts = own.get(id(m), [])
+            found += parts if sum(weight[id(e)] for e in parts) == weight[id(m)] else [m]
         return found
-    total, holders = sum(n for _, n in held), {id(holder) for holder, _ in held}
-    around = max((e for k, e in seen.items() if weight[k] == total), key=lambda e: e.depth)
+    around = max((e for e in seen if weight[id(e)] == total), key=lambda e: e.depth)
     while around.tag not in CONTAINERS or around.tag in ("td", "th") and id(around) in holders:
         around = around.parent
     return [around]
@@ -266,15 +263,15 @@ def main_text(html: str | None) -> str:
         lines = parser.finish()
         texts = [line.text() for line in lines]
         content = regions(lines, texts)
-        articles = {id(e) for e in _articles(lines, texts, content)}
-        if articles:
+        kept_in = {id(e) for e in _articles(parser.elements, lines, texts, content)}
+        if kept_in:
             break
     else:
         return ""
-    kept = []
-    for line, t, c in zip(lines, texts, content, strict=True):
-        if t and not line.holder.excluded and (c or any(id(e) in articles for e in _up(line.holder))):
-            kept.append(t)
+    for e in parser.elements:  # parents before children
+        if e.parent is not None and id(e.parent) in kept_in:
+            kept_in.add(id(e))
+    kept = [t for line, t, c in zip(lines, texts, content, strict=True) if t and not line.holder.excluded and (c or id(line.holder) in kept_in)]
     return "\n\n".join(kept)
 
 

@@ -92,6 +92,16 @@ def test_small_pages(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "ul><li", "article", "b"])
+def test_deep_pages_take_time_by_their_length(tag):
+    import time
+
+    began = time.process_time()
+    page = "".join(f"<{tag}>{LONG if n % 20_000 == 0 else ''}" for n in range(100_000)) + "<p>end</li></p>" * 1000
+    text = htmltext.main_text(page)
+    assert text.count(LONG.strip()) == 5 and time.process_time() - began < 15
+
+
 def test_smoothing_and_threshold():
     x = np.array([0.0, 0, 5, 5, 5, 0, 0])
     assert htmltext.smooth(np.ones(9)) == pytest.approx(np.ones(9))
