@@ -12,7 +12,8 @@ benchmark takes more parts, each held against all texts.
 
 Cases: null or empty texts and items match nothing; an item of fewer than ``least`` terms
 must occur whole; an item that repeats matches under each of its rows; rows of texts that
-repeat give repeated matches; extra columns are left alone.
+repeat give repeated matches; a text of any length is searched whole; without texts or
+without items there are no matches; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.labelled import pieces
 from tessera.llm.textkernel import shingles, term_hashes
-from tessera.plans.runtime import ship
+from tessera.plans.runtime import Scratch, ship
 
 LEAST = 4
 COVERAGE = 0.5
@@ -161,8 +162,9 @@ class Index:
                 yield int(row[a]), self.ids[item[a]], share, len(tiles), max(t[2] for t in tiles)
 
 
-def _parts(benchmark: DataFrame) -> list[tuple[list[int], pa.Array]]:
-    """The benchmark's rows in parts of at most PART_BYTES, or single items."""
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark's rows in parts of at most PART_BYTES, or single items. A part comes to
+    the driver when it is its turn."""
     rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     parts = 1
     while True:
@@ -171,18 +173,30 @@ def _parts(benchmark: DataFrame) -> list[tuple[list[int], pa.Array]]:
         if most.isEmpty():
             break
         parts *= 4
-    out = []
-    for p in range(parts):
-        t = dealt.where(F.col("part") == p).orderBy("item_id", "text").toArrow()
-        if len(t):
-            out.append((t["item_id"].to_pylist(), t["text"].combine_chunks()))
-    return out
+    return [dealt.where(F.col("part") == p).orderBy("item_id", "text") for p in range(parts)]
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float) -> list:
-    spark = docs.sparkSession
+def _by_parts(docs: DataFrame, benchmark: DataFrame, least: int, coverage: float, against, chained: bool) -> list[DataFrame]:
+    """``against`` each part of the benchmark: the texts, or what is left of them. Where
+    there are several parts, each one's result is written and its index given up before the
+    next is made, so one part is held at a time."""
+    spark, parts, found = docs.sparkSession, _parts(benchmark), []
     ship(spark)
-    return [spark.sparkContext.broadcast(Index.of(ids, texts, least, coverage)) for ids, texts in _parts(benchmark)]
+    scratch = Scratch(spark, "tiling")
+    for n, part in enumerate(parts):
+        t = part.toArrow()
+        shared = spark.sparkContext.broadcast(Index.of(t["item_id"].to_pylist(), t["text"].combine_chunks(), least, coverage))
+        out = against(docs, shared)
+        if len(parts) > 1:
+            out = scratch.save(out, f"part-{n}")
+            shared.destroy()
+            if chained and n:
+                scratch.drop(f"part-{n - 1}")
+        if chained:
+            docs, found = out, [out]
+        else:
+            found.append(out)
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +204,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
     ``item_id``, ``coverage``, ``n_tiles``, ``longest_tile``."""
     schema = docs.select(key).schema.add("item_id", "long").add("coverage", "double").add("n_tiles", "integer").add("longest_tile", "integer")
 
-    def against(shared):
+    def against(source, shared):
         def run(batches):
             index = shared.value
             for batch in batches:
@@ -202,11 +216,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
                 types = (pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], schema.names)
 
-        return run
+        return source.mapInArrow(run, schema)
 
-    source = docs.select(key, text)
-    found = [source.mapInArrow(against(index), schema) for index in _indexes(docs, benchmark, least, coverage)]
-    out = found[0] if found else docs.sparkSession.createDataFrame([], schema)
+    found = _by_parts(docs.select(key, text), benchmark, least, coverage, against, chained=False)
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
@@ -215,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage:
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """The rows of texts that match no item, with all their columns."""
 
-    def against(shared):
+    def against(source, shared):
         def run(batches):
             index = shared.value
             for batch in batches:
@@ -225,8 +238,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
                     done += len(offsets) - 1
                 yield batch.filter(pa.array(keep))
 
-        return run
+        return source.mapInArrow(run, source.schema)
 
-    for index in _indexes(docs, benchmark, least, coverage):
-        docs = docs.mapInArrow(against(index), docs.schema)
-    return docs
+    return _by_parts(docs, benchmark, least, coverage, against, chained=True)[-1]
