@@ -5,7 +5,9 @@ shard. Both sides are copied to their tiles by key, so nothing is broadcast, and
 gives only its best k a query. Partial lists are merged over shards in a tree.
 
 Cases: vectors that are null or hold null or non-finite components take no part; vectors
-meet only those of their own length; ties go to the smaller id; a row never meets itself; a query without candidates gives no row.
+meet only those of their own length; ties go to the smaller id; a row never meets itself; a
+query without candidates gives no row, and so does an empty table; other columns, whatever
+their names, are left out.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.plans.runtime import ship
 
-#: Rows of a tile: queries and candidates.
-BLOCK, SHARD = 1024, 4096
+#: Rows of a tile: queries and candidates. A candidate is sent once for each block of queries.
+BLOCK, SHARD = 8192, 8192
+#: Queries and candidates of a tile that are multiplied at once.
+PIECE = (1024, 4096)
 #: Partial lists merged at once.
 FAN_IN = 32
 _EXACT = float(1 << 53)
@@ -87,22 +91,25 @@ def search(
         asks = t["q"].to_numpy()
         ask = t.filter(pa.array(asks)).sort_by("id")
         have = t.filter(pa.array(~asks)).sort_by("id")
-        out = {"query_id": [], "id": [], "score": [], "block": [], "shard": []}
+        out = []
         if len(ask) and len(have):
             ids, of = have["id"].to_numpy(), ask["id"].to_numpy()
-            scores = products(_matrix(ask["v"]), _matrix(have["v"]))
+            a, b = _matrix(ask["v"]), _matrix(have["v"])
             own_rows = int(np.unique(ids, return_counts=True)[1].max())  # a query's own rows may be among its best
-            best = _best(scores, k + own_rows)
-            got = np.take_along_axis(scores, best, axis=1)
-            real = (ids[best] != of[:, None]).ravel()
-            out = {
-                "query_id": np.repeat(of, best.shape[1])[real],
-                "id": ids[best.ravel()][real],
-                "score": got.ravel()[real],
-                "block": np.full(real.sum(), t["block"][0].as_py()),
-                "shard": np.full(real.sum(), t["shard"][0].as_py()),
-            }
-        return pa.table({n: pa.array(out[n], pa.int64()) for n in ("query_id", "id", "score", "block", "shard")})
+            for x in range(0, len(a), PIECE[0]):
+                mine, best = of[x : x + PIECE[0], None], None
+                for y in range(0, len(b), PIECE[1]):
+                    scores = products(a[x : x + PIECE[0]], b[y : y + PIECE[1]])
+                    found = _best(scores, k + own_rows)
+                    new = (np.take_along_axis(scores, found, axis=1), ids[y : y + PIECE[1]][found])
+                    best = new if best is None else tuple(np.concatenate(p, axis=1) for p in zip(best, new, strict=True))
+                    order = np.lexsort((best[1], -best[0], best[1] == mine))[:, :k]  # a query's own rows last
+                    best = tuple(np.take_along_axis(p, order, axis=1) for p in best)
+                real = best[1] != mine
+                out.append((np.broadcast_to(mine, real.shape)[real], best[1][real], best[0][real]))
+        columns = [np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in range(3)]
+        where = [np.full(len(columns[0]), t[c][0].as_py()) for c in ("block", "shard")]
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "id", "score", "block", "shard"), [*columns, *where], strict=True)})
 
     parts = queries.unionByName(candidates).groupBy("block", "shard", "dim").applyInArrow(tile, "query_id long, id long, score long, block long, shard long")
     best = F.struct((-F.col("score")).alias("less"), F.col("id").alias("id"))
