@@ -483,9 +483,11 @@ def _set_links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int
     return scratch.save(counts, "counts")
 
 
-def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", all_links: bool = False) -> DataFrame:
+def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", all_links: bool = False, with_sets: bool = False) -> DataFrame:
     """Each document's id, ``n_shingles``, and ``component_id``: the smallest id that links
-    reach; with ``all_links`` also ``n_links``, as ``link_counts`` has it, by the same index."""
+    reach; with ``all_links`` also ``n_links``, as ``link_counts`` has it, by the same index;
+    with ``with_sets`` also ``set_id`` and ``label``, its component's smallest set (both
+    null without words), which tell rows of a repeated id apart."""
     scratch = Scratch(docs.sparkSession, "ngrams")
     index = _index(docs, scratch, n, percent, text)
     labels = scratch.save(components(link_sets(docs, scratch, n, percent, text, index), scratch, "all"), "labels")
@@ -497,11 +499,13 @@ def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     sets = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min(key).alias("_least"))
     sets = scratch.save(sets.join(found, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "set-labels")
     least = scratch.save(sets.groupBy("label").agg(F.min("_least").alias("component_id")), "least")
-    of_set, links = sets.join(least, "label").select("set_id", "component_id"), []
+    of_set, links = sets.join(least, "label").select("set_id", "component_id", "label"), []
     if counts is not None:
         of_set, links = of_set.join(counts, "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), ["n_links"]
     of_set = scratch.save(of_set, "set-components")
     scratch.drop("labels", "set-labels", "least", *(["counts"] if links else []))
-    linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id", *links)
+    linked = rows.join(of_set, "set_id").select(key, "n_shingles", "component_id", *links, *(("set_id", "label") if with_sets else ()))
     alone = rows.where("set_id IS NULL").select(key, "n_shingles", F.col(key).alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in links))
+    if with_sets:
+        alone = alone.withColumns({c: F.lit(None).cast("long") for c in ("set_id", "label")})
     return linked.unionByName(alone)

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from brute import components_by_brute_force
 from test_tiling import brute as contaminated
 
@@ -54,6 +55,23 @@ def test_stages_take_empty_tables_nulls_and_more_columns(spark, sf_dir, name, st
         assert ids == ["1", "2", "3", "None"]
 
 
+def test_repeated_ids_lose_only_near_copies(spark, sf_dir):
+    words = [f"w{n}" for n in range(60)]
+    near, other = " ".join(words), " ".join(f"v{n}" for n in range(60))
+    rows = [(1, near, 7), (1, other, 7), (2, near + " tail", 8), (1, near, 7), (3, other + " x", 9), (4, "", 1), (4, None, 2), (None, near, 3), (5, "alone here with some words", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_id long").repartition(4)
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["near copies"](spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(1, near, 7), (1, other, 7), (4, "", 1), (4, None, 2), (None, near, 3), (5, "alone here with some words", 4)], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(50).withColumn("score", F.lit("own")).withColumn("predicted", F.lit(3)).withColumn("label", F.col("doc_id") + 1).withColumn("component_id", F.lit("c"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert out.exceptAll(docs).count() == 0 and out.count() > 0, name
+
+
 def test_folds_are_crc32(spark):
     rows = spark.range(50).select("id", labelled.remainder(labelled.F.col("id"), 5).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
