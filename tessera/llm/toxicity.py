@@ -2,11 +2,15 @@
 
 The model is ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over a text's distinct terms: the pair
 part gives weight to two terms together that neither has alone. Terms are runs of letters
-and digits, ``A``-``Z`` as ``a``-``z``, and the beginnings of longer ones, hashed to a fixed number of buckets; buckets that
-fewer than ``MIN_TEXTS`` training texts hold, or whose share among the two labels differs by
-no more than chance gives, count for nothing. Fitted by AdaGrad on the log-loss.
+and digits, ``A``-``Z`` as ``a``-``z``, and the beginnings of longer ones, hashed to a fixed
+number of buckets. A bucket takes part that ``MIN_TEXTS`` training texts hold and that tells
+something: alone, by its share among the two labels, or with another one, where among the
+texts that hold either the other makes a difference. So terms that are neutral alone are
+learned if a pair is not, as long as each is in ``PAIR_SHARE`` of the training texts. Fitted
+by AdaGrad on the log-loss.
 
-Fitted on at most ``sample`` labelled texts (a parameter); every text is scored whole.
+Fitted on at most ``sample`` labelled texts (a parameter); every text is scored whole,
+whatever its length.
 
 Cases: a null or empty text gets the bias alone; without labelled rows, or with one class
 only, every score is the smoothed share of that class; repeated rows score alike; other
@@ -28,6 +32,11 @@ BITS = 18
 FACTORS = 8
 MIN_TEXTS = 5
 MIN_BEARING = 15.0
+#: For pairs: the evidence that each makes a difference among the other's texts, and the
+#: share of texts, and number of texts, that hold each.
+PAIR_BEARING, PAIR_SHARE, PAIR_TEXTS = 60.0, 0.02, 20
+#: Terms whose pairs are counted at once.
+TILE = 1024
 #: Beginnings of a term, in bytes, that are terms too: inflected words share them.
 STEMS = (4, 5, 6)
 SAMPLE = 8_000
@@ -64,8 +73,9 @@ def constant(labels: np.ndarray) -> Machine:
     return Machine(float(np.log(share / (1 - share))), np.full(1 << BITS, -1, np.int32), np.zeros(1), np.zeros((1, FACTORS)))
 
 
-def bearing(held: np.ndarray, held_toxic: np.ndarray, toxic: float, texts: float) -> np.ndarray:
-    """Log-likelihood ratio statistic of each bucket's split over the two labels."""
+def bearing(held: np.ndarray, held_toxic: np.ndarray, toxic, texts) -> np.ndarray:
+    """Log-likelihood ratio statistic of each bucket's split over the two labels of so many
+    texts."""
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
@@ -75,6 +85,71 @@ def bearing(held: np.ndarray, held_toxic: np.ndarray, toxic: float, texts: float
     return 2 * (part(held_toxic, held * share) + part(clean, held * (1 - share)) + part(without_toxic, without * share) + part(without - without_toxic, without * (1 - share)))
 
 
+def distinct_rows(buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first row of each different set of buckets: copies are no further evidence."""
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    seen: dict[bytes, int] = {}
+    for r in range(len(sizes)):
+        seen.setdefault(buckets[first[r] : first[r + 1]].tobytes(), r)
+    return np.array(sorted(seen.values()), dtype=np.int64)
+
+
+def pair_terms(buckets: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that tell what neither does alone: among the texts that hold one, the
+    other changes the share of toxic ones, and the other way round. Pairs are counted by
+    products of tiles of terms x texts; terms of the same texts are counted once."""
+    rows = distinct_rows(buckets, sizes)
+    place = np.full(len(sizes), -1)
+    place[rows[np.argsort(-labels[rows], kind="stable")]] = np.arange(len(rows))  # toxic first
+    row = place[np.repeat(np.arange(len(sizes)), sizes)]
+    buckets, row = buckets[row >= 0], row[row >= 0]
+    toxic, n = int(labels[rows].sum()), len(rows)
+    held = np.bincount(buckets, minlength=1 << BITS)
+    some = np.flatnonzero((held >= max(PAIR_TEXTS, PAIR_SHARE * n)) & (held < n))
+    at = np.full(1 << BITS, -1)
+    at[some] = np.arange(len(some))
+    use = at[buckets] >= 0
+    term, row = at[buckets[use]], row[use]
+    marks = np.zeros(len(some), np.uint64)
+    np.add.at(marks, term, np.random.default_rng(7).integers(0, 1 << 62, n, dtype=np.uint64)[row])
+    _, lead, same = np.unique(marks, return_index=True, return_inverse=True)
+    leads = np.full(len(some), -1)
+    leads[lead] = np.arange(len(lead))
+    use = leads[term] >= 0
+    term, row = leads[term[use]], row[use]
+    order = np.argsort(term, kind="stable")
+    term, row = term[order], row[order]
+    total = np.bincount(term, minlength=len(lead)).astype(np.float32)
+    share = np.bincount(term[row < toxic], minlength=len(lead)).astype(np.float32) / np.maximum(total, 1)
+    tells = np.zeros(len(lead), bool)
+
+    def dense(a: int) -> np.ndarray:
+        lo, hi = np.searchsorted(term, [a, a + TILE])
+        x = np.zeros((min(TILE, len(lead) - a), n), np.float32)
+        x[term[lo:hi] - a, row[lo:hi]] = 1
+        return x
+
+    def changes(both, both_toxic, share, total):
+        """Chi-square of the other's split of these texts."""
+        with np.errstate(all="ignore"):
+            return (both_toxic - both * share) ** 2 / (share * (1 - share) * both * (1 - both / total))
+
+    for a in range(0, len(lead), TILE):
+        x = dense(a)
+        for b in range(a, len(lead), TILE):
+            y = x if b == a else dense(b)
+            both_toxic = x[:, :toxic] @ y[:, :toxic].T
+            both = both_toxic + x[:, toxic:] @ y[:, toxic:].T
+            ends = [(share[a : a + TILE, None], total[a : a + TILE, None]), (share[None, b : b + TILE], total[None, b : b + TILE])]
+            i, j = np.nonzero(np.minimum(*(changes(both, both_toxic, *e) for e in ends)) >= PAIR_BEARING / 3)
+            if len(i):  # counts are exact below 2**24
+                c, ct = both[i, j].astype(float), both_toxic[i, j].astype(float)
+                sides = [np.round(total[k].astype(float)) for k in (a + i, b + j)]
+                found = np.minimum(*(bearing(c, ct, np.round(share[k].astype(float) * t), t) for k, t in zip((a + i, b + j), sides, strict=True))) >= PAIR_BEARING
+                tells[a + i[found]] = tells[b + j[found]] = True
+    return some[tells[same]]
+
+
 def fit(texts: pa.ChunkedArray, labels: np.ndarray, **settings) -> Machine:
     """A machine for texts with labels 0 and 1."""
     return fit_rows(*(features_of(texts, terms) if len(labels) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))), labels, **settings)
@@ -87,7 +162,8 @@ def fit_rows(buckets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs:
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     held = np.bincount(buckets, minlength=1 << BITS).astype(np.float64)
     held_toxic = np.bincount(buckets, labels[row], minlength=1 << BITS)
-    tells = np.flatnonzero((held >= MIN_TEXTS) & (bearing(held, held_toxic, labels.sum(), float(len(labels))) >= MIN_BEARING))
+    alone = bearing(held, held_toxic, labels.sum(), float(len(labels))) >= MIN_BEARING
+    tells = np.union1d(np.flatnonzero((held >= MIN_TEXTS) & alone), pair_terms(buckets, sizes, labels))
     known = np.full(1 << BITS, -1, np.int32)
     known[tells] = np.arange(len(tells))
     at = known[buckets]

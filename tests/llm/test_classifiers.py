@@ -39,6 +39,53 @@ def test_machine_learns_a_pair_that_single_terms_miss():
     assert np.abs(model.factors).max() > 0.05
 
 
+def pair_data(rule, n=4000, seed=5):
+    r = np.random.default_rng(seed)
+    texts, y = [], []
+    for _ in range(n):
+        a, b = r.integers(0, 2, 2)
+        filler = " ".join(f"w{k}" for k in r.integers(0, 30, 8))
+        texts.append(f"{filler} {'firstword' if a else ''} {'secondword' if b else ''}")
+        y.append(float(rule(a, b)))
+    return texts, np.array(y)
+
+
+def test_machine_learns_terms_that_are_neutral_alone():
+    """Toxic is one of two words without the other: neither word tells anything by itself."""
+    texts, y = pair_data(lambda a, b: a != b)
+    model = toxicity.fit(pa.chunked_array([texts[:3000]]), y[:3000])
+    assert (np.round(scores(model, texts[3000:])) == y[3000:]).mean() > 0.99
+
+
+def test_pairs_that_tell_nothing_are_left_out():
+    texts, y = pair_data(lambda a, b: a != b)
+    shuffled = np.random.default_rng(1).permutation(y)
+    found = labelled.features_of(pa.chunked_array([texts]), toxicity.terms)
+    assert len(toxicity.pair_terms(*found, shuffled)) == 0
+    words, _ = toxicity.terms(*next(labelled.pieces(pa.array(["firstword secondword"]))))
+    assert set(toxicity.pair_terms(*found, y)) == set(words.tolist())
+
+
+def test_pair_counts_equal_brute_force(monkeypatch):
+    """Tiles smaller than the terms, and copies that count once."""
+    monkeypatch.setattr(toxicity, "TILE", 7)
+    monkeypatch.setattr(toxicity, "PAIR_BEARING", 25.0)
+    r = np.random.default_rng(8)
+    rows = [np.unique(r.integers(0, 40, r.integers(3, 20))).astype(np.uint32) for _ in range(400)]
+    y = np.array([float((3 in x) != (7 in x)) if r.random() < 0.9 else float(r.random() < 0.5) for x in rows])
+    rows, y = rows + rows[:100], np.concatenate([y, y[:100]])
+    own = toxicity.distinct_rows(np.concatenate(rows), np.array([len(x) for x in rows]))
+    sets, t = [set(rows[k].tolist()) for k in own], y[own]
+    want = set()
+    for a in range(40):
+        for b in range(a):
+            both = np.array([a in s and b in s for s in sets])
+            sides = [np.array([k in s for s in sets]) for k in (a, b)]
+            if min(toxicity.bearing(float(both.sum()), float(t[both].sum()), float(t[s].sum()), float(s.sum())) for s in sides) >= 25:
+                want |= {a, b}
+    assert set(toxicity.pair_terms(np.concatenate(rows), np.array([len(x) for x in rows]), y).tolist()) == want >= {3, 7}
+
+
 def test_machine_equals_the_formula():
     r = np.random.default_rng(1)
     m = toxicity.Machine(0.3, np.arange(1 << toxicity.BITS, dtype=np.int32) % 50, r.normal(size=50), r.normal(size=(50, toxicity.FACTORS)))
