@@ -8,9 +8,9 @@ stands in shard ``slot // rows`` at byte ``slot % rows * stride``, so a reader c
 at any slot and go on from there without an index.
 
 ``materialise`` writes all shards, a partition a run of whole shards, and returns a row a
-sequence that tells of what stands in the file. It does so in a few waves, each with a
-shuffle of its own that is freed before the next, so that no time sees all sequences twice
-on disk beside the shards. Sequences travel without their padding, which is added where
+sequence that tells of what stands in the file. It does so in a few waves, each of half the
+shards that are left and with a shuffle of its own that is freed before the next: the more
+shards stand on the disk, the less is shuffled beside them. Sequences travel without their padding, which is added where
 they are written.
 
 Cases: a null or empty text makes no sequence; the last sequence of a text is filled with
@@ -43,7 +43,7 @@ SHARD_ROWS = 8192
 #: Ids that texts' tokens don't use.
 PADDING = 65_535
 #: Shards that one task writes, at most; runs of shards that are shuffled one after another.
-TASK_SHARDS, WAVES = 32, 4
+TASK_SHARDS, WAVES = 32, 5
 _SLICE = 64
 
 
@@ -211,11 +211,12 @@ def materialise(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131
     scratch = Scratch(docs.sparkSession, "order")
     sequences = scratch.save(token_sequences(docs, path, pattern, length, key), "sequences", "zstd")
     placed, n = assign_slots(sequences, seed, shard_rows, length)
-    count, found = -(-n // shard_rows), []
-    wave = max(1, -(-count // WAVES))
-    for first in range(0, max(1, count), wave):
+    count, first, found = -(-n // shard_rows), 0, []
+    while first < count or not found:
+        wave = count - first if len(found) == WAVES - 1 else -(-(count - first) // 2)
         own = placed.where((F.col("shard") >= first) & (F.col("shard") < first + wave))
-        found.append(scratch.save(_written(_in_ranges(own, first, min(wave, count - first)), f"{scratch.base}/shards", length), f"rows-{first}"))
+        found.append(scratch.save(_written(_in_ranges(own, first, wave), f"{scratch.base}/shards", length), f"rows-{first}"))
+        first += wave
         del own
     scratch.drop("sequences")
     out = found[0]
