@@ -9,8 +9,8 @@ them takes rows only into itself, and how many shards there are decides alone wh
 is, whether a store was made with them or grew to them.
 
 Cases: a null or empty text has size 8 and checksum 0, a long one counts with all its bytes;
-a null key is a key of its own; rows that repeat go to one shard, in slots next to each
-other; an empty table stays empty; other columns, whatever their names, are left out.
+a null key is a key of its own; rows that repeat go to one shard, in slots of their own; an
+empty table stays empty; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -97,10 +97,12 @@ def place(df: DataFrame, root: Node, key: str, out: str = "shard") -> DataFrame:
 def number(df: DataFrame, by: str, order: list[str], scratch: Scratch, out: str = "slot") -> DataFrame:
     """Number the rows of each ``by`` from 0 without gaps, no task numbering a whole shard.
 
-    Rows fall into parts by a hash of the ordering columns; a part's first number is the
+    Rows fall into parts by a hash of the ordering columns and of a number that is written
+    with the row, so that copies of one row are dealt out too; a part's first number is the
     count of the rows in the parts before it, its rows are ordered by those columns.
     """
-    df = scratch.save(df, "rows")
+    order = [*order, "_copy"]
+    df = scratch.save(df.withColumn("_copy", F.monotonically_increasing_id()), "rows")
     parts = max(1, df.count() // ROWS_A_PART)
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy(by, "_part").count()
@@ -109,7 +111,7 @@ def number(df: DataFrame, by: str, order: list[str], scratch: Scratch, out: str
     within = Window.partitionBy(by, "_part").orderBy(*order)
     numbered = dealt.withColumn("_row", F.row_number().over(within) - 1)
     joined = numbered.join(starts, (F.col(by) == F.col("_by")) & (F.col("_part") == F.col("_of")))
-    return joined.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_by", "_of", "_start")
+    return joined.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_by", "_of", "_start", "_copy")
 
 
 def shard_documents(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
