@@ -56,8 +56,9 @@ BUCKET_BYTES = 8 << 20
 FOLD = 4
 #: Counts above which shingles are indexed in pairs and in triples.
 FREQUENT, VERY_FREQUENT = 16, 256
-#: Signatures with more sets than this are resolved in tiles of at most two blocks.
-SMALL, TILE_BLOCK = 64, 256
+#: Signatures with more sets than this are resolved in tiles of at most two blocks; sets of a
+#: block where all links are counted.
+SMALL, TILE_BLOCK, LINK_BLOCK = 64, 256, 512
 ID_SHIFT, LOW = np.uint64(16), np.uint64(32)
 
 
@@ -108,6 +109,11 @@ def _pack(found: np.ndarray, sets: np.ndarray, buckets: int):
     return rows, folded
 
 
+def _buffers(t: pa.Table, *names: str):
+    """The rows' binary values without copies, None for null."""
+    return zip(*((x.as_buffer() for x in t[c]) for c in names), strict=True)
+
+
 def _least_high(bucket: int, buckets: int) -> int:
     """The smallest high 16 bits of a bucket's ids."""
     return (bucket << 32) // buckets >> 16
@@ -176,15 +182,15 @@ def _tally(buckets: int, positions: np.dtype):
     def run(key, t):
         base = _least_high(int(key[0].as_py()), buckets)
         rows, ids, weights, packets, ats = [], [], [], [], []
-        for packet, highs, lows, at, folded in zip(*(t[c].to_pylist() for c in ("packet", "highs", "lows", "at", "folded")), strict=True):
+        for packet, (highs, lows, at, folded) in zip(t["packet"].to_pylist(), _buffers(t, "highs", "lows", "at", "folded"), strict=True):
             if highs is None and lows is not None:
-                rows.append((packet, lows, at, None, folded))
+                rows.append((packet, lows.to_pybytes(), at.to_pybytes(), None, folded.to_pybytes()))
                 continue
             packets.append(packet)
             counts = np.frombuffer(highs or b"", np.uint32)
             high = np.repeat((np.arange(len(counts)) + base).astype(np.uint64), counts)
             cold = (high << LOW) | np.frombuffer(lows or b"", np.uint32)
-            k = len(folded) // 12
+            k = folded.size // 12
             ids.append(np.concatenate([cold, np.frombuffer(folded, np.uint64, k)]))
             weights.append(np.concatenate([np.ones(len(cold), np.uint32), np.frombuffer(folded, np.uint32, k, 8 * k)]))
             ats.append(np.concatenate([np.frombuffer(at or b"", positions), np.zeros(k, positions)]))
@@ -270,15 +276,15 @@ def _assemble(percent: int, positions: np.dtype):
 
     def run(t: pa.Table) -> pa.Table:
         ids, ats, counts, meta, often = [], [], [], None, []
-        for x, at, c, folded in zip(*(t[c].to_pylist() for c in ("ids", "at", "counts", "folded")), strict=True):
+        for x, at, c, folded in _buffers(t, "ids", "at", "counts", "folded"):
             if c is None:
                 meta = (np.frombuffer(x, np.uint64), np.frombuffer(at, np.uint32).astype(np.int64), *pickle.loads(folded))
                 continue
-            k = len(c) // 2
+            k = c.size // 2
             ids.append((np.frombuffer(x, np.uint16, k, 4 * k).astype(np.uint64) << LOW) | np.frombuffer(x, np.uint32, k))
             ats.append(np.frombuffer(at, positions))
             counts.append(np.frombuffer(c, np.uint16))
-            k = len(folded) // 10
+            k = folded.size // 10
             often.append((np.frombuffer(folded, np.uint64, k), np.frombuffer(folded, np.uint16, k, 8 * k)))
         if often and len(meta[2]):  # every folded shingle is shared, so all of them came back
             shingle, count = (np.concatenate([x[i] for x in often]) for i in (0, 1))
@@ -328,17 +334,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlaps(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of the sets of a tile and shared shingles of each two of them."""
+    """Sizes of the sets of a tile and shared shingles of each two of them. Shingles that
+    only one set of the tile holds are not shared."""
     ns, ids = t["n"].to_numpy(), t["ids"].combine_chunks()
     first, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-    _, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(ns)), np.diff(first))
-    shared = np.zeros((len(ns), len(ns)), np.float32)
-    for c in range(0, int(column.max(initial=-1)) + 1, 4096):
-        here = (column >= c) & (column < c + 4096)
-        x = np.zeros((len(ns), 4096), np.float32)
-        x[row[here], column[here] - c] = 1
-        shared += x @ x.T
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)
+    column, row = place[column], np.repeat(np.arange(len(ns)), np.diff(first))
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared = np.zeros((len(ns), len(ns)))
+    for c in range(0, int((times > 1).sum()), 4096):
+        lo, hi = np.searchsorted(column, [c, c + 4096])
+        x = np.zeros((len(ns), min(4096, int(column[-1]) + 1 - c)), np.float32)
+        x[row[lo:hi], column[lo:hi] - c] = 1
+        shared += x @ x.T  # of 4096 shingles exact in single precision
     return ns, shared.astype(np.int64)
 
 
@@ -461,21 +471,17 @@ def link_sets(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80,
 def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's id and ``n_links``: how many different sets link with its own.
 
-    All pairs of sets that signatures connect are held against each other, in tiles of at
-    most two blocks, and counted there; pairs are not written out. The work grows with the
-    square of the largest group of connected signatures, which ``cluster`` avoids.
+    All pairs of sets of a component are held against each other, in tiles of at most two
+    blocks, and counted there; pairs are not written out. The work grows with the square of
+    the sets of the largest component, which ``cluster`` avoids.
     """
-    scratch = Scratch(docs.sparkSession, "links")
-    sets, _, stars = _index(docs, scratch, n, percent, text)
-    rows = describe(docs.select(key, text), n, text)
-    return rows.join(_set_links(sets, stars, scratch, percent), "set_id", "left").select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return cluster(docs, n, percent, key, text, all_links=True).select(key, "n_links")
 
 
-def _set_links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """How many sets each indexed set links with."""
-    groups_of = components(stars, scratch, "groups")
-    members = groups_of.select(F.col("node").alias("set_id"), F.col("label").alias("hot"))
-    blocks = members.groupBy("hot").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("int").alias("blocks"))
+def _set_links(sets: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """How many sets each set of a component links with: all of them are in it."""
+    members = labels.select(F.col("node").alias("set_id"), F.col("label").alias("hot"))
+    blocks = scratch.save(members.groupBy("hot").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks")), "blocks")
     dealt = members.join(blocks, "hot").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id")
     spread = tiled.join(sets.select("set_id", "n", "ids"), "set_id")
@@ -485,13 +491,13 @@ def _set_links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int
 
 def cluster(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", all_links: bool = False, with_sets: bool = False) -> DataFrame:
     """Each document's id, ``n_shingles``, and ``component_id``: the smallest id that links
-    reach; with ``all_links`` also ``n_links``, as ``link_counts`` has it, by the same index;
+    reach; with ``all_links`` also ``n_links``, as ``link_counts`` has it;
     with ``with_sets`` also ``set_id`` and ``label``, its component's smallest set (both
     null without words), which tell rows of a repeated id apart."""
     scratch = Scratch(docs.sparkSession, "ngrams")
     index = _index(docs, scratch, n, percent, text)
     labels = scratch.save(components(link_sets(docs, scratch, n, percent, text, index), scratch, "all"), "labels")
-    counts = _set_links(index[0], index[2], scratch, percent) if all_links else None
+    counts = _set_links(index[0], labels, scratch, percent) if all_links else None
     rows = scratch.save(describe(docs.select(key, text), n, text), "rows")
     scratch.drop_all_but("labels", "rows", "counts")
     found = labels.select(F.col("node").alias("set_id"), "label")

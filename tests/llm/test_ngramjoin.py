@@ -73,6 +73,7 @@ def test_smaller_sets_have_no_links(percent, least):
 
 def test_link_counts_of_families(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "TILE_BLOCK", 8)
+    monkeypatch.setattr(ngramjoin, "LINK_BLOCK", 8)
     docs = families(7, 4, 30, 120, 10)
     docs += [(1000 + i, t) for i, t in docs[:20]] + [(5000, None)]
     sets = {i: shingle_set(t, 4) for i, t in docs}

@@ -69,3 +69,25 @@ def test_long_text_and_no_text():
     assert first.tolist() == [0, 600_000, 600_000] and len(set(words.tolist())) == 1
     data, offsets = tk.utf8(pa.array([], pa.string()))
     assert tk.word_hashes(data, offsets)[1].tolist() == [0]
+
+
+def test_packed_rows_stay_long_at_any_size():
+    from tessera.llm.packing import ROW_ENTRIES, packing
+
+    assert packing(500_000_000, 1_000_000, 8 << 20, 6) == (1_000_000, 60)
+    assert packing(10, 1_000_000, 8 << 20, 6) == (1_000_000, 6)
+    for size in (10**12, 10**14):
+        packet, buckets = packing(size, 1_000_000, 8 << 20, 6)
+        assert packet > 1_000_000 and packet / buckets >= 0.9 * ROW_ENTRIES
+        assert packet / 1_000_000 == pytest.approx(size / buckets / (8 << 20), rel=0.01)
+
+
+def test_bucket_runs_cover_all_hashes_in_order():
+    from tessera.llm.packing import bucket_runs
+
+    h = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for buckets in (1, 7, 100_000):
+        runs = list(bucket_runs(h, buckets))
+        assert [a for _, a, _ in runs] == [0, *(z for _, _, z in runs[:-1])] and runs[-1][2] == len(h)
+        assert [b for b, _, _ in runs] == sorted({(x >> 32) * buckets >> 32 for x in h.tolist()})
+    assert list(bucket_runs(h[:0], 5)) == []
