@@ -30,6 +30,14 @@ def test_query_equals_plain_extraction(spark, folder):
         assert got[p.page_id].n_chars == len(plain(p.html)) and got[p.page_id].url == p.url
 
 
+@pytest.mark.parametrize("tag", ["div", "section", ""])
+def test_pages_without_a_marked_article_give_the_same_texts(spark, tag):
+    """Without the mark the content regions alone tell where the article is."""
+    pages = [p.html for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if p.html]
+    bare = [re.sub(r"<(/?)(?:article|main)[^>]*>", rf"<\1{tag}>" if tag else "", h) for h in pages]
+    assert [htmltext.main_text(h) for h in bare] == [plain(h) for h in pages] and len(pages) > 200
+
+
 LONG = "This sentence goes on for a while so that the line has a fair amount of text. "
 PAGE = f"""<!doctype html><html><head><title>Site</title><script>var x = "<p>no</p>";</script></head><body>
 <header><h1>Site name</h1><p>Welcome to the site, it is great.</p></header>
