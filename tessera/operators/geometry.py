@@ -217,7 +217,7 @@ def pull_spline(points: DataFrame, images: DataFrame, keys: Sequence[str], dim:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def values(d: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([spline_values(np.asarray(a, float).reshape(dim, order="F"), np.stack([b, c, e], axis=1).astype(float), degree).tolist() for a, b, c, e in zip(d, x, y, z, strict=True)])
+        return pd.Series([spline_values(np.asarray(a, float).reshape(dim, order="F"), np.stack([b, c, e], axis=1).astype(float), degree) for a, b, c, e in zip(d, x, y, z, strict=True)])
 
     met = points.join(images.select(*keys, data), list(keys))
     return met.withColumn(out, values(data, "x", "y", "z")).drop(data)
@@ -318,12 +318,12 @@ def nearest_distance(points: DataFrame, targets: DataFrame, keys: Sequence[str],
     shell, width = 0, 1
     while limit is not None:
         upper = min(shell + width, int(limit) + 1)
-        offsets = [F.explode(F.sequence(F.lit(-(upper - 1)), F.lit(upper - 1))).alias(f"o{a}") for a in AXES]
-        asked = open_points
-        for o, a in zip(offsets, AXES, strict=True):
-            asked = asked.select("*", o)
-        ring = F.greatest(*(F.abs(F.col(f"o{a}")) for a in AXES))
-        asked = asked.where(ring >= shell).select(*keys, *AXES, *((place(a) + F.col(f"o{a}")).alias(f"b{a}") for a in AXES))
+        whole = F.sequence(F.lit(-(upper - 1)), F.lit(upper - 1))
+        asked = open_points.select("*", F.explode(whole).alias("oi")).select("*", F.explode(whole).alias("oj"))
+        # Inside the shell only the two ends of the last axis are asked: no cube is made first.
+        ends = F.concat(F.sequence(F.lit(-(upper - 1)), F.lit(-shell)), F.sequence(F.lit(shell), F.lit(upper - 1))) if shell else whole
+        asked = asked.select("*", F.explode(F.when(F.greatest(F.abs("oi"), F.abs("oj")) >= shell, whole).otherwise(ends)).alias("ok"))
+        asked = asked.select(*keys, *AXES, *((place(a) + F.col(f"o{a}")).alias(f"b{a}") for a in AXES))
         squared = sum(((F.col(a) - F.col(f"t{a}")) * s * (F.col(a) - F.col(f"t{a}")) * s for a, s in zip(AXES, scale, strict=True)), F.lit(0.0))
         found = asked.join(have, [*keys, *(f"b{a}" for a in AXES)]).groupBy(*keys, *AXES).agg(F.sqrt(F.min(squared)).alias("_new"))
         open_points = open_points.join(found, [*keys, *AXES], "left").withColumn("_best", F.least("_best", "_new")).drop("_new")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import geometry as geo
 from tessera.operators import metrics
+from tessera.operators import tiles as tl
+from tessera.operators import volumes as vol
 from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
 
 #: A shear with a shift and a smaller step, and a grid of 1.5 x 1 x 2 mm voxels.
@@ -64,16 +66,50 @@ def fov_mask_deformed(spark, d):
     return out.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
 
+def _cells(out):
+    """Voxel rows of volumes, without those that are missing."""
+    return vol.to_cells(out, DIM, ["vec_id"]).where("v IS NOT NULL").select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
 def resample_nearest(spark, d):
-    return geo.pull(_points(spark, d), cells(spark, d), ["vec_id"], 0).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+    return _cells(tl.pull(tiles(spark, d), M1, DIM, order=0))
 
 
 def resample_trilinear(spark, d):
+    return _cells(tl.pull(tiles(spark, d), M1, DIM, clamp=True))
+
+
+def resample_nearest_cells(spark, d):
+    return geo.pull(_points(spark, d), cells(spark, d), ["vec_id"], 0).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def resample_trilinear_cells(spark, d):
     out = geo.pull(_points(spark, d), cells(spark, d), ["vec_id"], 1, clamp_to_image=True)
     return out.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
 
+def _deformations(spark, d):
+    """The same deformations in tile form, beside the volumes: ``wx``, ``wy``, ``wz``."""
+    t = tiles(spark, d).select("vec_id", "data")
+    met = t.join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("data").alias("_s")), "vec_id")
+    i, j, k = (lambda p: p % 4 + 1), (lambda p: F.floor(p / 4) % 4 + 1), (lambda p: F.floor(p / 16) + 1)
+    fields = {"wx": lambda s, p: 1.5 * (i(p) + s), "wy": lambda s, p: j(p) - s, "wz": lambda s, p: 2.0 * (k(p) + s / 2)}
+    return met.select("vec_id", "data", *(F.transform("_s", f).alias(n) for n, f in fields.items()))
+
+
+def _field_rows(out):
+    rows = out.select("vec_id", F.posexplode(F.arrays_zip("wx", "wy", "wz")).alias("p", "w")).where("w.wx IS NOT NULL")
+    i, j, k = F.col("p") % 4 + 1, F.floor(F.col("p") / 4) % 4 + 1, F.floor(F.col("p") / 16) + 1
+    return rows.select("vec_id", *(c.cast("int").alias(n) for c, n in ((i, "i"), (j, "j"), (k, "k"))), *(r6(F.col(f"w.{c}"), c) for c in ("wx", "wy", "wz")))
+
+
 def pull_warp(spark, d):
+    f = _deformations(spark, d)
+    over = lambda c, size: F.transform(c, lambda x: x / size)
+    return _cells(tl.pull(f.select("vec_id", "data", over("wx", 1.5).alias("x"), F.col("wy").alias("y"), over("wz", 2.0).alias("z")), ("x", "y", "z"), DIM))
+
+
+def pull_warp_cells(spark, d):
     inv = np.linalg.inv(MM)
     x, y, z = geo.affine_columns(inv, ("wx", "wy", "wz"))
     points = _deformation(spark, d).select("vec_id", "i", "j", "k", x.alias("x"), y.alias("y"), z.alias("z"))
@@ -81,29 +117,52 @@ def pull_warp(spark, d):
 
 
 def push_scatter(spark, d):
+    return _cells(tl.push(tiles(spark, d), M1, DIM))
+
+
+def push_preserving(spark, d):
+    """Amounts, voxel by voxel; those beyond the grid are lost."""
+    return _cells(tl.push(tiles(spark, d), M1, DIM, preserve=True))
+
+
+def push_scatter_cells(spark, d):
     c = cells(spark, d)
     values = _points(spark, d).join(c, ["vec_id", "i", "j", "k"]).select("vec_id", "x", "y", "z", "v")
     mean = geo.push(values, ["vec_id"], dim=DIM)
     return mean.select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
 
-def push_preserving(spark, d):
+def push_total_cells(spark, d):
+    """Amounts are preserved as a whole, in and beyond the grid."""
     c = cells(spark, d)
     values = _points(spark, d).join(c, ["vec_id", "i", "j", "k"]).select("vec_id", "x", "y", "z", "v")
     return geo.push(values, ["vec_id"], preserve=True).groupBy("vec_id").agg(r6(F.sum("v"), "total"))
 
 
 def compose_deformations(spark, d):
+    f = _deformations(spark, d).select("vec_id", *(F.col(f"w{c}").alias(f"o{c}") for c in "xyz"), "wx", "wy", "wz")
+    return _field_rows(tl.compose(f, DIM, MM))
+
+
+def inverse_deformation(spark, d):
+    return _field_rows(tl.inverse(_deformations(spark, d), DIM, MM, MM))
+
+
+def compose_deformations_cells(spark, d):
     f = _deformation(spark, d)
     return geo.compose(f, f, ["vec_id"], MM).select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in ("wx", "wy", "wz")))
 
 
-def inverse_deformation(spark, d):
+def inverse_deformation_cells(spark, d):
     out = geo.approximate_inverse(_deformation(spark, d), ["vec_id"], MM, MM, DIM)
     return out.select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in ("wx", "wy", "wz")))
 
 
 def smooth3(spark, d):
+    return _cells(tl.convolve(tiles(spark, d), DIM, geo.SMOOTHING))
+
+
+def smooth3_cells(spark, d):
     return geo.convolve(cells(spark, d), ["vec_id"], geo.SMOOTHING).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
 
@@ -111,7 +170,7 @@ TAPS = geo.gaussian_taps(2.0, 1.0)
 
 
 def gaussian_smooth(spark, d):
-    return geo.convolve(cells(spark, d), ["vec_id"], TAPS).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+    return _cells(tl.convolve(tiles(spark, d), DIM, TAPS))
 
 
 def _convolve_sql(taps):
@@ -129,6 +188,10 @@ def _mask(spark, d):
 
 
 def perimeter6(spark, d):
+    return vol.to_cells(tl.surface(tiles(spark, d), DIM, 0.0), DIM, ["vec_id"], "surface").where("v = 1").select("vec_id", "i", "j", "k")
+
+
+def perimeter6_cells(spark, d):
     return geo.perimeter(_mask(spark, d), ["vec_id"])
 
 
@@ -145,8 +208,8 @@ def hd95_assd(spark, d):
 
 def hd95_assd_tiles(spark, d):
     t = tiles(spark, d).withColumn("subject", F.expr("vec_id div 2"))
-    a, b = (t.where(F.col("vec_id") % 2 == n).select("subject", F.col("data").alias(x)) for n, x in enumerate("ab"))
-    out = metrics.distances_tiles(a.join(b, "subject"), ["subject"], "a", "b", DIM, SIZE, 0.0)
+    a, b = (t.where(F.col("vec_id") % 2 == n).select("subject", metrics.mask_of(F.col("data"), 0.0).alias(x)) for n, x in enumerate("ab"))
+    out = metrics.distances_tiles(a.join(b, "subject"), ["subject"], "a", "b", DIM, SIZE)
     return out.where("hd95 IS NOT NULL").select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
 
 
@@ -191,8 +254,9 @@ SELECT vec_id, n.i, n.j, n.k, {q6("v", "v")} FROM n JOIN vox ON vox.i = x AND vo
 
 
 def spline_resample(spark, d):
-    """Degree 4 at a third of a voxel between neighbours."""
-    points = tiles(spark, d).select("vec_id", *(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n, s=s: F.lit(1.0) + n * s).alias(c) for c, s in (("x", 1 / 3), ("y", 0.25), ("z", 0.4))))
+    """Degree 4 at eight points of a line through the volume."""
+    line = lambda step: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.lit(1.0) + n * step)
+    points = tiles(spark, d).select("vec_id", line(1 / 3).alias("x"), line(0.25).alias("y"), line(0.4).alias("z"))
     out = geo.pull_spline(points, tiles(spark, d).select("vec_id", "data"), ["vec_id"], DIM)
     return out.select("vec_id", F.posexplode("v").alias("at", "v")).select("vec_id", "at", r6(F.col("v"), "v"))
 
@@ -208,15 +272,41 @@ def _iso_sql():
 SELECT vec_id, gi AS i, gj AS j, gk AS k, {q6("v", "v")} FROM g JOIN vox ON i = {lists[0]}[gi] AND j = {lists[1]}[gj] AND k = {lists[2]}[gk]"""
 
 
+def _quartic(x):
+    """The centred B-spline of degree 4, piece by piece."""
+    x = abs(x)
+    if x < 0.5:
+        return x**4 / 4 - 5 * x * x / 8 + 115 / 192
+    if x < 1.5:
+        return (55 + 20 * x - 120 * x * x + 80 * x**3 - 16 * x**4) / 96
+    return (5 - 2 * x) ** 4 / 384 if x < 2.5 else 0.0
+
+
+def _spline_sql():
+    """At each point a weight an axis for each voxel: the splines around it, mirrored at the
+    ends, times what makes them go through the voxels."""
+
+    def at(x):  # on voxels 0 to 3
+        row = np.zeros(4)
+        for n in range(-6, 10):
+            row[min(n % 6, -n % 6)] += _quartic(x - n)
+        return row
+
+    through = np.linalg.inv(np.array([at(n) for n in range(4)]))
+    weights = [[(at(n * step) @ through).tolist() for n in range(8)] for step in (1 / 3, 0.25, 0.4)]
+    lists = [", ".join("[" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in row) + "]" for row in axis) for axis in weights]
+    return f"WITH {VOX}, w AS (SELECT n, ([{lists[0]}])[n + 1] AS x, ([{lists[1]}])[n + 1] AS y, ([{lists[2]}])[n + 1] AS z FROM range(8) AS t(n)) SELECT vec_id, CAST(n AS INTEGER) AS at, {q6('sum(v * x[i] * y[j] * z[k])', 'v')} FROM vox, w GROUP BY vec_id, n"
+
+
 IN_VIEW = "{x} >= 1 AND {x} < {n[0]} AND {y} >= 1 AND {y} < {n[1]} AND {z} >= 1 AND {z} < {n[2]}"
 DEF_POINTS = "pts AS (SELECT vec_id, i, j, k, wx / 1.5 AS x, wy AS y, wz / 2.0 AS z FROM def)"
 
 QUERIES = {
     "affine_grid": (affine_grid, f"WITH {VOX}, {POINTS} SELECT vec_id, i, j, k, {q6('x', 'x')}, {q6('y', 'y')}, {q6('z', 'z')} FROM pts"),
     "identity_grid": (identity_grid, "SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(c AS INTEGER) AS k FROM range(1, 8) x(a), range(1, 6) y(b), range(1, 4) z(c)"),
-    "fov_mask": (fov_mask, f"WITH {VOX}, {POINTS} SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='x', y='y', z='z', n=(3, 3, 3)) + ' THEN v ELSE -1 END', 'v')} FROM vox JOIN pts USING (vec_id, i, j, k)"),
-    "fov_mask_deformed": (fov_mask_deformed, f"WITH {VOX}, {DEFORMATION} SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='wx / 1.5', y='wy', z='wz / 2.0', n=DIM) + ' THEN v ELSE 0 END', 'v')} FROM vox LEFT JOIN def USING (vec_id, i, j, k)"),
-    "resample_nearest": (resample_nearest, f"WITH {VOX}, {POINTS} SELECT p.vec_id, p.i, p.j, p.k, {q6('coalesce(q.v, 0)', 'v')} FROM pts p LEFT JOIN vox q ON q.vec_id = p.vec_id AND q.i = floor(x + 0.5) AND q.j = floor(y + 0.5) AND q.k = floor(z + 0.5)"),
+    "fov_mask": (fov_mask, f"WITH {VOX}, p AS (SELECT vec_id, i, j, k, v, {_row(M1, 0)} AS x, {_row(M1, 1)} AS y, {_row(M1, 2)} AS z FROM vox) SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='x', y='y', z='z', n=(3, 3, 3)) + ' THEN v ELSE -1 END', 'v')} FROM p"),
+    "fov_mask_deformed": (fov_mask_deformed, f"WITH {VOX}, near AS (SELECT vec_id - 1 AS vec_id, embedding AS other FROM embeddings WHERE embedding IS NOT NULL), met AS (SELECT vox.*, CAST(other[i + 4 * (j - 1) + 16 * (k - 1)] AS DOUBLE) AS s FROM vox LEFT JOIN near USING (vec_id)) SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='(i + s)', y='(j - s)', z='(k + s / 2)', n=DIM) + ' THEN v ELSE 0 END', 'v')} FROM met"),
+    "resample_nearest": (resample_nearest, f"WITH {VOX}, p AS (SELECT vec_id, i, j, k, floor({_row(M1, 0)} + 0.5) AS x, floor({_row(M1, 1)} + 0.5) AS y, floor({_row(M1, 2)} + 0.5) AS z FROM vox) SELECT vec_id, i, j, k, {q6('CASE WHEN x BETWEEN 1 AND 4 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 4 THEN CAST(embedding[CAST(x + 4 * (y - 1) + 16 * (z - 1) AS INTEGER)] AS DOUBLE) ELSE 0 END', 'v')} FROM p JOIN embeddings USING (vec_id)"),
     "resample_trilinear": (
         resample_trilinear,
         f"WITH {VOX}, {POINTS}, {CORNERS}, e AS (SELECT vec_id, min(v) AS lo, max(v) AS hi FROM vox GROUP BY 1), s AS (SELECT c.vec_id, c.i, c.j, c.k, coalesce(sum(w * q.v), 0) AS v FROM corners c LEFT JOIN vox q ON q.vec_id = c.vec_id AND q.i = ci AND q.j = cj AND q.k = ck GROUP BY ALL) SELECT vec_id, i, j, k, {q6('least(hi, greatest(lo, v))', 'v')} FROM s JOIN e USING (vec_id)",
@@ -226,7 +316,11 @@ QUERIES = {
         push_scatter,
         f"WITH {VOX}, {POINTS}, {CORNERS} SELECT c.vec_id, ci AS i, cj AS j, ck AS k, {q6('sum(w * v) / sum(w)', 'v')} FROM corners c JOIN vox USING (vec_id, i, j, k) WHERE w > 0 AND ci BETWEEN 1 AND 4 AND cj BETWEEN 1 AND 4 AND ck BETWEEN 1 AND 4 GROUP BY c.vec_id, ci, cj, ck",
     ),
-    "push_preserving": (push_preserving, f"WITH {VOX} SELECT vec_id, {q6('sum(v)', 'total')} FROM vox GROUP BY vec_id"),
+    "push_preserving": (
+        push_preserving,
+        f"WITH {VOX}, {POINTS}, {CORNERS} SELECT c.vec_id, ci AS i, cj AS j, ck AS k, {q6('sum(w * v)', 'v')} FROM corners c JOIN vox USING (vec_id, i, j, k) WHERE w > 0 AND ci BETWEEN 1 AND 4 AND cj BETWEEN 1 AND 4 AND ck BETWEEN 1 AND 4 GROUP BY c.vec_id, ci, cj, ck",
+    ),
+    "push_total_cells": (push_total_cells, f"WITH {VOX} SELECT vec_id, {q6('sum(v)', 'total')} FROM vox GROUP BY vec_id"),
     "compose_deformations": (
         compose_deformations,
         f"WITH {VOX}, {DEFORMATION}, {DEF_POINTS}, {CORNERS} SELECT c.vec_id, c.i, c.j, c.k, {q6('sum(w * wx) / sum(w)', 'wx')}, {q6('sum(w * wy) / sum(w)', 'wy')}, {q6('sum(w * wz) / sum(w)', 'wz')} FROM corners c JOIN def q ON q.vec_id = c.vec_id AND q.i = ci AND q.j = cj AND q.k = ck WHERE w > 0 GROUP BY c.vec_id, c.i, c.j, c.k",
@@ -243,6 +337,8 @@ QUERIES = {
     "corners_box": (corners_box, BOX),
     "bounding_box_crop": (bounding_box_crop, f"WITH {VOX} SELECT vec_id, count(*) AS n, {q6('sum(v)', 'total')} FROM vox WHERE 1.5 * i >= 2 AND 1.5 * i <= 5 AND j <= 3.5 AND 2.0 * k >= 3 GROUP BY vec_id"),
     "reorient_nearest": (reorient_nearest, _reorient_sql()),
-    "spline_resample": (spline_resample, None),
+    "spline_resample": (spline_resample, _spline_sql()),
     "iso_resample": (iso_resample, _iso_sql()),
 }
+# The same operators on voxel rows, for sparse volumes.
+QUERIES |= {f"{f.__name__}": (f, QUERIES[f.__name__.removesuffix("_cells")][1]) for f in (resample_nearest_cells, resample_trilinear_cells, pull_warp_cells, push_scatter_cells, compose_deformations_cells, inverse_deformation_cells, smooth3_cells, perimeter6_cells)}
