@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
+import zipfile
 from collections.abc import Mapping, Sequence
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import age_years, file_folder, file_stem, sex_code, subject_names
 from tessera.operators.cohort import fallback, first_match
+from tessera.plans.runtime import ship
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -38,8 +45,12 @@ def plain_or_compressed(files: DataFrame, name: str) -> DataFrame:
 
 
 def read_demographics(spark: SparkSession, path: str) -> DataFrame:
-    """From CSV with ID, PatientAge ('073Y') and PatientSex; the first row of an ID counts."""
-    raw = spark.read.option("header", "true").csv(path).withColumn("_row", F.monotonically_increasing_id())
+    """From CSV or a spreadsheet (.xlsx) with ID, PatientAge ('073Y') and PatientSex; the
+    first row of an ID counts."""
+    if path.lower().endswith(".xlsx"):
+        raw = read_sheet(spark, path, ("ID", "PatientAge", "PatientSex"))
+    else:
+        raw = spark.read.option("header", "true").csv(path).withColumn("_row", F.monotonically_increasing_id())
     return parse_demographics(first_match(raw, "ID", ["_row"]))
 
 
@@ -55,6 +66,105 @@ def resolve_atlas(name: str, registry: Mapping[str, str]) -> str:
     return path
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``content`` to ``folder`` under its ``name`` (which may have folders
+    of its own); returns the paths. The folder is a path or URI that every executor reaches.
+    A file is written under another name and renamed, so it appears whole or not."""
+    ship(files.sparkSession)
+
+    def run(batches):
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            done = []
+            for name, raw in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                if raw.is_valid:
+                    final = posixpath.join(base, name)
+                    own = posixpath.join(posixpath.dirname(final), f".{uuid.uuid4().hex}")
+                    store.create_dir(posixpath.dirname(final), recursive=True)
+                    with store.open_output_stream(own) as f:
+                        f.write(raw.as_buffer())
+                    store.move(own, final)
+                    done.append(final)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    return files.select("name", "content").mapInArrow(run, "path string")
+
+
+def copy_outputs(spark: SparkSession, folder: str, patterns: Sequence[str], target: str) -> DataFrame:
+    """Copy files whose name matches a pattern (regular expressions) from below ``folder`` to
+    ``target``, each to where it was relative to ``folder``; returns the new paths."""
+    root = folder.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    chosen = files.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike("|".join(f"(?:{p})" for p in patterns)))
+    return write_files(chosen.select(F.element_at(F.split("path", re.escape(root) + "/", 2), -1).alias("name"), "content"), target)
+
+
+def _sheet_rows(raw: bytes):
+    """The cells of a workbook's first sheet, a dictionary of column letters a row."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    text = lambda e: "".join(t.text or "" for t in e.iter(main + "t"))
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        shared = [text(e) for e in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot().iter(main + "si")]
+    first = next(ElementTree.parse(book.open("xl/workbook.xml")).getroot().iter(main + "sheet"))
+    targets = {e.get("Id"): e.get("Target") for e in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
+    at = targets[first.get(link)]
+    for _, row in ElementTree.iterparse(book.open(at.lstrip("/") if at.startswith("/") else f"xl/{at}")):
+        if row.tag != main + "row":
+            continue
+        cells = {}
+        for n, c in enumerate(row.iter(main + "c")):
+            value, kind = c.find(main + "v"), c.get("t", "n")
+            found = text(c) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+            cells[re.match("[A-Z]+", c.get("r")).group() if c.get("r") else n] = found or None
+        row.clear()
+        yield cells
+
+
+def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Named columns of the first sheet of a workbook (.xlsx) as strings, and ``_row``, their
+    order. The first row has the names; a column that is not there is missing."""
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("content"):
+                rows = _sheet_rows(raw.as_py())
+                places = {name: letter for letter, name in next(rows, {}).items()}
+                found = [[r.get(places.get(c)) for c in columns] for r in rows]
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[n] for r in found], pa.string()) for n in range(len(columns))), pa.array(range(len(found)), pa.int64())], [*columns, "_row"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"`{c}` string" for c in columns) + ", _row long")
+
+
+def sheet_bytes(columns: Sequence[str], rows: Sequence[Sequence[str | None]]) -> bytes:
+    """A workbook (.xlsx) with one sheet of strings."""
+    main, document = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/"
+    cell = lambda c, n, v: "" if v is None else f'<c r="{c}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    letters = [chr(65 + n) if n < 26 else chr(64 + n // 26) + chr(65 + n % 26) for n in range(len(columns))]
+    body = "".join(f'<row r="{n}">' + "".join(cell(c, n, v) for c, v in zip(letters, r, strict=True)) + "</row>" for n, r in enumerate([columns, *rows], 1))
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{package}content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{package}relationships"><Relationship Id="rId1" Type="{document}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{document}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}relationships"><Relationship Id="rId1" Type="{document}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+    return out.getvalue()
+
+
 def save_results(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Replace a result table, or only the partitions that the rows are in."""
     out = df.write.mode("overwrite")

@@ -1,4 +1,4 @@
-"""NIfTI-1 and MetaImage (MHA) files as DataFrames, and NIfTI written from them.
+"""NIfTI-1 and MetaImage (MHA) files as DataFrames, and written from them.
 
 Files come through Spark's ``binaryFile`` reader, so any store it can list will do; a file
 is one row, decoded in its own task. ``headers_only`` leaves the voxels out.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.runtime import ship
+from tessera.sources.files import write_files
 
 #: Fixed values of the NIfTI-1 format: data type code, numpy type.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -124,7 +125,7 @@ def read_mha(raw: bytes, headers_only: bool = False) -> dict:
 def write_nifti(values, dim, affine, kind: str = "float32", description: str = "", compress: bool = False) -> bytes:
     """A NIfTI-1 file. Integers are scaled so that the largest value is the type's largest."""
     code = {np.dtype(t).name: c for c, t in NIFTI_TYPES.items()}[kind]
-    x = np.array([np.nan if v is None else v for v in values], dtype=np.float64)
+    x = values.astype(np.float64) if isinstance(values, np.ndarray) else np.array([np.nan if v is None else v for v in values], dtype=np.float64)
     slope, finite = 1.0, x[np.isfinite(x)]
     if np.issubdtype(np.dtype(kind), np.integer):
         ends = np.iinfo(kind)
@@ -172,40 +173,90 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.{nii,nii.gz,mha}",
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def update_affine(raw: bytes, affine) -> bytes:
+    """The NIfTI file with another affine (of 1-based indices); voxels are not touched."""
+    packed = raw[:2] == b"\x1f\x8b"
+    out = bytearray(gzip.decompress(raw) if packed else raw)
+    order = "<" if struct.unpack_from("<i", out, 0)[0] == 348 else ">"
+    if struct.unpack_from(order + "i", out, 0)[0] != 348 or out[344:348] not in (b"n+1\0", b"ni1\0"):
+        raise ValueError("not a NIfTI-1 file")
+    shift = np.eye(4)
+    shift[:3, 3] = 1
+    m = np.asarray(affine, float).reshape(4, 4) @ shift
+    struct.pack_into(order + "3f", out, 80, *np.sqrt((m[:3, :3] ** 2).sum(axis=0)))
+    struct.pack_into(order + "2h", out, 252, 0, 2)
+    struct.pack_into(order + "12f", out, 280, *m[:3].ravel())
+    return gzip.compress(bytes(out), mtime=0) if packed else bytes(out)
+
+
+def write_mha(values, dim, affine, element: str = "MET_FLOAT", compress: bool = False, big_endian: bool = False) -> bytes:
+    """A local MetaImage file. Integers are rounded half up and cut to the type's range."""
+    kind = np.dtype(MHA_TYPES[element])
+    x = np.asarray(values, np.float64)
+    if np.issubdtype(kind, np.integer):
+        x = np.clip(np.floor(np.nan_to_num(x) + 0.5), np.iinfo(kind).min, np.iinfo(kind).max)
+    shift = np.eye(4)
+    shift[:3, 3] = 1
+    m = np.diag([-1.0, -1.0, 1.0, 1.0]) @ np.asarray(affine, float).reshape(4, 4) @ shift
+    size = np.sqrt((m[:3, :3] ** 2).sum(axis=0))
+    body = x.astype(kind.newbyteorder(">" if big_endian else "<")).tobytes()
+    body = zlib.compress(body) if compress else body
+    show = lambda v: " ".join(repr(float(n)) for n in np.ravel(v))
+    head = {
+        "ObjectType": "Image",
+        "NDims": len(dim),
+        "BinaryData": True,
+        "BinaryDataByteOrderMSB": big_endian,
+        "CompressedData": compress,
+        "TransformMatrix": show((m[:3, :3] / size).T),
+        "Offset": show(m[:3, 3]),
+        "ElementSpacing": show(size),
+        "DimSize": " ".join(map(str, dim)),
+        "ElementType": element,
+        "ElementDataFile": "LOCAL",
+    }
+    return "".join(f"{k} = {v}\n" for k, v in head.items()).encode() + body
+
+
+def _volume(column, n: int) -> np.ndarray | None:
+    """Row n of a list column as an array; missing voxels are NaN."""
+    return column[n].values.to_numpy(zero_copy_only=False) if column[n].is_valid else None
+
+
 def encode(tiles: DataFrame, kind: str = "float32", compress: bool = False, data: str = "data") -> DataFrame:
     """Each row's volume as the bytes of a NIfTI file, in column ``content``."""
     ship(tiles.sparkSession)
+    kept = [c for c in tiles.columns if c != "content"]
+    schema = tiles.select(*kept).schema.add("content", "binary")
 
-    @F.udf("binary")
-    def content(values, dim, affine):
-        return None if values is None else write_nifti(values, dim, affine, kind, "", compress)
+    def run(batches):
+        for batch in batches:
+            for n in range(len(batch)):
+                values = _volume(batch.column(data), n)
+                raw = None if values is None else write_nifti(values, batch.column("dim")[n].as_py(), batch.column("affine")[n].as_py(), kind, "", compress)
+                row = batch.slice(n, 1)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in kept), pa.array([raw], pa.binary())], [*kept, "content"])
 
-    return tiles.withColumn("content", content(data, "dim", "affine"))
+    return tiles.mapInArrow(run, schema)
 
 
 def save(tiles: DataFrame, folder: str, name: str, kind: str = "float32", compress: bool = False) -> DataFrame:
     """Write each row's volume to ``folder`` under the name in a column; returns the paths.
     The folder is a path or URI that every executor reaches; a file appears whole or not."""
-    coded = encode(tiles, kind, compress).select(F.col(name).alias("name"), "content")
-    suffix = ".nii.gz" if compress else ".nii"
+    coded = encode(tiles.select(name, "dim", "affine", "data"), kind, compress)
+    return write_files(coded.select(F.concat(name, F.lit(".nii.gz" if compress else ".nii")).alias("name"), "content"), folder)
 
-    def run(batches):
-        import posixpath
-        import uuid
 
-        from pyarrow import fs
+def rewrite_headers(spark: SparkSession, folder: str, affines: DataFrame, pattern: str = "*.{nii,nii.gz}") -> DataFrame:
+    """Give the NIfTI files below a folder new affines, from a table of ``name`` (the file's)
+    and ``affine``. Files are replaced whole; returns the paths."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    met = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content").join(affines.select("name", "affine"), "name")
 
-        store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(base, recursive=True)
+    def run(batches):
         for batch in batches:
-            done = []
-            for stem, raw in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if raw is not None:
-                    own, final = posixpath.join(base, f".{uuid.uuid4().hex}"), posixpath.join(base, stem + suffix)
-                    with store.open_output_stream(own) as f:
-                        f.write(raw)
-                    store.move(own, final)
-                    done.append(final)
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
-
-    return coded.mapInArrow(run, "path string")
+            for name, raw, affine in zip(batch.column("name").to_pylist(), batch.column("content"), batch.column("affine").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([update_affine(raw.as_py(), affine)], pa.binary())], ["name", "content"])
+
+    return write_files(met.mapInArrow(run, "name string, content binary"), folder)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.cohort import pending
+from tessera.plans.runtime import Scratch
 
 
-def run_step(work: DataFrame, done_path: str, keys: Sequence[str], step: str, process: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
+def run_step(work: DataFrame, done_path: str, keys: Sequence[str], step: str, process: Callable[[DataFrame], DataFrame], force: bool = False, out: str | None = None) -> DataFrame:
     """Process what the completion table lacks and add it there. ``process`` gives the keys
-    and ``error`` (NULL where it went well); rows with errors stay to be done."""
+    and ``error`` (NULL where it went well); rows with errors stay to be done.
+
+    The result is written before anything is marked as done: below ``out``, a folder for
+    each run, or in the shared folder. A run that breaks off in between is done again."""
     spark = work.sparkSession
     schema = work.select(*keys).withColumn("step", F.lit(step)).schema
     try:
@@ -22,7 +27,12 @@ def run_step(work: DataFrame, done_path: str, keys: Sequence[str], step: str, pr
             raise
         done = spark.createDataFrame([], schema)
     result = process(pending(work, done, keys, force))
-    result = result.cache()
+    if out is None:
+        result = Scratch(spark, f"step-{step}").save(result, "result")
+    else:
+        own, made = f"{out}/run-{uuid.uuid4().hex}", result.schema
+        result.write.parquet(own)
+        result = spark.read.schema(made).parquet(own)
     result.where(F.col("error").isNull()).select(*keys, F.lit(step).alias("step")).write.mode("append").parquet(done_path)
     return result
 
