@@ -71,11 +71,11 @@ def map_volumes(stacks: DataFrame, hook, dim: Sequence[int], classes: int, data:
                 row = batch.slice(r, 1)
                 try:
                     flat = np.asarray(row.column(data)[0].values.to_numpy(zero_copy_only=False), dtype=float)
-                    done = hook(flat.reshape((*dim, classes), order="F"))
-                    value, error = [np.asarray(done, dtype=float).ravel(order="F").tolist()], [None]
+                    done = np.asarray(hook(flat.reshape((*dim, classes), order="F")), dtype=float).ravel(order="F")
+                    value, error = pa.ListArray.from_arrays(pa.array([0, len(done)], pa.int32()), pa.array(done)), None
                 except Exception as e:  # one volume's failure is a row of the result
-                    value, error = [None], [f"{type(e).__name__}: {e}"]
-                yield pa.RecordBatch.from_arrays([*(row.column(n) for n in names), pa.array(value, pa.list_(pa.float64())), pa.array(error, pa.string())], [*names, data, "error"])
+                    value, error = pa.array([None], pa.list_(pa.float64())), f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([*(row.column(n) for n in names), value, pa.array([error], pa.string())], [*names, data, "error"])
 
     return stacks.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
-#: Used only where the session names no shared folder, as in local tests.
+#: Set only where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 ARROW_ROWS = 1000
 
@@ -55,8 +55,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
+    """The folder that the driver and all executors share, as the session names it. Only a
+    local session, whose driver is its executor, has one without."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 

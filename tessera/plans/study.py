@@ -45,15 +45,14 @@ def subjects(volume: DataFrame, exclusion: DataFrame, study: Study) -> DataFrame
 
 def overlap(volume: DataFrame, chosen: DataFrame, study: Study) -> DataFrame:
     """Dice and distances of each method against the silver standard, by subject and tissue."""
-    native = volume.where(F.col("space") == "native").join(chosen, "subject", "left_semi")
-    silver = native.where(F.col("method") == study.silver).select("subject", "tissue", F.col("data").alias("_silver"))
-    others = native.where(F.col("method") != study.silver)
-    met, keys = others.join(silver, ["subject", "tissue"]), ("subject", "tissue", "method")
-    long = lambda df, name: df.select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value"))
-    found = long(metrics.dice_tiles(met, keys, "data", "_silver", study.threshold), "dice")
+    keys = ("subject", "tissue", "method")
+    native = volume.where(F.col("space") == "native").join(chosen, "subject", "left_semi").select(*keys, metrics.mask_of(F.col("data"), study.threshold).alias("_mask"))
+    silver = native.where(F.col("method") == study.silver).select("subject", "tissue", F.col("_mask").alias("_silver"))
+    met = native.where(F.col("method") != study.silver).join(silver, ["subject", "tissue"])
+    long = lambda df, *names: df.unpivot(list(keys), list(names), "metric", "value")
+    found = long(metrics.dice_masks(met, keys, "_mask", "_silver"), "dice")
     if study.dim is not None:
-        apart = metrics.distances_tiles(met, keys, "data", "_silver", study.dim, study.size, study.threshold)
-        found = found.unionByName(long(apart, "hd95")).unionByName(long(apart, "assd"))
+        found = found.unionByName(long(metrics.distances_tiles(met, keys, "_mask", "_silver", study.dim, study.size), "hd95", "assd"))
     return found
 
 

@@ -36,9 +36,16 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vol.to_cells(rows, DIM, ["vec_id"], "embedding")
 
 
-def logs(n: int = 5) -> Column:
-    """The first slots of a volume as log-probabilities of n channels."""
-    return F.slice("data", 1, n)
+def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row's 64 slots as 16 voxels of an atlas, each with 4 log-probabilities."""
+    t = tiles(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("voxel"), "data")
+    return t.select("vec_id", "voxel", F.slice("data", F.col("voxel") * 4 + 1, F.lit(4)).alias("logp"))
+
+
+ATLAS = """atlas AS (
+  SELECT vec_id, CAST(a AS INTEGER) AS voxel, list_transform(embedding[4 * a + 1:4 * a + 4], lambda x: CAST(x AS DOUBLE)) AS l
+  FROM embeddings, range(16) AS t(a) WHERE embedding IS NOT NULL
+)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

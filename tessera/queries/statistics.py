@@ -146,16 +146,45 @@ def _summary_sql(key, value):
 
 
 BOTH = "x IS NOT NULL AND y IS NOT NULL"
+
+
+def _simpson(f, low, high, steps):
+    """The integral of f(t) by Simpson's rule, as SQL."""
+    at = f"({low} + ({high} - ({low})) * g / CAST({steps} AS DOUBLE))"
+    weight = f"CASE WHEN g IN (0, {steps}) THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END"
+    return f"list_sum(list_transform(range({steps + 1}), lambda g: ({weight}) * {f(at)})) * ({high} - ({low})) / CAST({3 * steps} AS DOUBLE)"
+
+
+# The beta distribution of equal parameters is the F distribution of equal degrees of
+# freedom; it is symmetric, so half of it is integrated, and its quantile is bisected.
+_HALF_BETA = lambda t: f"pow(greatest(4 * {t} * (1 - {t}), CAST(0 AS DOUBLE)), m / CAST(2 AS DOUBLE) - 1)"
+ICC_CI = f"""WITH RECURSIVE {TOTALS}, h AS (SELECT count(*) AS n, count(*) - 1 AS m, 2 * covar_samp(x, y) / (var_samp(x) + var_samp(y)) AS icc FROM totals WHERE {BOTH}),
+w AS (SELECT m, {_simpson(_HALF_BETA, "CAST(0.5 AS DOUBLE)", "CAST(1 AS DOUBLE)", 4000)} AS half FROM h),
+b AS (
+  SELECT 0 AS k, CAST(0.5 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN part < 0.475 THEN mid ELSE lo END, CASE WHEN part < 0.475 THEN hi ELSE mid END
+  FROM (SELECT k, lo, hi, mid, {_simpson(_HALF_BETA, "CAST(0.5 AS DOUBLE)", "mid", 4000)} / (2 * half) AS part FROM (SELECT k, lo, hi, (lo + hi) / 2 AS mid, m, half FROM b, w WHERE k < 45))
+), q AS (SELECT lo / (1 - lo) AS q FROM b WHERE k = 45), f AS (SELECT n, icc, (1 + icc) / (1 - icc) AS f, q FROM h, q)
+SELECT n, {q6("icc", "icc")}, {q6("(f / q - 1) / (f / q + 1)", "lower")}, {q6("(f * q - 1) / (f * q + 1)", "upper")} FROM f"""
+
+_DENSITY = lambda t: f"exp(-{t} * {t} / 2) / sqrt(2 * pi())"
+WILCOXON_P = f"""{SIGNED.rpartition("SELECT tissue")[0].rstrip()},
+s AS (SELECT tissue, count(*) AS n, CAST(coalesce(sum(r) FILTER (d > 0), 0) AS DOUBLE) AS w, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY tissue),
+z AS (SELECT *, least(w, n * (n + 1) / 2.0 - w) AS low, abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM s),
+few AS (SELECT tissue, count(*) FILTER (list_sum(list_transform(range(1, n + 1), lambda g: CAST(g * ((mask >> (g - 1)) & 1) AS BIGINT))) <= low) AS ways, count(*) AS all_ways FROM z, range(32768) AS x(mask) WHERE n <= 15 AND mask < (1 << n) GROUP BY tissue)
+SELECT tissue, n, {q6("w", "w_plus")}, {q6(f"least(CASE WHEN n <= 15 AND ties = 0 AND w = floor(w) THEN 2 * ways / CAST(all_ways AS DOUBLE) ELSE 1 - 2 * {_simpson(_DENSITY, 'CAST(0 AS DOUBLE)', 'z', 4000)} END, 1)", "p")} FROM z LEFT JOIN few USING (tissue)"""
+
 QUERIES = {
     "summary_stats": (summary_stats, f"WITH {PAIRS} SELECT {_summary_sql('tissue', 'x')} FROM pairs WHERE x IS NOT NULL GROUP BY tissue"),
     "runtime_summary": (runtime_summary, f"SELECT {_summary_sql('event_type AS method', 'CAST(value AS DOUBLE)')} FROM events WHERE value IS NOT NULL GROUP BY event_type"),
     "bland_altman": (bland_altman, f"WITH {PAIRS} SELECT tissue, count(*) AS n, {q6('avg(y - x)', 'bias')}, {q6('avg(y - x) - 1.96 * stddev_samp(y - x)', 'lower')}, {q6('avg(y - x) + 1.96 * stddev_samp(y - x)', 'upper')} FROM pairs WHERE {BOTH} GROUP BY tissue"),
     "pearson": (pearson, f"WITH {PAIRS} SELECT tissue, count(*) AS n, {q6('corr(x, y)', 'r')} FROM pairs WHERE {BOTH} GROUP BY tissue"),
     "icc31": (icc31, f"WITH {PAIRS} SELECT tissue, count(*) AS n, {q6('2 * covar_samp(x, y) / nullif(var_samp(x) + var_samp(y), 0)', 'icc')} FROM pairs WHERE {BOTH} GROUP BY tissue"),
-    "icc_ci": (icc_ci, None),
+    "icc_ci": (icc_ci, ICC_CI),
     "hazen_iqr": (hazen_iqr, f"WITH {PAIRS}, {_mid()} SELECT tissue, " + ", ".join(q6(_hazen_sql("tissue", p), n) for p, n in zip(*QUARTILES, strict=True)) + " FROM ranked GROUP BY tissue"),
     "wilcoxon_w": (wilcoxon_w, SIGNED),
-    "wilcoxon_p": (wilcoxon_p, None),
+    "wilcoxon_p": (wilcoxon_p, WILCOXON_P),
     "bonferroni_flag": (
         bonferroni_flag,
         f"WITH {PAIRS}, m AS (SELECT tissue, avg(x) AS x, avg(y) AS y, least(count(x) / CAST(10000 AS DOUBLE) * 3, 1) AS p FROM pairs GROUP BY tissue) SELECT tissue, {q6('p', 'p')}, CASE WHEN p < 0.05 AND CASE WHEN tissue = 'A' THEN y > x ELSE y < x END THEN '*' ELSE '' END AS mark FROM m",

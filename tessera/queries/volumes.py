@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as num
 from tessera.operators import metrics
 from tessera.operators import volumes as vol
-from tessera.queries.common import DIM, VOX, cells, logs, q6, r6, tiles
+from tessera.queries.common import ATLAS, DIM, VOX, atlas, cells, q6, r6, tiles
 
-SOFT = """soft AS (
-  SELECT vec_id, n, exp(x - mx) / (sum(exp(x - mx)) OVER w + exp(-mx)) AS p, exp(-mx) / (sum(exp(x - mx)) OVER w + exp(-mx)) AS bg
-  FROM (SELECT vec_id, n, CAST(embedding[n] AS DOUBLE) AS x, max(CAST(embedding[n] AS DOUBLE)) OVER (PARTITION BY vec_id) AS mx
-        FROM embeddings, range(1, 6) AS t(n) WHERE embedding IS NOT NULL)
-  WINDOW w AS (PARTITION BY vec_id)
-)"""
+SOFT = f"""{ATLAS}, e AS (SELECT vec_id, voxel, list_max(l) AS mx, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM atlas),
+soft AS (SELECT vec_id, voxel, list_transform(e || [exp(-mx)], lambda x: x / (list_sum(e) + exp(-mx))) AS p FROM e)"""
 
 
 def dice(spark, d):
     """The headline metric: overlap of two methods' masks for each subject, in tile form."""
     t = tiles(spark, d)
     subject = F.expr("vec_id div 2").alias("subject")
-    a = t.where("vec_id % 2 = 0").select(subject, F.col("data").alias("a"))
-    b = t.where("vec_id % 2 = 1").select(subject, F.col("data").alias("b"))
-    return metrics.dice_tiles(a.join(b, "subject"), ["subject"], "a", "b", 0.0).select("subject", r6(F.col("dice"), "dice"))
+    a = t.where("vec_id % 2 = 0").select(subject, metrics.mask_of(F.col("data"), 0.0).alias("a"))
+    b = t.where("vec_id % 2 = 1").select(subject, metrics.mask_of(F.col("data"), 0.0).alias("b"))
+    return metrics.dice_masks(a.join(b, "subject"), ["subject"], "a", "b").select("subject", r6(F.col("dice"), "dice"))
 
 
 DICE = f"""WITH {VOX}, m AS (
@@ -65,8 +61,8 @@ def finite_or_zero(spark, d):
 
 
 def channel_duplicate(spark, d):
-    doubled = num.channels(logs(), (1, 1, 2, 2, 3, 4, 5))
-    return tiles(spark, d).select("vec_id", F.posexplode(doubled).alias("pos", "v")).select("vec_id", (F.col("pos") + 1).cast("int").alias("channel"), r6(F.col("v"), "v"))
+    doubled = num.channels(F.col("logp"), (1, 1, 2, 2, 3, 4))
+    return atlas(spark, d).select("vec_id", "voxel", F.posexplode(doubled).alias("pos", "v")).select("vec_id", "voxel", (F.col("pos") + 1).cast("int").alias("channel"), r6(F.col("v"), "v"))
 
 
 def index_remap(spark, d):
@@ -85,17 +81,17 @@ def tile_round_trip(spark, d):
 
 
 def softmax_background(spark, d):
-    p = num.softmax_background(logs())
-    return tiles(spark, d).select("vec_id", F.posexplode(p).alias("pos", "p")).select("vec_id", (F.col("pos") + 1).cast("int").alias("class"), r6(F.col("p"), "p"))
+    p = num.softmax_background(F.col("logp"))
+    return atlas(spark, d).select("vec_id", "voxel", F.posexplode(p).alias("pos", "p")).select("vec_id", "voxel", (F.col("pos") + 1).cast("int").alias("class"), r6(F.col("p"), "p"))
 
 
 def softmax_plain(spark, d):
-    p = num.softmax_plain(logs())
-    return tiles(spark, d).select("vec_id", F.posexplode(p).alias("pos", "p")).select("vec_id", (F.col("pos") + 1).cast("int").alias("class"), r6(F.col("p"), "p"))
+    p = num.softmax_plain(F.col("logp"))
+    return atlas(spark, d).select("vec_id", "voxel", F.posexplode(p).alias("pos", "p")).select("vec_id", "voxel", (F.col("pos") + 1).cast("int").alias("class"), r6(F.col("p"), "p"))
 
 
 def implicit_background(spark, d):
-    return tiles(spark, d).select("vec_id", r6(num.implicit_background(F.transform(logs(), F.abs)), "bg"))
+    return atlas(spark, d).select("vec_id", "voxel", r6(num.implicit_background(F.transform("logp", lambda x: F.abs(x) * 2)), "bg"))
 
 
 def renormalise(spark, d):
@@ -109,16 +105,17 @@ def skull_strip(spark, d):
 
 
 def icv_mask(spark, d):
-    return tiles(spark, d).select("vec_id", vol.inside_mask(num.softmax_background(logs())).cast("int").alias("inside"))
+    return atlas(spark, d).select("vec_id", "voxel", vol.inside_mask(num.softmax_background(F.col("logp"))).cast("int").alias("inside"))
 
 
 def hemisphere_split(spark, d):
-    """Each voxel's channels are the first five slots plus its own value."""
+    """Each voxel's first channel is its own value, the others the volume's next slots."""
     t = tiles(spark, d)
-    lowest = t.agg(F.min(F.array_min(logs())).alias("lowest"))  # one row
-    c = vol.to_cells(t, DIM, ["vec_id"]).join(t.select("vec_id", logs().alias("p")), "vec_id").crossJoin(F.broadcast(lowest))
-    split = num.hemisphere_split(F.col("p"), F.col("i"), F.lit(4), F.col("lowest"))
-    return c.where("j = 1 AND k = 1").select("vec_id", "i", F.posexplode(split).alias("pos", "x")).select("vec_id", "i", (F.col("pos") + 1).cast("int").alias("channel"), r6(F.col("x"), "x"))
+    first = F.slice("data", 1, 5)
+    lowest = t.agg(F.min(F.array_min(first)).alias("lowest"))  # one row
+    c = vol.to_cells(t, DIM, ["vec_id"]).join(t.select("vec_id", first.alias("p")), "vec_id").crossJoin(F.broadcast(lowest))
+    split = num.hemisphere_split(F.concat(F.array("v"), F.slice("p", 2, 4)), F.col("i"), F.lit(4), F.col("lowest"))
+    return c.select("vec_id", "i", "j", "k", F.posexplode(split).alias("pos", "x")).select("vec_id", "i", "j", "k", (F.col("pos") + 1).cast("int").alias("channel"), r6(F.col("x"), "x"))
 
 
 def volumes_tbv_tiv(spark, d):
@@ -218,10 +215,6 @@ def value_range(spark, d):
 
 
 def normal_pdf(spark, d):
-    return cells(spark, d).where("j = 1 AND k = 1").select("vec_id", "i", r6(num.normal_pdf(F.col("v"), 0.05, 0.2), "density"))
-
-
-def normal_pdf_voxels(spark, d):
     return cells(spark, d).select("vec_id", "i", "j", "k", r6(num.normal_pdf(F.col("v"), 0.05, 0.2), "density"))
 
 
@@ -255,22 +248,22 @@ QUERIES = {
     "mask_assign": (mask_assign, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('CASE WHEN v > 0.05 THEN v ELSE -1 END', 'v')} FROM vox"),
     "clamp_window": (clamp_window, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('least(CAST(0.1 AS DOUBLE), greatest(CAST(-0.1 AS DOUBLE), v))', 'clamped')}, {q6('least(CAST(1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), (v + 0.05) / CAST(0.15 AS DOUBLE)))', 'shown')} FROM vox"),
     "finite_or_zero": (finite_or_zero, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('CASE WHEN i = 2 OR j = 3 THEN 0 ELSE v END', 'v')} FROM vox"),
-    "channel_duplicate": (channel_duplicate, f"SELECT vec_id, CAST(n AS INTEGER) AS channel, {q6('CAST(embedding[([1, 1, 2, 2, 3, 4, 5])[n]] AS DOUBLE)', 'v')} FROM embeddings, range(1, 8) AS t(n) WHERE embedding IS NOT NULL"),
+    "channel_duplicate": (channel_duplicate, f"WITH {ATLAS} SELECT vec_id, voxel, CAST(n AS INTEGER) AS channel, {q6('l[([1, 1, 2, 2, 3, 4])[n]]', 'v')} FROM atlas, range(1, 7) AS t(n)"),
     "index_remap": (index_remap, "SELECT vec_id, CAST(n AS INTEGER) AS n, CAST(CASE WHEN n <= 4 THEN n ELSE n + 2 END AS INTEGER) AS g FROM embeddings, range(1, 8) AS t(n) WHERE embedding IS NOT NULL"),
     "linear_index": (linear_index, f"WITH {VOX} SELECT vec_id, i, j, k, CAST((i - 1) + 4 * ((j - 1) + 4 * (k - 1)) AS INTEGER) AS at FROM vox"),
     "tile_round_trip": (tile_round_trip, f"SELECT vec_id, {q6('CAST(embedding[7] AS DOUBLE)', 'v7')}, CAST(64 AS INTEGER) AS n FROM embeddings WHERE embedding IS NOT NULL"),
-    "softmax_background": (softmax_background, f"WITH {SOFT} SELECT vec_id, CAST(n AS INTEGER) AS class, {q6('p', 'p')} FROM soft UNION ALL SELECT DISTINCT vec_id, CAST(6 AS INTEGER), {q6('bg')} FROM soft"),
-    "softmax_plain": (softmax_plain, f"WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(CAST(x AS DOUBLE))) || [CAST(1 AS DOUBLE)] AS e FROM embeddings WHERE embedding IS NOT NULL) SELECT vec_id, CAST(n AS INTEGER) AS class, {q6('e[n] / list_sum(e)', 'p')} FROM e, range(1, 7) AS t(n)"),
-    "implicit_background": (implicit_background, f"SELECT vec_id, {q6('greatest(CAST(1 AS DOUBLE) - list_sum(list_transform(embedding[1:5], lambda x: abs(CAST(x AS DOUBLE)))), CAST(0 AS DOUBLE))', 'bg')} FROM embeddings WHERE embedding IS NOT NULL"),
+    "softmax_background": (softmax_background, f"WITH {SOFT} SELECT vec_id, voxel, CAST(n AS INTEGER) AS class, {q6('p[n]', 'p')} FROM soft, range(1, 6) AS t(n)"),
+    "softmax_plain": (softmax_plain, f"WITH {ATLAS}, e AS (SELECT vec_id, voxel, list_transform(l, lambda x: exp(x)) || [CAST(1 AS DOUBLE)] AS e FROM atlas) SELECT vec_id, voxel, CAST(n AS INTEGER) AS class, {q6('e[n] / list_sum(e)', 'p')} FROM e, range(1, 6) AS t(n)"),
+    "implicit_background": (implicit_background, f"WITH {ATLAS} SELECT vec_id, voxel, {q6('greatest(CAST(1 AS DOUBLE) - list_sum(list_transform(l, lambda x: abs(x) * 2)), CAST(0 AS DOUBLE))', 'bg')} FROM atlas"),
     "renormalise": (renormalise, f"WITH a AS ({ABS6}) SELECT vec_id, CAST(n AS INTEGER) AS class, {q6(f'e[n] / (list_sum(e) + {EPS})', 'p')} FROM a, range(1, 7) AS t(n)"),
     "skull_strip": (skull_strip, f"WITH a AS ({ABS6}) SELECT vec_id, {q6(f'CASE WHEN e[1] / (list_sum(e) + {EPS}) + e[2] / (list_sum(e) + {EPS}) + e[3] / (list_sum(e) + {EPS}) >= 0.5 THEN v9 ELSE 0 END', 'v')} FROM a"),
-    "icv_mask": (icv_mask, f"WITH {SOFT} SELECT vec_id, CAST(sum(p) FILTER (n <= 3) > 0.5 AS INTEGER) AS inside FROM soft GROUP BY vec_id"),
+    "icv_mask": (icv_mask, f"WITH {SOFT} SELECT vec_id, voxel, CAST(p[1] + p[2] + p[3] > 0.5 AS INTEGER) AS inside FROM soft"),
     "hemisphere_split": (
         hemisphere_split,
-        f"""WITH lo AS (SELECT min(CAST(embedding[n] AS DOUBLE)) AS lowest FROM embeddings, range(1, 6) AS t(n) WHERE embedding IS NOT NULL)
-SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(c AS INTEGER) AS channel,
-       {q6("CASE WHEN (c IN (1, 3) AND i <= 2) OR (c IN (2, 4) AND i >= 2) THEN lowest ELSE CAST(embedding[([1, 1, 2, 2, 3, 4, 5])[c]] AS DOUBLE) END", "x")}
-FROM embeddings, lo, range(1, 5) AS a(i), range(1, 8) AS b(c) WHERE embedding IS NOT NULL""",
+        f"""WITH {VOX}, lo AS (SELECT min(CAST(embedding[n] AS DOUBLE)) AS lowest FROM embeddings, range(1, 6) AS t(n) WHERE embedding IS NOT NULL)
+SELECT vec_id, i, j, k, CAST(c AS INTEGER) AS channel,
+       {q6("CASE WHEN (c IN (1, 3) AND i <= 2) OR (c IN (2, 4) AND i >= 2) THEN lowest WHEN c <= 2 THEN v ELSE CAST(embedding[([1, 1, 2, 2, 3, 4, 5])[c]] AS DOUBLE) END", "x")}
+FROM vox JOIN embeddings USING (vec_id), lo, range(1, 8) AS b(c)""",
     ),
     "volumes_tbv_tiv": (
         volumes_tbv_tiv,
@@ -295,8 +288,7 @@ a AS (SELECT *, CASE WHEN v > 0 THEN 0.6 * s + 0.4 ELSE s END AS r1, CASE WHEN v
 SELECT vec_id, i, j, {q6("CASE WHEN i > 2 THEN 0.6 * r1 ELSE r1 END", "red")}, {q6("CASE WHEN i > 2 THEN 0.6 * g1 ELSE g1 END", "green")}, {q6("CASE WHEN i > 2 THEN 0.6 * g1 + 0.4 ELSE g1 END", "blue")} FROM a""",
     ),
     "value_range": (value_range, f"WITH {VOX} SELECT vec_id, {q6('min(v)', 'v_min')}, {q6('max(v)', 'v_max')} FROM vox GROUP BY vec_id"),
-    "normal_pdf": (normal_pdf, f"WITH {VOX} SELECT vec_id, i, {q6('exp(-((v - 0.05) / CAST(0.2 AS DOUBLE)) * ((v - 0.05) / CAST(0.2 AS DOUBLE)) / 2) / (0.2 * sqrt(2 * pi()))', 'density')} FROM vox WHERE j = 1 AND k = 1"),
-    "normal_pdf_voxels": (normal_pdf_voxels, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('exp(-((v - 0.05) / CAST(0.2 AS DOUBLE)) * ((v - 0.05) / CAST(0.2 AS DOUBLE)) / 2) / (0.2 * sqrt(2 * pi()))', 'density')} FROM vox"),
+    "normal_pdf": (normal_pdf, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('exp(-((v - 0.05) / CAST(0.2 AS DOUBLE)) * ((v - 0.05) / CAST(0.2 AS DOUBLE)) / 2) / (0.2 * sqrt(2 * pi()))', 'density')} FROM vox"),
     "prior_table": (prior_table, f"SELECT vec_id, {q6('CAST(embedding[1] AS DOUBLE) * 2000 + 1024 - 1024', 'mean_hu')}, {q6('sqrt(abs(1 / ((abs(CAST(embedding[2] AS DOUBLE)) + 1) * (abs(CAST(embedding[3] AS DOUBLE)) + 0.01))))', 'sd_hu')} FROM embeddings WHERE embedding IS NOT NULL"),
     "voxel_size_det": (voxel_size_det, f"SELECT vec_id, {q6(f'CASE WHEN {DET} < 0 THEN -{NORM[0]} ELSE {NORM[0]} END', 'vx')}, {q6(NORM[1], 'vy')}, {q6(NORM[2], 'vz')}, {q6(DET, 'det')} FROM embeddings WHERE embedding IS NOT NULL"),
 }

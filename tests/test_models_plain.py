@@ -49,7 +49,7 @@ def test_cross_validation(spark, sf_dir, embeddings, machine):
         ids = sorted(v for v, (k, _) in embeddings.items() if k == label)
         order = sorted(ids, key=lambda v: (hashlib.md5(str(v).encode()).hexdigest(), v))
         fold = np.array([order.index(v) % 5 + 1 for v in ids])
-        x = np.stack([embeddings[v][1][:32] for v in ids])
+        x = np.stack([embeddings[v][1] for v in ids])
         y = np.array([embeddings[v][1][0] + label if machine != "gpc" else float(embeddings[v][1][0] > 0) for v in ids])
         for f in set(fold):
             train = fold != f

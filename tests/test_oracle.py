@@ -42,7 +42,7 @@ def test_runs(spark, sf_dir, name):
     assert queries.queries()[name](spark, sf_dir).count() > 0
 
 
-@pytest.mark.parametrize("name", ["gmm_responsibilities_voxels", "normal_pdf_voxels"])
+@pytest.mark.parametrize("name", ["gmm_responsibilities", "normal_pdf"])
 def test_every_voxel_is_returned(spark, sf_dir, oracle, name):
     n = oracle.execute("SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL").fetchone()[0]
     assert queries.queries()[name](spark, sf_dir).select("vec_id", "i", "j", "k").distinct().count() == 64 * n
