@@ -218,7 +218,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, seed: int = 20_240_131
         found.append(scratch.save(_written(_in_ranges(own, first, wave), f"{scratch.base}/shards", length), f"rows-{first}"))
         first += wave
         del own
-        scratch.free_shuffles()  # nothing refers to this wave's any more
+        scratch.free_shuffles(now=True)  # nothing refers to this wave's any more
     scratch.drop("sequences")
     out = found[0]
     for more in found[1:]:

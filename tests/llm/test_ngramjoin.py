@@ -93,7 +93,7 @@ def test_links_query_equals_brute_force(spark, sf_dir, tmp_path):
     different = set(sets.values()) - {frozenset()}
     plain = components_by_brute_force(docs, 4, 85)
     want = {i: (*plain[i], sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in different)) for i, s in sets.items()}
-    got = queries()["op1_ngram_links"](spark, str(tmp_path)).collect()
+    got = queries()["op1_ngram_join"](spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want and len(got) == len(docs)
     assert max(w[2] for w in want.values()) > 10
 
@@ -141,4 +141,4 @@ def test_query_equals_sql(spark, sf_dir):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    assert {tuple(r) for r in op1_ngram_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()} == set(con.execute(OP1_SQL).fetchall())
+    assert {tuple(r) for r in op1_ngram_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id", "n_links").collect()} == set(con.execute(OP1_SQL).fetchall())
