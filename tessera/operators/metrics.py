@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.tiles import VALUES
 from tessera.plans.runtime import ship
 
 
@@ -47,10 +48,11 @@ def dice_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], above: float = 0
 
 
 def squared_distance(mask: np.ndarray, size: Sequence[float]) -> np.ndarray:
-    """Squared distance of every voxel to the nearest of the mask, exactly: one minimum of
-    shifted parabolas an axis. Infinite without any."""
+    """Squared distance of every voxel to the nearest of the mask (or of each of several
+    masks along a first axis), exactly: one minimum of shifted parabolas an axis. Infinite
+    without any."""
     d = np.where(mask, 0.0, np.inf)
-    for axis, s in enumerate(size):
+    for axis, s in enumerate(size, mask.ndim - 3):
         lines = np.moveaxis(d, axis, 0)
         n = len(lines)
         out = np.empty_like(lines)
@@ -61,26 +63,39 @@ def squared_distance(mask: np.ndarray, size: Sequence[float]) -> np.ndarray:
 
 
 def surface_of(mask: np.ndarray) -> np.ndarray:
-    """Voxels with any of their six neighbours outside the mask or the volume."""
-    wide = np.pad(mask, 1)
+    """Voxels with any of their six neighbours outside the mask or the volume, also of several
+    masks along a first axis."""
+    wide = np.pad(mask, [(0, 0)] * (mask.ndim - 3) + [(1, 1)] * 3)
     inner = mask.copy()
-    for axis in range(3):
+    for axis in range(mask.ndim - 3, mask.ndim):
         for step in (-1, 1):
-            inner &= np.roll(wide, step, axis)[1:-1, 1:-1, 1:-1]
+            inner &= np.roll(wide, step, axis)[..., 1:-1, 1:-1, 1:-1]
     return mask & ~inner
 
 
 def distances_of(a: np.ndarray, b: np.ndarray, size: Sequence[float], surface_to_surface: bool = False) -> tuple[float, float] | None:
     """95th percentile and average symmetric surface distance of two masks; None if either
     is empty."""
-    if not a.any() or not b.any():
-        return None
-    sides = [np.sqrt(squared_distance(surface_of(other) if surface_to_surface else other, size)[surface_of(own)]) for own, other in ((a, b), (b, a))]
-    both = np.sort(np.concatenate(sides))
-    h = min(max(0.95 * len(both) + 0.5, 1.0), float(len(both)))
-    low = int(np.floor(h))
-    high = both[min(low, len(both) - 1)]
-    return float(both[low - 1] + (h - low) * (high - both[low - 1])), float((sides[0].mean() + sides[1].mean()) / 2)
+    found = distances_of_each(a[None], b[None], size, surface_to_surface)[0]
+    return None if found[0] is None else found
+
+
+def distances_of_each(a: np.ndarray, b: np.ndarray, size: Sequence[float], surface_to_surface: bool = False) -> list[tuple[float, float] | tuple[None, None]]:
+    """The same of each two masks along the first axis."""
+    surfaces = surface_of(a), surface_of(b)
+    far = [np.sqrt(squared_distance(x, size)) for x in (surfaces[::-1] if surface_to_surface else (b, a))]
+    out = []
+    for n in range(len(a)):
+        sides = [d[n][s[n]] for d, s in zip(far, surfaces, strict=True)]
+        if not len(sides[0]) or not len(sides[1]):
+            out.append((None, None))
+            continue
+        both = np.sort(np.concatenate(sides))
+        h = min(max(0.95 * len(both) + 0.5, 1.0), float(len(both)))
+        low = int(np.floor(h))
+        high = both[min(low, len(both) - 1)]
+        out.append((float(both[low - 1] + (h - low) * (high - both[low - 1])), float((sides[0].mean() + sides[1].mean()) / 2)))
+    return out
 
 
 def distances_tiles(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dim: Sequence[int], size: Sequence[float], above: float = 0.5, surface_to_surface: bool = False) -> DataFrame:
@@ -90,10 +105,11 @@ def distances_tiles(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dim:
 
     @F.pandas_udf("hd95 double, assd double")
     def both(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(x, y, strict=True):
-            masks = [np.nan_to_num(np.asarray(v, dtype=float), nan=-np.inf).reshape(dim, order="F") > above for v in (p, q)]
-            rows.append(distances_of(*masks, size, surface_to_surface) or (None, None))
+        rows, step = [], max(1, VALUES // int(np.prod(dim)))
+        shape = (-1, *reversed(dim))  # axes z, y, x
+        for n in range(0, len(x), step):
+            masks = [np.nan_to_num(np.array([np.asarray(v, dtype=float) for v in c[n : n + step]]), nan=-np.inf).reshape(shape) > above for c in (x, y)]
+            rows += distances_of_each(*masks, tuple(reversed(size)), surface_to_surface)
         return pd.DataFrame(rows, columns=["hd95", "assd"], dtype="float64")
 
     return pairs.select(*keys, both(a, b).alias("d")).select(*keys, "d.hd95", "d.assd")

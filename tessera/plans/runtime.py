@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,6 +16,7 @@ PACKAGE = Path(__file__).resolve().parent.parent
 #: Set only where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 ARROW_ROWS = 1000
+GC_SECONDS = 2.0
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -66,6 +68,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``keep`` what a result still reads."""
 
+    _collected = float("-inf")
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
@@ -80,10 +84,14 @@ class Scratch:
         self.free_shuffles()
         return self.spark.read.schema(schema).parquet(path)
 
-    def free_shuffles(self) -> None:
-        """Shuffle files go once the driver's garbage collection finds their plans unused."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def free_shuffles(self, now: bool = False) -> None:
+        """Shuffle files go once the driver's garbage collection finds their plans unused.
+        Steps of a moment have little to free, so collections are ``GC_SECONDS`` apart unless
+        one is wanted now."""
+        if now or time.monotonic() - Scratch._collected >= GC_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch._collected = time.monotonic()
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
