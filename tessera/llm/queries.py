@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, ngramjoin, quality, shards, tiling, topk, toxicity
+from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, ngramjoin, periodic, quality, shards, tiling, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -68,6 +68,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -114,7 +118,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op6_brown_lm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op6_brown_lm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,10 +108,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes and each row's first word (rows + 1)."""
     start, end, first = word_bounds(data, offsets)
-    return span_hashes(data, start, end), first
+    return span_hashes(data, start, end, lower), first
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
