@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, ngramjoin, periodic, quality, shards, spelling, tiling, topk, toxicity
+from tessera.llm import brown, bytebpe, hashtree, htmltext, labelled, language, ngramjoin, periodic, quality, shards, spelling, tiling, topk, toxicity
 from tessera.plans.runtime import table
 
 
@@ -72,6 +72,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = labelled.remainder(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text", "lang")
+    return language.identify(docs, ~F.col("held_out"), keep=("held_out",))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -122,7 +128,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op6_brown_lm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order, op11_periodic_runs, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_byte_bpe, op3_html_text, op4_toxicity_fm, op5_quality_nbsvm, op6_brown_lm, op7_hash_tree, op8_exact_topk, op9_string_tiling, op10_training_order, op11_periodic_runs, op12_language_ecoc, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
