@@ -120,8 +120,10 @@ def grid_of_each(rows: DataFrame, dim: Sequence[int]) -> DataFrame:
 
 
 def affine_columns(m, at: Sequence[Column | str] = AXES) -> list[Column]:
-    """Where the affine takes three coordinates."""
+    """Where the affine takes three coordinates; an affine may be a column of 16 values."""
     x = [F.col(c) if isinstance(c, str) else c for c in at]
+    if isinstance(m, Column):
+        return [sum((F.get(m, F.lit(4 * r + n)) * c for n, c in enumerate(x)), F.get(m, F.lit(4 * r + 3))) for r in range(3)]
     return [sum((F.lit(float(v)) * c for v, c in zip(row[:3], x, strict=True)), F.lit(float(row[3]))) for row in matrix(m)[:3]]
 
 

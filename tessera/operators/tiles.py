@@ -2,8 +2,13 @@
 
 A volume is one row, its voxels an array with the first axis fastest, and numpy works on a
 run of volumes at once: no voxel is a row, and nothing is shuffled but what a caller joins.
-Places are 1-based voxel coordinates, given as an affine from the output grid's voxels (the
-same for all rows) or as three columns of arrays. NULL is a missing voxel or value.
+Dimensions and affines are literals or names of columns (``array<int>`` of three,
+``array<double>`` of 16), so that volumes of one table may each have their own grid; rows of
+like grids are worked on together. Places are 1-based voxel coordinates, given as an affine
+from the output grid's voxels or as three columns of arrays. NULL is a missing voxel or value.
+
+A row that lacks an input gets NULL, as does one with an array that does not fit its grid, a
+grid that is none, or a matrix without 16 values; why stands in column ``error``.
 """
 
 from __future__ import annotations
@@ -12,7 +17,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -21,49 +25,112 @@ from tessera.plans.runtime import ship
 #: Values of one column that are worked on at once.
 VALUES = 1 << 22
 
-Places = np.ndarray | Sequence[str]
+#: An affine (literal or the name of a column), or the names of three columns of arrays.
+Places = np.ndarray | str | Sequence[str]
+Dim = Sequence[int] | str
+ERROR = "error"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """A row a volume; missing values are NaN."""
+    """A row a volume, all of one length; missing values are NaN."""
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(column), -1)
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    flat = np.ascontiguousarray(x, dtype=float).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+def _listed(parts: list[tuple[np.ndarray, np.ndarray]], rows: int) -> pa.Array:
+    """Lists of the rows that parts (row numbers, a matrix) have; others are NULL."""
+    sizes, have = np.zeros(rows, np.int64), np.zeros(rows, bool)
+    for at, x in parts:
+        sizes[at], have[at] = x.shape[1], True
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.empty(ends[-1])
+    for at, x in parts:
+        flat[ends[at][:, None] + np.arange(x.shape[1])] = x
+    offsets = pa.array(ends.astype(np.int32), pa.int32(), mask=np.append(~have, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+
+
+def _grids(column: pa.Array) -> list[tuple[int, ...] | None]:
+    return [tuple(d) if d is not None and len(d) == 3 and all(n is not None and n > 0 for n in d) else None for d in column.to_pylist()]
 
 
-def over_volumes(df: DataFrame, inputs: Sequence[str], work: Callable[..., Sequence[np.ndarray]], outputs: Sequence[str]) -> DataFrame:
+def _affines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of the rows, and which rows have a usable one."""
+    found = [m if m is not None and len(m) == 16 and None not in m else None for m in column.to_pylist()]
+    x = np.array([m or [np.nan] * 16 for m in found], float).reshape(-1, 4, 4)
+    return x, np.isfinite(x).all(axis=(1, 2))
+
+
+def over_volumes(df: DataFrame, inputs: Sequence[str], work: Callable[..., Sequence[np.ndarray]], outputs: Sequence[str], dims: Sequence[Dim] = (), affines: Sequence[np.ndarray | str] = (), fits: Sequence[int] | None = None) -> DataFrame:
     """Add array columns that ``work`` makes from matrices (a row a volume) of the input
-    columns, whose arrays have one length each. Rows that lack an input get NULL."""
+    columns. Where ``dims`` or ``affines`` are given, ``work`` gets lists of them first: of a
+    column, the rows' common dimensions, or their matrices (rows x 4 x 4). ``fits`` has the
+    place in ``dims`` of the grid that each input is on; the first one where it is not given."""
     ship(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name not in outputs]
+    kept = [f for f in df.schema.fields if f.name not in (*outputs, ERROR)]
     names = [f.name for f in kept]
-    schema = T.StructType([*kept, *(T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs)])
+    reports = bool(dims or affines)
+    had = ERROR if ERROR in df.columns else None
+    extra = [T.StructField(ERROR, T.StringType())] if reports or had else []
+    schema = T.StructType([*kept, *(T.StructField(o, T.ArrayType(T.DoubleType())) for o in outputs), *extra])
+    on = list(fits) if fits is not None else [0] * len(inputs) if dims else []
+
+    def checked(part):
+        """Why rows can't be worked on, and what the others have in common."""
+        n = len(part)
+        errors: list[str | None] = [None] * n
+        sizes = [part.column(c).value_lengths().to_pylist() for c in inputs]
+        grids = [_grids(part.column(d)) if isinstance(d, str) else [tuple(d)] * n for d in dims]
+        mats = [_affines(part.column(m)) if isinstance(m, str) else (np.asarray(m, float).reshape(4, 4), np.ones(n, bool)) for m in affines]
+        alike: dict[tuple, list[int]] = {}
+        for r in range(n):
+            lack = next((c for c, s in zip(inputs, sizes, strict=True) if s[r] is None), None)
+            if lack is not None:
+                errors[r] = f"{lack} is missing"
+            elif any(g[r] is None for g in grids):
+                errors[r] = "unusable dimensions"
+            elif not all(ok[r] for _, ok in mats):
+                errors[r] = "unusable affine"
+            else:
+                wrong = next((c for c, s, g in zip(inputs, sizes, on, strict=False) if s[r] != np.prod(grids[g][r])), None)
+                if wrong is not None:
+                    errors[r] = f"{wrong} does not fit its grid"
+                else:
+                    alike.setdefault((*(s[r] for s in sizes), *(g[r] for g in grids)), []).append(r)
+        return errors, alike, mats
 
     def run(batches):
         for batch in batches:
-            widest = max((pc.max(pc.list_value_length(batch.column(c))).as_py() or 1 for c in inputs), default=1)
-            step = max(1, VALUES // max(1, widest))
-            for a in range(0, len(batch), step):
-                part = batch.slice(a, step)
-                whole = np.logical_and.reduce([np.asarray(part.column(c).is_valid()) for c in inputs])
-                place = pa.array(np.cumsum(whole) - 1, mask=~whole)
-                if whole.any():
-                    held = part.filter(pa.array(whole))
-                    made = [_lists(x).take(place) for x in work(*(_matrix(held.column(c)) for c in inputs))]
-                else:
-                    made = [pa.nulls(len(part), pa.list_(pa.float64()))] * len(outputs)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *outputs])
+            errors, alike, mats = checked(batch)
+            made: list[list] = [[] for _ in outputs]
+            for key, rows in alike.items():
+                step = max(1, VALUES // max(1, *key[: len(inputs)], *(int(np.prod(g)) for g in key[len(inputs) :])))
+                for a in range(0, len(rows), step):
+                    at = np.array(rows[a : a + step])
+                    own = batch.take(pa.array(at))
+                    head = [list(key[len(inputs) :]), [m if m.ndim == 2 else m[at] for m, _ in mats]] if reports else []
+                    for found, x in zip(made, work(*head, *(_matrix(own.column(c)) for c in inputs)), strict=True):
+                        found.append((at, x))
+            columns = [*(batch.column(n) for n in names), *(_listed(parts, len(batch)) for parts in made)]
+            if extra:
+                old = batch.column(had).to_pylist() if had else [None] * len(batch)
+                columns.append(pa.array([o or (e if reports else None) for o, e in zip(old, errors, strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def grid_places(m: np.ndarray, dim: Sequence[int]) -> list[np.ndarray]:
-    """Where an affine takes the voxels of a grid, first axis fastest."""
+    """Where an affine, or each of many, takes the voxels of a grid, first axis fastest."""
     k, j, i = (x.ravel() + 1.0 for x in np.meshgrid(*(np.arange(n) for n in reversed(dim)), indexing="ij"))
-    return [row[0] * i + row[1] * j + row[2] * k + row[3] for row in np.asarray(m, float).reshape(4, 4)[:3]]
+    m = np.asarray(m, float).reshape(*np.shape(m)[:-2], 4, 4) if np.ndim(m) > 2 else np.asarray(m, float).reshape(4, 4)
+    row = lambda n, c: m[..., n, c, None] if m.ndim > 2 else m[n, c]
+    return [row(n, 0) * i + row(n, 1) * j + row(n, 2) * k + row(n, 3) for n in range(3)]
+
+
+def _moved(m: np.ndarray, at: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Where an affine takes points, or each row's affine its own."""
+    row = lambda n, c: m[..., n, c, None] if m.ndim > 2 else m[n, c]
+    return [row(n, 0) * at[0] + row(n, 1) * at[1] + row(n, 2) * at[2] + row(n, 3) for n in range(3)]
 
 
 def _at(index: Sequence[np.ndarray], dim: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,33 +154,45 @@ def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[:, at] if at.ndim == 1 else np.take_along_axis(values, at, axis=1)
 
 
-def _places(places: Places, dim: Sequence[int]) -> tuple[list[np.ndarray] | None, list[str]]:
-    if isinstance(places, np.ndarray):
-        return grid_places(places, dim), []
-    return None, list(places)
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Of an affine or of each of many; of a singular one nothing but NaN."""
+    if m.ndim == 2:
+        return np.linalg.inv(m)
+    regular = np.abs(np.linalg.det(m)) > 0
+    out = np.full(m.shape, np.nan)
+    out[regular] = np.linalg.inv(m[regular])
+    return out
+
+
+def _places(places: Places) -> tuple[list, list[str]]:
+    """Affines and columns that places are made of."""
+    if isinstance(places, (np.ndarray, str)):
+        return [places], []
+    return [], list(places)
 
 
-def pull(images: DataFrame, places: Places, dim: Sequence[int], out_dim: Sequence[int] | None = None, order: int = 1, clamp: bool = False, data: str = "data", out: str = "data") -> DataFrame:
+def pull(images: DataFrame, places: Places, dim: Dim, out_dim: Dim | None = None, order: int = 1, clamp: bool = False, data: str = "data", out: str = "data") -> DataFrame:
     """Each image at the places: the nearest voxel (order 0, halves up) or between eight.
     Beyond the grid, and where it is missing, the image is 0; ``clamp`` keeps results within
     the image's range."""
-    fixed, columns = _places(places, out_dim or dim)
+    affines, columns = _places(places)
 
-    def work(values, *own):
-        at = fixed or own
+    def work(dims, mats, values, *own):
+        shape, target = dims
+        at = grid_places(mats[0], target) if mats else own
         held = np.nan_to_num(values)
         if order == 0:
-            index, inside = _at([np.floor(c + 0.5) for c in at], dim)
+            index, inside = _at([np.floor(c + 0.5) for c in at], shape)
             found = np.where(inside, _take(held, index), 0.0)
         else:
-            found = sum(w * _take(held, index) for index, w in _corners(at, dim))
+            found = sum(w * _take(held, index) for index, w in _corners(at, shape))
         if clamp:
             with np.errstate(all="ignore"):
                 low, high = (f(np.where(np.isnan(values), fill, values), axis=1, keepdims=True) for f, fill in ((np.min, np.inf), (np.max, -np.inf)))
             found = np.minimum(high, np.maximum(low, found))
         return [found]
 
-    return over_volumes(images, [data, *columns], work, [out])
+    return over_volumes(images, [data, *columns], work, [out], [dim, out_dim or dim], affines, [0, *[1] * len(columns)])
 
 
 def _scattered(values: Sequence[np.ndarray], places: Sequence[np.ndarray], dim: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -132,29 +211,27 @@ def _scattered(values: Sequence[np.ndarray], places: Sequence[np.ndarray], dim:
     return [s.reshape(n, size) for s in sums], weights.reshape(n, size)
 
 
-def push(images: DataFrame, places: Places, dim: Sequence[int], out_dim: Sequence[int] | None = None, preserve: bool = False, data: str = "data", out: str = "data") -> DataFrame:
+def push(images: DataFrame, places: Places, dim: Dim, out_dim: Dim | None = None, preserve: bool = False, data: str = "data", out: str = "data") -> DataFrame:
     """Values scattered to the eight voxels around their places: weighted mean, or the sum
     if amounts are to be preserved. Voxels that nothing reaches are NULL."""
-    fixed, columns = _places(places, dim)
+    affines, columns = _places(places)
 
-    def work(values, *own):
-        (total,), weight = _scattered([values], fixed or own, out_dim or dim)
+    def work(dims, mats, values, *own):
+        (total,), weight = _scattered([values], grid_places(mats[0], dims[0]) if mats else own, dims[1])
         with np.errstate(all="ignore"):
             return [np.where(weight > 0, total if preserve else total / weight, np.nan)]
 
-    return over_volumes(images, [data, *columns], work, [out])
+    return over_volumes(images, [data, *columns], work, [out], [dim, out_dim or dim], affines)
 
 
-def compose(deformations: DataFrame, dim: Sequence[int], affine, outer: Sequence[str] = ("ox", "oy", "oz"), inner: Sequence[str] = ("wx", "wy", "wz"), out: Sequence[str] = ("wx", "wy", "wz")) -> DataFrame:
+def compose(deformations: DataFrame, dim: Dim, affine: np.ndarray | str, outer: Sequence[str] = ("ox", "oy", "oz"), inner: Sequence[str] = ("wx", "wy", "wz"), out: Sequence[str] = ("wx", "wy", "wz"), outer_dim: Dim | None = None) -> DataFrame:
     """A deformation that goes through ``inner`` and then ``outer``, both in one row: outer's
     coordinates, millimetres of the affine's grid, are looked up in inner between eight
     voxels, of which those beyond the grid don't count. NULL where none does."""
-    back = np.linalg.inv(np.asarray(affine, float).reshape(4, 4))
 
-    def work(ox, oy, oz, *fields):
-        places = [r[0] * ox + r[1] * oy + r[2] * oz + r[3] for r in back[:3]]
+    def work(dims, mats, ox, oy, oz, *fields):
         sums, weight = [np.zeros_like(ox) for _ in fields], np.zeros_like(ox)
-        for at, w in _corners(places, dim):
+        for at, w in _corners(_moved(_inverse(mats[0]), (ox, oy, oz)), dims[0]):
             met = [_take(f, at) for f in fields]
             w = np.where(np.logical_or.reduce([np.isnan(x) for x in met]), 0.0, w)
             weight += w
@@ -163,10 +240,10 @@ def compose(deformations: DataFrame, dim: Sequence[int], affine, outer: Sequence
         with np.errstate(all="ignore"):
             return [np.where(weight > 0, s / weight, np.nan) for s in sums]
 
-    return over_volumes(deformations, [*outer, *inner], work, list(out))
+    return over_volumes(deformations, [*outer, *inner], work, list(out), [dim, outer_dim or dim], [affine], [1, 1, 1, 0, 0, 0])
 
 
-def inverse(deformations: DataFrame, dim: Sequence[int], target_affine, source_affine, target_dim: Sequence[int] | None = None, rounds: int = 0, field: Sequence[str] = ("wx", "wy", "wz"), out: Sequence[str] = ("wx", "wy", "wz")) -> DataFrame:
+def inverse(deformations: DataFrame, dim: Dim, target_affine: np.ndarray | str, source_affine: np.ndarray | str, target_dim: Dim | None = None, rounds: int = 0, field: Sequence[str] = ("wx", "wy", "wz"), out: Sequence[str] = ("wx", "wy", "wz")) -> DataFrame:
     """Where the target's voxels come from, in millimetres of the source.
 
     Source coordinates are scattered to the target grid and averaged; voxels that no point
@@ -174,12 +251,8 @@ def inverse(deformations: DataFrame, dim: Sequence[int], target_affine, source_a
     then each round moves every voxel by how far the deformation, looked up where the voxel
     is thought to come from, misses it: the fixed-point iteration of an inverse.
     """
-    target, source = (np.asarray(m, float).reshape(4, 4) for m in (target_affine, source_affine))
-    shape = target_dim or dim
-    to_target, to_source = np.linalg.inv(target), np.linalg.inv(source)
-    world, goals = grid_places(source, dim), grid_places(target, shape)
 
-    def filled(x, gaps):
+    def filled(x, gaps, shape):
         while gaps.any() and not gaps.all():
             cube, open_ = x.reshape(len(x), *shape[::-1]), gaps.reshape(len(x), *shape[::-1])
             total, near = np.zeros(cube.shape), np.zeros(cube.shape)
@@ -196,46 +269,46 @@ def inverse(deformations: DataFrame, dim: Sequence[int], target_affine, source_a
             gaps = gaps & ~new
         return x
 
-    def work(*w):
-        places = [r[0] * w[0] + r[1] * w[1] + r[2] * w[2] + r[3] for r in to_target[:3]]
+    def work(dims, mats, *w):
+        (own, shape), (target, source) = dims, mats
+        world, goals = grid_places(source, own), grid_places(target, shape)
         known = np.logical_or.reduce([np.isnan(x) for x in w])
-        sums, weight = _scattered([np.where(known, np.nan, s) for s in world], places, shape)
+        sums, weight = _scattered([np.where(known, np.nan, s) for s in world], _moved(_inverse(target), w), shape)
         with np.errstate(all="ignore"):
             found = [np.where(weight > 0, s / weight, np.nan) for s in sums]
         if rounds:
             gaps = weight <= 0
-            found = [filled(x, gaps) for x in found]
+            found = [filled(x, gaps, shape) for x in found]
             for _ in range(rounds):
-                at = [r[0] * found[0] + r[1] * found[1] + r[2] * found[2] + r[3] for r in to_source[:3]]
-                ends = [np.clip(c, 1, n) for c, n in zip(at, dim, strict=True)]
-                here = [sum(q * _take(np.nan_to_num(x), p) for p, q in _corners(ends, dim)) for x in w]
+                ends = [np.clip(c, 1, n) for c, n in zip(_moved(_inverse(source), found), own, strict=True)]
+                here = [sum(q * _take(np.nan_to_num(x), p) for p, q in _corners(ends, own)) for x in w]
                 found = [x + (g - h) for x, g, h in zip(found, goals, here, strict=True)]
         return found
 
-    return over_volumes(deformations, list(field), work, list(out))
+    return over_volumes(deformations, list(field), work, list(out), [dim, target_dim or dim], [target_affine, source_affine])
 
 
-def convolve(images: DataFrame, dim: Sequence[int], taps: Sequence[float], data: str = "data") -> DataFrame:
+def convolve(images: DataFrame, dim: Dim, taps: Sequence[float], data: str = "data") -> DataFrame:
     """Separable convolution with symmetric taps (odd in number); missing voxels and those
     beyond the grid are 0."""
     reach = len(taps) // 2
 
-    def work(values):
-        x = np.nan_to_num(values).reshape(len(values), *dim[::-1])
+    def work(dims, _, values):
+        x = np.nan_to_num(values).reshape(len(values), *dims[0][::-1])
         for axis in (3, 2, 1):
             wide = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(4)])
             n = x.shape[axis]
             x = sum(t * wide[tuple(slice(s, s + n) if a == axis else slice(None) for a in range(4))] for s, t in enumerate(taps))
         return [x.reshape(len(values), -1)]
 
-    return over_volumes(images, [data], work, [data])
+    return over_volumes(images, [data], work, [data], [dim])
 
 
-def surface(images: DataFrame, dim: Sequence[int], above: float = 0.5, data: str = "data", out: str = "surface") -> DataFrame:
+def surface(images: DataFrame, dim: Dim, above: float = 0.5, data: str = "data", out: str = "surface") -> DataFrame:
     """1 at voxels of the mask with any of their six neighbours outside it, 0 elsewhere."""
 
-    def work(values):
-        mask = (np.nan_to_num(values, nan=-np.inf) > above).reshape(len(values), *dim[::-1])
+    def work(dims, _, values):
+        mask = (np.nan_to_num(values, nan=-np.inf) > above).reshape(len(values), *dims[0][::-1])
         wide = np.pad(mask, [(0, 0), (1, 1), (1, 1), (1, 1)])
         inner = mask.copy()
         for axis in (1, 2, 3):
@@ -243,4 +316,4 @@ def surface(images: DataFrame, dim: Sequence[int], above: float = 0.5, data: str
                 inner &= np.roll(wide, step, axis)[:, 1:-1, 1:-1, 1:-1]
         return [(mask & ~inner).reshape(len(values), -1).astype(float)]
 
-    return over_volumes(images, [data], work, [out])
+    return over_volumes(images, [data], work, [out], [dim])

@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import array_sum, clamp, not_nan
 
 
-def to_cells(tiles: DataFrame, dim: Sequence[int], keys: Sequence[str], data: str = "data", value: str = "v") -> DataFrame:
-    """A row a voxel; NaN becomes NULL, values are double."""
-    nx, ny, _ = dim
-    cells = tiles.select(*keys, F.posexplode(data).alias("_p", "_v"))
+def to_cells(tiles: DataFrame, dim: Sequence[int] | str, keys: Sequence[str], data: str = "data", value: str = "v") -> DataFrame:
+    """A row a voxel; NaN becomes NULL, values are double. Dimensions are literals or in a
+    column; a volume without any has no voxels."""
+    nx, ny = (F.get(dim, F.lit(n)) if isinstance(dim, str) else F.lit(int(dim[n])) for n in range(2))
+    held = tiles.select(*keys, nx.alias("_nx"), ny.alias("_ny"), data) if isinstance(dim, str) else tiles
+    cells = held.select(*keys, *(("_nx", "_ny") if isinstance(dim, str) else ()), F.posexplode(data).alias("_p", "_v"))
+    if isinstance(dim, str):
+        nx, ny, cells = F.col("_nx"), F.col("_ny"), cells.where("_nx IS NOT NULL AND _ny IS NOT NULL")
     return cells.select(
         *keys,
         (F.col("_p") % nx + 1).cast("int").alias("i"),
@@ -28,12 +32,14 @@ def to_cells(tiles: DataFrame, dim: Sequence[int], keys: Sequence[str], data: st
     )
 
 
-def to_tiles(cells: DataFrame, dim: Sequence[int], keys: Sequence[str], value: str = "v", data: str = "data") -> DataFrame:
-    """A row a volume; voxels that are absent are NULL."""
-    nx, ny, nz = dim
-    at = linear_index(F.col("i"), F.col("j"), F.col("k"), dim)
-    held = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("p"), F.col(value)))).alias("_m"))
-    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1)), lambda p: F.try_element_at("_m", p)).alias(data))
+def to_tiles(cells: DataFrame, dim: Sequence[int] | str, keys: Sequence[str], value: str = "v", data: str = "data") -> DataFrame:
+    """A row a volume; voxels that are absent are NULL. Dimensions are literals or in a
+    column, which then stays."""
+    nx, ny, nz = (F.get(dim, F.lit(n)) if isinstance(dim, str) else F.lit(int(dim[n])) for n in range(3))
+    own = [dim] if isinstance(dim, str) else []
+    at = (F.col("i") - 1 + nx * (F.col("j") - 1 + ny * (F.col("k") - 1))).cast("int")
+    held = cells.groupBy(*keys, *own).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("p"), F.col(value)))).alias("_m"))
+    return held.select(*keys, *own, F.transform(F.sequence(F.lit(0), nx * ny * nz - 1), lambda p: F.try_element_at("_m", p)).alias(data))
 
 
 def linear_index(i: Column, j: Column, k: Column, dim: Sequence[int]) -> Column:

@@ -1,8 +1,8 @@
 """Registered queries: each operator on the driver's tables, with equivalent SQL."""
 
-from tessera.queries import cohort, files, geometry, models, statistics, volumes
+from tessera.queries import cohort, files, geometry, grids, models, statistics, volumes
 
-MODULES = (volumes, cohort, statistics, geometry, models, files)
+MODULES = (volumes, cohort, statistics, geometry, grids, models, files)
 
 
 def queries():

@@ -187,7 +187,7 @@ def atlas_registry(spark, d):
     """Registered atlases by name: one that is there, and one that would need a download."""
     folder = f"{_folder(spark, 'atlas')}/mu"
     table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", F.col("embedding")[0].cast("double").alias("logp")).write.parquet(folder)
-    registry, found = {"ctseg": folder, "spm10": "/nowhere/mu.nii"}, []
+    registry, found = {"mine": folder, "other": "/nowhere/mu.nii"}, []
     for name in sorted(registry):
         try:
             found.append((name, spark.read.parquet(files.resolve_atlas(name, registry)).count()))
@@ -258,63 +258,6 @@ def slices_shown(spark, d):
     return c.select("vec_id", "s.view", "i", "j", "k", r6(F.col("v"), "v"))
 
 
-def _matrix_rows(spark, named):
-    rows = [(name, r + 1, c + 1, float(np.asarray(m)[r, c])) for name, m in named for r in range(4) for c in range(4)]
-    return spark.createDataFrame(rows, "name string, r int, c int, x double").select("name", "r", "c", r6(F.col("x"), "x"))
-
-
-def _matrix_sql(name, rows):
-    return ", ".join(f"('{name}', {r + 1}, {c + 1}, CAST({x} AS DOUBLE))" for r, row in enumerate(rows) for c, x in enumerate(row))
-
-
-_A = np.array([[2.0, 0.5, 0.0, 4.0], [0.0, 3.0, 0.0, -1.0], [0.0, 0.0, 0.5, 2.0], [0, 0, 0, 1]])
-_B = np.array([[1.0, 0.0, 0.25, 3.0], [0.0, 2.0, 0.0, 5.0], [0.0, 0.0, 4.0, -2.0], [0, 0, 0, 1]])
-
-
-def affine_algebra(spark, d):
-    """Product, left and right division of affines, shift of the origin."""
-    a, b = geo.matrix(_A), geo.matrix(_B)
-    return _matrix_rows(spark, [("A * B", a @ b), ("A \\ B", np.linalg.solve(a, b)), ("A / B", a @ np.linalg.inv(b)), ("T * A", geo.translated(a, (1.0, 2.0, 3.0)))])
-
-
-def _affine_algebra_sql():
-    """Divisions as products with inverses of triangular matrices, written out."""
-    a_inverse = [["0.5", "-0.5 / 6", 0, "-2 - 0.5 / 6"], [0, "1 / 3.0", 0, "1 / 3.0"], [0, 0, 2, -4], [0, 0, 0, 1]]
-    b_inverse = [[1, 0, "-0.0625", "-3 - 0.125"], [0, 0.5, 0, -2.5], [0, 0, 0.25, 0.5], [0, 0, 0, 1]]
-    shift = [[1, 0, 0, 1], [0, 1, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1]]
-    values = ", ".join(_matrix_sql(n, m) for n, m in (("A", _A.tolist()), ("B", _B.tolist()), ("iA", a_inverse), ("iB", b_inverse), ("T", shift)))
-    products = "(VALUES ('A * B', 'A', 'B'), ('A \\ B', 'iA', 'B'), ('A / B', 'A', 'iB'), ('T * A', 'T', 'A')) p(name, x, y)"
-    return f"WITH m(name, r, c, x) AS (VALUES {values}) SELECT p.name, l.r, q.c, {q6('sum(l.x * q.x)', 'x')} FROM {products} JOIN m l ON l.name = p.x JOIN m q ON q.name = p.y AND q.r = l.c GROUP BY p.name, l.r, q.c"
-
-
-_DIMS = (181, 217, 60)
-_MIRRORED = np.diag([-1.0, 1.0, 3.0, 1.0])
-
-
-def origin_reset(spark, d):
-    """The grid's middle at 0, for an upright affine and a mirrored one."""
-    upright, turn = geo.reset_origin(np.array([[0.8, 0, 0, 7.0], [0, 0.8, 0, -9.0], [0, 0, 5.0, 2.0], [0, 0, 0, 1]]), _DIMS)
-    return _matrix_rows(spark, [("new", upright), ("moved", turn), ("mirrored", geo.reset_origin(_MIRRORED, _DIMS)[0])])
-
-
-def _origin_sql():
-    half = ["91.0", "109.0", "30.5"]
-    new = [["0.8", 0, 0, f"-0.8 * {half[0]}"], [0, "0.8", 0, f"-0.8 * {half[1]}"], [0, 0, 5, f"-5.0 * {half[2]}"], [0, 0, 0, 1]]
-    moved = [[1, 0, 0, f"-0.8 * {half[0]} - 7"], [0, 1, 0, f"-0.8 * {half[1]} + 9"], [0, 0, 1, f"-5.0 * {half[2]} - 2"], [0, 0, 0, 1]]
-    mirrored = [[-1, 0, 0, half[0]], [0, 1, 0, f"-{half[1]}"], [0, 0, 3, f"-3 * {half[2]}"], [0, 0, 0, 1]]
-    values = ", ".join(_matrix_sql(n, m) for n, m in (("new", new), ("moved", moved), ("mirrored", mirrored)))
-    return f"SELECT name, r, c, {q6('x', 'x')} FROM (VALUES {values}) m(name, r, c, x)"
-
-
-def voxel_resize(spark, d):
-    """Another voxel size: affine, and dimensions rounded down (size 0 counts as 1)."""
-    m, dim = geo.resized(np.diag([0.8, 0.8, 5.0, 1.0]), _DIMS, (1.5, 0.0, 2.0))
-    return _matrix_rows(spark, [("affine", m), ("dim", np.diag([*map(float, dim), 1.0]))])
-
-
-_RESIZE = "SELECT name, r, c, " + q6("x", "x") + " FROM (VALUES " + _matrix_sql("affine", [[1.5, 0, 0, 0], [0, 1, 0, 0], [0, 0, 2, 0], [0, 0, 0, 1]]) + ", " + _matrix_sql("dim", [["floor(181 * 0.8 / 1.5)", 0, 0, 0], [0, "floor(217 * 0.8)", 0, 0], [0, 0, "floor(60 * 5 / 2.0)", 0], [0, 0, 0, 1]]) + ") m(name, r, c, x)"
-
-
 def stream_moments(spark, d):
     """Running count, sum and sum of squares of a stream of files, as means and variations."""
     folder, e = _folder(spark, "moments"), table(spark, d, "events").select("event_type", F.col("value").cast("double").alias("value"))
@@ -372,14 +315,11 @@ QUERIES = {
     "results_store": (results_store, "SELECT o_orderstatus AS status, CAST(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS INTEGER) AS version, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1, 2"),
     "failures_appended": (failures_appended, "SELECT step, user_id AS subject, count(*) AS n, min('event ' || event_id) AS first_error FROM events, (VALUES ('segment'), ('measure')) s(step) WHERE event_type = 'error' GROUP BY 1, 2"),
     "latex_report": (latex_report, _REPORT),
-    "atlas_registry": (atlas_registry, "SELECT 'ctseg' AS name, count(*) AS n_rows FROM embeddings WHERE embedding IS NOT NULL UNION ALL SELECT 'spm10', NULL"),
+    "atlas_registry": (atlas_registry, "SELECT 'mine' AS name, count(*) AS n_rows FROM embeddings WHERE embedding IS NOT NULL UNION ALL SELECT 'other', NULL"),
     "demographics_csv": (demographics_csv, _DEMOGRAPHICS),
     "demographics_sheet": (demographics_sheet, _DEMOGRAPHICS),
     "window_nonzero": (window_nonzero, _WINDOW),
     "slices_shown": (slices_shown, f"WITH {VOX} SELECT vec_id, view, i, j, k, {q6('v', 'v')} FROM vox JOIN (VALUES ('share', 2), ('point', 3)) s(view, z) ON k = z"),
-    "affine_algebra": (affine_algebra, _affine_algebra_sql()),
-    "origin_reset": (origin_reset, _origin_sql()),
-    "voxel_resize": (voxel_resize, _RESIZE),
     "stream_moments": (
         stream_moments,
         f"SELECT event_type, count(value) AS n, {q6('avg(CAST(value AS DOUBLE))', 'mean')}, {q6('stddev_samp(CAST(value AS DOUBLE)) / abs(avg(CAST(value AS DOUBLE)))', 'cov')} FROM events WHERE value IS NOT NULL GROUP BY event_type",

@@ -39,10 +39,6 @@ def affine_grid(spark, d):
     return _points(spark, d).select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in "xyz"))
 
 
-def identity_grid(spark, d):
-    return geo.grid(spark, (7, 5, 3))
-
-
 def fov_mask(spark, d):
     return geo.mask_outside_view(cells(spark, d), np.eye(4), (3, 3, 3), M1, -1.0).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
 
@@ -222,17 +218,6 @@ a AS (SELECT subject, sum(m) / 2 AS assd FROM (SELECT subject, vec_id, avg(v) AS
 SELECT subject, {q6("hd95", "hd95")}, {q6("assd", "assd")} FROM h JOIN a USING (subject)"""
 
 
-def corners_box(spark, d):
-    lo, hi = geo.corners_box(M1 @ np.diag([10.0, -7.0, 3.0, 1.0]), (181, 217, 60))
-    return spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip("xyz", lo, hi, strict=True)], "axis string, low double, high double")
-
-
-_B = M1 @ np.diag([10.0, -7.0, 3.0, 1.0])
-BOX = "WITH e AS (SELECT i, j, k FROM (VALUES (1), (181)) a(i), (VALUES (1), (217)) b(j), (VALUES (1), (60)) c(k)) " + " UNION ALL ".join(
-    f"SELECT '{axis}' AS axis, round(min({_row(_B, n)})) AS low, round(max({_row(_B, n)})) AS high FROM e" for n, axis in enumerate("xyz")
-)
-
-
 def bounding_box_crop(spark, d):
     return geo.crop(cells(spark, d), MM, [[2.0, float("nan"), 3.0], [5.0, 3.5, float("inf")]]).groupBy("vec_id").agg(F.count("*").alias("n"), r6(F.sum("v"), "total"))
 
@@ -303,7 +288,6 @@ DEF_POINTS = "pts AS (SELECT vec_id, i, j, k, wx / 1.5 AS x, wy AS y, wz / 2.0 A
 
 QUERIES = {
     "affine_grid": (affine_grid, f"WITH {VOX}, {POINTS} SELECT vec_id, i, j, k, {q6('x', 'x')}, {q6('y', 'y')}, {q6('z', 'z')} FROM pts"),
-    "identity_grid": (identity_grid, "SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CAST(c AS INTEGER) AS k FROM range(1, 8) x(a), range(1, 6) y(b), range(1, 4) z(c)"),
     "fov_mask": (fov_mask, f"WITH {VOX}, p AS (SELECT vec_id, i, j, k, v, {_row(M1, 0)} AS x, {_row(M1, 1)} AS y, {_row(M1, 2)} AS z FROM vox) SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='x', y='y', z='z', n=(3, 3, 3)) + ' THEN v ELSE -1 END', 'v')} FROM p"),
     "fov_mask_deformed": (fov_mask_deformed, f"WITH {VOX}, near AS (SELECT vec_id - 1 AS vec_id, embedding AS other FROM embeddings WHERE embedding IS NOT NULL), met AS (SELECT vox.*, CAST(other[i + 4 * (j - 1) + 16 * (k - 1)] AS DOUBLE) AS s FROM vox LEFT JOIN near USING (vec_id)) SELECT vec_id, i, j, k, {q6('CASE WHEN ' + IN_VIEW.format(x='(i + s)', y='(j - s)', z='(k + s / 2)', n=DIM) + ' THEN v ELSE 0 END', 'v')} FROM met"),
     "resample_nearest": (resample_nearest, f"WITH {VOX}, p AS (SELECT vec_id, i, j, k, floor({_row(M1, 0)} + 0.5) AS x, floor({_row(M1, 1)} + 0.5) AS y, floor({_row(M1, 2)} + 0.5) AS z FROM vox) SELECT vec_id, i, j, k, {q6('CASE WHEN x BETWEEN 1 AND 4 AND y BETWEEN 1 AND 4 AND z BETWEEN 1 AND 4 THEN CAST(embedding[CAST(x + 4 * (y - 1) + 16 * (z - 1) AS INTEGER)] AS DOUBLE) ELSE 0 END', 'v')} FROM p JOIN embeddings USING (vec_id)"),
@@ -334,7 +318,6 @@ QUERIES = {
     "perimeter6": (perimeter6, f"WITH {MASKS}, {SURFACE} SELECT * FROM surface"),
     "hd95_assd": (hd95_assd, HD95),
     "hd95_assd_tiles": (hd95_assd_tiles, HD95),
-    "corners_box": (corners_box, BOX),
     "bounding_box_crop": (bounding_box_crop, f"WITH {VOX} SELECT vec_id, count(*) AS n, {q6('sum(v)', 'total')} FROM vox WHERE 1.5 * i >= 2 AND 1.5 * i <= 5 AND j <= 3.5 AND 2.0 * k >= 3 GROUP BY vec_id"),
     "reorient_nearest": (reorient_nearest, _reorient_sql()),
     "spline_resample": (spline_resample, _spline_sql()),
