@@ -125,6 +125,18 @@ def final_gate(b: Column, c: Column, p: Column, above: float = 0.05, eps: float
     return F.transform(gated, lambda x: x / total)
 
 
+def slice_cells(tiles: DataFrame, k: int | Column, dim: Sequence[int] | str, keys: Sequence[str], data: str = "data", value: str = "v") -> DataFrame:
+    """A row a voxel of slice ``k`` (a literal or each row's own) and of no other: the slice
+    is cut out of the array before it becomes rows. A slice that a volume lacks has none."""
+    nx, ny = (F.get(dim, F.lit(n)) if isinstance(dim, str) else F.lit(int(dim[n])) for n in range(2))
+    at = F.lit(int(k)) if isinstance(k, int) else k
+    shape = [dim] if isinstance(dim, str) else []
+    cut = F.when((at >= 1) & ((at - 1) * nx * ny < F.size(data)), F.slice(data, F.greatest((at - 1) * nx * ny, F.lit(0)) + 1, nx * ny))
+    rows = tiles.select(*keys, *shape, at.cast("int").alias("_k"), cut.alias(data))
+    own = dim if isinstance(dim, str) else [*dim[:2], 1]
+    return to_cells(rows, own, [*keys, "_k"], data, value).select(*keys, "i", "j", F.col("_k").alias("k"), value)
+
+
 def rotate_slice(cells: DataFrame, k: int, nx: int) -> DataFrame:
     """One slice, turned by 90 degrees: (i, j) comes to (j, nx - i + 1)."""
     return cells.where(F.col("k") == k).select("*", F.col("j").alias("row"), (F.lit(nx) - F.col("i") + 1).cast("int").alias("col"))

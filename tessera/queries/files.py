@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from tessera.operators import geometry as geo
 from tessera.operators import statistics as st
 from tessera.operators import volumes as vol
 from tessera.plans.runtime import Scratch, ship, table
-from tessera.queries.common import DIM, VOX, cells, q6, r6
-from tessera.sources import files, volume_files
+from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
+from tessera.sources import files, nifti_source, volume_files
 from tessera.streaming import incremental
 
 
@@ -61,12 +62,47 @@ SELECT vec_id, i, j, k, {q6(f"CASE WHEN slope = 0 THEN 0 ELSE CAST(least(greates
 
 
 def nifti_headers(spark, d):
-    """Headers alone: shape, type and affine; the voxels are not decoded."""
+    """Headers alone: shape, type and affine; of each file 352 bytes are read."""
     folder = _folder(spark, "headers")
-    _done(volume_files.save(_volumes(spark, d), folder, "name", "int16"))
-    h = volume_files.scan(spark, folder, headers_only=True).where("error IS NULL AND data IS NULL")
+    _written(_volumes(spark, d), folder, kind="int16")
+    h = spark.read.format("nifti").schema(nifti_source.HEADERS).load(folder).where("error IS NULL")
     at = lambda n: F.element_at("affine", n + 1)
-    return h.select(_number().alias("vec_id"), *(F.element_at("dim", n + 1).alias(f"n{a}") for n, a in enumerate("xyz")), "dtype", *(r6(at(5 * n), f"s{a}") for n, a in enumerate("xyz")), *(r6(at(4 * n + 3), f"t{a}") for n, a in enumerate("xyz")))
+    return h.select(_number().alias("vec_id"), "bytes_read", *(F.element_at("dim", n + 1).alias(f"n{a}") for n, a in enumerate("xyz")), "dtype", *(r6(at(5 * n), f"s{a}") for n, a in enumerate("xyz")), *(r6(at(4 * n + 3), f"t{a}") for n, a in enumerate("xyz")))
+
+
+def _written(volumes, folder, mode="append", **options):
+    nifti_source.register(volumes.sparkSession)
+    volumes.select("name", "dim", "affine", "data").write.format("nifti").mode(mode).options(**options).save(folder)
+
+
+def nifti_slices(spark, d):
+    """Slices 2 and 3 of every file: headers and those slices' bytes are read, no others.
+    Bytes of all slices that were made of a file so far."""
+    folder = _folder(spark, "slices")
+    _written(_volumes(spark, d), folder)
+    s = spark.read.format("nifti").option("layout", "slices").load(folder).where("k IN (2, 3)")
+    rows = s.select(_number("name").alias("vec_id"), "k", "bytes_read", F.posexplode("data").alias("p", "v"))
+    return rows.select("vec_id", (F.col("p") % 4 + 1).cast("int").alias("i"), (F.floor(F.col("p") / 4) + 1).cast("int").alias("j"), "k", "bytes_read", r6(F.col("v").cast("double"), "v"))
+
+
+def nifti_sets(spark, d):
+    """A folder's set after each of four jobs: files are added, some of the same names
+    replaced, a job fails (and leaves nothing), the set is replaced by another."""
+    folder, v = _folder(spark, "sets"), _volumes(spark, d)
+    first = v.where("vec_id % 3 <> 0")
+    doubled = v.where("vec_id % 2 = 0").withColumn("data", F.transform("data", lambda x: x * 2))
+    broken = v.withColumn("data", F.when(F.col("vec_id") % 7 == 3, F.slice("data", 1, 5)).otherwise(F.col("data")))
+    out = None
+    for n, (rows, mode) in enumerate(((first, "append"), (doubled, "append"), (broken, "append"), (doubled, "overwrite"))):
+        try:
+            _written(rows, folder, mode)
+        except PySparkException:
+            if rows is not broken:
+                raise
+        held = spark.read.format("nifti").load(folder).where("error IS NULL").select(F.lit(n).alias("job"), _number("name").alias("vec_id"), r6(vol.class_sum(vol.doubles(F.col("data")), range(1, 65)), "total"))
+        held = Scratch(spark, "sets").save(held, "held")  # read before the next job
+        out = held if out is None else out.unionByName(held)
+    return out
 
 
 def nifti_header_update(spark, d):
@@ -254,8 +290,8 @@ def slices_shown(spark, d):
     """The slice at 45 % of the volume, and the one that holds a point in millimetres."""
     share, point = geo.relative_slice(DIM[2], 0.45), geo.slice_at(_MM, (3.2, 9.0, 6.9), DIM)
     both = F.explode(F.array(*(F.struct(F.lit(n).alias("view"), F.lit(k).alias("at")) for n, k in (("share", share), ("point", point[2])))))
-    c = cells(spark, d).select("*", both.alias("s")).where("k = s.at")
-    return c.select("vec_id", "s.view", "i", "j", "k", r6(F.col("v"), "v"))
+    shown = tiles(spark, d).select("vec_id", both.alias("s"), "data").select("vec_id", "s.view", "s.at", "data")
+    return vol.slice_cells(shown, F.col("at"), DIM, ["vec_id", "view"]).select("vec_id", "view", "i", "j", "k", r6(F.col("v"), "v"))
 
 
 def stream_moments(spark, d):
@@ -303,7 +339,13 @@ QUERIES = {
     "nifti_int16": (_nifti("int16", False), _nifti_sql("greatest(hi / 32767.0, -lo / 32768.0)", -32768, 32767)),
     "nifti_headers": (
         nifti_headers,
-        f"SELECT vec_id, CAST(4 AS INTEGER) AS nx, CAST(4 AS INTEGER) AS ny, CAST(4 AS INTEGER) AS nz, 'int16' AS dtype, {q6('CAST(1.5 AS DOUBLE)', 'sx')}, {q6('CAST(1 AS DOUBLE)', 'sy')}, {q6('CAST(2 AS DOUBLE)', 'sz')}, {q6('CAST(vec_id AS DOUBLE)', 'tx')}, {q6('CAST(-3 AS DOUBLE)', 'ty')}, {q6('CAST(0.5 AS DOUBLE)', 'tz')} FROM embeddings WHERE embedding IS NOT NULL",
+        f"SELECT vec_id, CAST(352 AS BIGINT) AS bytes_read, CAST(4 AS INTEGER) AS nx, CAST(4 AS INTEGER) AS ny, CAST(4 AS INTEGER) AS nz, 'int16' AS dtype, {q6('CAST(1.5 AS DOUBLE)', 'sx')}, {q6('CAST(1 AS DOUBLE)', 'sy')}, {q6('CAST(2 AS DOUBLE)', 'sz')}, {q6('CAST(vec_id AS DOUBLE)', 'tx')}, {q6('CAST(-3 AS DOUBLE)', 'ty')}, {q6('CAST(0.5 AS DOUBLE)', 'tz')} FROM embeddings WHERE embedding IS NOT NULL",
+    ),
+    "nifti_slices": (nifti_slices, f"WITH {VOX} SELECT vec_id, i, j, k, CAST(352 + 64 * (k - 1) AS BIGINT) AS bytes_read, {q6('v', 'v')} FROM vox WHERE k IN (2, 3)"),
+    "nifti_sets": (
+        nifti_sets,
+        f"""WITH {VOX}, t AS (SELECT vec_id, sum(v) AS total FROM vox GROUP BY vec_id), kept AS (SELECT *, vec_id % 3 <> 0 AS first, vec_id % 2 = 0 AS again FROM t)
+SELECT CAST(job AS INTEGER) AS job, vec_id, {q6('CASE WHEN job > 0 AND again THEN 2 * total ELSE total END', 'total')} FROM kept, (VALUES (0), (1), (2), (3)) j(job) WHERE CASE job WHEN 0 THEN first WHEN 3 THEN again ELSE first OR again END""",
     ),
     "nifti_header_update": (nifti_header_update, f"WITH {VOX} SELECT vec_id, {q6('CAST(vec_id AS DOUBLE)', 'tx')}, {q6('vec_id / CAST(4 AS DOUBLE)', 'ty')}, {q6('sum(v)', 'total')} FROM vox GROUP BY vec_id"),
     "mha_elements": (mha_elements, f"WITH {VOX} SELECT vec_id, i, j, k, {q6('CASE WHEN vec_id % 8 IN (6, 7) THEN v WHEN vec_id % 2 = 1 THEN floor(abs(v) * 100 + 0.5) ELSE floor(v * 100 + 0.5) END', 'v')} FROM vox"),

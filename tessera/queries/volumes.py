@@ -201,12 +201,12 @@ SELECT vec_id, CAST(n AS INTEGER) AS class, {q6("q[n] / (list_sum(q) + 2.2204460
 
 
 def slice_rotated(spark, d):
-    return vol.rotate_slice(cells(spark, d), 2, 4).select("vec_id", "row", "col", r6(F.col("v"), "v"))
+    return vol.rotate_slice(vol.slice_cells(tiles(spark, d), 2, DIM, ["vec_id"]), 2, 4).select("vec_id", "row", "col", r6(F.col("v"), "v"))
 
 
 def overlay(spark, d):
     shown = vol.overlay(num.window_level(F.col("v"), -0.5, 0.5), [(F.col("v") > 0, (1.0, 0.0, 0.0)), (F.col("i") > 2, (0.0, 0.0, 1.0))], 0.4)
-    rgb = cells(spark, d).where("k = 2").select("vec_id", "i", "j", shown.alias("c"))
+    rgb = vol.slice_cells(tiles(spark, d), 2, DIM, ["vec_id"]).select("vec_id", "i", "j", shown.alias("c"))
     return rgb.select("vec_id", "i", "j", *(r6(F.col("c")[n], x) for n, x in enumerate(("red", "green", "blue"))))
 
 

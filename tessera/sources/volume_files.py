@@ -50,10 +50,15 @@ def _quaternion_affine(b: float, c: float, d: float, offset, pixdim) -> np.ndarr
     return m
 
 
-def read_nifti(raw: bytes, headers_only: bool = False) -> dict:
-    """Header and voxels. The affine takes 1-based indices; the file's takes 0-based ones."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+#: Bytes that a NIfTI-1 header takes in a file that voxels follow in.
+HEADER_BYTES = 352
+
+
+def nifti_header(raw: bytes) -> tuple[dict, str, int]:
+    """Header fields of a file's first bytes, the numpy type of its voxels with their byte
+    order, and where they begin. The affine takes 1-based indices; the file's 0-based ones."""
+    if len(raw) < 348:
+        raise ValueError(f"a file of {len(raw)} bytes")
     order = "<" if struct.unpack_from("<i", raw, 0)[0] == 348 else ">"
     if struct.unpack_from(order + "i", raw, 0)[0] != 348 or raw[344:348] not in (b"n+1\0", b"ni1\0"):
         raise ValueError("not a NIfTI-1 file")
@@ -75,12 +80,23 @@ def read_nifti(raw: bytes, headers_only: bool = False) -> dict:
     shape = [max(1, n) for n in dim[1 : 1 + dim[0]]]
     slope = slope if np.isfinite(slope) and slope != 0 else 1.0
     inter = inter if np.isfinite(inter) else 0.0
-    out = {"dim": shape, "affine": (m @ shift).ravel().tolist(), "dtype": np.dtype(NIFTI_TYPES[code]).name, "scl_slope": slope, "scl_inter": inter, "data": None}
-    if not headers_only:
-        values = np.frombuffer(raw, order + NIFTI_TYPES[code], int(np.prod(shape)), int(start))
-        values = (values.astype(np.float64) * slope + inter).astype(np.float32)
-        out["data"] = _nan_to_null(values)
-    return out
+    return {"dim": shape, "affine": (m @ shift).ravel().tolist(), "dtype": np.dtype(NIFTI_TYPES[code]).name, "scl_slope": slope, "scl_inter": inter}, order + NIFTI_TYPES[code], int(start)
+
+
+def scaled_voxels(raw: bytes, kind: str, slope: float, inter: float) -> pa.Array:
+    """Voxels of a file's bytes as they are meant; NaN is missing."""
+    return _nan_to_null((np.frombuffer(raw, kind).astype(np.float64) * slope + inter).astype(np.float32))
+
+
+def read_nifti(raw: bytes, headers_only: bool = False) -> dict:
+    """Header and voxels."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    head, kind, start = nifti_header(raw)
+    size = int(np.prod(head["dim"])) * np.dtype(kind).itemsize
+    if not headers_only and len(raw) < start + size:
+        raise ValueError("the file ends before its voxels do")
+    return head | {"data": None if headers_only else scaled_voxels(raw[start : start + size], kind, head["scl_slope"], head["scl_inter"])}
 
 
 def _nan_to_null(values: np.ndarray) -> pa.Array:
