@@ -131,8 +131,15 @@ def masked_volumes(spark, d):
 
 
 def _cov(spark, d):
+    found = metrics.variation_arrays(tiles(spark, d), ["label"]).where("block = 0")  # volumes of 64 voxels
+    cut = found.select("label", F.posexplode(F.arrays_zip("n", "mean", "var", "cov")).alias("p", "s")).where("s.n > 0")
+    i, j, k = F.col("p") % 4 + 1, F.floor(F.col("p") / 4) % 4 + 1, F.floor(F.col("p") / 16) + 1
+    return cut.select("label", i.alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"), "s.*")
+
+
+def cov_map_cells(spark, d):
     c = cells(spark, d).join(tiles(spark, d).select("vec_id", "label"), "vec_id")
-    return metrics.variation_map(c, ["label", "i", "j", "k"])
+    return metrics.variation_map(c, ["label", "i", "j", "k"]).select("label", "i", "j", "k", "n", r6(F.col("mean"), "mean"), r6(F.col("var"), "var"), r6(F.col("cov"), "cov"))
 
 
 def cov_map(spark, d):
@@ -274,6 +281,7 @@ FROM vox JOIN embeddings USING (vec_id), lo, range(1, 8) AS b(c)""",
         f"WITH {VOX} SELECT vec_id // 2 AS subject, {q6('coalesce(sum(CASE WHEN v > 0 THEN v * 3 / 1000 ELSE 0 END) FILTER (vec_id % 2 = 0), 0)', 'tbv_ml')}, {q6('coalesce(sum(CASE WHEN v > 0 THEN v * 3 / 1000 ELSE 0 END), 0)', 'tiv_ml')} FROM vox GROUP BY 1",
     ),
     "cov_map": (cov_map, f"WITH {COV} SELECT label, i, j, k, n, {q6('mean', 'mean')}, {q6('var', 'var')}, {q6('cov', 'cov')} FROM cov"),
+    "cov_map_cells": (cov_map_cells, f"WITH {COV} SELECT label, i, j, k, n, {q6('mean', 'mean')}, {q6('var', 'var')}, {q6('cov', 'cov')} FROM cov"),
     "brain_cov": (brain_cov, f"WITH {COV} SELECT label, count(cov) AS n_voxels, {q6('avg(cov)', 'mean_cov')} FROM cov WHERE mean > 0.04 AND mean < 0.06 GROUP BY label"),
     "quantise_uint8": (quantise("uint8"), quantise_sql("hi / 255.0", 0, 255)),
     "quantise_int16": (quantise("int16"), quantise_sql("greatest(hi / 32767.0, -lo / 32768.0)", -32768, 32767)),
