@@ -52,34 +52,57 @@ def _windows(tokens: list[int], taken: list[bool], size: int):
             yield i - size + 1, h
 
 
-def _longest(text: list[int], item: list[int], text_taken: list[bool], item_taken: list[bool], size: int) -> list[tuple[int, int]]:
-    """Where windows of this size start in both (verified), in order of the item."""
+def _starts(tokens: list[int], taken: list[bool], size: int) -> dict[int, list[int]]:
+    """Where the windows of each running hash start, in order."""
     at: dict[int, list[int]] = {}
-    for i, h in _windows(text, text_taken, size):
+    for i, h in _windows(tokens, taken, size):
         at.setdefault(h, []).append(i)
-    return [(i, j) for j, h in _windows(item, item_taken, size) for i in at.get(h, ()) if text[i : i + size] == item[j : j + size]]
+    return at
+
+
+def _shared(text: list[int], item: list[int], text_taken: list[bool], item_taken: list[bool], size: int) -> bool:
+    """Whether a window of this size stands in both (verified)."""
+    first: dict[int, int] = {}
+    for j, h in _windows(item, item_taken, size):
+        first.setdefault(h, j)
+    for i, h in _windows(text, text_taken, size):
+        j = first.get(h)
+        if j is not None and text[i : i + size] == item[j : j + size]:
+            return True
+    return False
 
 
 def tile(text: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in text, place in item, length), the longest first; of equal
-    ones the earlier in the item, then in the text. 0 in ``text`` parts pieces of it."""
+    ones the earlier in the item, then in the text. 0 in ``text`` parts pieces of it.
+
+    A length's tiles are dealt out in one walk: a window of the text that a tile has reached
+    stays closed, so each window of either side is looked at once, however often it repeats.
+    """
     text_taken, item_taken = [x == 0 for x in text], [False] * len(item)
     tiles, size = [], min(len(item), len(text))
     while size >= least:
         low, high = least, size  # the longest length at which a window still matches
-        if not _longest(text, item, text_taken, item_taken, least):
+        if not _shared(text, item, text_taken, item_taken, least):
             break
         while low < high:
             middle = (low + high + 1) // 2
-            if _longest(text, item, text_taken, item_taken, middle):
+            if _shared(text, item, text_taken, item_taken, middle):
                 low = middle
             else:
                 high = middle - 1
         size = low
-        for i, j in _longest(text, item, text_taken, item_taken, size):
-            if not any(text_taken[i : i + size]) and not any(item_taken[j : j + size]):
-                text_taken[i : i + size] = item_taken[j : j + size] = [True] * size
-                tiles.append((i, j, size))
+        open_ = {h: iter(i) for h, i in _starts(text, text_taken, size).items()}
+        for j, h in list(_windows(item, item_taken, size)):
+            if h not in open_ or item_taken[j] or item_taken[j + size - 1]:
+                continue
+            for i in open_[h]:
+                # All tiles of this walk are of one length: one that overlaps covers an end.
+                if not text_taken[i] and not text_taken[i + size - 1] and text[i : i + size] == item[j : j + size]:
+                    text_taken[i : i + size] = item_taken[j : j + size] = [True] * size
+                    tiles.append((i, j, size))
+                    break
+        size -= 1
     return tiles
 
 
@@ -122,44 +145,52 @@ class Index:
         if not len(self.seeds):
             return
         tokens, first = term_hashes(data, offsets)
-        rows, items, text_at, item_at, spans_ = [], [], [], [], []
-        short = sorted({int(n) for n in np.diff(self.first) if 0 < n < self.least})
-        for k in [*short, self.least]:
+        sizes = np.diff(self.first)
+        for k in [*sorted({int(n) for n in sizes if 0 < n < self.least}), self.least]:
             h, f = shingles(tokens, first, k)
             near = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            found = np.searchsorted(self.seeds, h[near])
-            hit = self.seeds[np.minimum(found, len(self.seeds) - 1)] == h[near]
-            near, found = near[hit], found[hit]
-            count = self.place_first[found + 1] - self.place_first[found]
-            at = np.repeat(near, count)
-            which = self.places[np.arange(count.sum()) + np.repeat(self.place_first[found] - np.cumsum(count) + count, count)]
-            row = np.searchsorted(f, at, side="right") - 1
+            seed = np.searchsorted(self.seeds, h[near])
+            hit = self.seeds[np.minimum(seed, len(self.seeds) - 1)] == h[near]
+            near, seed = near[hit], seed[hit]
+            row = np.searchsorted(f, near, side="right") - 1
             whole = first[row + 1] - first[row] >= k
-            fits = whole & (np.minimum(np.diff(self.first)[which[:, 0]], self.least) == k)
-            rows.append(row[fits])
-            items.append(which[fits, 0])
-            text_at.append((at - f[row] + first[row])[fits])
-            item_at.append(which[fits, 1])
-            spans_.append(np.full(int(fits.sum()), k))
-        row, item, i, j, k = map(np.concatenate, (rows, items, text_at, item_at, spans_))
-        order = np.lexsort((i, item, row))
-        row, item, i, j, k = row[order], item[order], i[order], j[order], k[order]
-        if not len(row):
+            near, seed, row = near[whole], seed[whole], row[whole]
+            yield from self._of_size(k, tokens, near - f[row] + first[row], row, seed, np.minimum(sizes, self.least) == k)
+
+    def _of_size(self, k: int, tokens: np.ndarray, at: np.ndarray, row: np.ndarray, seed: np.ndarray, fits: np.ndarray):
+        """Matches by windows of ``k`` terms, which stand in the text ``at`` the places. A
+        text's seed is held against the items once, however often the text repeats it."""
+        row_seed = np.unique(row * len(self.seeds) + seed)
+        own_row, own_seed = np.divmod(row_seed, len(self.seeds))
+        count = self.place_first[own_seed + 1] - self.place_first[own_seed]
+        which = np.arange(count.sum()) + np.repeat(self.place_first[own_seed] - np.cumsum(count) + count, count)
+        own_row, own_seed = np.repeat(own_row, count), np.repeat(own_seed, count)
+        item, place = self.places[which, 0], self.places[which, 1]
+        use = fits[item]
+        own_row, own_seed, item, place = own_row[use], own_seed[use], item[use], place[use]
+        if not len(item):
             return
-        cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-        for a, z in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
-            size, own = int(self.first[item[a] + 1] - self.first[item[a]]), int(k[a])
-            covered = np.zeros(size, dtype=bool)
-            covered[(j[a:z, None] + np.arange(own)).ravel()] = True
-            if covered.sum() < self.coverage * size:
+        order = np.lexsort((item, own_row))
+        own_row, own_seed, item, place = own_row[order], own_seed[order], item[order], place[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (own_row[1:] != own_row[:-1]) | (item[1:] != item[:-1])]))
+        rows_from = np.searchsorted(row, np.arange(int(row[-1]) + 2))
+        for a, z in zip(cuts, np.append(cuts[1:], len(item)), strict=True):
+            r, n = int(own_row[a]), int(item[a])
+            size = int(self.first[n + 1] - self.first[n])
+            covered = np.zeros(size + 1, np.int64)
+            np.add.at(covered, place[a:z], 1)
+            np.add.at(covered, place[a:z] + k, -1)
+            if (np.cumsum(covered[:-1]) > 0).sum() < self.coverage * size:
                 continue
-            places = np.unique((i[a:z, None] + np.arange(own)).ravel())
+            mine = slice(rows_from[r], rows_from[r + 1])
+            starts = at[mine][np.isin(seed[mine], own_seed[a:z])]
+            places = np.unique((starts[:, None] + np.arange(k)).ravel())
             # Terms that no seed covers cannot be in a tile: 0 stands for each gap.
             parted = np.insert(tokens[places], np.flatnonzero(np.diff(places) > 1) + 1, np.uint64(0))
-            tiles = tile((parted >> np.uint64(4)).tolist(), (self.tokens[self.first[item[a]] : self.first[item[a] + 1]] >> np.uint64(4)).tolist(), own)
+            tiles = tile((parted >> np.uint64(4)).tolist(), (self.tokens[self.first[n] : self.first[n + 1]] >> np.uint64(4)).tolist(), k)
             share = sum(t[2] for t in tiles) / size
             if share >= self.coverage:
-                yield int(row[a]), self.ids[item[a]], share, len(tiles), max(t[2] for t in tiles)
+                yield r, self.ids[n], share, len(tiles), max(t[2] for t in tiles)
 
 
 def _parts(benchmark: DataFrame) -> list[DataFrame]:

@@ -85,3 +85,44 @@ def test_large_benchmark_goes_in_parts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tiling, "PART_BYTES", 2000)
     assert len(tiling._parts(bench)) > 1
     assert {(r.doc_id, r.item_id) for r in tiling.matches(docs, bench).collect()} == whole
+
+
+def test_repeated_words_take_little_time_and_memory():
+    """One word, a period of two, and many: texts of 20,000 words against items of 2,000."""
+    import resource
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.textkernel import utf8
+
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    for unit in ("spam", "spam ham", "a b c a b d"):
+        item, text = (" ".join((unit.split() * 20_000)[:n]) for n in (2_000, 20_000))
+        index = tiling.Index.of([7], pa.array([item]), 4, 0.5)
+        (found,) = list(index.matches(*utf8(pa.array([text]))))
+        assert found == (0, 7, 1.0, 1, 2_000)
+    r = np.random.default_rng(1)
+    words_ = [f"w{n}" for n in r.integers(0, 3, 20_000)]
+    index = tiling.Index.of([7], pa.array([" ".join(words_[:2_000][::-1])]), 4, 0.5)
+    ((_, _, share, _, _),) = list(index.matches(*utf8(pa.array([" ".join(words_)]))))
+    assert share > 0.9
+    assert time.time() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_runs_of_few_words_equal_the_plain_search():
+    """Texts of one to three words, where nearly every window repeats."""
+    import pyarrow as pa
+
+    from tessera.llm.textkernel import utf8
+
+    r = random.Random(11)
+    for n in range(150):
+        letters = "abc"[: 1 + n % 3]
+        items = [(k, " ".join(r.choices(letters, k=r.randint(1, 16)))) for k in range(3)]
+        docs = [(k, " ".join(r.choices(letters, k=r.randint(1, 40)))) for k in range(3)]
+        index = tiling.Index.of([k for k, _ in items], pa.array([t for _, t in items]), tiling.LEAST, tiling.COVERAGE)
+        got = {(m[0], m[1], round(m[2], 9)) for m in index.matches(*utf8(pa.array([t for _, t in docs])))}
+        assert got == brute(docs, items)
