@@ -5,16 +5,23 @@ knows its text, how many tags it took, how much of its text is link text, and th
 that holds it. Lines inside elements that never hold article text (scripts, styles,
 navigation, headers and footers of the page, asides, forms, and elements whose class, id or
 role names a menu, advert, notice, comment section and the like) count as lines without
-text. The text-to-tag ratios, smoothed by a Gaussian, are split into two clusters at the
+text. A form, or a name other than one of reader comments, is believed only where the density
+agrees: not of an element that has most of the page's link-free text in several long lines,
+as with pages inside one form, and no marked article beside it. Names of single paragraphs and
+cells that could be an article's own (warning, legal) are not believed. The text-to-tag ratios, smoothed by a Gaussian, are split into two clusters at the
 threshold between them; the runs of lines above it are the content regions. All of them are
 main text, and so are all other lines that are not excluded in the elements around them:
 the marked articles where these hold at least half of the regions' text, or else the
-innermost container of all regions. So short paragraphs and headings stay.
+innermost container of all regions. So short paragraphs and headings stay. Of these lines,
+those that are links and nothing else go where several links make a line, or several such
+lines follow each other; so does a copyright line at either end. Comments and notices that
+neither a tag nor a name tells apart from the article's paragraphs stay.
 
 Cases: a null or empty page has an empty text; unclosed and stray tags are taken as
 browsers do for paragraphs, list items and table cells; a page without any block is one
 line; whole pages are read, whatever their length and however deep their elements, in time
-that grows with the length, and nothing is cut; an empty table gives no rows; repeated rows give
+that grows with the length, and nothing is cut; what opens a tag or comment that never ends
+is text; an empty table gives no rows; repeated rows give
 repeated results; other columns pass through, new ones replace those of their names.
 """
 
@@ -36,7 +43,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their text is never shown, or never prose.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist audio video map".split())
 #: Elements that hold the page's furniture.
-FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
+FURNITURE = frozenset("nav footer aside menu dialog".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -63,8 +70,22 @@ NAMES = re.compile(
 #: These name furniture only outside an article, which may have a header of its own.
 OUTER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|top-?bar|logo|brand|bottom|languages?|account|cart)(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|post-?(?:content|body)|entry-?content|story|main|main-?content)(?:$|[\s_-])", re.I)
-#: A class that begins so tells of something elsewhere on the page (has-sidebar, no-ads).
-ABOUT = ("has-", "with-", "without-", "no-", "is-", "js-", "show-", "hide-")
+#: A class that begins so tells of something elsewhere on the page (has-sidebar, no-ads), or
+#: files the article under any word (tag-politics, category-legal), except for lists of those.
+ABOUT = ("has-", "with-", "without-", "no-", "is-", "js-", "show-", "hide-", "tag-", "category-", "cat-", "type-", "status-", "format-", "author-")
+LISTS = frozenset("tag-list tag-links tag-cloud category-list category-links author-box author-bio".split())
+#: Of a single paragraph or cell these may be the article's own.
+SOFT = re.compile(r"(?:^|[\s_-])(?:warning|disclaimer|legal|notices?|alerts?|promo\w*|form|dialog|overlay|toc|related\w*|tags?)(?:$|[\s_-])", re.I)
+SINGLE = frozenset("p span b i em strong li h1 h2 h3 h4 h5 h6 blockquote pre code td th tr dt dd figure figcaption caption".split())
+#: Names of reader comments are believed at any density.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|commentlist|responses?|replies|reply|disqus|discussion)(?:$|[\s_-])", re.I)
+FORMS = frozenset("form fieldset".split())
+#: An element of this share of the link-free text, in so many lines of so many characters, is
+#: not furniture, whatever its tag or name.
+MOST, LONG_LINES, LONG_CHARS = 0.6, 3, 60
+#: Links in a line, and lines of one link each, from which they are a menu; and such lines' length.
+MENU_LINKS, MENU_LINES, MENU_CHARS = 2, 3, 60
+COPYRIGHT = re.compile(r"^\W*(?:©|\(c\)|copyright\b)[^\n]{0,200}$", re.I)
 #: What can stand around a whole article; a cell only around blocks of its own.
 CONTAINERS = frozenset("#page html body main article section div center td th".split())
 SPACE = re.compile(r"\s+")
@@ -73,7 +94,9 @@ SPACE = re.compile(r"\s+")
 @dataclass
 class Element:
     """``prose_root`` is the outermost element marked as an article that it is in or is,
-    ``article`` the outermost <article>, ``in_main`` tells of an <article> or <main>."""
+    ``article`` the outermost <article>, ``in_main`` tells of an <article> or <main>.
+    ``doubtful`` elements are furniture if their density agrees, ``tagged`` ones are <article>,
+    <main> or of that role."""
 
     tag: str
     parent: Element | None
@@ -84,6 +107,8 @@ class Element:
     prose_root: Element | None = None
     article: Element | None = None
     in_main: bool = False
+    doubtful: bool = False
+    tagged: bool = False
 
 
 @dataclass
@@ -92,6 +117,7 @@ class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     link_chars: int = 0
+    links: int = 0
 
     def text(self) -> str:
         return SPACE.sub(" ", "".join(self.parts)).strip()
@@ -145,14 +171,18 @@ class Lines(HTMLParser):
             self._end_open(*ENDS[tag])
         up = self.open[-1]
         a = {k: v or "" for k, v in attrs}
-        names = " ".join(x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not x.lower().startswith(ABOUT))
+        names = " ".join(x for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not x.lower().startswith(ABOUT) or x.lower() in LISTS)
         prose = tag in ("article", "main") or a.get("role") == "main" or a.get("itemprop") == "articleBody" or bool(ARTICLE.search(names))
         furniture = tag in FURNITURE or tag == "header" and not up.in_main or "hidden" in a or a.get("aria-hidden") == "true"
-        named = tag not in ("html", "body", "article", "main") and not (prose and tag != "div") and bool(NAMES.search(names) or NAMES.search(a.get("role", "")))
+        told = SOFT.sub(" ", SOFT.sub(" ", names)) if tag in SINGLE else names
+        named = tag not in ("html", "body", "article", "main") and not (prose and tag != "div") and bool(NAMES.search(told) or NAMES.search(a.get("role", "")))
         named |= tag not in ("html", "body") and bool(OUTER_NAMES.search(names)) and up.prose_root is None
         named &= self.by_name
         hidden = up.hidden or tag in HIDDEN
-        e = Element(tag, up, up.excluded or hidden or furniture or named, hidden, prose, up.depth + 1)
+        comments = named and bool(COMMENTS.search(names) or COMMENTS.search(a.get("role", "")))
+        e = Element(tag, up, up.excluded or hidden or furniture or comments, hidden, prose, up.depth + 1)
+        e.doubtful = tag in FORMS or named and not comments
+        e.tagged = tag in ("article", "main") or a.get("role") == "main"
         e.prose_root = up.prose_root or (e if prose else None)
         e.article = up.article or (e if tag == "article" else None)
         e.in_main = up.in_main or tag in ("article", "main")
@@ -163,6 +193,7 @@ class Lines(HTMLParser):
             self._break()
             self.line.tags += 1
         self.links += tag == "a"
+        self.line.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -186,6 +217,69 @@ class Lines(HTMLParser):
         return self.lines
 
 
+def settle(elements: list[Element], lines: list[Line], texts: list[str]) -> None:
+    """Exclude the doubtful elements whose density agrees with their tag or name, and all that
+    is in them. ``elements`` has parents before children."""
+    if not any(e.doubtful for e in elements):
+        return
+    chars: dict[int, float] = {}
+    dense: dict[int, int] = {}
+    tagged: dict[int, int] = {}
+    for line, t in zip(lines, texts, strict=True):
+        if not line.holder.excluded:
+            free = max(0, len(t) - line.link_chars)
+            chars[id(line.holder)] = chars.get(id(line.holder), 0.0) + free
+            dense[id(line.holder)] = dense.get(id(line.holder), 0) + (free >= LONG_CHARS)
+    for e in reversed(elements):
+        if e.tagged and dense.get(id(e)):
+            tagged[id(e)] = 1
+        if e.parent is not None:
+            for sums in (chars, dense, tagged):
+                if id(e) in sums:
+                    sums[id(e.parent)] = sums.get(id(e.parent), 0) + sums[id(e)]
+    root = id(elements[0])
+    for e in elements:
+        if e.parent is not None and e.parent.excluded:
+            e.excluded = True
+        elif e.doubtful and not e.excluded:
+            own = chars.get(id(e), 0.0) >= MOST * chars.get(root, 0.0) and dense.get(id(e), 0) >= LONG_LINES
+            beside = tagged.get(root, 0) > tagged.get(id(e), 0) and e.prose_root is None
+            e.excluded = not own or beside
+
+
+def without_menus(kept: list[tuple[Line, str]]) -> list[str]:
+    """Texts of the lines that are neither menus of links nor a copyright line at an end."""
+    pure = [line.links > 0 and line.link_chars >= 0.8 * len(t) for line, t in kept]
+    out, n = [], 0
+    while n < len(kept):
+        z = n
+        while z < len(kept) and pure[z] and len(kept[z][1]) <= MENU_CHARS:
+            z += 1
+        if z - n >= MENU_LINES:
+            n = z
+            continue
+        for k in range(n, max(z, n + 1)):
+            if not (pure[k] and kept[k][0].links >= MENU_LINKS):
+                out.append(kept[k][1])
+        n = max(z, n + 1)
+    for end in (-1, 0):
+        if len(out) > 1 and COPYRIGHT.match(out[end]):
+            del out[end]
+    return out
+
+
+def mended(html: str) -> str:
+    """The page with what opens a tag or comment that never ends as text, so that the parser
+    doesn't look for the end from each of them."""
+    last = html.rfind(">")
+    if "<" in html[last + 1 :]:
+        html = html[: last + 1] + html[last + 1 :].replace("<", "&lt;")
+    last = max(html.rfind("-->"), html.rfind("--!>"))
+    if html.find("<!--", last + 1) >= 0:
+        html = html[: last + 1] + html[last + 1 :].replace("<!--", "")
+    return html.replace("<![", "<!x[")  # marked sections are comments up to the next >
+
+
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing; the kernel is cut at the array's ends and renormalised."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -257,11 +351,13 @@ def main_text(html: str | None) -> str:
     """The page's article, blocks parted by an empty line."""
     if not html:
         return ""
+    html = mended(html)
     for by_name in (True, False):  # names that would leave nothing are not believed
         parser = Lines(by_name)
         parser.feed(html)
         lines = parser.finish()
         texts = [line.text() for line in lines]
+        settle(parser.elements, lines, texts)
         content = regions(lines, texts)
         kept_in = {id(e) for e in _articles(parser.elements, lines, texts, content)}
         if kept_in:
@@ -271,8 +367,8 @@ def main_text(html: str | None) -> str:
     for e in parser.elements:  # parents before children
         if e.parent is not None and id(e.parent) in kept_in:
             kept_in.add(id(e))
-    kept = [t for line, t, c in zip(lines, texts, content, strict=True) if t and not line.holder.excluded and (c or id(line.holder) in kept_in)]
-    return "\n\n".join(kept)
+    kept = [(line, t) for line, t, c in zip(lines, texts, content, strict=True) if t and not line.holder.excluded and (c or id(line.holder) in kept_in)]
+    return "\n\n".join(without_menus(kept))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -124,3 +124,52 @@ def test_other_columns_nulls_and_long_pages(spark):
     rows = sorted(htmltext.extract(df).collect(), key=lambda r: r.page_id)
     assert [r.n_chars for r in rows[:2]] == [0, 0] and rows[2].text == rows[3].text and rows[2].text.count("\n\n") == 19_999
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_a_page_inside_one_form():
+    inner = f"<div id='menu'><a href=1>A</a></div><div class='c'><h1>Title</h1><p>{LONG}<p>{LONG}<p>{LONG}</div><fieldset><p>Your mail</p></fieldset>"
+    want = ["Title", *[LONG.strip()] * 3]
+    for form in ("<form id='aspnetForm' action='/x'>", "<form>"):
+        assert htmltext.main_text(f"<body>{form}{inner}</form></body>").split("\n\n") == want
+    small = f"<body>{inner}<form><p>Write to us about anything you like at all.</p><p>Send</p></form></body>"
+    assert htmltext.main_text(small).split("\n\n") == want
+
+
+def test_classes_that_file_an_article_under_a_word():
+    page = f"<body><div class='intro'><p>{LONG}</p></div><div class='post hentry tag-politics category-legal status-publish'><h1>Title</h1><p>{LONG}</p><p>{LONG}{LONG}</p></div><div class='tag-list'><p>{LONG}</p></div></body>"
+    one = LONG.strip()
+    assert htmltext.main_text(page).split("\n\n") == [one, "Title", one, f"{one} {one}"]
+
+
+def test_wrappers_named_as_furniture_that_hold_the_page():
+    page = f"<body><div class='intro'><p>Short intro.</p></div><div class='site-widget widget-post'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='widget'><p>{LONG}</p></div></body>"
+    one = LONG.strip()
+    assert htmltext.main_text(page).split("\n\n")[-4:] == ["Title", one, one, one]
+    comments = f"<body><article><h1>Title</h1><p>{LONG}</p></article><div class='comments'>" + f"<p>{LONG}</p>" * 9 + "</div></body>"
+    assert htmltext.main_text(comments).split("\n\n") == ["Title", one]
+    beside = f"<body><article><h1>Title</h1><p>{LONG}</p></article><div class='promo'>" + f"<p>{LONG}</p>" * 9 + "</div></body>"
+    assert htmltext.main_text(beside).split("\n\n") == ["Title", one]
+
+
+def test_paragraphs_of_an_article_with_telling_names():
+    page = f"<article><h1>Title</h1><p class='legal'>The law says no.</p><p>{LONG}</p><p class='warning'>Mind the gap.</p><p class='ad'>Buy.</p><div class='warning'>Cookies.</div></article>"
+    assert htmltext.main_text(page).split("\n\n") == ["Title", "The law says no.", LONG.strip(), "Mind the gap."]
+
+
+def test_menus_and_copyright_without_names():
+    links = "".join(f"<a href={n}>{w}</a> " for n, w in enumerate(("Home", "News", "Sport")))
+    rows = "".join(f"<li><a href={n}>{w}</a>" for n, w in enumerate(("Home", "News", "Sport")))
+    page = f"<body><div><div>{links}</div><ul>{rows}</ul><h1>Title</h1><p>{LONG}</p><p>See <a href=x>this</a> and <a href=y>that</a> too.</p><p><a href=z>Read the report</a></p><p>{LONG}</p><div>&copy; 2024 Example. All rights reserved.</div></div></body>"
+    one = LONG.strip()
+    assert htmltext.main_text(page).split("\n\n") == ["Title", one, "See this and that too.", "Read the report", one]
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<", "</a ", "<!--", "<!-- -- ", "<a href='", "<a href=\"x' ", "<div><p ", "<?x ", "<![x[ ", "&#", "<a b=<", "<script", "<!a "])
+def test_broken_markup_takes_linear_time(broken):
+    import time
+
+    n = 1_000_000 // len(broken)
+    began = time.time()
+    for page in (broken * n, f"<p>{LONG}</p>" + broken * n, broken * n + f"><p>{LONG}</p>", f"<p>{LONG}</p>" + broken * n + "--><p>end</p>"):
+        htmltext.main_text(page)
+    assert time.time() - began < 40
