@@ -9,10 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.distributions import f_quantile_udf, signed_rank_p_udf
-from tessera.functions.numeric import mid_rank
+from tessera.operators.ordered import default_parts, joined, range_bounds, running_totals, selected
 
 
 def paired(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -33,24 +32,9 @@ def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def hazen(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Percentiles that interpolate at n * p + 0.5, cut to the first and last value.
-
-    Equal values are counted before they meet, so a group is ordered by its distinct values
-    only, and the ordered pass spills rather than being collected.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(*by)
-    placed = counts.withColumn("_last", F.sum("_c").over(whole.orderBy("_v"))).withColumn("_n", F.sum("_c").over(whole))
-    out = []
-    for p, name in zip(shares, names, strict=True):
-        h = F.least(F.greatest(F.lit(float(p)) * F.col("_n") + 0.5, F.lit(1.0)), F.col("_n").cast("double"))
-        low = F.floor(h)
-        # a value stands at places last - c + 1 .. last
-        holds = lambda place: (place <= F.col("_last")) & (place > F.col("_last") - F.col("_c"))
-        share_low = F.when(holds(low), F.col("_v") * (1 - (h - low)))
-        share_high = F.when(holds(F.least(low + 1, F.col("_n"))), F.col("_v") * (h - low))
-        out.append((F.sum(share_low) + F.sum(share_high)).alias(name))
-    return placed.groupBy(*by).agg(*out)
+    """Percentiles that interpolate at n * p + 0.5, cut to the first and last value. Of a
+    large group only the values around the wanted places are ordered."""
+    return selected(df, by, value, shares, names)
 
 
 def box_plot(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -93,15 +77,14 @@ def icc_interval(df: DataFrame, by: Sequence[str], x: str, y: str, alpha: float
 
 def signed_rank(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Wilcoxon's signed-rank statistic: differences of 0 dropped, mid-ranks of the sizes,
-    sums of the ranks of positive and negative differences."""
-    d = paired(df, x, y).select(*by, (F.col(x) - F.col(y)).alias("_d")).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    ranked = d.withColumn("_r", mid_rank(F.col("_a"), by)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_a")))
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"),
-        F.sum((F.col("_t") * F.col("_t") - 1).cast("double")).alias("ties"),
-    )
+    sums of the ranks of positive and negative differences. Equal sizes are counted first, and
+    ranks come from running totals of the counts."""
+    d = paired(df, x, y).select(*by, (F.col(x) - F.col(y)).cast("double").alias("_d")).where("_d <> 0").withColumn("_a", F.abs("_d"))
+    up = (F.col("_d") > 0).cast("long")
+    counts = d.groupBy(*by, "_a").agg(F.sum(up).alias("_up"), F.sum(1 - up).alias("_down"), F.count(F.lit(1)).alias("_t"))
+    ranked = running_totals(counts, by, "_a", {"_last": "_t"}, range_bounds(d, "_a", default_parts(df))).withColumn("_r", F.col("_last") - (F.col("_t") - 1) / 2.0)
+    t = F.col("_t").cast("double")
+    return ranked.groupBy(*by).agg(F.sum("_t").alias("n"), F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum(F.col("_down") * F.col("_r")).alias("w_minus"), F.sum(t * (t * t - 1)).alias("ties"))
 
 
 def signed_rank_test(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -134,42 +117,46 @@ def accuracy(df: DataFrame, by: Sequence[str], true: str, predicted: str) -> Dat
     return paired(df, true, predicted).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(true) == F.col(predicted)).cast("double")).alias("accuracy"))
 
 
+def _by_score(df: DataFrame, by: Sequence[str], target: str, score: str, positive: int, descending: bool) -> DataFrame:
+    """A row a distinct score with its positives ``_p`` and negatives ``_n``, and these with
+    all before it, ``_cp`` and ``_cn``."""
+    held = paired(df, target, score)
+    is_pos = (F.col(target) == positive).cast("long")
+    counts = held.groupBy(*by, F.col(score).alias("score")).agg(F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_n"))
+    return running_totals(counts, by, "score", {"_cp": "_p", "_cn": "_n"}, range_bounds(held, score, default_parts(df)), descending)
+
+
 def auc_by_ranks(df: DataFrame, by: Sequence[str], target: str, score: str, positive: int = 1) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties one half, from rank sums.
 
-    Scores are counted by value first: the ordered pass sees a row for each distinct score.
-    NULL with one class only.
+    Scores are counted by value first: what is ordered has a row for each distinct score, in
+    ranges. NULL with one class only.
     """
-    is_pos = (F.col(target) == positive).cast("long")
-    counts = paired(df, target, score).groupBy(*by, score).agg(F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    found = won.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2.0)).alias("_won"))
+    won = F.col("_p") * (F.col("_cn") - F.col("_n") + F.col("_n") / 2.0)
+    found = _by_score(df, by, target, score, positive, False).groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum(won).alias("_won"))
     return found.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_won"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
 
 
+def _class_sizes(df: DataFrame, by: Sequence[str], target: str, score: str, positive: int) -> DataFrame:
+    is_pos = (F.col(target) == positive).cast("long")
+    return paired(df, target, score).groupBy(*by).agg(F.sum(is_pos).alias("_all_p"), F.sum(1 - is_pos).alias("_all_n"))
+
+
 def roc_curve(df: DataFrame, by: Sequence[str], target: str, score: str, positive: int = 1) -> DataFrame:
     """A point for each distinct score, highest first, and the origin (score NULL)."""
-    is_pos = (F.col(target) == positive).cast("long")
-    counts = paired(df, target, score).groupBy(*by, score).agg(F.sum(is_pos).alias("_p"), F.sum(1 - is_pos).alias("_n"))
-    whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.col(score).desc())
-    points = counts.select(
-        *by,
-        F.col(score).alias("score"),
-        F.try_divide(F.sum("_n").over(down).cast("double"), F.sum("_n").over(whole).cast("double")).alias("fpr"),
-        F.try_divide(F.sum("_p").over(down).cast("double"), F.sum("_p").over(whole).cast("double")).alias("tpr"),
-    )
-    origin = points.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.withColumn("score", F.col("score").cast("double")).unionByName(origin)
+    sizes = _class_sizes(df, by, target, score, positive)
+    met = joined(_by_score(df, by, target, score, positive, True), sizes, by)
+    share = lambda c, n: F.try_divide(F.col(c).cast("double"), F.col(n).cast("double"))
+    points = met.select(*by, F.col("score").cast("double").alias("score"), share("_cn", "_all_n").alias("fpr"), share("_cp", "_all_p").alias("tpr"))
+    origin = sizes.where("_all_p + _all_n > 0").select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(origin)
 
 
 def roc_area(df: DataFrame, by: Sequence[str], target: str, score: str, positive: int = 1) -> DataFrame:
-    """Trapezoids under the curve."""
-    curve = roc_curve(df, by, target, score, positive)
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc_nulls_first())
-    steps = curve.withColumn("_f", F.lag("fpr").over(order)).withColumn("_t", F.lag("tpr").over(order))
-    return steps.groupBy(*by).agg(F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2).alias("auc"))
+    """Trapezoids under the curve: each score's step to the right, times its mean height."""
+    step = F.col("_n") * (F.col("_cp") - F.col("_p") / 2.0)
+    found = _by_score(df, by, target, score, positive, True).groupBy(*by).agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"), F.sum(step).alias("_area"))
+    return found.select(*by, F.try_divide(F.col("_area"), (F.col("_all_p") * F.col("_all_n")).cast("double")).alias("auc"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
