@@ -15,7 +15,7 @@ or whose array does not fit its dimensions, has no bricks; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -30,6 +30,8 @@ from tessera.plans.runtime import ship
 #: Voxels of a halo, that is rounds between two exchanges.
 HALO = 4
 SIZE = (64, 64, 64)
+#: Rows and values of a batch that is handed on, about.
+ROWS, VALUES = 1000, 1 << 20
 _LIST = pa.list_(pa.float64())
 Arrays = dict[str, np.ndarray]
 #: Padded arrays (z, y, x) and where the volume is -> arrays of the same shape.
@@ -53,6 +55,19 @@ def _batch(rows: list[list], schema: T.StructType, types: Sequence[pa.DataType],
     return pa.RecordBatch.from_arrays(columns, schema.names)
 
 
+def _batches(rows: Iterator[list], schema: T.StructType, types: Sequence[pa.DataType], lists: int) -> Iterator[pa.RecordBatch]:
+    """Rows a bounded number of values at a time."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(x.size for x in row[len(types) + lists :])
+        if len(held) >= ROWS or size >= VALUES:
+            yield _batch(held, schema, types, lists)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema, types, lists)
+
+
 def _core(at: Sequence[int], size: Sequence[int], dim: Sequence[int]) -> tuple[list[int], list[int]]:
     """First voxel (0-based) and shape of a brick."""
     start = [a * s for a, s in zip(at, size, strict=True)]
@@ -76,17 +91,19 @@ def cut(tiles: DataFrame, keys: Sequence[str], columns: Sequence[str], dim: Sequ
     given = tiles.select(*keys, shape.cast("array<int>").alias("dim"), *(F.col(c).cast("array<double>").alias(c) for c in columns))
     schema, whole = _schema(given, keys, columns), [int(s) for s in size]
 
+    def bricks_of(batch):
+        own, dims = [batch.column(k).to_pylist() for k in keys], batch.column("dim").to_pylist()
+        for r, d in enumerate(dims):
+            if d is None or len(d) != 3 or any(n is None or n < 1 for n in d) or any(not batch.column(c)[r].is_valid or len(batch.column(c)[r]) != int(np.prod(d)) for c in columns):
+                continue
+            arrays = [_values(batch.column(c), r, d) for c in columns]
+            for at in product(*(range(-(-n // s)) for n, s in zip(d, whole, strict=True))):
+                start, core = _core(at, whole, d)
+                yield [*(k[r] for k in own), d, whole, list(at), *(_box(x, start, core) for x in arrays)]
+
     def run(batches):
         for batch in batches:
-            types = [batch.column(k).type for k in keys]
-            for r in range(len(batch)):
-                d = batch.column("dim")[r].as_py()
-                if d is None or len(d) != 3 or any(n is None or n < 1 for n in d) or any(not batch.column(c)[r].is_valid or len(batch.column(c)[r]) != int(np.prod(d)) for c in columns):
-                    continue
-                own, arrays = [batch.column(k)[r].as_py() for k in keys], [_values(batch.column(c), r, d) for c in columns]
-                for at in product(*(range(-(-n // s)) for n, s in zip(d, whole, strict=True))):
-                    start, core = _core(at, whole, d)
-                    yield _batch([[*own, d, whole, list(at), *(_box(x, start, core) for x in arrays)]], schema, types, 3)
+            yield from _batches(bricks_of(batch), schema, [batch.column(k).type for k in keys], 3)
 
     return given.mapInArrow(run, schema)
 
@@ -99,54 +116,72 @@ def exchange(bricks: DataFrame, keys: Sequence[str], columns: Sequence[str], hal
     sent, out = _schema(bricks, keys, carried, ("low", "shape")), _schema(bricks, keys, [*outputs, *keep])
     own_only = [c for c in carried if c not in columns]
 
+    def edges(batch):
+        own, places = [batch.column(k).to_pylist() for k in keys], [batch.column(c).to_pylist() for c in ("dim", "size", "at")]
+        for r, (dim, size, at) in enumerate(zip(*places, strict=True)):
+            start, core = _core(at, size, dim)
+            arrays = [_values(batch.column(c), r, core) for c in carried]
+            reach = [-(-halo // s) + 1 for s in size]
+            for step in product(*(range(max(-n, -a), n + 1) for n, a in zip(reach, at, strict=True))):
+                to = [a + b for a, b in zip(at, step, strict=True)]
+                if any(t * s >= d for t, s, d in zip(to, size, dim, strict=True)):
+                    continue
+                first, there = _core(to, size, dim)
+                low = [max(x, f - halo) for x, f in zip(start, first, strict=True)]
+                shape = [min(x + n, f + m + halo) - a for x, n, f, m, a in zip(start, core, first, there, low, strict=True)]
+                if min(shape) < 1:
+                    continue
+                part = [_box(x, [a - b for a, b in zip(low, start, strict=True)], shape) for x in arrays]
+                part = [x if c in columns or not any(step) else x[:0] for c, x in zip(carried, part, strict=True)]
+                yield [*(k[r] for k in own), dim, size, to, low, shape, *part]
+
     def send(batches):
         for batch in batches:
-            types = [batch.column(k).type for k in keys]
-            for r in range(len(batch)):
-                own = [batch.column(k)[r].as_py() for k in keys]
-                dim, size, at = (batch.column(c)[r].as_py() for c in ("dim", "size", "at"))
-                start, core = _core(at, size, dim)
-                arrays = [_values(batch.column(c), r, core) for c in carried]
-                reach = [-(-halo // s) + 1 for s in size]
-                for step in product(*(range(-n, n + 1) for n in reach)):
-                    to = [a + b for a, b in zip(at, step, strict=True)]
-                    if any(t < 0 or t * s >= d for t, s, d in zip(to, size, dim, strict=True)):
-                        continue
-                    first, there = _core(to, size, dim)
-                    low = [max(x, f - halo) for x, f in zip(start, first, strict=True)]
-                    high = [min(x + n, f + m + halo) for x, n, f, m in zip(start, core, first, there, strict=True)]
-                    if any(a >= b for a, b in zip(low, high, strict=True)):
-                        continue
-                    shape = [b - a for a, b in zip(low, high, strict=True)]
-                    part = [_box(x, [a - b for a, b in zip(low, start, strict=True)], shape) for x in arrays]
-                    part = [x if c in columns or not any(step) else x[:0] for c, x in zip(carried, part, strict=True)]
-                    yield _batch([[*own, dim, size, to, low, shape, *part]], sent, types, 5)
+            yield from _batches(edges(batch), sent, [batch.column(k).type for k in keys], 5)
 
-    def meet(table: pa.Table) -> pa.Table:
-        types = [table.column(k).type for k in keys]
-        dim, size, at = (table.column(c)[0].as_py() for c in ("dim", "size", "at"))
+    def brick(rows: list[tuple]) -> list:
+        """One brick of all edges that came to it: (keys, dim, size, at, low, shape, arrays)."""
+        own, dim, size, at, *_ = rows[0]
         start, core = _core(at, size, dim)
         wide = [n + 2 * halo for n in core]
         held = {c: np.zeros(tuple(wide)[::-1]) for c in columns}
         kept: Arrays = {}
-        parts = {c: table.column(c).combine_chunks() for c in carried}
-        for r in range(len(table)):
-            low, shape = (table.column(c)[r].as_py() for c in ("low", "shape"))
-            for c in columns:
-                _box(held[c], [a - b + halo for a, b in zip(low, start, strict=True)], shape)[...] = _values(parts[c], r, shape)
-            for c in own_only:
-                if len(parts[c][r]):
-                    kept[c] = _values(parts[c], r, shape)
+        for *_, low, shape, arrays in rows:
+            for c, x in zip(carried, arrays, strict=True):
+                if c in held:
+                    _box(held[c], [a - b + halo for a, b in zip(low, start, strict=True)], shape)[...] = x.reshape(tuple(shape)[::-1])
+                elif len(x):
+                    kept[c] = x.reshape(tuple(shape)[::-1])
         at_each = [np.arange(-halo, n + halo) + s for n, s in zip(core, start, strict=True)]
         z, y, x = ((a >= 0) & (a < d) for a, d in zip(at_each[::-1], dim[::-1], strict=True))
-        inside = z[:, None, None] & y[None, :, None] & x[None, None, :]
         middle = lambda a: _box(a, [halo] * 3, core)
-        kept |= {c: middle(held[c]) for c in keep if c in columns}
-        made = work(held, inside)
-        row = [*(table.column(k)[0].as_py() for k in keys), dim, size, at, *(middle(made[c]) for c in outputs), *(kept[c] for c in keep)]
-        return pa.Table.from_batches([_batch([row], out, types, 3)])
+        kept |= {c: middle(held[c]) for c in keep if c in held}
+        made = work(held, z[:, None, None] & y[None, :, None] & x[None, None, :])
+        return [*own, dim, size, at, *(middle(made[c]) for c in outputs), *(kept[c] for c in keep)]
 
-    return bricks.mapInArrow(send, sent).groupBy(*keys, "at").applyInArrow(meet, out)
+    def met(batches, types):
+        """Bricks, one after the other, of rows in their order."""
+        waiting: list[tuple] = []
+        for batch in batches:
+            types[:] = [batch.column(k).type for k in keys]
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            places = [batch.column(c).to_pylist() for c in ("dim", "size", "at", "low", "shape")]
+            parts = [(batch.column(c).flatten().to_numpy(), batch.column(c).value_lengths().to_numpy()) for c in carried]
+            ends = [(x, np.concatenate([[0], np.cumsum(n)])) for x, n in parts]
+            for r, (k, *place) in enumerate(zip(own, *places, strict=True)):
+                if waiting and (waiting[-1][0] != k or waiting[-1][3] != place[2]):
+                    yield brick(waiting)
+                    waiting = []
+                waiting.append((k, *place, [x[e[r] : e[r + 1]] for x, e in ends]))
+        if waiting:
+            yield brick(waiting)
+
+    def meet(batches):
+        types: list[pa.DataType] = []
+        yield from _batches(met(batches, types), out, types, 3)  # which are known with the first row
+
+    edges_of = bricks.mapInArrow(send, sent)
+    return edges_of.repartition(*keys, "at").sortWithinPartitions(*keys, "at").mapInArrow(meet, out)
 
 
 def whole(bricks: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -87,6 +87,21 @@ def configurations(spark, axes: dict[str, Sequence], only_for: dict[str, tuple[s
     return grid
 
 
+def configurations_of(rows: DataFrame, axes: dict[str, Column], only_for: dict[str, tuple[str, Sequence]] | None = None, most: int = 1000) -> DataFrame:
+    """As ``configurations``, of the values that a table's rows have on each axis. A table of
+    more than ``most`` values on an axis holds no settings, and is an error."""
+    sets = rows.agg(*(F.array_sort(F.collect_set(c)).alias(n) for n, c in axes.items()))
+    fits = F.lit(True)
+    for n in axes:
+        fits = fits & (F.size(n) <= most)
+    grid = sets.select("*", F.assert_true(fits, F.lit(f"an axis has more than {most} values")).alias("_ok"))
+    for n in axes:
+        grid = grid.withColumn(n, F.explode(n))
+    for name, (other, where) in (only_for or {}).items():
+        grid = grid.withColumn(name, F.when(F.col(other).isin(*where), F.col(name)))
+    return grid.where("_ok IS NULL").select(*axes).distinct()
+
+
 def requested(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the requested (class, space) outputs."""
     return rows.join(wanted.select("class", "space"), ["class", "space"], "left_semi")

@@ -84,7 +84,11 @@ def success_counts(spark, d):
 
 
 def configurations(spark, d):
-    return co.configurations(spark, {"machine": ["gp", "krr", "rvr"], "fwhm": [4, 8, 12], "iterations": [50, 100]}, {"iterations": ("machine", ["gp"])})
+    """All combinations of the settings that customers stand for; numbers of iterations vary
+    for one machine only."""
+    c = table(spark, d, "customer")
+    axes = {"machine": F.col("c_mktsegment"), "fwhm": (F.col("c_nationkey") % 3 * 4 + 4).cast("int"), "iterations": (F.col("c_custkey") % 2 * 50 + 50).cast("int")}
+    return co.configurations_of(c, axes, {"iterations": ("machine", ["BUILDING", "MACHINERY"])})
 
 
 def class_map(spark, d):
@@ -164,7 +168,10 @@ UNION ALL SELECT s, 'either' FROM (SELECT s FROM p UNION SELECT s FROM f)""",
         success_counts,
         "SELECT count(*) AS n, CAST(sum(f) AS BIGINT) AS n_f, CAST(sum(o) AS BIGINT) AS n_o, CAST(sum(p) AS BIGINT) AS n_p, count(*) FILTER (f = 1 AND o = 1 AND p = 1) AS n_complete FROM (SELECT o_custkey, max(CAST(o_orderstatus = 'F' AS INTEGER)) AS f, max(CAST(o_orderstatus = 'O' AS INTEGER)) AS o, max(CAST(o_orderstatus = 'P' AS INTEGER)) AS p FROM orders GROUP BY 1)",
     ),
-    "configurations": (configurations, "SELECT DISTINCT m AS machine, CAST(f AS INTEGER) AS fwhm, CASE WHEN m = 'gp' THEN CAST(n AS INTEGER) END AS iterations FROM (VALUES ('gp'), ('krr'), ('rvr')) a(m), (VALUES (4), (8), (12)) b(f), (VALUES (50), (100)) c(n)"),
+    "configurations": (
+        configurations,
+        "SELECT DISTINCT machine, fwhm, CASE WHEN machine IN ('BUILDING', 'MACHINERY') THEN iterations END AS iterations FROM (SELECT DISTINCT c_mktsegment AS machine FROM customer), (SELECT DISTINCT CAST(c_nationkey % 3 * 4 + 4 AS INTEGER) AS fwhm FROM customer), (SELECT DISTINCT CAST(c_custkey % 2 * 50 + 50 AS INTEGER) AS iterations FROM customer)",
+    ),
     "class_map": (class_map, "SELECT CASE WHEN g < 3 THEN 'GM' WHEN g < 6 THEN 'WM' ELSE 'CSF' END AS tissue, count(*) AS n FROM (SELECT CAST(round(CAST(l_tax AS DOUBLE) * 100) AS INTEGER) AS g FROM lineitem) GROUP BY 1"),
     "demographics": (demographics, f"SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 11 <> 0 THEN {q6('CAST(c_custkey % 100 AS DOUBLE)')} END AS age, CAST(CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS INTEGER) AS sex FROM customer"),
     "parse_paths": (parse_paths, "SELECT s_suppkey, '/data/' || s_name AS folder, 'c1_x = ' || s_suppkey AS stem, 'name' AS bare, 'DIMSIZE' AS key, '1 2 = 3' AS value FROM supplier"),

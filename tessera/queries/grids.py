@@ -7,12 +7,15 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.operators import affines as af
+from tessera.operators import bricks
 from tessera.operators import geometry as geo
 from tessera.operators import tiles as tl
 from tessera.operators import volumes as vol
-from tessera.plans.runtime import table
+from tessera.plans.runtime import Scratch, table
 from tessera.queries.common import q6, r6
+from tessera.sources import slices
 
 #: Dimensions by the remainder of the volume's number.
 DIMS = ((4, 4, 4), (5, 4, 3), (3, 5, 4), (8, 4, 2), (2, 3, 7))
@@ -279,8 +282,46 @@ def _slice_sql():
     return f"WITH {MIXED}, s AS (SELECT vec_id, CAST(least(greatest(floor({at[2]} + 0.5), 1), dim[3]) AS INTEGER) AS z FROM (SELECT *, {inverse_sql('m')} AS im FROM vols)) SELECT vec_id, i, j, k, {q6('v', 'v')} FROM mix JOIN s USING (vec_id) WHERE k = z"
 
 
+def table_grid(spark, d):
+    """Each volume's voxels in millimetres, by a table function in SQL."""
+    tables.register(spark)
+    volumes(spark, d).createOrReplaceTempView("tessera_volumes")
+    rows = spark.sql("SELECT vec_id, g.* FROM tessera_volumes, LATERAL voxel_grid(dim, affine) g")
+    return rows.select("vec_id", "i", "j", "k", *(r6(F.col(c), c) for c in "xyz"))
+
+
+def table_histogram(spark, d):
+    """Ten bins of each volume's values."""
+    tables.register(spark)
+    volumes(spark, d).createOrReplaceTempView("tessera_volumes")
+    return spark.sql("SELECT vec_id, h.bin, h.n FROM tessera_volumes, LATERAL histogram_bins(data, -0.3D, 0.3D, 10) h")
+
+
+def stored_slices(spark, d):
+    """Slice 3 of every volume that has one, from a table that is laid out by slice."""
+    path = Scratch(spark, "slices").base
+    slices.save_slices(volumes(spark, d), path, ["vec_id"], "dim")
+    return slices.slice_voxels(slices.read_slices(spark, path, 3), ["vec_id"]).select("vec_id", "i", "j", "k", r6(F.col("v"), "v"))
+
+
+def _in_bricks(spark, d):
+    return bricks.cut(volumes(spark, d), ["vec_id"], ["data"], "dim", (2, 2, 2))
+
+
+def bricks_smooth(spark, d):
+    """Smoothing of volumes that are cut in bricks of eight voxels."""
+    return _cells(bricks.whole(bricks.convolve(_in_bricks(spark, d), ["vec_id"], geo.SMOOTHING), ["vec_id"], ["data"]))
+
+
+def bricks_surface(spark, d):
+    out = bricks.whole(bricks.surface(_in_bricks(spark, d), ["vec_id"], 0.0), ["vec_id"], ["surface"])
+    return vol.to_cells(out, "dim", ["vec_id"], "surface").where("v = 1").select("vec_id", "i", "j", "k")
+
+
 NEAR6 = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c)"
 
+SURFACE_SQL = f"WITH {MIXED}, mask AS (SELECT vec_id, i, j, k FROM mix WHERE v > 0) SELECT m.vec_id, m.i, m.j, m.k FROM mask m, {NEAR6} LEFT JOIN mask n ON n.vec_id = m.vec_id AND n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c GROUP BY ALL HAVING count(n.vec_id) < 6"
+
 QUERIES = {
     "affine_algebra": (affine_algebra, _algebra_sql()),
     "origin_reset": (origin_reset, _origin_sql()),
@@ -292,7 +333,12 @@ QUERIES = {
     "mixed_fov": (mixed_fov, _fov_sql()),
     "mixed_push": (mixed_push, _push_sql()),
     "mixed_smooth": (mixed_smooth, _smooth_sql()),
-    "mixed_surface": (mixed_surface, f"WITH {MIXED}, mask AS (SELECT vec_id, i, j, k FROM mix WHERE v > 0) SELECT m.vec_id, m.i, m.j, m.k FROM mask m, {NEAR6} LEFT JOIN mask n ON n.vec_id = m.vec_id AND n.i = m.i + a AND n.j = m.j + b AND n.k = m.k + c GROUP BY ALL HAVING count(n.vec_id) < 6"),
+    "mixed_surface": (mixed_surface, SURFACE_SQL),
+    "bricks_smooth": (bricks_smooth, _smooth_sql()),
+    "table_grid": (table_grid, f"WITH {VOLS} SELECT vec_id, i, j, k, {q6(at_sql('m')[0], 'x')}, {q6(at_sql('m')[1], 'y')}, {q6(at_sql('m')[2], 'z')} FROM ({grid_sql('vols', 'dim', 'vec_id, m')})"),
+    "table_histogram": (table_histogram, f"WITH {MIXED}, b AS (SELECT vec_id, CAST(1 + least(greatest(floor((v + 0.3) / (0.6 / 10)), 0), 9) AS INTEGER) AS bin FROM mix) SELECT v.vec_id, CAST(r AS INTEGER) AS bin, count(b.bin) AS n FROM vols v CROSS JOIN range(1, 11) t(r) LEFT JOIN b ON b.vec_id = v.vec_id AND b.bin = r GROUP BY ALL"),
+    "stored_slices": (stored_slices, f"WITH {MIXED} SELECT vec_id, i, j, k, {q6('v', 'v')} FROM mix WHERE k = 3"),
+    "bricks_surface": (bricks_surface, SURFACE_SQL),
     "mixed_reorient": (mixed_reorient, _reorient_sql()),
     "mixed_slice_at": (mixed_slice_at, _slice_sql()),
 }

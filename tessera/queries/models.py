@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as num
-from tessera.operators import cleanup, models, registration
+from tessera.operators import bricks, cleanup, models, registration
 from tessera.plans.runtime import table
 from tessera.queries.common import DIM, VOX, cells, r6, tiles
 from tessera.queries.geometry import MM
@@ -19,6 +19,16 @@ def clean_gwc(spark, d):
     return out.select("stack", F.posexplode("p").alias("at", "p")).select("stack", "at", r6(F.col("p"), "p"))
 
 
+def bricks_clean(spark, d):
+    """The same clean-up with each volume in four bricks."""
+    t = tiles(spark, d).select(F.expr("vec_id div 4").alias("stack"), (F.col("vec_id") % 4).alias("c"), F.transform("data", lambda x: F.abs(x) * 3).alias("data"))
+    names = ("gm", "wm", "csf", "rest")
+    whole = t.groupBy("stack").agg(F.count("*").alias("n"), *(F.max_by("data", F.when(F.col("c") == n, 1)).alias(x) for n, x in enumerate(names))).where("n = 4")
+    out = bricks.clean(bricks.cut(whole, ["stack"], names, DIM, (2, 4, 2)), ["stack"], others=["rest"])
+    rows = bricks.whole(out, ["stack"], names).select("stack", F.posexplode(F.concat(*names)).alias("at", "p"))
+    return rows.select("stack", "at", r6(F.col("p"), "p"))
+
+
 def failing_hook(spark, d):
     """A hook that fails on some volumes: their errors are rows, the rest goes on."""
 
@@ -136,6 +146,7 @@ def _em_sql(start, rounds):
 
 QUERIES = {
     "clean_gwc": (clean_gwc, CLEAN),
+    "bricks_clean": (bricks_clean, CLEAN),
     "failing_hook": (failing_hook, "SELECT vec_id, embedding[1] >= 0 AS done, CASE WHEN embedding[1] < 0 THEN 'ValueError: negative corner' ELSE '' END AS error FROM embeddings WHERE embedding IS NOT NULL"),
     "gmm_em": (gmm_em, _em_sql([(0.5, -0.1, 0.02), (0.5, 0.1, 0.02)], 5)),
     "gmm_responsibilities": (
