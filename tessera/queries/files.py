@@ -15,7 +15,7 @@ from tessera.operators import statistics as st
 from tessera.operators import volumes as vol
 from tessera.plans.runtime import Scratch, ship, table
 from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
-from tessera.sources import files, nifti_source, volume_files
+from tessera.sources import files, mat_source, nifti_source, volume_files
 from tessera.streaming import incremental
 
 
@@ -80,11 +80,32 @@ def nifti_slices(spark, d):
     Bytes of all slices that were made of a file so far."""
     folder = _folder(spark, "slices")
     _written(_volumes(spark, d), folder)
-    s = spark.read.format("nifti").option("layout", "slices").load(folder).where("k IN (2, 3)")
+    s = spark.read.format("nifti").option("layout", "slices").option("k", "2,3").load(folder)
     rows = s.select(_number("name").alias("vec_id"), "k", "bytes_read", F.posexplode("data").alias("p", "v"))
     return rows.select("vec_id", (F.col("p") % 4 + 1).cast("int").alias("i"), (F.floor(F.col("p") / 4) + 1).cast("int").alias("j"), "k", "bytes_read", r6(F.col("v").cast("double"), "v"))
 
 
+def mat_round_trip(spark, d):
+    """Each volume as a MATLAB file with a structure of results, deflated or not; of the files
+    the arrays are read that are asked for."""
+    mat_source.register(spark)
+    folder, source = _folder(spark, "mat"), table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "label", "embedding")
+
+    def run(batches):
+        for batch in batches:
+            names, raws = [], []
+            for n, (i, label) in enumerate(zip(batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+                x = batch.column("embedding")[n].values.to_numpy(zero_copy_only=False).astype(float)
+                raws.append(mat_source.write_mat({"unread": x, "volume": x.reshape(DIM, order="F"), "results": {"label": np.array([[label]], np.int16), "name": f"v{i}"}}, i % 2 == 0))
+                names.append(f"v{i}.mat")
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(raws, pa.binary())], ["name", "content"])
+
+    _done(files.write_files(source.mapInArrow(run, "name string, content binary"), folder))
+    rows = spark.read.format("mat").option("variables", "volume,results").load(folder).where("error IS NULL")
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(_number("name").alias("vec_id"), "variable", F.col("class").alias("kind"), F.array_join("dims", "x").alias("dims"), r6(total, "total"), r6(F.element_at("values", 1), "first"), "text")
+
+
 def nifti_sets(spark, d):
     """A folder's set after each of four jobs: files are added, some of the same names
     replaced, a job fails (and leaves nothing), the set is replaced by another."""
@@ -342,6 +363,13 @@ QUERIES = {
         f"SELECT vec_id, CAST(352 AS BIGINT) AS bytes_read, CAST(4 AS INTEGER) AS nx, CAST(4 AS INTEGER) AS ny, CAST(4 AS INTEGER) AS nz, 'int16' AS dtype, {q6('CAST(1.5 AS DOUBLE)', 'sx')}, {q6('CAST(1 AS DOUBLE)', 'sy')}, {q6('CAST(2 AS DOUBLE)', 'sz')}, {q6('CAST(vec_id AS DOUBLE)', 'tx')}, {q6('CAST(-3 AS DOUBLE)', 'ty')}, {q6('CAST(0.5 AS DOUBLE)', 'tz')} FROM embeddings WHERE embedding IS NOT NULL",
     ),
     "nifti_slices": (nifti_slices, f"WITH {VOX} SELECT vec_id, i, j, k, CAST(352 + 64 * (k - 1) AS BIGINT) AS bytes_read, {q6('v', 'v')} FROM vox WHERE k IN (2, 3)"),
+    "mat_round_trip": (
+        mat_round_trip,
+        f"""WITH {VOX}, t AS (SELECT vec_id, sum(v) AS total, sum(CASE WHEN i = 1 AND j = 1 AND k = 1 THEN v END) AS first FROM vox GROUP BY vec_id)
+SELECT vec_id, 'volume' AS variable, 'double' AS kind, '4x4x4' AS dims, {q6('total', 'total')}, {q6('first', 'first')}, CAST(NULL AS VARCHAR) AS text FROM t
+UNION ALL SELECT vec_id, 'results.label', 'int16', '1x1', {q6('CAST(label AS DOUBLE)')}, {q6('CAST(label AS DOUBLE)')}, NULL FROM embeddings WHERE embedding IS NOT NULL
+UNION ALL SELECT vec_id, 'results.name', 'char', '1x' || length('v' || vec_id), NULL, NULL, 'v' || vec_id FROM embeddings WHERE embedding IS NOT NULL""",
+    ),
     "nifti_sets": (
         nifti_sets,
         f"""WITH {VOX}, t AS (SELECT vec_id, sum(v) AS total FROM vox GROUP BY vec_id), kept AS (SELECT *, vec_id % 3 <> 0 AS first, vec_id % 2 = 0 AS again FROM t)

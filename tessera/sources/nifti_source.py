@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tessera.plans.runtime import ship
@@ -62,7 +62,6 @@ BATCH_ROWS, BATCH_VOXELS, MOVERS = 1000, 1 << 20, 32
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NiftiSource)
 
 
@@ -190,6 +189,14 @@ class Files(InputPartition):
     items: list[tuple[Held, int, int]]
 
 
+def ranges(text: str) -> list[tuple[int, int]]:
+    """Numbers and ranges, as in 2,5-7."""
+    ends = [[int(x) for x in part.split("-")] for part in text.split(",")]
+    if any(len(e) > 2 for e in ends):
+        raise ValueError(f"{text!r} is no list of slices")
+    return [(e[0], e[-1]) for e in ends]
+
+
 class NiftiReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.folder = options.get("path") or ""
@@ -203,24 +210,13 @@ class NiftiReader(DataSourceReader):
         unknown = [c for c in self.columns if c not in _TYPES or (c == "k" and not self.slices)]
         if unknown:
             raise ValueError(f"a NIfTI file has no {', '.join(unknown)}")
-        self.bounds: list[tuple[str, object]] = []
-        self.names: set[str] | None = None
-
-    def pushFilters(self, filters):
-        """What is understood narrows the reading; Spark tests all filters again."""
-        kinds = {EqualTo: "=", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            kind = kinds.get(type(f))
-            if kind and f.attribute == ("k",) and self.slices:
-                self.bounds.append((kind, f.value))
-            elif kind in ("=", "in") and f.attribute == ("name",):
-                wanted = {f.value} if kind == "=" else set(f.value)
-                self.names = wanted if self.names is None else self.names & wanted
-            yield f
+        self.ks = ranges(options["k"]) if "k" in options else None
+        if self.ks is not None and not self.slices:
+            raise ValueError("the option k is of the layout slices")
+        self.names = {n.strip() for n in options["names"].split(",")} if "names" in options else None
 
     def wants(self, k: int) -> bool:
-        tests = {"=": lambda v: k == v, "in": lambda v: k in v, ">": lambda v: k > v, ">=": lambda v: k >= v, "<": lambda v: k < v, "<=": lambda v: k <= v}
-        return all(tests[kind](value) for kind, value in self.bounds)
+        return self.ks is None or any(a <= k <= z for a, z in self.ks)
 
     def partitions(self):
         store, folder = store_of(self.folder)

@@ -68,19 +68,21 @@ def test_slices_read_their_bytes(nifti, tmp_path):
     slices = read(nifti, tmp_path / "v", layout="slices")
     every = slices.collect()
     assert len(every) == 60 and {(r.name, r.k) for r in every} == {(f"v{n}.nii", k) for n in range(5) for k in range(1, 13)}
-    for test, ks in (("k = 7", [7]), ("k IN (2, 3)", [2, 3]), ("k > 10 AND k <= 12", [11, 12]), ("k < 2", [1]), ("k >= 12", [12]), ("k > 12", [])):
-        got = slices.where(test).where("name = 'v3.nii'").collect()
-        assert sorted(r.k for r in got) == ks
-        assert all(r.bytes_read == 352 + 2 * 300 * (1 + n) for n, r in enumerate(sorted(got, key=lambda r: r.k)))
+    for k, ks in (("7", [7]), ("2, 3", [2, 3]), ("11-20", [11, 12]), ("1-2,4", [1, 2, 4]), ("13", [])):
+        got = sorted(read(nifti, tmp_path / "v", layout="slices", k=k, names="v3.nii").collect(), key=lambda r: r.k)
+        assert [r.k for r in got] == ks and {r.name for r in got} <= {"v3.nii"}
+        assert all(r.bytes_read == 352 + 2 * 300 * (1 + n) for n, r in enumerate(got))
         for r in got:
             np.testing.assert_allclose(r.data, np.arange(300) + 300 * (r.k - 1), atol=0.06)
-    assert slices.where("k % 5 = 0").count() == 10  # not pushed down, still right
+    assert slices.where("k % 5 = 0").count() == 10 and slices.where("k = 7").count() == 5 and slices.count() == 60
+    with pytest.raises(Exception, match="layout slices"):
+        read(nifti, tmp_path / "v", k="1").collect()
     cut = read(nifti, tmp_path / "v", layout="slices", partitionBytes=2000)
     assert sorted((r.name, r.k) for r in cut.collect()) == sorted((r.name, r.k) for r in every)
     assert cut.rdd.getNumPartitions() > slices.rdd.getNumPartitions()
     packed = tmp_path / "z"
     write(nifti, rows[:1], packed, compress=True)
-    assert [r.data for r in read(nifti, packed, layout="slices").where("k = 2").collect()] == [[float(x) for x in range(300, 600)]]
+    assert [r.data for r in read(nifti, packed, layout="slices", k="2").collect()] == [[float(x) for x in range(300, 600)]]
 
 
 def test_broken_and_foreign_files(nifti, tmp_path):
@@ -204,7 +206,7 @@ def test_attempts_that_were_given_up_are_not_in_the_set(nifti, tmp_path):
     assert files_below(folder) == [ns.MANIFEST, "s1/v1.nii"]
 
 
-def test_filters_without_push_down_and_uris(nifti, tmp_path):
+def test_filters_and_uris(nifti, tmp_path):
     write(nifti, [volume(1), volume(2)], tmp_path / "v")
     for path in (f"file://{tmp_path}/v", f"file:{tmp_path}/v", f"{tmp_path}/v/"):
         rows = nifti.read.format("nifti").load(path).where(F.col("name") == "s2/v2.nii").collect()
