@@ -138,10 +138,18 @@ def distances_of_each(a: np.ndarray, b: np.ndarray, size: Sequence[float], surfa
     return out
 
 
-def distances_tiles(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dim: Sequence[int], size: Sequence[float], above: float = 0.5, surface_to_surface: bool = False) -> DataFrame:
+def distances_tiles(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dim: Sequence[int], size: Sequence[float], above: float = 0.5, surface_to_surface: bool = False, isotropic: bool = False) -> DataFrame:
     """Surface distances of two arrays (or masks) in one row: the dense form. A pair is one
-    row's work in numpy, whatever its masks; ``geometry.surface_distances`` is the form for voxel rows."""
+    row's work in numpy, whatever its masks; ``geometry.surface_distances`` is the form for voxel rows.
+
+    ``isotropic`` first brings both masks to voxels of the smallest size on every axis, by the
+    nearest old voxel, so that each part of a surface counts by its extent: surfaces and
+    percentiles of anisotropic volumes differ from those on the given grid."""
+    from tessera.operators.geometry import iso_grid
+
     ship(pairs.sparkSession)
+    near = [np.array(n) - 1 for n in iso_grid(dim, size)] if isotropic else None
+    step_of = (float(min(size)),) * 3 if isotropic else tuple(size)
 
     @F.pandas_udf("hd95 double, assd double")
     def both(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -149,7 +157,9 @@ def distances_tiles(pairs: DataFrame, keys: Sequence[str], a: str, b: str, dim:
         shape = (-1, *reversed(dim))  # axes z, y, x
         for n in range(0, len(x), step):
             masks = [np.nan_to_num(np.array([np.asarray(v, dtype=float) for v in c[n : n + step]]), nan=-np.inf).reshape(shape) > above for c in (x, y)]
-            rows += distances_of_each(*masks, tuple(reversed(size)), surface_to_surface)
+            if near is not None:
+                masks = [m[:, near[2]][:, :, near[1]][:, :, :, near[0]] for m in masks]
+            rows += distances_of_each(*masks, tuple(reversed(step_of)), surface_to_surface)
         return pd.DataFrame(rows, columns=["hd95", "assd"], dtype="float64")
 
     return pairs.select(*keys, both(a, b).alias("d")).select(*keys, "d.hd95", "d.assd")

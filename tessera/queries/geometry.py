@@ -209,6 +209,14 @@ def hd95_assd_tiles(spark, d):
     return out.where("hd95 IS NOT NULL").select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
 
 
+def hd95_assd_isotropic(spark, d):
+    """On voxels of one size: both masks are resampled by nearest neighbours first."""
+    t = tiles(spark, d).withColumn("subject", F.expr("vec_id div 2"))
+    a, b = (t.where(F.col("vec_id") % 2 == n).select("subject", metrics.mask_of(F.col("data"), 0.0).alias(x)) for n, x in enumerate("ab"))
+    out = metrics.distances_tiles(a.join(b, "subject"), ["subject"], "a", "b", DIM, SIZE, isotropic=True)
+    return out.where("hd95 IS NOT NULL").select("subject", r6(F.col("hd95"), "hd95"), r6(F.col("assd"), "assd"))
+
+
 HD95 = f"""WITH {MASKS}, {SURFACE}, dist AS (
   SELECT s.vec_id // 2 AS subject, s.vec_id, s.i, s.j, s.k, sqrt(min(1.5 * (s.i - m.i) * 1.5 * (s.i - m.i) + (s.j - m.j) * (s.j - m.j) + 2.0 * (s.k - m.k) * 2.0 * (s.k - m.k))) AS v
   FROM surface s JOIN mask m ON m.vec_id // 2 = s.vec_id // 2 AND m.vec_id <> s.vec_id GROUP BY ALL
@@ -238,10 +246,15 @@ n AS (SELECT i, j, k, floor({x} + 0.5) AS x, floor({y} + 0.5) AS y, floor({z} +
 SELECT vec_id, n.i, n.j, n.k, {q6("v", "v")} FROM n JOIN vox ON vox.i = x AND vox.j = y AND vox.k = z"""
 
 
+#: Steps of the points' grid along each axis, from the first voxel on; four points an axis.
+SPLINE_STEPS = (0.9, 0.8, 0.7)
+
+
 def spline_resample(spark, d):
-    """Degree 4 at eight points of a line through the volume."""
-    line = lambda step: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.lit(1.0) + n * step)
-    points = tiles(spark, d).select("vec_id", line(1 / 3).alias("x"), line(0.25).alias("y"), line(0.4).alias("z"))
+    """Degree 4 on a whole grid of points, 64 a volume."""
+    place = lambda p, n: F.lit(1.0) + (p % 4 if n == 0 else F.floor(p / 4) % 4 if n == 1 else F.floor(p / 16)) * SPLINE_STEPS[n]
+    line = lambda n: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: place(p, n))
+    points = tiles(spark, d).select("vec_id", *(line(n).alias(c) for n, c in enumerate("xyz")))
     out = geo.pull_spline(points, tiles(spark, d).select("vec_id", "data"), ["vec_id"], DIM)
     return out.select("vec_id", F.posexplode("v").alias("at", "v")).select("vec_id", "at", r6(F.col("v"), "v"))
 
@@ -257,6 +270,14 @@ def _iso_sql():
 SELECT vec_id, gi AS i, gj AS j, gk AS k, {q6("v", "v")} FROM g JOIN vox ON i = {lists[0]}[gi] AND j = {lists[1]}[gj] AND k = {lists[2]}[gk]"""
 
 
+def _iso_distances_sql():
+    """The distances' SQL over the masks that the isotropic grid's voxels take."""
+    side = min(SIZE)
+    plain = HD95.replace("1.5 * (s.i - m.i) * 1.5 * (s.i - m.i)", f"{side} * (s.i - m.i) * {side} * (s.i - m.i)").replace("2.0 * (s.k - m.k) * 2.0 * (s.k - m.k)", f"{side} * (s.k - m.k) * {side} * (s.k - m.k)").replace("(s.j - m.j) * (s.j - m.j)", f"{side} * (s.j - m.j) * {side} * (s.j - m.j)")
+    inner = _iso_sql()
+    return plain.replace("mask AS (SELECT vec_id, i, j, k FROM vox WHERE v > 0)", f"mask AS (SELECT vec_id, i, j, k FROM ({inner}) WHERE v > 0)")
+
+
 def _quartic(x):
     """The centred B-spline of degree 4, piece by piece."""
     x = abs(x)
@@ -278,9 +299,9 @@ def _spline_sql():
         return row
 
     through = np.linalg.inv(np.array([at(n) for n in range(4)]))
-    weights = [[(at(n * step) @ through).tolist() for n in range(8)] for step in (1 / 3, 0.25, 0.4)]
+    weights = [[(at(n * step) @ through).tolist() for n in range(4)] for step in SPLINE_STEPS]
     lists = [", ".join("[" + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in row) + "]" for row in axis) for axis in weights]
-    return f"WITH {VOX}, w AS (SELECT n, ([{lists[0]}])[n + 1] AS x, ([{lists[1]}])[n + 1] AS y, ([{lists[2]}])[n + 1] AS z FROM range(8) AS t(n)) SELECT vec_id, CAST(n AS INTEGER) AS at, {q6('sum(v * x[i] * y[j] * z[k])', 'v')} FROM vox, w GROUP BY vec_id, n"
+    return f"WITH {VOX}, w AS (SELECT n, ([{lists[0]}])[n % 4 + 1] AS x, ([{lists[1]}])[(n // 4) % 4 + 1] AS y, ([{lists[2]}])[n // 16 + 1] AS z FROM range(64) AS t(n)) SELECT vec_id, CAST(n AS INTEGER) AS at, {q6('sum(v * x[i] * y[j] * z[k])', 'v')} FROM vox, w GROUP BY vec_id, n"
 
 
 IN_VIEW = "{x} >= 1 AND {x} < {n[0]} AND {y} >= 1 AND {y} < {n[1]} AND {z} >= 1 AND {z} < {n[2]}"
@@ -318,6 +339,7 @@ QUERIES = {
     "perimeter6": (perimeter6, f"WITH {MASKS}, {SURFACE} SELECT * FROM surface"),
     "hd95_assd": (hd95_assd, HD95),
     "hd95_assd_tiles": (hd95_assd_tiles, HD95),
+    "hd95_assd_isotropic": (hd95_assd_isotropic, _iso_distances_sql()),
     "bounding_box_crop": (bounding_box_crop, f"WITH {VOX} SELECT vec_id, count(*) AS n, {q6('sum(v)', 'total')} FROM vox WHERE 1.5 * i >= 2 AND 1.5 * i <= 5 AND j <= 3.5 AND 2.0 * k >= 3 GROUP BY vec_id"),
     "reorient_nearest": (reorient_nearest, _reorient_sql()),
     "spline_resample": (spline_resample, _spline_sql()),
