@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.strings import age_years, file_folder, file_stem, sex_code, subject_names
 from tessera.operators.cohort import fallback, first_match
-from tessera.plans.runtime import ship
+from tessera.plans.runtime import Scratch, ship
+
+#: Files that are deleted at once.
+REMOVERS = 32
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -59,9 +63,12 @@ def parse_demographics(raw: DataFrame) -> DataFrame:
 
 
 def resolve_atlas(name: str, registry: Mapping[str, str]) -> str:
-    """A registered atlas's path, or the path itself. Nothing is downloaded."""
+    """A registered atlas's path, or the path itself, looked for in the file system that Spark
+    would read it from (one without a scheme: the session's default). Nothing is downloaded."""
     path = registry.get(name, name)
-    if "://" not in path and not os.path.exists(path):
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(f"atlas {name!r}: {path} is not there, and atlases are not downloaded")
     return path
 
@@ -179,10 +186,17 @@ def remove_outputs(spark: SparkSession, files: DataFrame, patterns: Sequence[str
     chosen = files.where(name.rlike("|".join(f"(?:{p})" for p in patterns)))
     if not dry_run:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # paths of a study's outputs, before they are gone
-        for row in chosen.toLocalIterator():
+        # The choice is written first: once files are gone, a listing would not find them again.
+        chosen = Scratch(spark, "removed").save(chosen, "chosen")
+
+        def remove(row):
             path = jvm.org.apache.hadoop.fs.Path(row["path"])
             path.getFileSystem(conf).delete(path, False)
+
+        with ThreadPoolExecutor(REMOVERS) as pool:
+            rows = chosen.select("path").toLocalIterator()
+            while some := list(islice(rows, 100 * REMOVERS)):  # no more paths at once
+                list(pool.map(remove, some))
     return chosen
 
 
