@@ -338,6 +338,21 @@ def stream_once(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("twice").alias("twice"))
 
 
+def stream_volumes(spark, d):
+    """Volumes of a folder's sets as a stream that is started three times: how often each came,
+    and the sum of its voxels' totals."""
+    folder, v = _folder(spark, "sets"), _volumes(spark, d)
+    doubled = v.where("vec_id % 2 = 0").withColumn("data", F.transform("data", lambda x: x * 2))
+    total = lambda rows: rows.select(_number("name").alias("vec_id"), vol.class_sum(vol.doubles(F.col("data")), range(1, 65)).alias("total"))
+    start = lambda: incremental.stream_volumes(spark, folder, total, f"{folder}-out", f"{folder}-state").awaitTermination()
+    _written(v.where("vec_id % 3 <> 0"), folder)
+    start()
+    _written(doubled, folder)
+    start()
+    start()
+    return spark.read.parquet(f"{folder}-out").groupBy("vec_id").agg(F.count("*").alias("times"), r6(F.sum("total"), "total"))
+
+
 def step_once(spark, d):
     """A step's rounds: all inputs, then those that failed, then all of them by force."""
     path = f"{_folder(spark, 'steps')}/done"
@@ -395,6 +410,11 @@ SELECT CAST(job AS INTEGER) AS job, vec_id, {q6('CASE WHEN job > 0 AND again THE
         f"SELECT event_type, count(value) AS n, {q6('avg(CAST(value AS DOUBLE))', 'mean')}, {q6('stddev_samp(CAST(value AS DOUBLE)) / abs(avg(CAST(value AS DOUBLE)))', 'cov')} FROM events WHERE value IS NOT NULL GROUP BY event_type",
     ),
     "stream_once": (stream_once, "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey * 2) AS BIGINT) AS twice FROM orders GROUP BY 1"),
+    "stream_volumes": (
+        stream_volumes,
+        f"""WITH {VOX}, t AS (SELECT vec_id, sum(v) AS total, vec_id % 3 <> 0 AS first, vec_id % 2 = 0 AS again FROM vox GROUP BY vec_id)
+SELECT vec_id, CAST(first AS BIGINT) + CAST(again AS BIGINT) AS times, {q6('CASE WHEN first THEN total ELSE 0 END + CASE WHEN again THEN 2 * total ELSE 0 END', 'total')} FROM t WHERE first OR again""",
+    ),
     "step_once": (step_once, "SELECT CAST(r AS INTEGER) AS round, count(*) FILTER (r <> 1 OR s_suppkey % 10 = 0) AS n_processed FROM supplier, (VALUES (0), (1), (2)) x(r) GROUP BY r"),
     "parsed_headers": (parsed_headers, "SELECT s_suppkey, 'ELEMENTSPACING' AS key, CAST(s_suppkey / CAST(4 AS DOUBLE) AS VARCHAR) || ' = x' AS value FROM supplier"),
 }

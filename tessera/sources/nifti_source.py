@@ -18,6 +18,12 @@ staging folder removed. A job that fails before leaves nothing, one that dies af
 finished by the next writer (or ``recover``), and readers find every file in either place.
 ``append`` adds to the set or replaces files of the same name, ``overwrite`` replaces the set.
 
+**Streams.** ``spark.readStream.format("nifti")`` reads a folder that jobs write sets to. The
+offset is the set's version, and every file of the set knows the version it was last written
+in: a micro-batch has the files written after its start, so a stream that is stopped and
+started again gives each volume once, and a volume that is written again comes again. A file
+that is replaced between planning and reading is read as it is then, and comes again.
+
 Paths are those that ``pyarrow.fs`` opens (local, ``file://``, ``hdfs://``, ``s3://``, ``gs://``);
 ``volume_files.scan`` reads others through Spark.
 
@@ -42,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tessera.plans.runtime import ship
@@ -114,6 +120,13 @@ def current_set(store: fs.FileSystem, folder: str) -> dict[str, Held] | None:
     return {n: Held(n, size, tuple(f"{folder}/{p}" for p in (staged.get(n), n) if p)) for n, size in manifest["files"].items()}
 
 
+def versions(store: fs.FileSystem, folder: str) -> tuple[int, dict[str, int]]:
+    """The set's version, and that in which each of its files was last written."""
+    intents = _intents(store, folder)
+    held = (intents[-1] if intents else _read_json(store, f"{folder}/{MANIFEST}")) or {"version": 0, "files": {}}
+    return held["version"], {n: held.get("since", {}).get(n, held["version"]) for n in held["files"]}
+
+
 def listed(store: fs.FileSystem, folder: str, patterns: Sequence[str], use_manifest: bool = True) -> list[Held]:
     """Files of the set, or all below a folder that has none, by name."""
     held = current_set(store, folder) if use_manifest else None
@@ -220,8 +233,11 @@ class NiftiReader(DataSourceReader):
 
     def partitions(self):
         store, folder = store_of(self.folder)
+        return self.packed(listed(store, folder.rstrip("/"), self.patterns, self.use_manifest))
+
+    def packed(self, files: Sequence[Held]) -> list[Files]:
         out, items, cost = [], [], 0
-        for held in listed(store, folder.rstrip("/"), self.patterns, self.use_manifest):
+        for held in files:
             if self.names is not None and held.name not in self.names:
                 continue
             whole = held.size if "data" in self.columns else HEADER_BYTES
@@ -287,6 +303,29 @@ class NiftiReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, self.columns)
 
 
+class NiftiStreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict, schema: StructType):
+        self.batch = NiftiReader(options, schema)
+
+    def _versions(self):
+        store, folder = store_of(self.batch.folder)
+        return store, folder.rstrip("/"), *versions(store, folder.rstrip("/"))
+
+    def initialOffset(self) -> dict:
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        return {"version": self._versions()[2]}
+
+    def partitions(self, start: dict, end: dict) -> list[Files]:
+        store, folder, _, since = self._versions()
+        files = listed(store, folder, self.batch.patterns) if since else []
+        return self.batch.packed([h for h in files if start["version"] < since.get(h.name, 0) and since.get(h.name, 0) <= end["version"]])
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        return self.batch.read(partition)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Of one task attempt: names, sizes and staged places of its files."""
@@ -342,9 +381,10 @@ class NiftiWriter(DataSourceArrowWriter):
         old = current_set(store, folder)
         if old is None:
             old = {h.name: h for h in listed(store, folder, ("*.nii", "*.nii.gz"))}
-        version = ((_read_json(store, f"{folder}/{MANIFEST}") or {}).get("version", 0)) + 1
+        version, since = versions(store, folder)
+        version += 1
         files = ({} if self.overwrite else {n: h.size for n, h in old.items()}) | {n: size for n, (size, _) in new.items()}
-        intent = {"version": version, "job": self.job, "files": files, "staged": {n: place for n, (_, place) in new.items()}, "removed": sorted(set(old) - set(files))}
+        intent = {"version": version, "job": self.job, "files": files, "since": {n: version if n in new else since.get(n, 0) for n in files}, "staged": {n: place for n, (_, place) in new.items()}, "removed": sorted(set(old) - set(files))}
         _put_json(store, f"{folder}/_intent-{self.job}.json", intent)
         recover(self.folder)
 
@@ -377,7 +417,7 @@ def recover(path: str) -> int:
         with ThreadPoolExecutor(MOVERS) as pool:
             list(pool.map(move, intent["staged"].items()))
             list(pool.map(remove, intent["removed"]))
-        _put_json(store, f"{folder}/{MANIFEST}", {"version": intent["version"], "files": intent["files"]})
+        _put_json(store, f"{folder}/{MANIFEST}", {"version": intent["version"], "files": intent["files"], "since": intent["since"]})
         store.delete_file(intent["path"])
         if store.get_file_info(f"{folder}/_staging-{intent['job']}").type == fs.FileType.Directory:
             store.delete_dir(f"{folder}/_staging-{intent['job']}")
@@ -395,6 +435,9 @@ class NiftiSource(DataSource):
     def reader(self, schema: StructType) -> NiftiReader:
         return NiftiReader(self.options, schema)
 
+    def streamReader(self, schema: StructType) -> NiftiStreamReader:
+        return NiftiStreamReader(self.options, schema)
+
     def writer(self, schema: StructType, overwrite: bool) -> NiftiWriter:
         lack = [c for c in ("name", "dim", "affine", "data") if c not in schema.names]
         if lack:

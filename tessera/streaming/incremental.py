@@ -55,3 +55,14 @@ def variation_of_moments(moments: DataFrame) -> DataFrame:
     mean = F.col("s1") / F.col("n")
     var = F.greatest(F.try_divide(F.col("s2") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0))
     return moments.withColumn("mean", mean).withColumn("cov", F.try_divide(F.sqrt(var), F.abs(mean)))
+
+
+def stream_volumes(spark: SparkSession, folder: str, process: Callable[[DataFrame], DataFrame], out: str, state: str, **options: str):
+    """Process the volumes of a folder's NIfTI sets that were written since the last start,
+    each once; a volume that is written again is processed again. Returns the ended query's
+    handle to wait for."""
+    from tessera.sources import nifti_source
+
+    nifti_source.register(spark)
+    stream = process(spark.readStream.format("nifti").options(**options).load(folder))
+    return stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)

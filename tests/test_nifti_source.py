@@ -211,3 +211,22 @@ def test_filters_and_uris(nifti, tmp_path):
     for path in (f"file://{tmp_path}/v", f"file:{tmp_path}/v", f"{tmp_path}/v/"):
         rows = nifti.read.format("nifti").load(path).where(F.col("name") == "s2/v2.nii").collect()
         assert [r.data[0] for r in rows] == [2000.0] and rows[0].path.endswith("/v/s2/v2.nii")
+
+
+def test_stream_gives_each_volume_once_and_changed_ones_again(nifti, tmp_path):
+    folder, out, state = tmp_path / "v", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run():
+        stream = nifti.readStream.format("nifti").load(str(folder)).select("name", F.element_at("data", 1).alias("first"), "error")
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.name, r.first) for r in nifti.read.parquet(out).collect())
+
+    write(nifti, [volume(1), volume(2)], folder)
+    first = [("s1/v1.nii", 1000.0), ("s2/v2.nii", 2000.0)]
+    assert run() == first and run() == first  # started again: nothing new
+    write(nifti, [volume(3), volume(8, name="s2/v2")], folder)
+    write(nifti, [volume(4)], folder)
+    with pytest.raises(Exception, match="does not fit"):
+        write(nifti, [volume(5), ("bad", [4, 4, 4], AFFINE, [1.0])], folder)
+    more = sorted([*first, ("s2/v2.nii", 8000.0), ("s3/v3.nii", 3000.0), ("s4/v4.nii", 4000.0)])
+    assert run() == more and run() == more
