@@ -305,11 +305,11 @@ def stored_slices(spark, d):
 
 
 def _in_bricks(spark, d):
-    return bricks.cut(volumes(spark, d), ["vec_id"], ["data"], "dim", (2, 2, 2))
+    return bricks.cut(volumes(spark, d), ["vec_id"], ["data"], "dim", (4, 4, 2))
 
 
 def bricks_smooth(spark, d):
-    """Smoothing of volumes that are cut in bricks of eight voxels."""
+    """Smoothing of volumes that are cut in bricks of up to 4 x 4 x 2 voxels."""
     return _cells(bricks.whole(bricks.convolve(_in_bricks(spark, d), ["vec_id"], geo.SMOOTHING), ["vec_id"], ["data"]))
 
 
