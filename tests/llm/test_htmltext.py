@@ -168,8 +168,8 @@ def test_menus_and_copyright_without_names():
 def test_broken_markup_takes_linear_time(broken):
     import time
 
-    n = 1_000_000 // len(broken)
+    n = 300_000 // len(broken)
     began = time.time()
     for page in (broken * n, f"<p>{LONG}</p>" + broken * n, broken * n + f"><p>{LONG}</p>", f"<p>{LONG}</p>" + broken * n + "--><p>end</p>"):
         htmltext.main_text(page)
-    assert time.time() - began < 40
+    assert time.time() - began < 30
