@@ -126,3 +126,17 @@ def test_collapsed_texts_and_empty_table(spark):
     assert [tuple(x) for x in got[1][0]] == [(1, 8, 2)] and got[1][1] == "x a b y"
     assert got[2] == ([], "")
     assert periodic.digests(docs.limit(0)).collect() == []
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from tessera.llm.queries import OP11_SQL
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    got = op11_periodic_runs(spark, d)
+    cursor = con.execute(OP11_SQL)
+    assert [c[0] for c in cursor.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(cursor.fetchall())

@@ -174,3 +174,17 @@ def test_no_words(spark):
     docs = spark.createDataFrame([(1, "short words"), (2, None)], "doc_id int, text string")
     assert spelling.variants(docs).collect() == []
     assert spelling.variants(docs.limit(0)).collect() == []
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from tessera.llm.queries import OP13_SQL
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    got = op13_spelling_variants(spark, d)
+    cursor = con.execute(OP13_SQL)
+    assert [c[0] for c in cursor.description] == got.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, cursor.fetchall()))
