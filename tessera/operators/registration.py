@@ -51,46 +51,105 @@ def mutual_information(a: np.ndarray, b: np.ndarray, bins: int = 32) -> float:
 
 
 def sample(image: np.ndarray, places: Sequence[np.ndarray], dim: Sequence[int]) -> np.ndarray:
-    """One volume between eight voxels at places, 0 beyond."""
-    return sum(w * image[at] for at, w in _corners(places, dim))
+    """One volume between eight voxels at places, 0 beyond; or each row's volume at its places."""
+    if image.ndim == 1:
+        return sum(w * image[at] for at, w in _corners(places, dim))
+    return sum(w * np.take_along_axis(image, at, axis=1) for at, w in _corners(places, dim))
+
+
+def transforms(p: np.ndarray, centre: Sequence[float]) -> np.ndarray:
+    """``transform`` of each row of parameters."""
+    t = np.concatenate([p, np.zeros((len(p), 12 - p.shape[1]))], axis=1)
+    unit = lambda: np.repeat(np.eye(4)[None], len(t), axis=0)
+    m = unit()
+    for axis, angle in enumerate(t[:, 3:6].T):
+        a, b = [(1, 2), (0, 2), (0, 1)][axis]
+        turn = unit()
+        turn[:, a, a] = turn[:, b, b] = np.cos(angle)
+        up = np.sin(angle) if axis != 1 else -np.sin(angle)
+        turn[:, a, b], turn[:, b, a] = up, -up
+        m = m @ turn
+    m = m * np.concatenate([np.exp(t[:, 6:9]), np.ones((len(t), 1))], axis=1)[:, None, :]
+    shear = unit()
+    shear[:, 0, 1], shear[:, 0, 2], shear[:, 1, 2] = t[:, 9:12].T
+    m = m @ shear
+    there, back = unit(), unit()
+    there[:, :3, 3], back[:, :3, 3] = np.asarray(centre, float) + t[:, :3], -np.asarray(centre, float)
+    return there @ m @ back
 
 
-def align(fixed: np.ndarray, moving: np.ndarray, dim: Sequence[int], moving_dim: Sequence[int], start: np.ndarray, kind: str = "rigid", strides: Sequence[int] = (4, 2), bins: int = 32, least: float = 0.02) -> tuple[np.ndarray, float]:
-    """The matrix from the fixed volume's voxels to the moving one's of the greatest mutual
-    information, and that. ``start`` is where the search begins, as the headers have it. At
-    each stride of sampled voxels the steps of a pattern search are halved until they are
-    below ``least`` voxels."""
+def mutual_informations(a: np.ndarray, b: np.ndarray, held: np.ndarray, bins: int = 32) -> np.ndarray:
+    """``mutual_information`` of each row's held values."""
+    n = held.sum(axis=1)
+    cells, flat = [], n < 2
+    for x in (a, b):
+        low, high = np.where(held, x, np.inf).min(axis=1), np.where(held, x, -np.inf).max(axis=1)
+        flat = flat | ~(high > low)
+        low, wide = np.where(flat, 0.0, low), np.where(flat, 1.0, high - low)
+        share = np.where(held & ~flat[:, None], (x - low[:, None]) / wide[:, None], 0.0)
+        cells.append(np.minimum(share * bins, bins - 1).astype(np.int64))
+    row = np.arange(len(a))[:, None] * (bins * bins)
+    joint = np.bincount((row + cells[0] * bins + cells[1])[held], minlength=len(a) * bins * bins).reshape(-1, bins, bins)
+    count = np.arange(a.shape[1] + 1.0)
+    weigh = count * np.log(np.maximum(count, 1.0))  # n log n of whole counts
+    most = np.maximum(n, 1)
+    entropy = lambda c: np.log(most) - weigh[c].sum(axis=1) / most
+    both = entropy(joint.reshape(len(a), -1))
+    return np.where(flat, 1.0, (entropy(joint.sum(axis=2)) + entropy(joint.sum(axis=1))) / np.maximum(both, 1e-12))
+
+
+#: Sampled voxels of volumes whose searches go on side by side.
+SIDE_BY_SIDE = 1 << 17
+#: No mutual information is greater than this, and a step is taken for a gain of so much.
+MOST, GAIN = 2.0, 1e-9
+
+
+def align_each(fixed: np.ndarray, moving: np.ndarray, dim: Sequence[int], moving_dim: Sequence[int], start: np.ndarray, kind: str = "rigid", strides: Sequence[int] = (4, 2), bins: int = 32, least: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the matrix from the fixed volume's voxels to the moving one's of the
+    greatest mutual information, and that. ``start`` is where the search begins, as the
+    headers have it. At each stride of sampled voxels the steps of a pattern search are
+    halved until they are below ``least`` voxels, or nothing is left to gain. Rows' searches
+    take their steps side by side, each with its own parameters and sizes."""
     fixed, moving = np.nan_to_num(fixed), np.nan_to_num(moving)
     centre, n = (np.asarray(dim) + 1) / 2, KINDS[kind]
     reach = max(dim) / 2
     unit = np.array([1, 1, 1, *[1 / reach] * 9])[:n]  # about a voxel at the rim
-    p, best = np.zeros(n), 1.0
+    p, best = np.zeros((len(fixed), n)), np.ones(len(fixed))
     for stride in strides:
         step = min(stride, max(1, min(dim) // 4))
         index = [x for x in grid_places(np.eye(4), dim)]
         some = np.logical_and.reduce([(x - 1) % step == step // 2 for x in index])
         at = np.stack([x[some] for x in index] + [np.ones(some.sum())])
-        values = fixed[some]
 
-        def score(q, at=at, values=values):
-            places = (start @ transform(q, centre) @ at)[:3]
+        def score(rows, q, at=at, some=some):
+            places = [c for c in np.moveaxis((start @ transforms(q, centre) @ at)[:, :3], 1, 0)]
             _, inside = _at(places, moving_dim)
-            if inside.sum() < max(8, 0.1 * len(values)):
-                return 1.0
-            return mutual_information(values[inside], sample(moving, [c[inside] for c in places], moving_dim), bins)
-
-        best, size = score(p), float(2 * step)
-        while size >= least:
-            moved = False
-            for k in range(n):
-                for sign in (1, -1):
-                    q = p.copy()
-                    q[k] += sign * size * unit[k]
-                    if (s := score(q)) > best + 1e-9:
-                        p, best, moved = q, s, True
-            if not moved:
-                size /= 2
-    return start @ transform(p, centre), best
+            found = mutual_informations(fixed[np.ix_(rows, some)], sample(moving[rows], places, moving_dim), inside, bins)
+            return np.where(inside.sum(axis=1) < max(8, 0.1 * at.shape[1]), 1.0, found)
+
+        for rows in np.array_split(np.arange(len(fixed)), max(1, -(-len(fixed) * at.shape[1] // SIDE_BY_SIDE))):
+            if not len(rows):
+                continue
+            best[rows] = score(rows, p[rows])
+            size = np.full(len(fixed), float(2 * step))
+            while len(rows := rows[(size[rows] >= least) & (best[rows] < MOST - GAIN)]):
+                moved = np.zeros(len(rows), bool)
+                for k in range(n):
+                    for sign in (1, -1):
+                        q = p[rows]
+                        q[:, k] += sign * size[rows] * unit[k]
+                        s = score(rows, q)
+                        better = s > best[rows] + GAIN
+                        p[rows[better]], best[rows[better]] = q[better], s[better]
+                        moved |= better
+                size[rows[~moved]] /= 2
+    return start @ transforms(p, centre), best
+
+
+def align(fixed: np.ndarray, moving: np.ndarray, dim: Sequence[int], moving_dim: Sequence[int], start: np.ndarray, kind: str = "rigid", strides: Sequence[int] = (4, 2), bins: int = 32, least: float = 0.02) -> tuple[np.ndarray, float]:
+    """``align_each`` of one volume."""
+    m, best = align_each(fixed[None], moving[None], dim, moving_dim, start, kind, strides, bins, least)
+    return m[0], float(best[0])
 
 
 def register(pairs: DataFrame, fixed: str, moving: str, dim: Sequence[int], affine, moving_dim: Sequence[int] | None = None, moving_affine=None, kind: str = "rigid", strides: Sequence[int] = (4, 2), bins: int = 32) -> DataFrame:
@@ -102,9 +161,9 @@ def register(pairs: DataFrame, fixed: str, moving: str, dim: Sequence[int], affi
     start = np.linalg.inv(theirs) @ ours
 
     def work(a, b):
-        found = [align(x, y, dim, shape, start, kind, strides, bins) for x, y in zip(a, b, strict=True)]
-        sliced = [sample(np.nan_to_num(y), grid_places(m, dim), shape) for y, (m, _) in zip(b, found, strict=True)]
-        return [np.stack([m.ravel() for m, _ in found]), np.array([[s] for _, s in found]), np.stack(sliced)]
+        found, score = align_each(a, b, dim, shape, start, kind, strides, bins)
+        sliced = [sample(np.nan_to_num(y), grid_places(m, dim), shape) for y, m in zip(b, found, strict=True)]
+        return [found.reshape(len(a), 16), score[:, None], np.stack(sliced)]
 
     return over_volumes(pairs, [fixed, moving], work, ["matrix", "score", "resliced"])
 

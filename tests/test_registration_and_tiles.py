@@ -95,3 +95,32 @@ def test_missing_volumes_and_voxels(spark):
     assert tl.pull(df.limit(0), np.eye(4), (2, 2, 1)).count() == 0
     near = {r.id: r.data for r in tl.pull(df.withColumn("data", F.col("data")), np.eye(4), (2, 2, 1), order=0).collect()}
     assert near[1] == [1.0, 0.0, 3.0, 4.0]
+
+
+def test_searches_side_by_side_are_those_of_single_volumes(monkeypatch):
+    rng = np.random.default_rng(5)
+    fixed = rng.normal(size=(40, 5 * 4 * 6))
+    moving = 0.8 * fixed + 0.2 * rng.normal(size=fixed.shape)
+    fixed[3], moving[4, 2] = 1.0, np.nan
+    monkeypatch.setattr(reg, "SIDE_BY_SIDE", 7 * fixed.shape[1])
+    start = np.eye(4)
+    start[0, 3] = 0.4
+    found, score = reg.align_each(fixed, moving, (5, 4, 6), (5, 4, 6), start, strides=(2, 1))
+    for n in range(len(fixed)):
+        m, s = reg.align(fixed[n], moving[n], (5, 4, 6), (5, 4, 6), start, strides=(2, 1))
+        assert found[n] == pytest.approx(m, abs=1e-9) and score[n] == pytest.approx(s, abs=1e-9)
+        held = np.isfinite(moving[n])
+        if held.all() and n % 8 == 0:
+            places = (found[n] @ np.stack([*reg.grid_places(np.eye(4), (5, 4, 6)), np.ones(120)]))[:3]
+            inside = reg._at(places, (5, 4, 6))[1]
+            value = reg.sample(moving[n], [c[inside] for c in places], (5, 4, 6))
+            assert score[n] == pytest.approx(reg.mutual_information(fixed[n][inside], value), abs=1e-9)
+
+
+def test_a_search_ends_where_nothing_is_to_gain(monkeypatch):
+    calls, plain = [], reg.sample
+    monkeypatch.setattr(reg, "sample", lambda *a: calls.append(1) or plain(*a))
+    x = np.random.default_rng(6).normal(size=(500, 64))
+    found, score = reg.align_each(x, x, (4, 4, 4), (4, 4, 4), np.eye(4), strides=(1,))
+    assert np.array_equal(found, np.repeat(np.eye(4)[None], 500, axis=0)) and score == pytest.approx(2.0)
+    assert len(calls) < 500
