@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cohort as co
 from tessera.operators import statistics as st
 from tessera.plans.runtime import table
-from tessera.queries.common import PAIRS, SCORED, TOTALS, pairs, q6, r6, scored, totals
+from tessera.queries.common import PAIRS, SCORED, TOTALS, pairs, pairs_in_order, q6, r6, scored, totals
 
 
 def _round(df, keys, values):
@@ -47,11 +47,11 @@ def hazen_iqr(spark, d):
 
 
 def wilcoxon_w(spark, d):
-    return _round(st.signed_rank(pairs(spark, d), ["tissue"], "x", "y"), ["tissue", "n"], ["w_plus", "w_minus", "ties"])
+    return _round(st.signed_rank(pairs_in_order(spark, d), ["tissue"], "x", "y"), ["tissue", "n"], ["w_plus", "w_minus", "ties"])
 
 
 def wilcoxon_p(spark, d):
-    return _round(st.signed_rank_test(pairs(spark, d), ["tissue"], "x", "y"), ["tissue", "n"], ["w_plus", "p"])
+    return _round(st.signed_rank_test(pairs_in_order(spark, d), ["tissue"], "x", "y"), ["tissue", "n"], ["w_plus", "p"])
 
 
 def bonferroni_flag(spark, d):

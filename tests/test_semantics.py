@@ -252,3 +252,42 @@ def test_upright_grid_crop_and_slices(spark):
     assert geometry.crop(cells, np.eye(4), None).count() == 4
     with pytest.raises(ValueError):
         num.eight_classes(5)
+
+
+def test_isotropic_distances_take_masks_of_resampled_values(spark, tmp_path):
+    import duckdb
+
+    from tessera.queries import geometry as q
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4, 64))
+    x[:, ::9] = 3e-7  # 0 as a value of six decimals
+    spark.createDataFrame([(n, n, v.tolist()) for n, v in enumerate(x)], "vec_id long, label int, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(q.QUERIES["hd95_assd_isotropic"][1]).fetchall())
+    got = sorted(tuple(r) for r in q.hd95_assd_isotropic(spark, str(tmp_path)).collect())
+    np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_signed_ranks_do_not_depend_on_files(spark, sf_dir, tmp_path):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from tessera.queries import statistics as q
+
+    lines = pq.read_table(f"{sf_dir}/lineitem.parquet")
+    lines = lines.take(np.resize(np.arange(len(lines)), 8 * len(lines)))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for n in range(7):
+        size = len(lines) // 6
+        pq.write_table(lines.slice(n * size, size), tmp_path / "lineitem.parquet" / f"part-{n}.parquet", row_group_size=size // 3)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("wilcoxon_w", "wilcoxon_p"):
+        query, sql = q.QUERIES[name]
+        cursor = con.execute(sql)
+        names = [c[0] for c in cursor.description]
+        want = sorted(cursor.fetchall())
+        assert sorted(tuple(r[c] for c in names) for r in query(spark, str(tmp_path)).collect()) == want
