@@ -129,16 +129,113 @@ def relevance_vectors(k: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: i
 
 MACHINES = {"krr": kernel_ridge, "gp": gaussian_process, "gpc": gaussian_process_classifier, "rvr": relevance_vectors}
 
+# The same fits by the features (rows x features, centred) instead of their kernel: with a
+# linear kernel nothing that a fit needs is larger than the features, so memory grows with
+# the rows and not with their square.
+
+
+def _ridge(c: np.ndarray, target: np.ndarray, train: np.ndarray, penalty: float) -> np.ndarray:
+    x = c[train]
+    return c @ np.linalg.solve(x.T @ x + penalty * np.eye(c.shape[1]), x.T @ target)
+
+
+def ridge_by_features(c: np.ndarray, y: np.ndarray, train: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    mean = y[train].mean()
+    return _ridge(c, y[train] - mean, train, penalty) + mean
+
+
+def gaussian_process_by_features(c: np.ndarray, y: np.ndarray, train: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Beyond the features' own directions the kernel's eigenvalues are 0: of the target
+    only its length matters there."""
+    x, target = c[train], y[train] - y[train].mean()
+    values, vectors = np.linalg.eigh(x.T @ x)
+    held = values > max(values.max(), 0.0) * len(target) * np.finfo(float).eps
+    values, vectors = values[held], vectors[:, held]
+    z = (x @ vectors / np.sqrt(values)).T @ target
+    n, rest = len(target), max(float(target @ target - z @ z), 0.0)
+    best, ratio = math.inf, 1.0
+    for r in np.logspace(-6, 6, steps):  # noise over signal
+        d = values + r
+        scale = ((z * z / d).sum() + rest / r) / n
+        cost = n * math.log(max(scale, 1e-300)) + np.log(d).sum() + (n - len(d)) * math.log(r)
+        if cost < best:
+            best, ratio = cost, r
+    return _ridge(c, target, train, ratio) + y[train].mean()
+
+
+def gaussian_process_classifier_by_features(c: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int = 30, jitter: float = 1e-6) -> np.ndarray:
+    """The kernel with its jitter is inverted by Woodbury's formula."""
+    x, t = c[train], np.where(y[train] > 0.5, 1.0, 0.0)
+    f = np.zeros(len(t))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        own = 1 / (jitter + 1 / w)
+        v = f + (t - p) / w
+        beta = np.linalg.solve(np.eye(c.shape[1]) + (x * own[:, None]).T @ x, x.T @ (own * v))
+        new = x @ beta + jitter * own * (v - x @ beta)
+        if np.abs(new - f).max() < 1e-6:
+            f = new
+            break
+        f = new
+    p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(c @ (x.T @ (t - p)), -30, 30)))
+
+
+def relevance_vectors_by_features(c: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Kernel columns are combinations ``b`` of the features and a constant: the posterior
+    has the features' rank beyond its prior, and Woodbury's formula inverts it."""
+    g, target = np.column_stack([np.ones(train.sum()), c[train]]), y[train]
+    gram, told = g.T @ g, g.T @ target
+    b = np.zeros((g.shape[1], len(target) + 1))
+    b[0, 0], b[1:, 1:] = 1.0, c[train].T
+    b /= np.maximum(np.sqrt(np.einsum("dn,dn->n", b, gram @ b)), 1e-12)
+    # gram = root root', so that a column's part is root' b and a feature may be constant
+    values, vectors = np.linalg.eigh(gram)
+    held = values > values.max() * len(target) * np.finfo(float).eps
+    root = vectors[:, held] * np.sqrt(values[held])
+    h, seen = root.T @ b, (vectors[:, held] / np.sqrt(values[held])).T @ told
+    alpha, beta, live = np.full(b.shape[1], 1e-2), 1.0 / max(target.var(), 1e-12), np.arange(b.shape[1])
+    square = float(target @ target)
+
+    def posterior():
+        """Means, and how far each column's weight is told by the targets."""
+        own = h[:, live]
+        part = own / alpha[live]
+        inner = np.linalg.inv(np.eye(len(h)) / beta + part @ own.T)
+        return part.T @ (inner @ seen), np.einsum("kn,kn->n", part, inner @ own)
+
+    for _ in range(rounds):
+        mean, gamma = posterior()
+        alpha[live] = np.clip(gamma / np.maximum(mean**2, 1e-12), 1e-12, 1e12)
+        fitted = h[:, live] @ mean
+        error = max(square - 2 * seen @ fitted + fitted @ fitted, 0.0)
+        beta = max(len(target) - gamma.sum(), 1e-6) / max(error, 1e-12)
+        live = live[alpha[live] < 1e9]
+        if not len(live):
+            return np.full(len(y), target.mean())
+    weights = b[:, live] @ posterior()[0]
+    return weights[0] + c @ weights[1:]
+
+
+BY_FEATURES = {"krr": ridge_by_features, "gp": gaussian_process_by_features, "gpc": gaussian_process_classifier_by_features, "rvr": relevance_vectors_by_features}
+
+
+def fitted(c: np.ndarray, y: np.ndarray, train: np.ndarray, machine: str) -> np.ndarray:
+    """By the kernel where there are at most as many rows as features, else by the features."""
+    if len(c) <= c.shape[1]:
+        return MACHINES[machine](c @ c.T, y, train)
+    return BY_FEATURES[machine](c, y, train)
+
 
 def cross_validated(rows: DataFrame, by: Sequence[str], key: str, features: str, target: str, folds: int = 10, machine: str = "krr") -> DataFrame:
     """Out-of-fold predictions, a linear kernel in each group of subjects.
 
-    A cohort's Gram matrix is subjects x subjects, so a group (a method's cohort) is one
-    task; features stay arrays. Needs folds in column ``fold``; feature means and kernels
+    A group (a method's cohort) is one task, whose memory is that of its features: a Gram
+    matrix is made only where it is smaller. Needs folds in column ``fold``; feature means and kernels
     are of the training folds. Rows with a missing side are left out.
     """
     ship(rows.sparkSession)
-    solve = MACHINES[machine]
     schema = T.StructType([*(rows.schema[c] for c in (*by, key)), T.StructField("fold", T.IntegerType()), T.StructField("y_true", T.DoubleType()), T.StructField("y_pred", T.DoubleType())])
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +247,7 @@ def cross_validated(rows: DataFrame, by: Sequence[str], key: str, features: str,
             if test.all():
                 continue
             c = _centred(x, ~test)
-            out[test] = solve(c @ c.T, y, ~test)[test]
+            out[test] = fitted(c, y, ~test, machine)[test]
         return pd.DataFrame({**{c: pdf[c] for c in (*by, key)}, "fold": pdf["fold"].astype("int32"), "y_true": y, "y_pred": out})
 
     held = rows.where(F.col(features).isNotNull() & F.col(target).isNotNull()).select(*by, key, "fold", features, target)

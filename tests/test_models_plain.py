@@ -79,3 +79,17 @@ def test_signed_rank_p(spark, sf_dir):
             sums = np.array([sum(k + 1 for k in range(len(d)) if m >> k & 1) for m in range(1 << len(d))])
             w = min(r.w_plus, rank.sum() - r.w_plus)
             assert r.p == pytest.approx(min(1, 2 * (sums <= w).mean()), abs=1e-6)
+
+
+@pytest.mark.parametrize("machine", ["krr", "gp", "gpc", "rvr"])
+def test_fits_by_features_are_those_of_the_kernel(machine, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 12))
+    x[:, 5], x[:, 7] = 2.0, x[:, 6]
+    y = x[:, 0] + 0.5 * rng.normal(size=150)
+    y = (y > 0).astype(float) if machine == "gpc" else y + 3
+    train = np.arange(150) % 5 != 2
+    c = x - x[train].mean(axis=0)
+    want = models.MACHINES[machine](c @ c.T, y, train)
+    monkeypatch.setitem(models.MACHINES, machine, None)  # no kernel of 150 x 150 is made
+    assert models.fitted(c, y, train, machine) == pytest.approx(want, abs=1e-6)
