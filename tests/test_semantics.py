@@ -291,3 +291,11 @@ def test_signed_ranks_do_not_depend_on_files(spark, sf_dir, tmp_path):
         names = [c[0] for c in cursor.description]
         want = sorted(cursor.fetchall())
         assert sorted(tuple(r[c] for c in names) for r in query(spark, str(tmp_path)).collect()) == want
+
+
+def test_classes_are_counted_before_they_are_mapped(spark, sf_dir):
+    from tessera.queries import cohort as q
+
+    plan = q.class_map(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert "Aggregate" in plan[join:] and "strategy=broadcast" in plan[join:]
