@@ -7,6 +7,7 @@ built are multiplied on the driver; in the plan they are twelve literals.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -190,28 +191,53 @@ def _spline_taps(degree: int, at: np.ndarray) -> np.ndarray:
     return sum((-1) ** k * comb(degree + 1, k) * np.maximum((degree + 1) / 2 - k - x, 0) ** degree for k in range(degree + 2)) / factorial(degree)
 
 
+@lru_cache(maxsize=64)
+def _spline_system(n: int, degree: int) -> np.ndarray:
+    """What takes an axis's coefficients to its values, mirrored at the edges."""
+    system, reach = np.zeros((n, n)), degree // 2
+    for shift in range(-reach, reach + 1):
+        np.add.at(system, (np.arange(n), _folded(np.arange(n) + shift, n)), _spline_taps(degree, np.array([float(shift)]))[0])
+    return system
+
+
+def _folded(i: np.ndarray, n: int) -> np.ndarray:
+    return np.where((r := np.mod(i, 2 * n - 2)) < n, r, 2 * n - 2 - r) if n > 1 else np.zeros_like(i)
+
+
 def spline_values(image: np.ndarray, points: np.ndarray, degree: int) -> np.ndarray:
     """B-spline interpolation of an array at 1-based points (n x 3); mirrored at the edges,
     0 beyond the grid. Coefficients come from a banded system an axis."""
-    coefficients, reach = np.asarray(image, float), degree // 2
-    fold = lambda i, n: np.where((r := np.mod(i, 2 * n - 2)) < n, r, 2 * n - 2 - r) if n > 1 else np.zeros_like(i)
-    for axis, n in enumerate(image.shape):
-        system = np.zeros((n, n))
-        for shift in range(-reach, reach + 1):
-            np.add.at(system, (np.arange(n), fold(np.arange(n) + shift, n)), _spline_taps(degree, np.array([float(shift)]))[0])
+    return spline_values_each(np.asarray(image, float)[None], np.asarray(points)[None], degree)[0]
+
+
+def spline_values_each(images: np.ndarray, points: np.ndarray, degree: int) -> np.ndarray:
+    """The same of each image along the first axis, at its own points (images x n x 3)."""
+    coefficients, shape = np.asarray(images, float), images.shape[1:]
+    for axis, n in enumerate(shape, 1):
         moved = np.moveaxis(coefficients, axis, 0)
-        coefficients = np.moveaxis(np.linalg.solve(system, moved.reshape(n, -1)).reshape(moved.shape), 0, axis)
+        coefficients = np.moveaxis(np.linalg.solve(_spline_system(n, degree), moved.reshape(n, -1)).reshape(moved.shape), 0, axis)
+    flat = np.ascontiguousarray(coefficients).reshape(len(images), -1)
     zero_based = points - 1.0
     first = np.floor(zero_based - (degree - 1) / 2).astype(int)
-    out = np.zeros(len(points))
-    for n in np.ndindex(*(degree + 1,) * 3):
-        at = first + np.array(n)
-        w = np.prod(_spline_taps(degree, zero_based - at), axis=1)
-        out += w * coefficients[tuple(fold(at[:, a], image.shape[a]) for a in range(3))]
-    outside = ((zero_based < 0) | (zero_based > np.array(image.shape) - 1)).any(axis=1)
+    taps, places, stride = [], [], 1
+    for a in (2, 1, 0):
+        at = [first[..., a] + n for n in range(degree + 1)]
+        taps.insert(0, [_spline_taps(degree, zero_based[..., a] - x) for x in at])
+        places.insert(0, [_folded(x, shape[a]) * stride for x in at])
+        stride *= shape[a]
+    out = np.zeros(points.shape[:2])
+    for x, y in np.ndindex(degree + 1, degree + 1):
+        weight, place = taps[0][x] * taps[1][y], places[0][x] + places[1][y]
+        for w, at in zip(taps[2], places[2], strict=True):
+            out += weight * w * np.take_along_axis(flat, place + at, axis=1)
+    outside = ((zero_based < 0) | (zero_based > np.array(shape) - 1)).any(axis=2)
     return np.where(outside, 0.0, out)
 
 
+#: Points whose spline values are worked on at once.
+SPLINE_POINTS = 1 << 18
+
+
 def pull_spline(points: DataFrame, images: DataFrame, keys: Sequence[str], dim: Sequence[int], degree: int = 4, data: str = "data", out: str = "v") -> DataFrame:
     """As ``pull``, by B-splines of degree 2 to 5. ``images`` has a volume's array a row;
     a volume's points, as arrays ``x, y, z`` in one row, are read off in one pass of numpy."""
@@ -219,7 +245,20 @@ def pull_spline(points: DataFrame, images: DataFrame, keys: Sequence[str], dim:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def values(d: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series([spline_values(np.asarray(a, float).reshape(dim, order="F"), np.stack([b, c, e], axis=1).astype(float), degree) for a, b, c, e in zip(d, x, y, z, strict=True)])
+        out: list = [None] * len(d)
+        alike: dict[int, list[int]] = {}
+        for n, a in enumerate(x):
+            alike.setdefault(len(a), []).append(n)
+        for size, rows in alike.items():
+            step = max(1, SPLINE_POINTS // max(1, size, int(np.prod(dim))))
+            for first in range(0, len(rows), step):
+                own = rows[first : first + step]
+                # first axis fastest: arrays are stacked with their axes turned
+                images = np.array([np.asarray(d.iloc[n], float) for n in own]).reshape(-1, *reversed(dim)).transpose(0, 3, 2, 1)
+                points = np.stack([np.array([np.asarray(c.iloc[n], float) for n in own]) for c in (x, y, z)], axis=2)
+                for n, found in zip(own, spline_values_each(images, points, degree), strict=True):
+                    out[n] = found
+        return pd.Series(out)
 
     met = points.join(images.select(*keys, data), list(keys))
     return met.withColumn(out, values(data, "x", "y", "z")).drop(data)

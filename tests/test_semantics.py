@@ -299,3 +299,15 @@ def test_classes_are_counted_before_they_are_mapped(spark, sf_dir):
     plan = q.class_map(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join")
     assert "Aggregate" in plan[join:] and "strategy=broadcast" in plan[join:]
+
+
+def test_splines_of_many_volumes_are_worked_on_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    images, points = rng.normal(size=(30, 4, 5, 3)), rng.uniform(0.5, 5.5, size=(30, 11, 3))
+    got = geometry.spline_values_each(images, points, 4)
+    for n in range(30):
+        assert got[n] == pytest.approx(geometry.spline_values(images[n], points[n], 4))
+    rows = [(n, images[n].ravel(order="F").tolist(), *(points[n, : 11 - n % 2, a].tolist() for a in range(3))) for n in range(30)]
+    df = spark.createDataFrame(rows, "n int, data array<double>, x array<double>, y array<double>, z array<double>")
+    for r in geometry.pull_spline(df.select("n", "x", "y", "z"), df.select("n", "data"), ["n"], (4, 5, 3)).collect():
+        assert r.v == pytest.approx(got[r.n][: 11 - r.n % 2])
