@@ -162,6 +162,15 @@ def _corner_weights(at: Sequence[str]) -> Column:
     return F.filter(F.array(*out), lambda s: s["w"] > 0)
 
 
+def _corner_values(source: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The eight values ``_v0`` to ``_v7`` above each place that has any, so that a point
+    meets them in one row. A task adds up what it has of a place before rows are exchanged."""
+    corners = [F.struct(*((F.col(f"c{a}") - ((bits >> n) & 1)).cast("int").alias(f"c{a}") for n, a in enumerate(AXES)), F.lit(bits).alias("_bits")) for bits in range(8)]
+    keys = [c for c in on if c not in [f"c{a}" for a in AXES]]
+    rows = source.where(F.col("_v").isNotNull()).select(*keys, "_v", F.explode(F.array(*corners)).alias("_c")).select(*keys, "_v", "_c.*")
+    return rows.groupBy(*on).agg(*(F.sum(F.when(F.col("_bits") == bits, F.col("_v"))).alias(f"_v{bits}") for bits in range(8)))
+
+
 def pull(points: DataFrame, image: DataFrame, keys: Sequence[str], order: int = 1, at: Sequence[str] = ("x", "y", "z"), v: str = "v", clamp_to_image: bool = False) -> DataFrame:
     """The image's value at each point, in voxel coordinates of the image.
 
@@ -175,8 +184,16 @@ def pull(points: DataFrame, image: DataFrame, keys: Sequence[str], order: int =
         placed = points.select(*kept, *(F.floor(F.col(c) + 0.5).cast("int").alias(f"c{a}") for c, a in zip(at, AXES, strict=True)))
         out = placed.join(source, on, "left").select(*kept, F.coalesce("_v", F.lit(0.0)).alias(v))
     else:
-        spread = points.select(*kept, F.explode_outer(_corner_weights(at)).alias("_c")).select(*kept, "_c.*")
-        out = spread.join(source, on, "left").groupBy(*kept).agg(F.coalesce(F.sum(F.col("w") * F.col("_v")), F.lit(0.0)).alias(v))
+        low = [F.floor(F.col(c)) for c in at]
+        placed = points.select(*kept, *(l.cast("int").alias(f"c{a}") for l, a in zip(low, AXES, strict=True)), *((F.col(c) - l).alias(f"_f{a}") for c, l, a in zip(at, low, AXES, strict=True)))
+        met = placed.join(_corner_values(source, on), on, "left")
+        total = F.lit(0.0)
+        for bits in range(8):
+            w = F.lit(1.0)
+            for n, a in enumerate(AXES):
+                w = w * (F.col(f"_f{a}") if (bits >> n) & 1 else 1 - F.col(f"_f{a}"))
+            total = total + F.when((w > 0) & F.col(f"_v{bits}").isNotNull(), w * F.col(f"_v{bits}")).otherwise(0.0)
+        out = met.select(*kept, total.alias(v))
     if clamp_to_image:
         ends = image.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
         out = out.join(ends, list(keys)).withColumn(v, F.least("_hi", F.greatest("_lo", v))).drop("_lo", "_hi")

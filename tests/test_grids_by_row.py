@@ -115,3 +115,12 @@ def test_affine_as_a_column_in_cell_form(spark):
     m = np.diag([2.0, 1.0, 1.0, 1.0])
     df = spark.createDataFrame([(1, 2, 3, 4, m.ravel().tolist())], "id int, i int, j int, k int, m array<double>")
     assert tuple(df.select(*(c.alias(n) for c, n in zip(geo.affine_columns(F.col("m")), "xyz", strict=True))).first()) == (4.0, 3.0, 4.0)
+
+
+def test_a_point_meets_its_eight_voxels_in_one_row(spark):
+    image = spark.createDataFrame([(1, 1, 1, 1, 2.0), (1, 2, 1, 1, 4.0), (1, 1, 2, 1, float("inf")), (1, 2, 2, 2, None)], "n int, i int, j int, k int, v double")
+    points = spark.createDataFrame([(1, 0, 1.25, 1.0, 1.0), (1, 1, 0.5, 1.0, 0.5), (1, 2, None, 1.0, 1.0), (1, 3, 7.0, 7.0, 7.0), (2, 4, 1.0, 1.0, 1.0), (1, 5, 2.0, 1.0, 1.0)], "n int, p int, x double, y double, z double")
+    out = geo.pull(points, image, ["n"])
+    assert {r.p: r.v for r in out.collect()} == pytest.approx({0: 2.5, 1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: 4.0})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
