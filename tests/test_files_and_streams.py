@@ -112,3 +112,19 @@ def test_study_end_to_end(spark, tmp_path):
     assert {x.subject for x in read("subjects").collect()} == {f"s{n}" for n in range(1, 7)}
     assert all(x.y50 > x.x50 for x in read("comparison").where("metric = 'dice'").collect()) and read("overlap").count() == 6 * 3 * 2 * 3
     assert {x.method for x in read("agreement").collect()} == {"ct_plain", "ct_new"}
+
+
+def test_files_of_a_batch_are_written_together(spark, monkeypatch):
+    rows = [(f"v{n}", [2, 2, 1], [float(x) for x in (1, 0, 0, n, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)], [float(n + k) for k in range(4)] if n != 7 else None) for n in range(60)]
+    df = spark.createDataFrame(rows, "name string, dim array<int>, affine array<double>, data array<double>").coalesce(1)
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    found = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: found.append(run))
+    volume_files.encode(df)
+    whole = list(found[0](iter([batch])))
+    monkeypatch.setattr(volume_files, "FILE_BYTES", 3 * 368)
+    parts = list(found[0](iter([batch])))
+    assert len(whole) == 1 and 20 <= len(parts) < 30
+    for out in (whole, parts):
+        got = {n: raw for b in out for n, raw in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True)}
+        assert got == {n: None if x is None else volume_files.write_nifti(np.array(x), d, a, "float32", "", False) for n, d, a, x in rows}
