@@ -9,13 +9,16 @@ words and words that training texts don't have are one class more. Class transit
 counted over all classes then, smoothed by the class frequencies, emissions by one more
 count a word.
 
-The words with classes, 17 bytes for each, are what is sent out. Should more than
-``LEXICON`` words occur ``OFTEN`` times, that number is doubled until they don't.
+The words with classes, 17 bytes for each, are sent out. Should more than ``LEXICON`` words
+occur ``OFTEN`` times, those are sent that occur twice as often, or twice that, until they
+are no more. The others keep their classes in the buckets of their counts: packets of texts
+leave the bigrams with such words open until the buckets have told their classes. The
+scores are the same.
 
 Words are carried as 64-bit hashes. Counting: packets of texts give each word's count once,
 buckets of the hash range add them up, so a frequent word is one entry a packet. Scoring:
 a text's transitions and words with classes are scored where it is read; of its other words,
-each packet asks the buckets for their counts, once for each word.
+each packet asks the buckets for their counts (and classes), once for each word.
 
 Cases: a null or empty text is the end alone; without training texts all words are unknown
 and the base is 0; a text of any length is scored whole; repeated rows score alike; extra
@@ -42,9 +45,10 @@ from tessera.plans.runtime import Scratch, ship, shuffle_partitions
 HEAD, CLASSES = 1000, 48
 #: The class of rare and unseen words, the end, the start; how many there are with these.
 REST, END, START, SIZE = CLASSES, CLASSES + 1, CLASSES + 2, CLASSES + 3
-#: Occurrences from which on a word's neighbours decide its class, and the most such words.
+#: Occurrences from which on a word's neighbours decide its class, and the most such words
+#: that are sent out.
 OFTEN, LEXICON = 3, 2 << 20
-#: How often ``OFTEN`` can be doubled.
+#: How often ``OFTEN`` can be doubled to find those.
 DOUBLINGS = 40
 #: Weight, in counts, of the class frequencies in a transition.
 PRIOR = 5.0
@@ -159,10 +163,12 @@ class Words:
 
 @dataclass
 class Lexicon:
-    """The class of each word that has one of its own."""
+    """The class of each word that has one of its own and is sent out; of the words that have
+    one in buckets, each class's occurrences and number, if there are any."""
 
     words: Words
     label: np.ndarray
+    kept: np.ndarray | None = None
 
     @classmethod
     def of(cls, words: np.ndarray, counts: np.ndarray, label: np.ndarray) -> Lexicon:
@@ -204,7 +210,11 @@ def _pairs(symbols_of, size: int):
 
 
 def _pair_table(training: DataFrame, symbols_of, size: int) -> np.ndarray:
-    found = training.mapInArrow(_pairs(symbols_of, size), "left int, right int, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()
+    return _table_of(training.mapInArrow(_pairs(symbols_of, size), "left int, right int, n long"), size)
+
+
+def _table_of(pairs: DataFrame, size: int) -> np.ndarray:
+    found = pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((size, size))
     table[found["left"].to_numpy(), found["right"].to_numpy()] = found["n"].to_numpy()
     return table
@@ -276,6 +286,148 @@ def best_classes(entries: np.ndarray, counts: np.ndarray, table: np.ndarray) ->
     return word[start], np.concatenate(best).astype(np.uint8)
 
 
+def _kept_neighbours(shared, packet: int, buckets: int):
+    """How often each class stands before (side 0) and after (side 1) each word that is not
+    sent out: side * ``SIZE`` + class by word, in buckets of the hash range."""
+    names, types = ["bucket", "packet", "words", "facts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches):
+        head, label, mid = shared.value
+        held, n = [], 0
+
+        def flush():
+            nonlocal held, n
+            words, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+            order = np.lexsort((codes, words))
+            words, codes = words[order], codes[order]
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), (words[1:] != words[:-1]) | (codes[1:] != codes[:-1])]))
+            facts = np.stack([codes[start], np.diff(np.append(start, len(words)))], axis=1).astype(np.uint32)
+            words = words[start]
+            return _batch([(b, 0, words[a:z].tobytes(), facts[a:z].tobytes()) for b, a, z in bucket_runs(words, buckets)], names, types)
+
+        for batch in batches:
+            for _, data, offsets in _pieces(batch.column("text")):
+                words, first = read_words(data, offsets)
+                at = head.find(words)
+                classes = label[at]
+                classes[at < 0] = REST
+                some = np.flatnonzero(at < 0)
+                some = some[mid.find(words[some]) < 0]
+                full = np.diff(first) > 0
+                before, after = np.roll(classes, 1), np.roll(classes, -1)
+                before[first[:-1][full]], after[first[1:][full] - 1] = START, END
+                held += [(words[some], before[some]), (words[some], after[some] + SIZE)]
+                n += 2 * len(some)
+                if n >= packet:
+                    yield flush()
+        if n:
+            yield flush()
+
+    return run
+
+
+_KEPT = "bucket long, words binary, facts binary, kept_n array<long>, kept_v array<long>"
+
+
+def _keep(shared):
+    """In a bucket: its words, their counts with their classes (``marked``), and how many
+    words and occurrences of words each class has, of those that are not sent out."""
+
+    def run(key, t):
+        words, counts, entries, times = np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        asked = []
+        for packet, w, c in zip(*(t[x].to_pylist() for x in ("packet", "words", "facts")), strict=True):
+            if packet is None:
+                words, counts = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
+            else:
+                asked.append((np.frombuffer(w, np.uint64), np.frombuffer(c, np.uint32).reshape(-1, 2).astype(np.int64)))
+        for w, facts in asked:
+            place = np.searchsorted(words, w)  # all of them are there
+            often = counts[place] >= OFTEN
+            entries.append(place[often] * 2 * SIZE + facts[often, 0])
+            times.append(facts[often, 1])
+        classes, n, v = np.full(len(words), REST, np.int64), np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
+        entries, times = _added(np.concatenate(entries), np.concatenate(times))
+        if len(entries):
+            own, chosen = best_classes(entries, times, shared.value)
+            classes[own] = chosen
+            np.add.at(n, chosen, counts[own])
+            np.add.at(v, chosen, 1)
+        lists = pa.list_(pa.int64())
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([words.tobytes()], pa.binary()), "facts": pa.array([marked(counts, classes).tobytes()], pa.binary()), "kept_n": pa.array([n.tolist()], lists), "kept_v": pa.array([v.tolist()], lists)})
+
+    return run
+
+
+def marked(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A word's count and class in one number; 0 is a word that is not there."""
+    return counts << 8 | classes
+
+
+def unmarked(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return facts >> 8, np.where(facts > 0, facts & 255, REST)
+
+
+def _open_pairs(shared, packet: int, buckets: int):
+    """Each packet's counts of pairs of classes, where words that are not sent out stand for
+    themselves (``SIZE`` and on, in the order of the packet's such words), for the row with
+    bucket null; and these words for buckets."""
+    names, types = ["bucket", "packet", "words", "facts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches):
+        lexicon, part, k = shared.value, TaskContext.get().partitionId(), 0
+        held, closed, n = [], np.zeros(SIZE * SIZE, np.int64), 0
+
+        def flush():
+            nonlocal held, closed, n, k
+            one = (part << 24) | k
+            found = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w[is_open] for *sides, in held for w, _, is_open in sides)]))
+            width = SIZE + len(found)
+            code = lambda w, own, is_open: np.where(is_open, SIZE + np.searchsorted(found, w), own)
+            pairs = np.concatenate([np.zeros(0, np.int64), *(code(*left) * width + code(*right) for left, right in held)])
+            some = np.flatnonzero(closed)
+            pairs, counts = _added(np.concatenate([pairs, some // SIZE * width + some % SIZE]), np.concatenate([np.ones(len(pairs), np.int64), closed[some]]))
+            held, closed, n, k = [], np.zeros(SIZE * SIZE, np.int64), 0, k + 1
+            rows = [(b, one, found[a:z].tobytes(), None) for b, a, z in bucket_runs(found, buckets)]
+            return _batch([*rows, (None, one, np.stack([pairs // width, pairs % width, counts]).tobytes(), None)], names, types)
+
+        for batch in batches:
+            for _, data, offsets in _pieces(batch.column("text")):
+                words, first = read_words(data, offsets)
+                at = lexicon.words.find(words)
+                left, right = _followers(lexicon.classes_at(at), first, END, START)
+                # The words of both sides: each row has one bigram more than words.
+                last = np.arange(len(words)) + np.repeat(np.arange(len(first) - 1), np.diff(first))
+                is_open, word = np.zeros(len(left), bool), np.zeros(len(left), np.uint64)
+                is_open[last], word[last] = at < 0, words
+                before, prior = np.zeros(len(left), bool), np.zeros(len(left), np.uint64)
+                before[last + 1], prior[last + 1] = at < 0, words
+                some = is_open | before
+                closed += np.bincount(left[~some] * SIZE + right[~some], minlength=len(closed))
+                held.append(((prior[some], left[some], before[some]), (word[some], right[some], is_open[some])))
+                n += int(some.sum())
+                if n >= packet:
+                    yield flush()
+        if n or closed.any():
+            yield flush()
+
+    return run
+
+
+def _close_pairs(t):
+    """A packet's counts of class pairs, its open words' classes being known."""
+    pairs, replies = None, []
+    for bucket, words in zip(t["bucket"].to_pylist(), t["words"].to_pylist(), strict=True):
+        if bucket is None:
+            pairs = np.frombuffer(words, np.int64).reshape(3, -1)
+        else:
+            replies.append((bucket, np.frombuffer(words, np.int64)))
+    classes = np.concatenate([np.arange(SIZE), *(unmarked(c)[1] for _, c in sorted(replies, key=lambda x: x[0]))])
+    keys, counts = _added(classes[pairs[0]] * SIZE + classes[pairs[1]], pairs[2])
+    return pa.table({"left": pa.array(keys // SIZE, pa.int32()), "right": pa.array(keys % SIZE, pa.int32()), "n": pa.array(counts, pa.int64())})
+
+
 def _choose(shared, edges: np.ndarray):
     """In a bucket of words: their places and classes."""
 
@@ -345,28 +497,45 @@ def exchange(pairs: np.ndarray, words: int, classes: int) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    lexicon: Lexicon
+class Figures:
     transition: np.ndarray  # log10 P(class | class before)
     room: np.ndarray  # log10 of a class's words' counts and of one more for each
 
+
+@dataclass
+class Model(Figures):
+    lexicon: Lexicon
+
     def score_rows(self, data: np.ndarray, offsets: np.ndarray):
         """Of each row: words, sum without emission counts, words with classes and their
-        log-counts; and the other words with their rows."""
+        log-counts; and the other words with their rows. If any of those have classes in
+        buckets, bigrams with them are left out of the sums and follow, as rows, words and
+        classes of both sides (the class -1: as the word's)."""
         words, first = read_words(data, offsets)
         at, n = self.lexicon.words.find(words), np.diff(first)
         classes = self.lexicon.classes_at(at)
         before = np.full(len(classes), START, dtype=np.int64)
         before[1:] = classes[:-1]
         before[first[:-1][n > 0]] = START
-        sums = row_sums(self.transition[before, classes] - self.room[classes], first)
         final = np.full(len(n), START, dtype=np.int64)
         final[n > 0] = classes[first[1:][n > 0] - 1]
-        sums += self.transition[final, END]
         known, row = at >= 0, np.repeat(np.arange(len(n)), n)
+        steps, ends = self.transition[before, classes] - self.room[classes], self.transition[final, END]
+        left_open = None
+        if self.lexicon.kept is not None:
+            own, prior = np.where(known, classes, -1), np.where(before == START, START, -1)
+            prior[1:] = np.where(before[1:] == START, START, own[:-1])
+            word = np.roll(words, 1)
+            some = np.flatnonzero((own < 0) | (prior < 0))
+            last = first[1:][n > 0] - 1
+            over = last[own[last] < 0]
+            left_open = tuple(np.concatenate(x) for x in ((row[some], row[over]), (word[some], words[over]), (prior[some], own[over]), (words[some], words[over]), (own[some], np.full(len(over), END))))
+            steps[some] = 0.0
+            ends[row[over]] = 0.0
+        sums = row_sums(steps, first) + ends
         counts = self.lexicon.words.counts
         logs = row_sums(np.where(known, np.log10(counts[at] + 1.0), 0.0) if len(counts) else np.zeros(len(at)), first)
-        return n, sums, np.bincount(row[known], minlength=len(n)), logs, words[~known], row[~known]
+        return n, sums, np.bincount(row[known], minlength=len(n)), logs, words[~known], row[~known], left_open
 
 
 def cluster(head: Words, order: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +561,12 @@ def build(lexicon: Lexicon, table: np.ndarray, rest_n: int, rest_v: int) -> Mode
     np.add.at(n, lexicon.label, lexicon.words.counts)
     np.add.at(v, lexicon.label, 1)
     n[REST], v[REST] = rest_n, rest_v + 1  # all unseen words share one
-    return Model(lexicon, transition, np.log10(np.maximum(n + v, 1.0)))
+    if lexicon.kept is not None:  # of the rest, these have a class
+        n += lexicon.kept[0]
+        v += lexicon.kept[1]
+        n[REST] -= lexicon.kept[0].sum()
+        v[REST] -= lexicon.kept[1].sum()
+    return Model(transition, np.log10(np.maximum(n + v, 1.0)), lexicon)
 
 
 def _often(least: int):
@@ -409,8 +583,10 @@ def _often(least: int):
     return run
 
 
-def learn(training: DataFrame, counted: DataFrame, head: Words, least: int, packet: int, buckets: int) -> tuple[Lexicon, np.ndarray]:
-    """Classes of all words that occur ``least`` times, and counts of class pairs."""
+def learn(training: DataFrame, counted: DataFrame, head: Words, least: int, packet: int, buckets: int, scratch: Scratch) -> tuple[Lexicon, np.ndarray, DataFrame]:
+    """Classes of all words that occur ``least`` times, counts of class pairs, and the buckets'
+    words (words, facts). Where ``least`` is more than ``OFTEN`` and other words have classes
+    too, the facts are ``marked``, else counts."""
     sc, h = training.sparkSession.sparkContext, len(head.words)
     shared_head = sc.broadcast(head)
 
@@ -420,24 +596,45 @@ def learn(training: DataFrame, counted: DataFrame, head: Words, least: int, pack
 
     label, table = cluster(head, np.argsort(-head.counts, kind="stable"), _pair_table(training, head_symbols, h + 3))
     lexicon = Lexicon.of(head.words, head.counts, label[:h])
+    tables = counted.select("bucket", F.lit(None).cast("long").alias("packet"), "words", F.col("counts").alias("facts"))
     if not h:
-        return lexicon, table
+        return lexicon, table, tables
     often = counted.select("words", "counts").mapInArrow(_often(least), "words binary, counts binary").toArrow()
     words, counts = (np.concatenate([np.frombuffer(x, d) for x in often[c].to_pylist()]) for c, d in (("words", np.uint64), ("counts", np.int64)))
     other = head.find(words) < 0
-    if not other.any():
-        return lexicon, table
+    if not other.any() and least <= OFTEN:
+        return lexicon, table, tables
     mid = Words.of(words[other], counts[other])
-    buckets = min(buckets, len(mid.words))
     shared, seen = sc.broadcast((head, label, mid)), sc.broadcast(table)
+    if other.any():
+        lexicon = _with_mid(training, shared, seen, packet, min(buckets, len(mid.words)))
+    kept = None
+    if least > OFTEN:
+        near = training.mapInArrow(_kept_neighbours(shared, packet, buckets), _PACKED)
+        kept = scratch.save(near.unionByName(tables).groupBy("bucket").applyInArrow(_keep(seen), _KEPT), "kept")
+        sums = kept.agg(*(F.coalesce(F.sum(F.col(c)[k]), F.lit(0)).alias(f"{c}{k}") for c in ("kept_n", "kept_v") for k in range(SIZE))).first()
+        lexicon.kept = np.array(sums, np.float64).reshape(2, SIZE)
+        tables = kept.select("bucket", F.lit(None).cast("long").alias("packet"), "words", "facts")
+    shared.destroy()
+    all_words = sc.broadcast(lexicon)
+    if kept is None:
+        return lexicon, _pair_table(training, lambda: all_words.value.classes_of, SIZE), tables
+    packed = scratch.save(training.mapInArrow(_open_pairs(all_words, packet, buckets), _PACKED), "pairs")
+    told = packed.where("bucket IS NOT NULL").unionByName(tables).groupBy("bucket").applyInArrow(_look_up, _PACKED)
+    closed = told.unionByName(packed.where("bucket IS NULL")).groupBy("packet").applyInArrow(_close_pairs, "left int, right int, n long")
+    table = _table_of(closed, SIZE)
+    scratch.drop("pairs")
+    return lexicon, table, tables
+
+
+def _with_mid(training: DataFrame, shared, seen, packet: int, buckets: int) -> Lexicon:
+    """The head's words, and the other words that are sent out with their neighbours' classes."""
+    head, label, mid = shared.value
     near = training.mapInArrow(_neighbours(shared, packet, buckets), "bucket long, entries binary, counts binary")
     chosen = near.groupBy("bucket").applyInArrow(_choose(seen, _word_edges(len(mid.words), buckets)), "words binary, classes binary").toArrow()
     own = np.zeros(len(mid.words), np.int64)
     own[np.concatenate([np.frombuffer(x, np.int64) for x in chosen["words"].to_pylist()])] = np.concatenate([np.frombuffer(x, np.uint8) for x in chosen["classes"].to_pylist()])
-    lexicon = Lexicon.of(np.concatenate([head.words, mid.words]), np.concatenate([head.counts, mid.counts]), np.concatenate([label[:h], own]))
-    shared.destroy()
-    all_words = sc.broadcast(lexicon)
-    return lexicon, _pair_table(training, lambda: all_words.value.classes_of, SIZE)
+    return Lexicon.of(np.concatenate([head.words, mid.words]), np.concatenate([head.counts, mid.counts]), np.concatenate([label[: len(head.words)], own]))
 
 
 # ---- scoring ----------------------------------------------------------------------------
@@ -447,15 +644,16 @@ _PACKED = "bucket long, packet long, words binary, facts binary"
 
 def _score_packets(shared, packet_words: int, buckets: int, kept: list[str]):
     """A packet's rare words for buckets, and one row (bucket null) with the packet's other
-    columns and what is known already: its texts' figures, and where its rare words stand."""
+    columns and what is known already: its texts' figures, where its rare words stand, and
+    bigrams with them that are open."""
     names, types = ["bucket", "packet", "words", "facts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
         model, part, k = shared.value, TaskContext.get().partitionId(), 0
-        words, rows, facts, ids, docs, n = [], [], [], [], 0, 0
+        words, rows, facts, opens, ids, docs, n = [], [], [], [], [], 0, 0
 
         def flush():
-            nonlocal words, rows, facts, ids, docs, n, k
+            nonlocal words, rows, facts, opens, ids, docs, n, k
             packet = (part << 24) | k
             w, r = np.concatenate(words), np.concatenate(rows)
             order = np.argsort(w, kind="stable")
@@ -470,15 +668,22 @@ def _score_packets(shared, packet_words: int, buckets: int, kept: list[str]):
             with pa.ipc.new_stream(sink, ids[0].schema) as writer:
                 for x in ids:
                     writer.write_batch(x)
-            out.append((None, packet, sink.getvalue().to_pybytes(), pickle.dumps(([np.concatenate([f[i] for f in facts]) for i in range(4)], where))))
-            words, rows, facts, ids, docs, n, k = [], [], [], [], 0, 0, k + 1
+            left_open = None
+            if opens:
+                row, prior, left, own, right = (np.concatenate(x) for x in zip(*opens, strict=True))
+                left, right = (np.where(c < 0, SIZE + np.searchsorted(found, w), c).astype(np.uint32) for w, c in ((prior, left), (own, right)))
+                left_open = (row.astype(np.uint32), left, right)
+            out.append((None, packet, sink.getvalue().to_pybytes(), pickle.dumps(([np.concatenate([f[i] for f in facts]) for i in range(4)], where, left_open))))
+            words, rows, facts, opens, ids, docs, n, k = [], [], [], [], [], 0, 0, k + 1
             return _batch(out, names, types)
 
         for batch in batches:
             # A copy: a slice would keep the batch's texts.
             ids.append(batch.select(kept).take(pa.array(np.arange(len(batch)))))
             for _, data, offsets in _pieces(batch.column("_text")):
-                counts, sums, known, logs, w, r = model.score_rows(data, offsets)
+                counts, sums, known, logs, w, r, left_open = model.score_rows(data, offsets)
+                if left_open is not None:
+                    opens.append((left_open[0] + docs, *left_open[1:]))
                 words.append(w)
                 rows.append(r + docs)
                 facts.append((counts, sums, known, logs))
@@ -492,7 +697,7 @@ def _score_packets(shared, packet_words: int, buckets: int, kept: list[str]):
 
 
 def _look_up(key, t):
-    """In a bucket: the counts of each packet's words."""
+    """In a bucket: the counts of each packet's words, with their classes if they are marked."""
     words, counts, out = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     asked = []
     for packet, w, c in zip(*(t[x].to_pylist() for x in ("packet", "words", "facts")), strict=True):
@@ -509,20 +714,28 @@ def _look_up(key, t):
     return pa.Table.from_batches([_batch(out, ["bucket", "packet", "words", "facts"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
 
 
-def _finish(kept: list[str], names: list[str], n: int, v: int, ends: int, types):
+def _finish(shared, kept: list[str], names: list[str], n: int, v: int, ends: int, types):
     """A packet's texts with all their figures."""
     room = math.log10(n + v + 1) if n else 0.0
 
     def run(t):
+        model = shared.value
         found, replies = None, []
         for bucket, words, facts in zip(*(t[c].to_pylist() for c in ("bucket", "words", "facts")), strict=True):
             if bucket is None:
                 found = (pa.ipc.open_stream(words).read_all(), *pickle.loads(facts))
             else:
                 replies.append((bucket, np.frombuffer(words, np.int64)))
-        ids, (words, sums, known, logs), (word, row, times) = found
+        ids, (words, sums, known, logs), (word, row, times), left_open = found
         if replies:
-            count = np.concatenate([c for _, c in sorted(replies, key=lambda x: x[0])])[word]
+            told = np.concatenate([c for _, c in sorted(replies, key=lambda x: x[0])])
+            if left_open is not None:
+                told, classes = unmarked(told)
+                classes = np.concatenate([np.arange(SIZE), classes])
+                at, left, right = left_open[0], classes[left_open[1]], classes[left_open[2]]
+                steps = model.transition[left, right] - np.where(right == END, 0.0, model.room[right])
+                sums = sums + np.bincount(at, steps, minlength=len(words))
+            count = told[word]
             logs = logs + np.bincount(row, times * np.log10(count + 1.0), minlength=len(words))
             known = known + np.bincount(row, np.where(count > 0, times, 0), minlength=len(words)).astype(np.int64)
         tokens = words + 1
@@ -562,20 +775,20 @@ def score(docs: DataFrame, is_training: Column, text: str = "text") -> DataFrame
     head = Words.of(np.array([r["w"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.int64))
     rest_n, rest_v = (n - reach_n[k], v - reach_v[k]) if top else (n, v)
     few = head.counts[head.counts < least]  # frequent enough for an exchange among few words
-    lexicon, table = learn(training, counted, head, least, packet, buckets)
+    lexicon, table, tables = learn(training, counted, head, least, packet, buckets, scratch)
     model = build(lexicon, table, rest_n - int(few.sum()), rest_v - len(few))
     n, v = n + ends, v + (ends > 0)
 
     names, types = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     kept = [c for c in docs.columns if c not in (text, *names)]
     source = docs.select(*kept, F.col(text).alias("_text"))
-    packed = scratch.save(source.mapInArrow(_score_packets(spark.sparkContext.broadcast(model), packet, buckets, kept), _PACKED), "packets")
-    tables = counted.select("bucket", F.lit(None).cast("long").alias("packet"), "words", F.col("counts").alias("facts"))
+    shared, figures = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(Figures(model.transition, model.room))
+    packed = scratch.save(source.mapInArrow(_score_packets(shared, packet, buckets, kept), _PACKED), "packets")
     looked = packed.where("bucket IS NOT NULL").unionByName(tables).groupBy("bucket").applyInArrow(_look_up, _PACKED)
     schema = docs.select(*kept).schema
     for x, ty in zip(names, ("long", "long", "long", "double", "double", "double"), strict=True):
         schema = schema.add(x, ty)
-    done = looked.unionByName(packed.where("bucket IS NULL")).groupBy("packet").applyInArrow(_finish(kept, names, n, v, ends, types), schema)
+    done = looked.unionByName(packed.where("bucket IS NULL")).groupBy("packet").applyInArrow(_finish(figures, kept, names, n, v, ends, types), schema)
     done = scratch.save(done, "scores")
     scratch.drop_all_but("scores")
     return done

@@ -178,6 +178,28 @@ def test_the_threshold_doubles_until_the_lexicon_is_bounded(spark, sf_dir, monke
     assert {r.doc_id: r.n_tokens for r in rows} == {i: w[0] for i, w in want.items()}
 
 
+def test_scores_are_the_same_whatever_is_sent_out(spark, sf_dir, monkeypatch):
+    """Words beyond the bound have the classes that they have without one, from buckets."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, "neverseenzz")], "doc_id long, text string").repartition(3)
+    built, build = [], brown.build
+    monkeypatch.setattr(brown, "build", lambda *a: built.append(build(*a)) or built[-1])
+    monkeypatch.setattr(brown, "HEAD", 30)
+    monkeypatch.setattr(brown, "PACKET", 700)
+    runs = []
+    for bound in (brown.LEXICON, 60, 0):
+        monkeypatch.setattr(brown, "LEXICON", bound)
+        runs.append({r.doc_id: r for r in brown.score(df, brown.F.col("doc_id") % 3 != 0).collect()})
+    assert len(built[0].lexicon.label) > 200 and len(built[1].lexicon.label) <= 60 and len(built[2].lexicon.label) == 30
+    for model, got in zip(built[1:], runs[1:], strict=True):
+        np.testing.assert_allclose(model.room, built[0].room, rtol=1e-12)
+        np.testing.assert_allclose(model.transition, built[0].transition, rtol=1e-12)
+        assert got.keys() == runs[0].keys()
+        for i, r in got.items():
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (runs[0][i].n_tokens, runs[0][i].n_known, runs[0][i].train_tokens)
+            assert r.base_score == pytest.approx(runs[0][i].base_score, rel=1e-9) and r.score == pytest.approx(runs[0][i].score, rel=1e-9)
+
+
 def test_small_packets_and_edge_cases(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     train = brown.F.col("doc_id") % 3 != 0
