@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out to all cores by their keys: of a file's row group one task has all rows,
+    and there may be one of millions of small rows that each are much work."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, once a context, unless their path has it already.
 

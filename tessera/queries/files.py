@@ -13,7 +13,7 @@ from tessera.functions import strings
 from tessera.operators import geometry as geo
 from tessera.operators import statistics as st
 from tessera.operators import volumes as vol
-from tessera.plans.runtime import Scratch, ship, table
+from tessera.plans.runtime import Scratch, dealt, ship, table
 from tessera.queries.common import DIM, VOX, cells, q6, r6, tiles
 from tessera.sources import files, mat_source, nifti_source, volume_files
 from tessera.streaming import incremental
@@ -160,7 +160,7 @@ def mha_elements(spark, d):
 def _subject_files(spark, d):
     """Subjects' folders: compressed images for all, expanded ones for some, and folders
     that are no subjects."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
+    s = dealt(table(spark, d, "supplier").select(F.col("s_suppkey").alias("n")), "n")
     folder = F.concat(F.lit("data/s"), F.col("n"))
     content = F.encode(F.concat(F.lit("image "), "n"), "utf-8")
     every = s.select(F.concat(folder, F.lit("/pp_ct.nii.gz")).alias("name"), content.alias("content"))

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +23,27 @@ from tessera.functions.strings import age_years, file_folder, file_stem, sex_cod
 from tessera.operators.cohort import fallback, first_match
 from tessera.plans.runtime import Scratch, ship
 
-#: Files that are deleted at once.
+#: Files that the driver deletes at once, where tasks don't know the store.
 REMOVERS = 32
+#: Tasks a core that list folders, and that go through what they found.
+TASKS = 8
+
+
+def files_below(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Spark's ``binaryFile`` rows of all files below a folder. Folders are listed by a
+    bounded number of tasks, where Spark would take one for each, up to 10,000."""
+    name, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", TASKS * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), tasks)))
+    try:  # the folders are listed here, not when rows are asked for
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    finally:
+        spark.conf.set(name, before)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Paths, sizes and times below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", "modificationTime")
+    return files_below(spark, folder, pattern).select("path", "length", "modificationTime").coalesce(TASKS * spark.sparkContext.defaultParallelism)
 
 
 def list_subjects(files: DataFrame, depth: int = 1) -> DataFrame:
@@ -80,19 +97,18 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches):
-        import posixpath
-        import uuid
-
-        from pyarrow import fs
-
+        made = set()
         store, base = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
         for batch in batches:
             done = []
             for name, raw in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 if raw.is_valid:
                     final = posixpath.join(base, name)
-                    own = posixpath.join(posixpath.dirname(final), f".{uuid.uuid4().hex}")
-                    store.create_dir(posixpath.dirname(final), recursive=True)
+                    at = posixpath.dirname(final)
+                    own = posixpath.join(at, f".{uuid.uuid4().hex}")
+                    if at not in made:
+                        store.create_dir(at, recursive=True)
+                        made.add(at)
                     with store.open_output_stream(own) as f:
                         f.write(raw.as_buffer())
                     store.move(own, final)
@@ -106,7 +122,7 @@ def copy_outputs(spark: SparkSession, folder: str, patterns: Sequence[str], targ
     """Copy files whose name matches a pattern (regular expressions) from below ``folder`` to
     ``target``, each to where it was relative to ``folder``; returns the new paths."""
     root = folder.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files_below(spark, folder)
     chosen = files.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike("|".join(f"(?:{p})" for p in patterns)))
     return write_files(chosen.select(F.element_at(F.split("path", re.escape(root) + "/", 2), -1).alias("name"), "content"), target)
 
@@ -180,26 +196,65 @@ def save_results(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 def remove_outputs(spark: SparkSession, files: DataFrame, patterns: Sequence[str], dry_run: bool = True) -> DataFrame:
     """Outputs by file-name pattern (regular expressions), for each subject; deleted where
-    they are unless it is a dry run. Deleting is done through Spark's file system, so in
-    any store it knows."""
+    they are unless it is a dry run. Tasks delete in the stores that ``pyarrow.fs`` opens; in
+    others the driver does, through Spark's file system, so in any store that it knows."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     chosen = files.where(name.rlike("|".join(f"(?:{p})" for p in patterns)))
     if not dry_run:
+        ship(spark)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         # The choice is written first: once files are gone, a listing would not find them again.
-        chosen = Scratch(spark, "removed").save(chosen, "chosen")
+        scratch = Scratch(spark, "removed")
+        chosen = scratch.save(chosen, "chosen")
+        # A file is a file operation, so rows are dealt out by number and not by size.
+        dealt = chosen.select("path").repartition(TASKS * spark.sparkContext.defaultParallelism)
+        left = scratch.save(dealt.mapInArrow(_remove, "path string"), "left")
 
         def remove(row):
             path = jvm.org.apache.hadoop.fs.Path(row["path"])
             path.getFileSystem(conf).delete(path, False)
 
         with ThreadPoolExecutor(REMOVERS) as pool:
-            rows = chosen.select("path").toLocalIterator()
+            rows = left.toLocalIterator()
             while some := list(islice(rows, 100 * REMOVERS)):  # no more paths at once
                 list(pool.map(remove, some))
+        scratch.drop("left")
     return chosen
 
 
+def _remove(batches):
+    """Delete files; returns the paths of those in stores that are not known here. A file
+    that is gone counts as deleted: a task may run again."""
+    stores: dict[str, tuple[fs.FileSystem, str] | None] = {}
+
+    def store_of(root):
+        try:
+            store, base = (fs.LocalFileSystem(), "") if root in ("", "file://") else fs.FileSystem.from_uri(f"{root}/")
+            return store, base.rstrip("/")
+        except (ValueError, NotImplementedError, OSError):
+            return None
+
+    for batch in batches:
+        left = []
+        for path in batch.column("path").to_pylist():
+            scheme, rest = path.split(":", 1) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else ("", path)
+            host, at = re.fullmatch(r"(//[^/]*)?(.*)", rest, re.S).groups(default="")
+            root = "" if scheme == "" else "file://" if scheme == "file" else f"{scheme}:{host}"
+            if root not in stores:
+                stores[root] = store_of(root)
+            if stores[root] is None:
+                left.append(path)
+                continue
+            store, base = stores[root]
+            places = [base + at]
+            if store.type_name == "local":  # Hadoop keeps a file's checksums beside it
+                places.append(posixpath.join(posixpath.dirname(at), f".{posixpath.basename(at)}.crc"))
+            for place in places:
+                with suppress(FileNotFoundError):
+                    store.delete_file(place)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string())], ["path"])
+
+
 def log_failures(failures: DataFrame, path: str, step: str) -> None:
     """Append (subject, step, error) of rows whose error is not missing."""
     failures.where(F.col("error").isNotNull()).select("subject", F.lit(step).alias("step"), "error").write.mode("append").parquet(path)

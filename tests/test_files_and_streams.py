@@ -128,3 +128,44 @@ def test_files_of_a_batch_are_written_together(spark, monkeypatch):
     for out in (whole, parts):
         got = {n: raw for b in out for n, raw in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True)}
         assert got == {n: None if x is None else volume_files.write_nifti(np.array(x), d, a, "float32", "", False) for n, d, a, x in rows}
+
+
+def test_files_are_deleted_by_tasks_and_folders_listed_by_few(spark, tmp_path, monkeypatch):
+    for n in range(120):
+        (tmp_path / "data" / f"s {n}%20").mkdir(parents=True)
+        for name in ("a.nii", "a.nii.gz", ".a.nii.crc"):
+            (tmp_path / "data" / f"s {n}%20" / name).write_bytes(b"x")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(name), spark.sparkContext.statusTracker()
+    found = files.list_files(spark, str(tmp_path / "data"), "*.nii*")
+    assert spark.conf.get(name) == before and found.count() == 240
+    assert max((i.numTasks for j in tracker.getJobIdsForGroup(None)[:3] for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s))), default=0) <= files.TASKS * spark.sparkContext.defaultParallelism
+    by_driver = []
+    monkeypatch.setattr(files, "ThreadPoolExecutor", lambda n: by_driver.append(n) or _Pool(by_driver))
+    gone = files.remove_outputs(spark, found, [r"\.nii$"], dry_run=False)
+    assert gone.count() == 120 and by_driver == [files.REMOVERS]  # no path came to the driver
+    assert {p.name for p in (tmp_path / "data").rglob("*") if p.is_file()} == {"a.nii.gz"}
+
+
+class _Pool:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def map(self, f, rows):
+        self.calls += rows
+        return map(f, rows)
+
+
+def test_paths_of_unknown_stores_are_left_to_the_driver(tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "x").write_bytes(b"x")
+    paths = ["odd://host/a/b", f"file:{tmp_path}/x", f"file:{tmp_path}/gone", f"file://{tmp_path}/none"]
+    (out,) = files._remove(iter([pa.RecordBatch.from_arrays([pa.array(paths)], ["path"])]))
+    assert out.column("path").to_pylist() == ["odd://host/a/b"] and not (tmp_path / "x").exists()
