@@ -35,7 +35,7 @@ def _number(path="path"):
 
 def _volumes(spark, d):
     """Volumes with an affine whose shift along x is the volume's number."""
-    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    rows = dealt(table(spark, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding"), "vec_id")
     affine = F.array(F.lit(1.5), F.lit(0.0), F.lit(0.0), F.col("vec_id").cast("double"), *map(F.lit, (0.0, 1.0, 0.0, -3.0, 0.0, 0.0, 2.0, 0.5, 0.0, 0.0, 0.0, 1.0)))
     return rows.select("vec_id", F.concat(F.lit("v"), "vec_id").alias("name"), F.array(*map(F.lit, DIM)).alias("dim"), affine.alias("affine"), F.col("embedding").alias("data"))
 

@@ -58,8 +58,9 @@ HEADERS = "path string, name string, dim array<int>, affine array<double>, dtype
 VOLUMES = HEADERS + ", data array<float>"
 SLICES = HEADERS + ", k int, data array<float>"
 _TYPES = {"path": pa.string(), "name": pa.string(), "dim": pa.list_(pa.int32()), "affine": pa.list_(pa.float64()), "dtype": pa.string(), "scl_slope": pa.float64(), "scl_inter": pa.float64(), "error": pa.string(), "bytes_read": pa.int64(), "k": pa.int32(), "data": pa.list_(pa.float32())}
-#: What opening a file counts for when partitions are packed, and bytes of a partition.
-OPEN_COST, PARTITION_BYTES = 1 << 20, 64 << 20
+#: What opening a file counts for when partitions are packed, and bytes of a partition. Of
+#: very many files the opening counts for less, so that it makes no more than so many partitions.
+OPEN_COST, PARTITION_BYTES, OPEN_PARTITIONS = 1 << 20, 64 << 20, 256
 MANIFEST = "_manifest.json"
 #: Rows of headers in a batch, voxels of slices in a batch, and files moved at once.
 BATCH_ROWS, BATCH_VOXELS, MOVERS = 1000, 1 << 20, 32
@@ -237,13 +238,14 @@ class NiftiReader(DataSourceReader):
 
     def packed(self, files: Sequence[Held]) -> list[Files]:
         out, items, cost = [], [], 0
+        opening = min(OPEN_COST, OPEN_PARTITIONS * self.target // max(1, len(files)))
         for held in files:
             if self.names is not None and held.name not in self.names:
                 continue
             whole = held.size if "data" in self.columns else HEADER_BYTES
             parts = max(1, -(-whole // self.target)) if self.slices and not held.name.endswith(".gz") else 1
             for part in range(parts):
-                each = OPEN_COST + whole // parts
+                each = opening + whole // parts
                 if items and cost + each > self.target:
                     out.append(Files(items))
                     items, cost = [], 0
@@ -346,7 +348,7 @@ class NiftiWriter(DataSourceArrowWriter):
 
     def write(self, iterator) -> Written:
         store, folder = store_of(self.folder)
-        folder, attempt, made = folder.rstrip("/"), f"{self._staging()}/{uuid.uuid4().hex}", {}
+        folder, attempt, made, folders = folder.rstrip("/"), f"{self._staging()}/{uuid.uuid4().hex}", {}, set()
         for batch in iterator:
             for n in range(len(batch)):
                 name, dim, affine = (batch.column(c)[n].as_py() for c in ("name", "dim", "affine"))
@@ -361,7 +363,9 @@ class NiftiWriter(DataSourceArrowWriter):
                     raise ValueError(f"volume {name!r} comes twice or is no name")
                 raw = write_nifti(np.asarray(values, float), dim, affine, self.kind, "", self.compress)
                 place = f"{attempt}/{file}"
-                store.create_dir(posixpath.dirname(f"{folder}/{place}"), recursive=True)
+                if posixpath.dirname(place) not in folders:
+                    store.create_dir(posixpath.dirname(f"{folder}/{place}"), recursive=True)
+                    folders.add(posixpath.dirname(place))
                 with store.open_output_stream(f"{folder}/{place}", compression=None) as f:
                     f.write(raw)
                 made[file] = (len(raw), place)
@@ -406,14 +410,21 @@ def recover(path: str) -> int:
 
         def move(item):
             name, place = item
-            store.create_dir(posixpath.dirname(f"{folder}/{name}"), recursive=True)
-            if store.get_file_info(f"{folder}/{place}").type == fs.FileType.File:
+            try:
                 store.move(f"{folder}/{place}", f"{folder}/{name}")
+            except OSError:  # maybe it has been moved
+                if store.get_file_info(f"{folder}/{place}").type == fs.FileType.File:
+                    raise
 
         def remove(name):
-            if store.get_file_info(f"{folder}/{name}").type == fs.FileType.File:
+            try:
                 store.delete_file(f"{folder}/{name}")
+            except OSError:  # maybe it has been removed
+                if store.get_file_info(f"{folder}/{name}").type == fs.FileType.File:
+                    raise
 
+        for at in {posixpath.dirname(name) for name in intent["staged"]}:
+            store.create_dir(posixpath.join(folder, at), recursive=True)
         with ThreadPoolExecutor(MOVERS) as pool:
             list(pool.map(move, intent["staged"].items()))
             list(pool.map(remove, intent["removed"]))

@@ -230,3 +230,14 @@ def test_stream_gives_each_volume_once_and_changed_ones_again(nifti, tmp_path):
         write(nifti, [volume(5), ("bad", [4, 4, 4], AFFINE, [1.0])], folder)
     more = sorted([*first, ("s2/v2.nii", 8000.0), ("s3/v3.nii", 3000.0), ("s4/v4.nii", 4000.0)])
     assert run() == more and run() == more
+
+
+def test_very_many_files_make_a_bounded_number_of_partitions(spark):
+    reader = ns.NiftiReader({"path": "/x"}, ns.StructType.fromDDL(ns.VOLUMES))
+    held = [ns.Held(f"v{n}.nii", 608, (f"/x/v{n}.nii",)) for n in range(100_000)]
+    parts = reader.packed(held)
+    assert len(parts) <= ns.OPEN_PARTITIONS + 2  # 1,588 by the cost of opening alone
+    assert [h for p in parts for h, _, _ in p.items] == held
+    assert len(reader.packed(held[:640])) == 11  # of few files nothing changes
+    large = [ns.Held(f"v{n}.nii", 64 << 20, ()) for n in range(300)]
+    assert len(reader.packed(large)) == 300
