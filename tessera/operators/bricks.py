@@ -34,7 +34,8 @@ SIZE = (64, 64, 64)
 ROWS, VALUES = 1000, 1 << 20
 _LIST = pa.list_(pa.float64())
 Arrays = dict[str, np.ndarray]
-#: Padded arrays (z, y, x) and where the volume is -> arrays of the same shape.
+#: Arrays of several bricks of one shape (brick, z, y, x), with their halos as far as the volume
+#: goes, and where in them it is -> arrays of the same shape. What is beyond is 0.
 Work = Callable[[Arrays, np.ndarray], Arrays]
 
 
@@ -139,25 +140,43 @@ def exchange(bricks: DataFrame, keys: Sequence[str], columns: Sequence[str], hal
         for batch in batches:
             yield from _batches(edges(batch), sent, [batch.column(k).type for k in keys], 5)
 
-    def brick(rows: list[tuple]) -> list:
-        """One brick of all edges that came to it: (keys, dim, size, at, low, shape, arrays)."""
+    def brick(rows: list[tuple]) -> tuple:
+        """One brick of all edges that came to it: its shape with the halo, where in it its own
+        voxels are, (keys, dim, size, at), arrays."""
         own, dim, size, at, *_ = rows[0]
         start, core = _core(at, size, dim)
-        wide = [n + 2 * halo for n in core]
-        held = {c: np.zeros(tuple(wide)[::-1]) for c in columns}
+        first = [max(0, s - halo) for s in start]
+        wide = tuple(min(d, s + n + halo) - f for d, s, n, f in zip(dim, start, core, first, strict=True))
+        held = {c: np.zeros(wide[::-1]) for c in columns}
         kept: Arrays = {}
         for *_, low, shape, arrays in rows:
             for c, x in zip(carried, arrays, strict=True):
                 if c in held:
-                    _box(held[c], [a - b + halo for a, b in zip(low, start, strict=True)], shape)[...] = x.reshape(tuple(shape)[::-1])
+                    _box(held[c], [a - f for a, f in zip(low, first, strict=True)], shape)[...] = x.reshape(tuple(shape)[::-1])
                 elif len(x):
                     kept[c] = x.reshape(tuple(shape)[::-1])
-        at_each = [np.arange(-halo, n + halo) + s for n, s in zip(core, start, strict=True)]
-        z, y, x = ((a >= 0) & (a < d) for a, d in zip(at_each[::-1], dim[::-1], strict=True))
-        middle = lambda a: _box(a, [halo] * 3, core)
-        kept |= {c: middle(held[c]) for c in keep if c in held}
-        made = work(held, z[:, None, None] & y[None, :, None] & x[None, None, :])
-        return [*own, dim, size, at, *(middle(made[c]) for c in outputs), *(kept[c] for c in keep)]
+        middle = tuple(s - f for s, f in zip(start, first, strict=True))
+        kept |= {c: _box(held[c], middle, core) for c in keep if c in held}
+        return (wide, middle, tuple(core)), [*own, dim, size, at], held, kept
+
+    def worked(found: Iterator[tuple]) -> Iterator[list]:
+        """Bricks of a shape are worked on at once, a bounded number of values at a time."""
+        held: dict[tuple, list[tuple]] = {}
+        size = 0
+
+        def flush():
+            for (wide, middle, core), some in held.items():
+                made = work({c: np.stack([x[c] for _, x, _ in some]) for c in columns}, np.ones(wide[::-1], bool))
+                for n, (row, _, kept) in enumerate(some):
+                    yield [*row, *(_box(made[c][n], middle, core) for c in outputs), *(kept[c] for c in keep)]
+
+        for shape, *one in found:
+            held.setdefault(shape, []).append(one)
+            size += int(np.prod(shape[0])) * (len(carried) + len(outputs))
+            if size >= VALUES:
+                yield from flush()
+                held, size = {}, 0
+        yield from flush()
 
     def met(batches, types):
         """Bricks, one after the other, of rows in their order."""
@@ -178,7 +197,7 @@ def exchange(bricks: DataFrame, keys: Sequence[str], columns: Sequence[str], hal
 
     def meet(batches):
         types: list[pa.DataType] = []
-        yield from _batches(met(batches, types), out, types, 3)  # which are known with the first row
+        yield from _batches(worked(met(batches, types)), out, types, 3)  # which are known with the first row
 
     edges_of = bricks.mapInArrow(send, sent)
     return edges_of.repartition(*keys, "at").sortWithinPartitions(*keys, "at").mapInArrow(meet, out)
@@ -209,11 +228,11 @@ def convolve(bricks: DataFrame, keys: Sequence[str], taps: Sequence[float], data
 
     def work(arrays: Arrays, inside: np.ndarray) -> Arrays:
         x = arrays[data]
-        for axis in range(3):
-            wide = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(3)])
+        for axis in range(1, 4):
+            wide = np.pad(x, [(reach, reach) if a == axis else (0, 0) for a in range(4)])
             n = x.shape[axis]
             # What an axis has spread beyond the volume is taken back before the next one.
-            x = inside * sum(t * wide[tuple(slice(s, s + n) if a == axis else slice(None) for a in range(3))] for s, t in enumerate(taps))
+            x = inside * sum(t * wide[tuple(slice(s, s + n) if a == axis else slice(None) for a in range(4))] for s, t in enumerate(taps))
         return {data: x}
 
     return exchange(bricks, keys, [data], reach, work, [data])
@@ -224,10 +243,10 @@ def surface(bricks: DataFrame, keys: Sequence[str], above: float = 0.5, data: st
 
     def work(arrays: Arrays, inside: np.ndarray) -> Arrays:
         mask = (arrays[data] > above) & inside
-        wide, inner = np.pad(mask, 1), mask.copy()
-        for axis in range(3):
+        wide, inner = np.pad(mask, [(0, 0), (1, 1), (1, 1), (1, 1)]), mask.copy()
+        for axis in range(1, 4):
             for step in (-1, 1):
-                inner &= np.roll(wide, step, axis)[1:-1, 1:-1, 1:-1]
+                inner &= np.roll(wide, step, axis)[:, 1:-1, 1:-1, 1:-1]
         return {out: (mask & ~inner).astype(float)}
 
     return exchange(bricks, keys, [data], 1, work, [out])

@@ -63,3 +63,27 @@ def test_rows_without_a_volume_have_no_bricks(spark):
     assert sorted((r.id or 0, tuple(r.at), r.data[0]) for r in cut.collect()) == [(0, (0, 0, 0), 5.0), (4, (0, 0, 0), 0.0), (4, (0, 1, 0), 2.0)]
     assert bricks.convolve(cut.where("id > 9"), ["id"], (0.3, 0.4, 0.3)).collect() == []
     assert values(bricks.whole(bricks.convolve(cut.where("id = 4"), ["id"], (0.25, 0.5, 0.25)), ["id"], ["data"]))[4].tolist() == [0.125, 0.25]
+
+
+def test_bricks_of_a_shape_are_worked_on_at_once(spark, tmp_path):
+    """All bricks of a task by their shapes, without voxels beyond the volume."""
+    r = np.random.default_rng(8)
+    rows = [(n, [4, 4, 4], r.uniform(-1, 1, 64).tolist()) for n in range(50)]
+    cut = bricks.cut(spark.createDataFrame(rows, "id int, dim array<int>, data array<double>").coalesce(1), ["id"], ["data"], "dim", (2, 4, 2))
+    log = str(tmp_path / "shapes")
+
+    def work(arrays, inside):
+        with open(log, "a") as f:
+            f.write(f"{arrays['data'].shape}\n")
+        return {"data": arrays["data"] * inside}
+
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "1")
+    try:
+        got = values(bricks.whole(bricks.exchange(cut, ["id"], ["data"], 4, work, ["data"]), ["id"], ["data"]))
+    finally:
+        spark.conf.set(conf, before)
+    assert all(got[n].tolist() == x for n, _, x in rows)
+    shapes = [eval(x) for x in open(log)]
+    assert sum(x[0] for x in shapes) == 200 and len(shapes) <= 4 and {x[1:] for x in shapes} == {(4, 4, 4)}
